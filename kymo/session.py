@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,3 +27,13 @@ def ship_package(spark: SparkSession) -> None:
     path.write_bytes(data.getvalue())
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(application)
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="kymo-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/kymo/{tag}-{uuid.uuid4().hex}"
