@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 from kymo.llm.common import written
 
 
+#: Edges that one file of a round holds.
+FILE_EDGES = 500_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (columns a and b, any order, self-loops and repeats allowed).
 
-    ``root`` is the smallest node that can be reached. Nodes must be of one sortable type; null ends are dropped.
+    ``root`` is the smallest node that can be reached. Nodes must be of one sortable type; null ends are dropped. A
+    round's files follow the number of edges, not of shuffle partitions: rounds are many and edges may be few.
     """
     star = written(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "components")
+    n = star.count()
     for _ in range(max_rounds):
         # large star: every node sends its larger neighbours to the smallest node around it, itself included
         both = star.select(F.col("v").alias("x"), F.col("u").alias("y")).unionAll(star.select(F.col("u").alias("x"), F.col("v").alias("y")))
@@ -29,9 +35,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(least, "v")
         small = moved.select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").unionAll(least.select("v", F.col("m").alias("u"))).distinct()
-        after = written(small, "components")
-        n, sums = after.count(), star.count()
-        if n == sums and after.join(star, ["v", "u"], "left_anti").isEmpty():
+        after = written(small.coalesce(1 + n // FILE_EDGES), "components")
+        before, n = n, after.count()
+        if n == before and after.join(star, ["v", "u"], "left_anti").isEmpty():
             break
         star = after
     else:
