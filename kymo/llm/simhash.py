@@ -230,6 +230,7 @@ def link_edges(fps: DataFrame, cell: int = CELL) -> DataFrame:
         pairs = own.select("fp", "home", "anchor", "cell", other).select(
             F.concat_ws(":", "anchor", F.least("cell", "other"), F.greatest("cell", "other")).alias("pair"), "fp", "home")
         edges = edges.unionAll(written(pairs.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_compare_cells, LINKS), "simhash-cells").select("a", "b"))
+    tune(spark)
     return edges
 
 
@@ -241,7 +242,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     named = of_fp.join(roots.withColumnRenamed("node", "fp"), "fp")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.select("fp", "root").join(names, "root").select("fp", "component_id")
-    of_fp = of_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join below has an exchange on both sides and Spark may split a fingerprint with very many rows
+    of_fp = written(of_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
     return known.join(of_fp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
