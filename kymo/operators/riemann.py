@@ -252,9 +252,9 @@ class AdaptiveRebias(Operator):
                 out.append(y.ravel())
             return rows.assign(**{output: out})
 
-        keyed = trials.df.groupBy(*([F.col(b) for b in self.by] or [F.lit(0)]))
-        schema = trials.df.withColumn(output, F.col(a)).schema
-        return Trials(keyed.applyInPandas(run, schema), {**trials.shapes, output: shape}, trials.id, trials.label)
+        df = trials.df if self.by else trials.df.withColumn("_all", F.lit(0))
+        done = df.groupBy(*(self.by or ("_all",))).applyInPandas(run, df.withColumn(output, F.col(a)).schema)
+        return Trials(done if self.by else done.drop("_all"), {**trials.shapes, output: shape}, trials.id, trials.label)
 
 
 class AdaptiveRebiasFit(Estimator):
