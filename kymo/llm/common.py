@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kymo.session import ship_package
 
@@ -67,6 +69,47 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Logical operators whose rows come out of the same partitions, in the same order, each time they run.
+STEADY = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "RelationV2", "DataSourceV2ScanRelation", "SubqueryAlias", "Range"}
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` if it is a scan with projections and filters, else ``df`` written to the shared folder.
+
+    Operators that name rows by their place in the scan need the same places in every job, also after an executor is lost.
+    """
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName().split("(")[0].strip() not in STEADY or not plan.deterministic():
+            return written(df, "steady")
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return df
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks for uses that follow each other, with its lineage.
+
+    What a lost executor kept is made again from the inputs, so every step up to here must give the same rows each time.
+    It is dropped with the session's cache (spark.catalog.clearCache()) or at its end.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def lowest(df: DataFrame, order: Column, n: int, rows: int) -> DataFrame:
+    """The ``n`` rows of ``df`` (``rows`` in all) with the least ``order``, a 64-bit hash.
+
+    Hashes are spread evenly, so a cut at the share that holds about 2n + 50 rows comes first: the ranking sees these only,
+    whatever the size of the table. (Fewer than n below the cut has a probability under 1e-9 and would give fewer rows.)
+    """
+    share = min(1.0, (2 * n + 50) / max(1, rows))
+    ranked = df.withColumn("_order", order)
+    if share < 1:
+        ranked = ranked.filter(F.col("_order") < int(-(2**63) + share * 2**64))
+    return ranked.orderBy("_order").limit(n).drop("_order")
+
+
 def map_rows(df: DataFrame, per_batch: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Run ``per_batch`` (columns as lists in, columns as lists out) on every Arrow batch of ``df``.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import SPACE_BYTES, map_rows, tune, written
+from kymo.llm.common import SPACE_BYTES, map_rows, steady, tune, written
 
 #: Bytes of distinct content that one table holds.
 TABLE_BYTES = 32 << 20
@@ -63,7 +63,7 @@ class ContentTable:
         self.contents.append(content)
         self.digests.append(digest)
         self.bytes += len(content) + 200
-        if 3 * k > 2 * len(slots):
+        if 3 * (k + 1) > 2 * len(slots):
             self._grow()
         return k
 
@@ -184,9 +184,10 @@ def bucket_of(levels: list[tuple[int, list[int]]]):
 def find_groups(df: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(members, groups): members are (key, row, n_chars, digest, bytes) of each row, groups (digest, group_size, keep_id, keep_row).
 
-    ``df`` must be a table scan or another frame whose partitions come out alike when computed again.
+    ``row`` is a row's place in ``df``, which is written first unless it is a scan.
     """
     tune(df.sparkSession)
+    df = steady(df)
     rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def digests(columns: dict) -> dict:
@@ -215,5 +216,6 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", table_by
 
 def drop_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with all its columns, without the rows that exact deduplication drops."""
+    df = steady(df)
     gone = exact_dedup(df, key, text).filter(~F.col("kept")).select(F.col("row").alias("_row_"))
     return df.withColumn("_row_", F.monotonically_increasing_id()).join(gone, "_row_", "left_anti").drop("_row_")

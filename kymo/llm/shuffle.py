@@ -10,8 +10,8 @@
    slot is its place by that key within its shard. A shard is cut into ranges of keys, so no task holds a whole
    shard, and the offsets of ranges come from their counts.
 
-The input's partitions must come out alike when computed again: a table scan is (a lost executor's tasks then redraw
-the same numbers, which are seeded by partition). For other frames pass ``stable=False``, which writes them first.
+The input's partitions must come out alike when computed again, as a table scan's do: a lost executor's tasks then redraw
+the same numbers, which are seeded by partition. Other frames are written first.
 
 Results: nulls and empty texts are rows as any others, equal texts are not kept together (a group of a third of all
 rows fits no shard), repeated rows get slots of their own, an empty table gives no rows. The driver holds one count
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import tune, written
+from kymo.llm.common import steady, tune, written
 
 #: Rows that one range of a shard holds on average, at most; and ranges a shard has at least.
 RANGE_ROWS, LEAST_RANGES = 250_000, 8
@@ -105,10 +105,9 @@ def deal(df: DataFrame, shards: int, seed: int = 11) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("row")).mapInArrow(place, "row long, shard int, key long")
 
 
-def shuffle_shards(df: DataFrame, shards: int, seed: int = 11, stable: bool = True) -> DataFrame:
+def shuffle_shards(df: DataFrame, shards: int, seed: int = 11) -> DataFrame:
     """``df`` with shard (0 to ``shards`` - 1) and slot (0 to the shard's size - 1, gapless), a uniform shuffle."""
-    if not stable:
-        df = written(df, "shuffle-input")
+    df = steady(df)
     names = {n.lower() for n in df.columns}
     if names & {"shard", "slot", "_row_", "_key_", "_range_", "_offset_"}:
         raise ValueError("shard, slot and the names _row_, _key_, _range_ and _offset_ must be free")

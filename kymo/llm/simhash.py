@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import map_rows, tune, written
+from kymo.llm.common import map_rows, steady, tune, written
 from kymo.llm.components import connected_components
 
 WIDTH, SEED, THRESHOLD = 3, 42, 3
@@ -249,6 +249,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``df`` with all its columns, with one row of each component: the smallest key, and of its rows the first in the scan."""
+    df = steady(df)
     rows = df.withColumn("_row_", F.monotonically_increasing_id())
     of_row = near_duplicates(rows, "_row_", text, width).select("_row_", "component_id")
     keyed = of_row.join(rows.select("_row_", F.col(key).alias("_key_")), "_row_")

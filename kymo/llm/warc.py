@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm.common import fresh_path, map_rows, tune, written
+from kymo.llm.common import fresh_path, map_rows, steady, tune, written
 
 LEAST_REVISIT, SEGMENT_BYTES, CHUNK_BYTES = 100, 32 << 10, 8 << 10
 # Framing of the WARC and HTTP formats.
@@ -108,6 +108,7 @@ def capture_records(key: int | None, url: str | None, payload: bytes, row: int,
 
 def captures(df: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
     """Rows as ``CAPTURES``: payload, digest and the capture that is the response of equal payloads."""
+    df = steady(df)
     payload = F.coalesce(df[text].cast("binary"), F.lit(b""))
     rows = df.select(df[key].cast("long").alias("key"), df[url].alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha2("payload", 256))
     first = F.min(F.struct(F.col("key").isNull(), "key", "row"))
