@@ -16,7 +16,7 @@ query); each block's result is written to the shared folder. Scores are int64: c
 
 Results: ties go to the smaller vec_id. Vectors that are null, or hold null or non-finite components, take no part,
 neither does a row without vec_id. A query's own row is left out, not other rows that repeat its vec_id. Vectors of
-another length than the query's are no candidates for it. Scores beyond int64 are given as its limits.
+another length than the query's are no candidates for it. Scores beyond int64 count as its limits, and so tie.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kymo.llm.common import tune, written
+from kymo.llm.common import steady, tune, written
 
 LISTS, BLOCK, CHUNK = 4, 4096, 8192
 #: Scores of one piece of queries against one chunk of candidates that are held at once.
@@ -60,6 +60,13 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return exact(a).dot(exact(b).T)
 
 
+def _int64(scores: np.ndarray) -> np.ndarray:
+    """Scores as int64, those beyond it as its limits."""
+    if scores.dtype != object:
+        return scores
+    return np.array([max(-(2**63), min(2**63 - 1, s)) for s in scores], np.int64)
+
+
 class Block:
     """Queries of one length: their rows, ids and matrix."""
 
@@ -128,10 +135,9 @@ def _gather(blocks, k: int):
                         found = np.unique(found)
                         found = found[row[found] != query_row]
                         mine = best.setdefault(int(query_row), [])
-                        mine += products(q[i : i + 1], matrix[found])[0].tolist()
+                        mine += _int64(products(q[i : i + 1], matrix[found])[0]).tolist()
                         best[int(query_row)] = sorted(mine, reverse=True)[:k]
-        limit = 2**63 - 1
-        flat = [(q, max(-limit, min(limit, s))) for q, scores in best.items() for s in scores]
+        flat = [(q, s) for q, scores in best.items() for s in scores]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int64())], names=["q", "score"])
 
     return run
@@ -141,7 +147,6 @@ def _resolve(blocks, cutoffs, k: int):
     """Phases 2 and 3: (q, query_id, vec_id, score) of the entries of this partition that reach their query's cutoff."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = 2**63 - 1
         for row, vec_id, matrix in _chunks(batches):
             out: tuple[list, list, list, list] = ([], [], [], [])
             for block in blocks.value:
@@ -161,8 +166,8 @@ def _resolve(blocks, cutoffs, k: int):
                         at = at[row[at] != rows[i]]
                         if not len(at):
                             continue
-                        scores = sum(p[i, at] for p in partial)
-                        keep = np.ones(len(at), bool) if cut[i] is None else scores >= cut[i] if abs(cut[i]) < limit else np.ones(len(at), bool)
+                        scores = _int64(sum(p[i, at] for p in partial))
+                        keep = np.ones(len(at), bool) if cut[i] is None else scores >= cut[i]
                         at, scores = at[keep], scores[keep]
                         if not len(at):
                             continue
@@ -170,7 +175,7 @@ def _resolve(blocks, cutoffs, k: int):
                         out[0].extend([int(rows[i])] * len(best))
                         out[1].extend([int(block.ids[piece][i])] * len(best))
                         out[2].extend(vec_id[at[best]].tolist())
-                        out[3].extend(max(-limit - 1, min(limit, int(s))) for s in scores[best])
+                        out[3].extend(scores[best].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["q", "query_id", "vec_id", "score"])
 
     return run
@@ -198,7 +203,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
     """(query_id, rank, vec_id, score) for every row for which the Column ``is_query`` (over vec_id) holds, against all rows of ``df``."""
     spark = df.sparkSession
     tune(spark)
-    candidates = usable(df, key, vector)
+    candidates = usable(steady(df), key, vector)
     result = None
     for blocks in _blocks(candidates.filter(is_query)):
         shared = spark.sparkContext.broadcast(blocks)
