@@ -52,16 +52,13 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
       from levels""")
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
+def _mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
         share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, cut_last: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, size, source_size, target, taken, whole, part) and the columns ``keep``.
-
-    ``taken`` is how many words the mix takes of a row: ``whole`` repetitions of it and ``part`` words more.
-    """
+    """(_key, size, source_size, target, taken, whole, part) and the columns ``keep`` under _keep_ and their place."""
     digest = F.md5(F.concat_ws(":", df[key].cast("string"), F.lit(seed), F.md5(df[text].cast("binary"))).cast("binary"))
     sized = df.select(
         df[key].alias("_key"), df[source].isNull().alias("_null"), F.coalesce(df[source], F.lit("")).alias("_name"),
-        word_count(df[text]).alias("size"), digest.alias("_draw"), *[df[c].alias(f"_keep_{c}") for c in keep],
+        word_count(df[text]).alias("size"), digest.alias("_draw"), *[df[c].alias(f"_keep_{i}") for i, c in enumerate(keep)],
     ).withColumn("_range", F.conv(F.substring("_draw", 1, 3), 16, 10).cast("int"))
     of = ["_null", "_name"]
     ranges = sized.groupBy(*of, "_range").agg(F.sum("size").alias("range_size"))
@@ -76,13 +73,21 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     part = F.greatest(F.lit(0), F.least("size", left)) if cut_last else F.when((left > 0) & (2 * left >= F.col("size")), F.col("size")).otherwise(0)
     mixed = sized.join(plan, [*of, "_range"]).withColumn("_before", running).withColumn("_part", part.cast("long"))
     return mixed.select(
-        F.col("_key").alias(key), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("_part")).alias("taken"),
-        "whole", F.col("_part").alias("part"), *[F.col(f"_keep_{c}").alias(c) for c in keep if c != key])
+        "_key", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("_part")).alias("taken"), "whole", F.col("_part").alias("part"),
+        *[f"_keep_{i}" for i in range(len(keep))])
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """(key, size, source_size, target, taken, whole, part) of every row.
+
+    ``taken`` is how many words the mix takes of a row: ``whole`` repetitions of it and ``part`` words more.
+    """
+    return _mix(df, key, text, source, **options).withColumnRenamed("_key", key)
 
 
 def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of ``df`` repeated as often as the mix takes them whole (never cut)."""
-    taken = mix(df, key, text, source, cut_last=False, keep=tuple(df.columns), **options)
+    """The mix itself: the rows of ``df``, all columns, repeated as often as the mix takes them whole (never cut)."""
+    taken = _mix(df, key, text, source, cut_last=False, keep=tuple(df.columns), **options)
     times = F.col("whole") + F.when((F.col("part") > 0) & (F.col("size") > 0), 1).otherwise(0)
     repeated = taken.withColumn("_times", times).filter(F.col("_times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return repeated.select(*df.columns)
+    return repeated.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(df.columns)])
