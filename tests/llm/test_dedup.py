@@ -1,0 +1,242 @@
+"""Exact, near and passage deduplication against brute force."""
+
+import collections
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from kymo.llm import exact_dedup, simhash, suffix_dedup
+from kymo.llm.common import SPACES
+
+from .test_components import brute as components
+
+DOCS = "doc_id long, text string, row string, digest string"
+
+
+def documents(spark, texts, ids=None):
+    """Documents with extra columns whose names the operators use themselves."""
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "r", "d") for i, t in zip(ids, texts)], DOCS).repartition(3)
+
+
+# ---- exact ----
+
+
+def exact_brute(rows):
+    strip = lambda t: "".join(c for c in (t or "") if c not in SPACES)
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[strip(t)].append((-len(t or ""), i is None, i or 0, i))
+    out = []
+    for i, t in rows:
+        own = groups[strip(t)]
+        out.append((i, min(own)[3], len(own), hashlib.sha256(strip(t).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+TEXTS = ["a b", "ab", " a\tb\n", "a b", "", None, "  ", "x" * 5000, "x " * 5000, "Ab", "ab", "é", "é", "x" * 5000] + ["hot copy"] * 40
+
+
+@pytest.mark.parametrize("table_bytes", [exact_dedup.TABLE_BYTES, 300])
+def test_exact(spark, table_bytes):
+    df = documents(spark, TEXTS)
+    got = exact_dedup.exact_dedup(df, table_bytes=table_bytes).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=repr) == exact_brute(list(enumerate(TEXTS)))
+    assert {r["doc_id"] for r in got if r["kept"]} == {r["keep_id"] for r in got}
+
+
+def test_exact_with_ties_nulls_and_nothing(spark):
+    rows = [(None, "same"), (3, "same"), (3, "same"), (2, "sa me "), (None, "alone"), (7, None)]
+    df = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = exact_dedup.exact_dedup(df).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=repr) == exact_brute(rows)
+    assert sum(r["kept"] for r in got) == 3
+    twins = documents(spark, ["t", "t", "t"], [1, 1, 1])
+    assert sum(r["kept"] for r in exact_dedup.exact_dedup(twins).collect()) == 1
+    left = exact_dedup.drop_duplicates(df)
+    assert left.columns == df.columns and sorted((r["doc_id"] or -1, r["text"] or "") for r in left.collect()) == [(-1, "alone"), (2, "sa me "), (7, "")]
+    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
+
+
+def test_recursion_until_buckets_fit(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.choice([10, 2000]))) for _ in range(200)]
+    members, _ = exact_dedup.find_groups(documents(spark, texts))
+    from pyspark.sql import functions as F
+
+    distinct = members.groupBy("digest").agg(F.max("bytes").alias("bytes"))
+    levels = exact_dedup.grace_plan(distinct, 3000)
+    assert len(levels) > 1
+    sums = distinct.groupBy(exact_dedup.bucket_of(levels).alias("b")).agg(F.sum("bytes").alias("s"), F.count("*").alias("n")).collect()
+    assert all(r["s"] <= 3000 or r["n"] == 1 for r in sums) and sum(r["n"] for r in sums) == len(set(texts))
+
+
+def test_table_compares_contents():
+    t = exact_dedup.ContentTable(slots=2)
+    for i in range(50):
+        assert t.entry(hashlib.sha256(b"%d" % i).digest(), b"%d" % i) == i
+    assert [t.entry(hashlib.sha256(b"%d" % i).digest(), b"%d" % i) for i in range(50)] == list(range(50))
+    with pytest.raises(ValueError):
+        t.entry(hashlib.sha256(b"7").digest(), b"other")
+
+
+# ---- near ----
+
+
+def fingerprint_brute(text, width=3):
+    words, word = [], ""
+    for c in (text or "") + " ":
+        if c in SPACES:
+            words += [word] if word else []
+            word = ""
+        else:
+            word += c.lower() if "A" <= c <= "Z" else c
+    shingles = [words[i : i + width] for i in range(len(words) - width + 1)] if len(words) >= width else [words] if words else []
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_texts():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(300)]
+    texts = ["", None, " \n", "One", "one", "one TWO", "İstanbul a b", "a b c d"]
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([4, 40, 400]))]
+        for _ in range(rng.choice([1, 6, 20])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    return texts
+
+
+def near_brute(rows):
+    fps = [fingerprint_brute(t) for _, t in rows]
+    n = len(rows)
+    links = [(a, b) for a in range(n) for b in range(a, n) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    root = components(links)
+    members = collections.defaultdict(list)
+    for k in range(n):
+        members[root[k]].append(rows[k][0])
+    least = lambda k: min((i for i in members[root[k]] if i is not None), default=None)
+    return sorted(((rows[k][0], f"{fps[k]:016x}", least(k)) for k in range(n)), key=repr)
+
+
+@pytest.mark.parametrize("cell", [simhash.CELL, 2])
+def test_near(spark, cell):
+    rows = list(enumerate(near_texts()))
+    got = simhash.near_duplicates(documents(spark, [t for _, t in rows]), cell=cell)
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got.collect()), key=repr) == near_brute(rows)
+
+
+def test_near_edges(spark):
+    rows = [(None, "q w e"), (None, "q w e"), (5, "z z z z"), (5, "z z z z"), (4, "Z z Z z")]
+    df = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = simhash.near_duplicates(df).collect()
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got), key=repr) == near_brute(rows)
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    left = simhash.drop_near_duplicates(df)
+    assert left.columns == df.columns and sorted((r["doc_id"] or -1) for r in left.collect()) == [-1, 4]
+
+
+def test_anchors_meet():
+    rng = np.random.default_rng(1)
+    halves = rng.integers(0, 1 << 32, 200, dtype=np.uint32)
+    index, near = simhash.anchors_within(halves)
+    home = simhash.homes(halves)
+    assert (np.bitwise_count(home ^ halves) <= 1).all()
+    bits = [1 << b for b in range(32)] + [0]
+    for k in range(5):  # all codewords within 2, found by trying every one
+        tried = {int(halves[k]) ^ a ^ b for a in bits for b in bits}
+        code = {c for c in tried if int(simhash.homes(np.array([c], np.uint32))[0]) == c}
+        assert code == {int(home[k])} | {int(x) for x in near[index == k]}
+
+
+# ---- passages ----
+
+
+def passages(rng):
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7)))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    shared = [noise(60) for _ in range(4)]
+    texts = ["", None, "short", "x" * 199, "x" * 250, "y" * 199, "ab" * 300, "\0" * 210, noise(80)]
+    for _ in range(30):
+        base = rng.choice(shared)
+        at = rng.randint(0, 80)
+        texts.append(noise(rng.randint(0, 30)) + base[at : rng.randint(at, len(base))] + noise(rng.randint(0, 30)))
+    texts += [texts[-1], texts[-1], shared[0] + " " + shared[0]]
+    line = noise(50)
+    return texts + [noise(8) + line + noise(9) for _ in range(25)]
+
+
+def passages_brute(texts):
+    data = [(t or "").encode() for t in texts]
+    seen = collections.Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    out = []
+    for k, d in enumerate(data):
+        flag = bytearray(len(d))
+        for i in range(len(d) - 199):
+            if seen[d[i : i + 200]] > 1:
+                flag[i : i + 200] = b"\1" * 200
+        kept = bytes(c for c, f in zip(d, flag) if not f)
+        out.append((k, len(d), sum(flag), len([r for r in bytes(flag).split(b"\0") if r]), kept))
+    return out
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_passages(spark, hot):
+    texts = passages(random.Random(4))
+    df = documents(spark, texts)
+    got = sorted(tuple(r)[:4] + (bytes(r["kept"]),) for r in suffix_dedup.remove_repeats(df, hot=hot).collect())
+    want = passages_brute(texts)
+    assert got == want
+    digests = {r["doc_id"]: r["kept_sha256"] for r in suffix_dedup.remove_repeats(df, digest=True, hot=hot).collect()}
+    assert digests == {k: hashlib.sha256(kept).hexdigest() for k, *_, kept in want}
+
+
+def test_pieces_of_long_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    text = bytes(rng.choice(b"abcdefgh") for _ in range(3000))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text.decode()])], names=["row", "text"])
+    whole = pa.Table.from_batches(list(suffix_dedup._runs(iter([batch])))).to_pylist()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    cut = pa.Table.from_batches(list(suffix_dedup._runs(iter([batch])))).to_pylist()
+    windows = lambda runs: sorted((i, r["f"]) for r in runs for i in range(r["a"], r["a"] + r["n"]))
+    assert windows(whole) == windows(cut) and len(windows(cut)) == 3000 - 199
+
+
+def test_suffix_array_and_prefixes():
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab\0\xff") for _ in range(rng.randint(0, 60))) for _ in range(40)] + [b"a" * 90] * 3
+    s = suffix_dedup.Shard(texts)
+    symbols = s.symbols[: s.n].tolist()
+    marks = [i for i, x in enumerate(symbols) if x == 0]
+
+    def key(i):
+        end = next(m for m in marks if m >= i)
+        return [(x, 0) for x in symbols[i:end]] + [(0, end)]
+
+    want = sorted(range(s.n), key=key)
+    assert s.order.tolist() == want
+    lcp = s.common_prefixes()
+    for place in range(1, s.n):
+        a, b = key(want[place]), key(want[place - 1])
+        assert lcp[place] == next(i for i in range(len(a)) if i >= len(b) or a[i] != b[i])
+
+
+def test_shards_merge_by_binary_search():
+    texts = [t.encode() for t in passages(random.Random(7)) if t]
+    one = [x.tolist() for x in suffix_dedup.repeated_windows(texts)]
+    many = [x.tolist() for x in suffix_dedup.repeated_windows(texts, shard_bytes=600)]
+    assert one == many
+    seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    assert one == [[i for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1] for t in texts]
+
+
+def test_no_documents(spark):
+    assert suffix_dedup.remove_repeats(documents(spark, ["a"]).limit(0)).count() == 0

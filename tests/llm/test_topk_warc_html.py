@@ -1,0 +1,225 @@
+"""Exact search, WARC archives and main texts."""
+
+import gzip
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kymo.llm import html_text, topk, warc
+
+# ---- search ----
+
+
+def brute(rows, k=5):
+    good = [(n, i, [math.floor(256 * float(x)) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, q, v in good:
+        if q % 50:
+            continue
+        score = lambda w: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w))))  # noqa: B023, E731
+        scored = sorted((-score(w), i) for m, i, w in good if m != n and len(w) == len(v))[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def search(spark, rows, **kwargs):
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, row int").repartition(3)
+    return sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, **kwargs).select("query_id", "rank", "vec_id", "score").collect())
+
+
+def as_float32(v):
+    return None if v is None else [None if x is None else float(np.float32(x)) for x in v]
+
+
+def vectors(seed, n, dim=12, spread=1.0):
+    rng = random.Random(seed)
+    return [(i, as_float32([rng.gauss(0, spread) for _ in range(dim)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("block,chunk", [(4096, 8192), (3, 40)])
+def test_search(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "CHUNK", chunk)
+    rows = vectors(1, 300)
+    assert search(spark, rows) == brute(rows)
+
+
+def test_search_with_ties_and_odd_vectors(spark):
+    common = as_float32([0.5] * 12)
+    rows = [(i, common if i % 3 else v) for i, v in vectors(2, 160)]
+    rows += [(1000, None), (1001, as_float32([1.0] * 11 + [math.nan])), (1002, as_float32([math.inf] * 12)), (1003, [None] + [1.0] * 11), (None, common), (1050, [1.0, 2.0]), (1051, [3.0, -4.0]), (1100, [])]
+    rows += [(0, common), (7, common)]
+    assert search(spark, rows) == brute(rows)
+
+
+def test_search_with_few_rows(spark):
+    rows = vectors(3, 4)
+    assert search(spark, rows) == brute(rows) and len(search(spark, rows)) == 3
+    assert search(spark, rows[:1]) == []
+    assert search(spark, [(1, [1.0])]) == []
+
+
+@pytest.mark.parametrize("spread", [1e4, 1e6, 1e9])
+def test_scores_beyond_doubles(spark, spread):
+    rows = vectors(4, 60, 5, spread)
+    assert search(spark, rows) == brute(rows)
+
+
+def test_integer_products():
+    rng = np.random.default_rng(1)
+    for size in (2**10, 2**24, 2**29, 2**40):
+        a, b = (np.floor(rng.uniform(-size, size, (4, 6))) for _ in range(2))
+        want = [[sum(int(x) * int(y) for x, y in zip(u, v)) for v in b] for u in a]
+        assert topk.products(a, b).tolist() == want
+
+
+# ---- archives ----
+
+PAGES = "page_id long, url string, html string, digest string"
+
+
+def pages(n=60):
+    rng = random.Random(9)
+    big = ["<p>" + "é漢x" * rng.randint(1, 3000) + "</p>\r\n\r\nWARC/1.1\r\n\r\n" * rng.randint(0, 3) for _ in range(6)]
+    rows = [(i, rng.choice([f"http://x/{i}", None, "http://x/a b\r\nEvil: 1"]), rng.choice([*big, *big, "small", "", None, "y" * 99, "y" * 100]), "d") for i in range(n)]
+    return rows + [(3, None, rows[5][2], "d"), (None, None, big[0], "d"), (None, None, "alone" * 30, "d"), (None, None, "\r\n\r\n" * 40, "d")]
+
+
+def captures_brute(rows):
+    data = [(r[0], (r[2] or "").encode()) for r in rows]
+    out = []
+    for key, payload in data:
+        same = [k for k, p in data if p == payload]
+        least = min(same, key=lambda k: (k is None, k or 0))
+        out.append((key, len(payload), hashlib.sha256(payload).hexdigest(), least, len(payload) >= 100, len(same)))
+    return out
+
+
+@pytest.mark.parametrize("segment", [200, 5000, 1 << 20])
+def test_archive(spark, segment):
+    rows = pages()
+    df = spark.createDataFrame(rows, PAGES).repartition(4)
+    got = warc.round_trip(df, segment_bytes=segment).collect()
+    want = captures_brute(rows)
+    assert sorted(((r["key"], r["payload_bytes"], r["payload_digest"]) for r in got), key=repr) == sorted(((w[0], w[1], w[2]) for w in want), key=repr)
+    groups = {}
+    for r in got:
+        if r["payload_bytes"] >= 100:
+            groups.setdefault(r["payload_digest"], []).append(r)
+        else:
+            assert (r["record_type"], r["refers_to"]) == ("response", None)
+    least = {w[2]: w[3] for w in want}
+    for digest, some in groups.items():
+        first = [r for r in some if r["record_type"] == "response"]
+        assert len(first) == 1 and first[0]["key"] == least[digest] and first[0]["refers_to"] is None
+        assert all(r["refers_to"] == least[digest] for r in some if r["record_type"] == "revisit")
+
+
+def test_files_are_warc(spark, tmp_path):
+    path = str(tmp_path / "w")
+    rows = [(1, "http://a/", "z" * 3000, "d"), (2, "http://b/", "z" * 3000, "d"), (3, None, "ß", "d")]
+    warc.write_archive(spark.createDataFrame(rows, PAGES).coalesce(1), "file://" + path, segment_bytes=1000)
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("part-*")))
+    kinds, at = [], 0
+    while at < len(data):
+        head, _, _ = data[at:].partition(b"\r\n\r\n")
+        size = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        kinds.append(re.search(rb"WARC-Type: (\w+)", head)[1].decode())
+        at += len(head) + 4 + size
+        assert data[at : at + 4] == b"\r\n\r\n"
+        at += 4
+    assert sorted(kinds) == ["continuation"] * 3 + ["response"] * 2 + ["revisit"]
+    got = {r["key"]: r for r in warc.read_archive(spark, "file://" + path).collect()}
+    assert bytes(got[1]["payload"]) == b"z" * 3000 and got[2]["payload"] is None and bytes(got[3]["payload"]).decode() == "ß"
+    assert (got[1]["url"], got[3]["url"], got[2]["refers_to"]) == ("http://a/", None, got[1]["record_id"])
+
+
+def test_broken_archives(spark):
+    good = b"\r\n".join([b"WARC/1.1", b"WARC-Type: response", b"WARC-Record-ID: <a>", b"Content-Length: 5"])
+    assert next(warc._parse(iter([good, b"12345"])))[-1] == b"12345"
+    assert next(warc._parse(iter([good, b"1", b""])))[-1] == b"1\r\n\r\n"
+    for pieces in ([good, b"123"], [good, b"123456"], [b"junk"], [good]):
+        with pytest.raises(ValueError):
+            list(warc._parse(iter(pieces)))
+    records = spark.createDataFrame([("a", "response", 1, None, None, None, None, 1, None, bytearray(b"x")), ("c", "continuation", None, None, None, None, "a", 3, 2, bytearray(b"y"))], warc.RECORDS)
+    with pytest.raises(Exception, match="segment"):
+        warc.reassembled(records).collect()
+    with pytest.raises(ValueError):
+        warc.unchunked(b"5\r\n123\r\n0\r\n\r\n")
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 8192, 20000])
+def test_chunks(n):
+    payload = bytes(random.Random(n).randrange(256) for _ in range(n))
+    assert warc.unchunked(warc.chunked(payload)) == payload
+    assert warc.unchunked(warc.chunked(payload, 7).replace(b"7\r\n", b"7;ext=1\r\n", 1)) == payload or n < 7
+
+
+def test_no_pages(spark):
+    assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+# ---- main text ----
+
+
+def page(body, title="T"):
+    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
+
+
+NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News page</a></li></ul></nav>'
+FOOT = "<footer>&copy; x &middot; all rights reserved here</footer>"
+LABELLED = [page(f'{NAV}<div class="ad">Buy now this thing</div><article><h1>Head {i}</h1><p>Some words of text {i}.</p><p>More of it</p></article>{FOOT}') for i in range(30)]
+WEIGHTS = html_text.weights_from(LABELLED)
+
+
+@pytest.mark.parametrize("html,text", [
+    (LABELLED[0], "Head 0\nSome words of text 0.\nMore of it"),
+    (page(f"{NAV}<article><h1>A &amp; B</h1><p>x&nbsp;y  \n z<br>q</p>tail</article>{FOOT}"), "A & B\nx y z q\ntail"),
+    (page(f"{NAV}<article><h1>One</h1><p><b>Two<br><p>Three &am</article>{FOOT}"), "One\nTwo\nThree &am"),
+    (page('<article><p>in</p><aside>side</aside><div class="ad-box"><p>buy <b>me</b></p></div><form><p>mail</p><input></form><p>out</p><section id="comments"><p>first!</p></section></article>'), "in\nout"),
+    (page('<article><p>one</p><p class="advert">buy<p>two<ul><li>a<li class="share">b<li>c</ul></article>'), "one\ntwo\na\nc"),
+    (page("<article><table><tr><td>a<td>b</table><pre>x\n  y</pre></article>"), "a\nb\nx y"),
+    (page("<article><p>1 < 2 and <!-- <p>no --> a<i>b</i>c</article>"), "1 < 2 and abc"),
+    (page(f"{NAV}<main><p>only main</p></main><p>after it</p>{FOOT}"), "only main"),
+    (page(f"{NAV}<div class='cookie notice'>We use cookies on this site</div><div><h2>No article</h2><p>But some long text that is the content of this page.</p></div>{FOOT}"), "No article\nBut some long text that is the content of this page."),
+    (page("<article><nav>unclosed <p>text here</p></article>"), "unclosed\ntext here"),
+    (page('<div role="dialog">pop up</div><div hidden>hid</div><div style="display: none">gone</div><article>shown</article>'), "shown"),
+    ("just words", "just words"), ("", ""), (None, ""), ("<p></p>", ""), ("<", "<"), ("<article>", ""),
+])
+def test_main_text(html, text):
+    assert html_text.main_text(html, WEIGHTS) == text
+
+
+def test_best_region_is_the_best():
+    rng = random.Random(3)
+    for _ in range(200):
+        scores = [rng.choice([-3, -1, 0, 1, 2]) for _ in range(rng.randint(0, 12))]
+        first, last = html_text.best_region(scores)
+        most = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)), default=0)
+        assert sum(scores[first : last + 1]) == max(0, most)
+
+
+def test_weights():
+    assert all(w < 0 for w in WEIGHTS.tags.values()) and WEIGHTS.word > 0
+    assert html_text.weights_from(["<p>none</p>"]).tags == {}
+
+
+def test_pages_in_frames(spark):
+    rows = [(i, "u", h, "n") for i, h in enumerate([*LABELLED, None, ""])] + [(None, None, LABELLED[0], "n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    weights = html_text.learn_weights(df)
+    assert weights == WEIGHTS
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(df, weights).collect()}
+    assert got[1] == ("Head 1\nSome words of text 1.\nMore of it", 39) and got[30] == got[31] == ("", 0) and got[None][0].startswith("Head 0")
+    assert html_text.extract(df.limit(0), weights).count() == 0
+    assert html_text.learn_weights(df.limit(0)) == html_text.Weights()
+
+
+def test_long_pages():
+    body = "<article>" + "<p>word</p>" * 50_000 + "</article>"
+    assert html_text.main_text(page(body), WEIGHTS).count("\n") == 49_999
