@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import map_rows, tune, written
+from kymo.llm.common import kept, map_rows, steady, tune
 
 LENGTH, GRAM = 200, 32
 #: Grams of a window, and windows of a run at most.
@@ -177,56 +177,79 @@ class Shard:
         self.order, self.rank = self._sorted(int(sizes.max(initial=0)) + 1)
 
     def _sorted(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Larsson-Sadakane refinement: the sorted suffixes and each suffix's place."""
+        """Larsson-Sadakane refinement: the sorted suffixes and each suffix's place.
+
+        A round sorts the groups that aren't yet by the ranks behind them; two ranks at once (thrice the depth) where
+        three of them fit one integer, else one (twice the depth).
+        """
         n = self.n
         key, closed = np.zeros(n, np.int64), np.zeros(n, bool)
         for j in range(_PACKED):
             symbol = np.where(closed, 0, self.symbols[j : j + n])
             key = key << 9 | symbol
             closed |= symbol == 0
+        self.packed = key
         order = np.argsort(key, kind="stable")
         # suffixes that reach their end mark differ from all others; equal keys stand in order of their marks
-        new = np.ones(n, bool)
-        new[1:] = (key[order[1:]] != key[order[:-1]]) | closed[order[1:]]
+        in_order = key[order]
+        new = closed[order]
+        new[0] = True
+        new[1:] |= in_order[1:] != in_order[:-1]
         rank = np.empty(n, np.int64)
         first = np.flatnonzero(new)
         sizes = np.diff(np.append(first, n))
         rank[order] = np.repeat(first, sizes)
-        h = _PACKED
+        h, bits = _PACKED, n.bit_length()
         unsorted = np.flatnonzero(np.repeat(sizes, sizes) > 1)
         while len(unsorted) and h < depth:
             some = order[unsorted]
-            group, behind = rank[some], rank[np.minimum(some + h, n - 1)]
-            by = np.lexsort((behind, group))
-            some, group, behind = some[by], group[by], behind[by]
+            key = rank[some] << bits | rank[np.minimum(some + h, n - 1)]
+            if 3 * bits < 64:
+                key = key << bits | rank[np.minimum(some + 2 * h, n - 1)]
+                h *= 3
+            else:
+                h *= 2
+            by = np.argsort(key)
+            some, key = some[by], key[by]
             order[unsorted] = some
             new = np.ones(len(some), bool)
-            new[1:] = (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])
+            new[1:] = key[1:] != key[:-1]
             first = np.flatnonzero(new)
             sizes = np.diff(np.append(first, len(some)))
             rank[some] = np.repeat(unsorted[first], sizes)
             unsorted = unsorted[np.repeat(sizes, sizes) > 1]
-            h *= 2
         return order, rank
 
     def common_prefixes(self) -> np.ndarray:
-        """Kasai: for each place in the suffix array the bytes in common with the place before; all texts advance at once."""
-        lcp, h, live = np.zeros(self.n, np.int64), np.zeros(len(self.starts), np.int64), np.arange(len(self.starts))
+        """Kasai: for each place in the suffix array the bytes in common with the place before; all texts advance at once.
+
+        Prefixes grow by whole packed keys while these are equal and hold no end mark, then by single bytes.
+        """
+        n = self.n
+        whole = np.append(np.where(np.repeat(self.sizes + 1, self.sizes + 1) - self._offsets() > _PACKED, self.packed, -np.arange(1, n + 1)), 0)
+        lcp, h, live = np.zeros(n, np.int64), np.zeros(len(self.starts), np.int64), np.arange(len(self.starts))
         for t in range(int(self.sizes.max(initial=0))):
             live = live[self.sizes[live] > t]
             i = self.starts[live] + t
             place = self.rank[i]
             reach = np.where(place > 0, np.maximum(h[live] - 1, 0), 0)
             j = self.order[np.maximum(place - 1, 0)]
-            going = np.flatnonzero(place > 0)
-            while len(going):
-                x = self.symbols[i[going] + reach[going]]
-                going = going[(x == self.symbols[j[going] + reach[going]]) & (x > 0)]
-                reach[going] += 1
+            for compared, step in ((whole, _PACKED), (self.symbols, 1)):
+                going = np.flatnonzero(place > 0)
+                at, to = i[going] + reach[going], j[going] + reach[going]
+                while len(going):
+                    x = compared[np.minimum(at, n - 1)]
+                    same = (x == compared[np.minimum(to, n - 1)]) & (x > 0) & (at != to)
+                    going, at, to = going[same], at[same] + step, to[same] + step
+                    reach[going] += step
             h[live] = reach
             lcp[place] = reach
         return lcp
 
+    def _offsets(self) -> np.ndarray:
+        """Each position's distance from the start of its text."""
+        return np.arange(self.n) - np.repeat(self.starts, self.sizes + 1)
+
     def repeated(self) -> np.ndarray:
         """True for the positions at which a window starts that starts elsewhere in the shard too."""
         long = self.common_prefixes() >= LENGTH
@@ -355,10 +378,10 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """
     spark = texts.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = written(texts.select("row", "text").mapInArrow(_runs, RUNS), "suffix-runs")
+    runs = kept(texts.select("row", "text").mapInArrow(_runs, RUNS))
     of_f = runs.groupBy("f").agg(F.count("*").alias("count"), F.min("h").alias("least"), F.max("h").alias("most"), F.max("again").alias("within"))
     of_f = of_f.filter("count > 1 or within").select("f", F.expr("count = 1 or least <> most").alias("several"))
-    again = written(runs.select("f", "h", "row", "a", "n").join(of_f, "f"), "suffix-again")
+    again = kept(runs.select("f", "h", "row", "a", "n").join(of_f, "f"))
     same = again.filter("not several").select("row", "a", "n")
     several = again.filter("several")
     of_h = several.groupBy("f", "h").agg(F.count("*").alias("count"), F.min(F.struct("row", "a", "n")).alias("one"))
@@ -408,6 +431,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", diges
     """(key, n_bytes, n_removed, n_spans, kept) of every row; kept are the bytes left over, or with ``digest`` kept_sha256 of them."""
     spark = df.sparkSession
     tune(spark)
+    df = steady(df)
     rows = df.select(F.monotonically_increasing_id().alias("row"), df[key].alias("key"), df[text].alias("text"))
     flags = repeated_spans(rows, hot).groupBy("row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))  # of one document
     kind, last = dict(df.dtypes)[key], "kept_sha256 string" if digest else "kept binary"
