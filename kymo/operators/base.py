@@ -75,6 +75,12 @@ def as_arrow(values: np.ndarray, shape: Shape) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size_of(shape)), flat)
 
 
+def tensors_of(trials: Trials, name: str, most: int) -> np.ndarray:
+    """(n, *shape) tensors of the first ``most`` trials by id, on the driver."""
+    rows = trials.df.filter(F.col(name).isNotNull()).orderBy(trials.id).select(name).limit(most).collect()
+    return np.array([r[0] for r in rows], float).reshape(len(rows), *trials.shape(name))
+
+
 def spark_type(shape: Shape) -> str:
     return "double" if shape == () else "array<double>"
 
@@ -161,10 +167,10 @@ def element_sums(df: DataFrame, keys: list[str], vector: str, count: str | None
     return [out[k] for k in sorted(out, key=lambda k: tuple((x is None, x) for x in k))]
 
 
-def partial_sums(trials: Trials, column: str, f: Callable[[np.ndarray], np.ndarray], by_label: bool) -> list[dict]:
+def partial_sums(trials: Trials, column: str, f: Callable[..., np.ndarray], by_label: bool, with_labels: bool = False) -> list[dict]:
     """Sum over trials of f(tensors) (one vector a trial) for each label or over all: [{label, count, sum}].
 
-    Batches are summed on the executors before anything is shuffled.
+    ``with_labels`` calls f(tensors, labels). Batches are summed on the executors before anything is shuffled.
     """
     ship_package(trials.df.sparkSession)
     shape = trials.shape(column)
@@ -176,7 +182,8 @@ def partial_sums(trials: Trials, column: str, f: Callable[[np.ndarray], np.ndarr
             if not keep.num_rows:
                 continue
             labels = keep.column(0).to_numpy(zero_copy_only=False)
-            vectors = f(tensors(keep.column(1), shape))
+            x = tensors(keep.column(1), shape)
+            vectors = f(x, labels) if with_labels else f(x)
             present = np.unique(labels)
             sums = np.stack([vectors[labels == c].sum(axis=0) for c in present])
             counts = [int((labels == c).sum()) for c in present]

@@ -181,6 +181,9 @@ class MultiPotato(BatchOperator):
     def batch(self, a: np.ndarray) -> np.ndarray:
         return self.model.predict(a)
 
+    def update(self, a: np.ndarray, rate: float) -> None:
+        self.model.update(a, rate)
+
 
 class States(BatchOperator):
     """Nearest centre of (scaled) features; ``proba`` gives softmax of negative squared distances instead."""
@@ -254,6 +257,10 @@ class _StatesOf(Operator):
     def infer(self, a: Shape) -> Shape:
         return ()
 
+    def update(self, a: np.ndarray, rate: float) -> None:
+        """Centres follow trials' features; both outputs share them."""
+        self.states.update(self.first.batch(a) if self.first else a, rate)
+
     def apply(self, trials: Trials) -> Trials:
         a = self.inputs[0]
         out = self.first.apply(trials) if self.first else trials.with_column("_features", F.col(a), trials.shape(a))

@@ -26,34 +26,45 @@ def _square(a: Shape) -> Shape:
     return a
 
 
-def collected(trials: Trials, column: str, most: int = LOCAL_DOUBLES) -> np.ndarray | None:
-    """All tensors of a column if they are at most ``most`` numbers, else None; only counted before that is known."""
-    shape = trials.shape(column)
-    some = trials.df.filter(F.col(column).isNotNull())
-    limit = most // max(1, size_of(shape))
-    if some.limit(limit + 1).count() > limit:
-        return None
-    rows = some.select(column).collect()
-    return np.array([r[0] for r in rows], float).reshape(len(rows), *shape)
+def karcher_means(trials: Trials, column: str, transform: Callable[[np.ndarray], np.ndarray] = lambda c: c, by_label: bool = True, most: int = LOCAL_DOUBLES) -> dict[float, np.ndarray]:
+    """Mean of transform(C) for each label (or under 0.0 over all trials); all flows share each pass."""
+    shape = _square(trials.shape(column))
+    n, size = shape[0], size_of(shape)
+    label = F.col(trials.label).cast("double") if by_label else F.lit(0.0)
+    some = trials.df.select(label.alias("_y"), F.col(column).alias("_c")).filter("_y is not null and _c is not null")
+    limit = most // size
+    rows = some.limit(limit + 1).collect()  # at most LOCAL_DOUBLES numbers
+    if len(rows) <= limit:
+        y, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float).reshape(len(rows), *shape)
+        return {float(k): spd.mean(transform(c[y == k])) for k in np.unique(y)}
+    kept = Trials(some.persist(StorageLevel.MEMORY_AND_DISK), {"_c": shape}, label="_y")
+    try:
+        flows = {g["label"]: spd.KarcherStep((g["sum"] / g["count"]).reshape(n, n)) for g in partial_sums(kept, "_c", lambda c: transform(c).reshape(len(c), -1), True)}
+        while open_flows := {k: f for k, f in flows.items() if not f.done}:
+            whiteners = {k: f.whitener() for k, f in open_flows.items()}
+
+            def logs(c: np.ndarray, y: np.ndarray, whiteners: dict = whiteners) -> np.ndarray:
+                out = np.zeros((len(c), size))
+                for k, w in whiteners.items():
+                    own = y == k
+                    if own.any():
+                        out[own] = spd.logm(w @ transform(c[own]) @ w).reshape(-1, size)
+                return out
+
+            for g in partial_sums(kept, "_c", logs, True, with_labels=True):
+                if g["label"] in open_flows:
+                    open_flows[g["label"]].advance((g["sum"] / g["count"]).reshape(n, n))
+        return {k: f.at for k, f in flows.items()}
+    finally:
+        kept.df.unpersist()
 
 
 def karcher_mean(trials: Trials, column: str, transform: Callable[[np.ndarray], np.ndarray] = lambda c: c, most: int = LOCAL_DOUBLES) -> np.ndarray:
     """Mean of transform(C) over trials."""
-    n = _square(trials.shape(column))[0]
-    local = collected(trials, column, most)
-    if local is not None:
-        return spd.mean(transform(local))
-    kept = trials.with_df(trials.df.select(column).persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        total = partial_sums(kept, column, lambda c: transform(c).reshape(len(c), -1), False)[0]
-        flow = spd.KarcherStep((total["sum"] / total["count"]).reshape(n, n))
-        while not flow.done:
-            w = flow.whitener()
-            logs = partial_sums(kept, column, lambda c, w=w: spd.logm(w @ transform(c) @ w).reshape(len(c), -1), False)[0]
-            flow.advance((logs["sum"] / logs["count"]).reshape(n, n))
-        return flow.at
-    finally:
-        kept.df.unpersist()
+    found = karcher_means(trials, column, transform, False, most)
+    if not found:
+        raise ValueError("a mean needs one trial")
+    return found[0.0]
 
 
 class RiemannMean(BatchOperator):
@@ -130,12 +141,11 @@ class RiemannMdm(Estimator):
         return ()
 
     def fit(self, trials: Trials) -> Operator:
-        label = F.col(trials.label).cast("double")
-        labels = sorted(r[0] for r in trials.df.select(label).filter(F.col(trials.label).isNotNull()).distinct().collect())
-        if self.num_classes is not None and len(labels) != self.num_classes:
-            raise ValueError(f"{len(labels)} classes, not {self.num_classes}")
-        means = [karcher_mean(trials.with_df(trials.df.filter(label == c)), self.inputs[0]) for c in labels]
-        return NearestMean(self.inputs[0], self.output, np.array(labels), np.stack(means))
+        means = karcher_means(trials, self.inputs[0])
+        if self.num_classes is not None and len(means) != self.num_classes:
+            raise ValueError(f"{len(means)} classes, not {self.num_classes}")
+        labels = sorted(means)
+        return NearestMean(self.inputs[0], self.output, np.array(labels), np.stack([means[k] for k in labels]))
 
 
 class ToTangent(BatchOperator):

@@ -206,32 +206,27 @@ _trial("resample", lambda: [signal.Resample("x", 2, "y")], f""", f as (select tr
   from f cross join range({2 * SAMPLES}) as q(u) group by trial_id, ch, u""")
 
 
-# ---- fitted on even trials, run on odd ones ----
-
-
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[Trials, Trials]:
-    trials = embedding_trials(spark, sf_dir)
-    return trials.with_df(trials.df.filter("trial_id % 2 = 0")), trials.with_df(trials.df.filter("trial_id % 2 = 1"))
+# ---- fitted on all trials and run on them ----
 
 
 def _fitted(name: str, make: Callable[[], list], sql: str | None, output: str = "y") -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        train, test = _halves(spark, sf_dir)
-        return elements(Plan(make()).fit(train, [output]).transform(test), output)
+        trials = embedding_trials(spark, sf_dir)
+        return elements(Plan(make()).fit(trials, [output]).transform(trials), output)
 
     query(f"with {LONG}{sql}" if sql else None, name)(run)
 
 
-_STATS = """, f as (select ch, s, min(v) as lo, max(v) as hi, avg(v) as m, stddev_pop(v) as d from t where trial_id % 2 = 0 group by ch, s)"""
-_fitted("zscore", lambda: [features.ZScore("x", "y")], f""", f as (select avg(v) as m, stddev_samp(v) as d from t where trial_id % 2 = 0)
-  select trial_id, (ch * {SAMPLES} + s)::int as pos, round((v - m) / d, 6) + 0.0 as v from t cross join f where trial_id % 2 = 1""")
+_STATS = """, f as (select ch, s, min(v) as lo, max(v) as hi, avg(v) as m, stddev_pop(v) as d from t group by ch, s)"""
+_fitted("zscore", lambda: [features.ZScore("x", "y")], f""", f as (select avg(v) as m, stddev_samp(v) as d from t)
+  select trial_id, (ch * {SAMPLES} + s)::int as pos, round((v - m) / d, 6) + 0.0 as v from t cross join f""")
 for _method, _value in (("min-max", "(v - lo) / (hi - lo)"), ("mean-norm", "(v - m) / (hi - lo)"), ("zscore-norm", "(v - m) / d")):
     _fitted("normalize_" + _method.replace("-", "_"), lambda m=_method: [features.FeatureNormalization("x", "y", m)],
-            f"{_STATS} select trial_id, (t.ch * {SAMPLES} + t.s)::int as pos, round({_value}, 6) + 0.0 as v from t join f on t.ch = f.ch and t.s = f.s where trial_id % 2 = 1")
-_fitted("feature_selection", lambda: [features.FeatureSelection("x", "y", 5)], f""", g as (select ch * {SAMPLES} + s as i, label, count(*) as n, sum(v) as s1, sum(v * v) as s2 from t where trial_id % 2 = 0 and label is not null group by all),
+            f"{_STATS} select trial_id, (t.ch * {SAMPLES} + t.s)::int as pos, round({_value}, 6) + 0.0 as v from t join f on t.ch = f.ch and t.s = f.s")
+_fitted("feature_selection", lambda: [features.FeatureSelection("x", "y", 5)], f""", g as (select ch * {SAMPLES} + s as i, label, count(*) as n, sum(v) as s1, sum(v * v) as s2 from t where label is not null group by all),
   f as (select i, ((sum(s1 * s1 / n) - sum(s1) * sum(s1) / sum(n)) / (count(*) - 1)) / ((sum(s2) - sum(s1 * s1 / n)) / (sum(n) - count(*))) as f from g group by i),
   k as (select i, row_number() over (order by i) - 1 as pos from (select i from f order by f desc, i limit 5))
-  select trial_id, pos::int as pos, round(v, 6) + 0.0 as v from t join k on k.i = t.ch * {SAMPLES} + t.s where trial_id % 2 = 1""")
+  select trial_id, pos::int as pos, round(v, 6) + 0.0 as v from t join k on k.i = t.ch * {SAMPLES} + t.s""")
 _fitted("csp", lambda: [_two_classes(), features.Csp("_classes", "y", 2)], None)
 _fitted("xdawn_covariance", lambda: [features.XDawnCovariance("x", "y", 2, n_classes=10)], None)
 _COV = lambda: reduce.Covariance("x", "cov", 0.01)

@@ -7,9 +7,13 @@ Fitting hands each estimator the training trials as the operators before it leav
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterable, Mapping
 
-from kymo.operators.base import Estimator, Operator, Shape, Trials
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
+
+from kymo.operators.base import Estimator, Operator, Shape, Trials, tensors_of
 
 Stage = Operator | Estimator
 
@@ -24,6 +28,17 @@ class Plan:
         self.stages.append(stage)
         return self
 
+    def updated(self, output: str, **parameters: object) -> Plan:
+        """A plan in which the stage that makes ``output`` has other parameters; this plan stays as it is."""
+        stages = [copy.copy(s) if s.output == output else s for s in self.stages]
+        for s in stages:
+            if s.output == output:
+                for name, value in parameters.items():
+                    if not hasattr(s, name):
+                        raise AttributeError(f"{type(s).__name__} has no parameter {name}")
+                    setattr(s, name, value)
+        return Plan(stages)
+
     def ordered(self, given: Iterable[str], outputs: Iterable[str] | None = None) -> list[Stage]:
         """The stages that ``outputs`` (default: all) need, producers before consumers."""
         producer: dict[str, Stage] = {}
@@ -95,3 +110,20 @@ class FittedPlan:
         for o in self.operators:
             trials = o.apply(trials)
         return trials
+
+    def update(self, trials: Trials, rate: float, most: int = 10_000) -> None:
+        """Let operators that follow new data (states, potatoes) move toward at most ``most`` trials, in order of their ids."""
+        for o in self.operators:
+            for part in [o, *vars(o).values()]:
+                if hasattr(part, "update") and hasattr(part, "inputs") and part.inputs[0] in trials.shapes:
+                    part.update(tensors_of(trials, part.inputs[0], most), rate)
+            trials = o.apply(trials)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the fitted operators, as a table of one row, to any store that Spark reaches."""
+        spark.createDataFrame([(bytearray(cloudpickle.dumps(self.operators)),)], "operators binary").coalesce(1).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedPlan:
+        """A plan that ``save`` wrote. As with any pickle, load only what you wrote."""
+        return cls(cloudpickle.loads(bytes(spark.read.parquet(path).first()["operators"])))

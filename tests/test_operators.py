@@ -385,3 +385,28 @@ def test_column_operators_stay_in_the_jvm(spark):
     text = fused.transform(t).df.select("c").explain  # noqa: F841
     plan_text = fused.transform(t).df.select(F.col("c"))._jdf.queryExecution().executedPlan().toString()
     assert plan_text.count("ArrowEvalPython") == 1
+
+
+def test_saved_updated_and_following_plans(spark, tmp_path):
+    c = spd_set(np.random.default_rng(8), 20, 3)
+    t = trials(spark, np.arange(20) % 2, c=c)
+    plan = Plan([classify.PatternState("c", "y", k_selection="fixed", n_clusters=2), riemann.TangentSpace("c", "v", 0.1)])
+    fitted = plan.fit(t)
+    fitted.save(spark, f"file://{tmp_path}/plan")
+    again = type(fitted).load(spark, f"file://{tmp_path}/plan")
+    np.testing.assert_array_equal(values(again.transform(t), "v"), values(fitted.transform(t), "v"))
+    before = fitted.operators[0].states.centers.copy()
+    fitted.update(t, 0.3)
+    assert not np.allclose(before, fitted.operators[0].states.centers)
+    other = plan.updated("v", r=0.5)
+    assert other.stages[1].r == 0.5 and plan.stages[1].r == 0.1
+    with pytest.raises(AttributeError):
+        plan.updated("v", nothing=1)
+
+
+def test_means_by_label_without_collecting(spark):
+    c = spd_set(np.random.default_rng(9), 14, 3)
+    y = np.arange(14) % 3
+    found = riemann.karcher_means(trials(spark, y, c=c), "c", most=1)
+    for k in range(3):
+        np.testing.assert_allclose(found[k], spd.mean(c[y == k]), atol=1e-7)
