@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import map_rows, tune
+from kymo.llm.common import lowest, map_rows, tune
 
 MAX_LABELLED = 400
 WORD, UNSEEN, LEAST_TAG, MOST_TAG, BOUNDARY = 1.0, -0.1, -0.02, -2.0, -1e6
@@ -112,7 +112,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
             continue
         if skip < 0 and is_left_out(tag, attrs):
             lower = page.lower() if lower is None else lower
-            if lower.find(f"</{tag}", at) < 0:  # never closed: only its tag can be left out
+            if tag not in OPEN_ENDED and lower.find(f"</{tag}", at) < 0:  # never closed: only its tag can be left out
                 out.append(("/", ""))
                 continue
             skip = len(open_tags)
@@ -202,8 +202,9 @@ def main_text(page: str | None, weights: Weights) -> str:
 def learn_weights(df: DataFrame, key: str = "page_id", html: str = "html", max_pages: int = MAX_LABELLED, seed: int = 3) -> Weights:
     """Weights from at most ``max_pages`` pages of ``df`` with a labelled element, the first by a hash of their key."""
     marked = df.filter(F.col(html).rlike("(?i)<(article|main)[\\s>]"))
-    chosen = marked.select(html).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.xxhash64(html)).limit(max_pages)
-    return weights_from([r[0] for r in chosen.collect()])
+    order = F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.xxhash64(html))
+    chosen = lowest(marked.select(key, html), order, max_pages, marked.count())
+    return weights_from([r[html] for r in chosen.collect()])
 
 
 def extract(df: DataFrame, weights: Weights, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
