@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import map_rows, tune
+from kymo.llm.common import lowest, map_rows, tune
 
 BUCKETS = 1 << 18
 FACTORS = 4
@@ -142,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         known = known.filter(usable)
     known = known.groupBy(key).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = (F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.col(key))
-    parts = [known.filter(F.col("y") == y).orderBy(*order).limit(max_per_class) for y in (0, 1)]
+    order = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    parts = [lowest(known.filter(F.col("y") == y), order, max_per_class, totals.get(y, 0)) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionAll(parts[1]))  # at most 2 * max_per_class keys
     texts = docs.select(docs[key], docs[text].alias("text")).join(chosen, key).groupBy(key, "y").agg(F.min("text").alias("text"))
     of = Terms()
