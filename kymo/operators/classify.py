@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from kymo.functions import tensors as t
 from kymo.numerics import learn, spd
 from kymo.operators.base import BatchOperator, ColumnOperator, Estimator, Operator, Shape, Trials, partial_sums, size_of
-from kymo.operators.features import Affine
-from kymo.operators.riemann import DistancesTo, Potato, karcher_mean
+from kymo.operators.riemann import DistancesTo, ToTangent, karcher_mean
 
 #: Training sets that a driver-side classifier may collect, in doubles; a larger one is an error, never a sample.
 MOST_DOUBLES = 50_000_000
@@ -230,8 +229,6 @@ class PatternState(Estimator):
         return ()
 
     def fit(self, trials: Trials) -> Operator:
-        from kymo.operators.riemann import ToTangent
-
         a = self.inputs[0]
         first = ToTangent(a, "_features", karcher_mean(trials, a)) if self.tangent_space else None
         features = first.apply(trials) if first else trials.with_column("_features", F.col(a), trials.shape(a))
@@ -349,5 +346,3 @@ class CrossValidation:
             self.scores.append(metric(tested.df, trials.label, self.predicted, self.statistic, self.proba, self.average))
         return float(np.mean(self.scores))
 
-
-__all__ = ["Affine", "Classifier", "CrossValidation", "MultiPotato", "MultiPotatoFit", "PatternState", "Potato", "PotatoClustering", "Predict", "PredictProba", "lda", "logistic_regression", "metric", "stratified_folds", "svm"]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from kymo.functions import tensors as t
-from kymo.operators.base import BatchOperator, ColumnOperator, Operator, Shape, Trials, norm_axis
+from kymo.operators.base import BatchOperator, ColumnOperator, Operator, Shape, Trials, batch_column, norm_axis
 
 
 def places(shape: Shape) -> np.ndarray:
@@ -179,8 +179,6 @@ class _NumpyPad(BatchOperator):
         self.width, self.mode, self.options, self.infer = pad.width, pad.mode, pad.options, pad.infer
 
     def as_column(self, columns: list[Column], shapes: list[Shape]) -> Column:
-        from kymo.operators.base import batch_column
-
         width, mode, options = self.width, self.mode, self.options
 
         def run(a: np.ndarray) -> np.ndarray:
@@ -205,8 +203,6 @@ class Enqueue(Operator):
         return (self.capacity, *a)
 
     def apply(self, trials: Trials) -> Trials:
-        from pyspark.sql import Window
-
         by = [F.col(b) for b in self.by] or [F.lit(0)]
         rows = Window.orderBy(self.order).rowsBetween(1 - self.capacity, 0)
         value = F.col(self.inputs[0])
@@ -232,8 +228,6 @@ class RunningAverage(Operator):
         return a
 
     def apply(self, trials: Trials) -> Trials:
-        from pyspark.sql import Window
-
         a, shape = self.inputs[0], trials.shape(self.inputs[0])
         rows = Window.partitionBy(*([F.col(b) for b in self.by] or [F.lit(0)])).orderBy(self.order).rowsBetween(1 - self.length, 0)
         if shape == ():

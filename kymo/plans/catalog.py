@@ -146,7 +146,6 @@ def _trial(name: str, make: Callable[[], list], sql: str | None, output: str = "
     query(f"with {LONG} {sql}" if sql else None, name)(run)
 
 
-_MOMENTS = """avg(v) as m, count(*) as n, sum(v) as s1, sum(v * v) as s2, sum(v * v * v) as s3"""
 _REDUCTIONS = {
     "max": (reduce.Max, "max(v)"), "min": (reduce.Min, "min(v)"), "mean": (reduce.Mean, "avg(v)"), "std": (reduce.Std, "stddev_pop(v)"),
     "var": (reduce.Var, "var_pop(v)"), "kurtosis": (reduce.Kurtosis, "kurtosis_pop(v)"), "reduced_sum": (reduce.Sum, "sum(v)"),

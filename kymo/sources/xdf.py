@@ -128,7 +128,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_xdf(spark: SparkSession, path: str) -> DataFrame:
     """Every sample of every stream of the files at ``path``, as ``SCHEMA``; text streams have markers, others values."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole file
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # a row is a whole file: few to a batch
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_rows, SCHEMA)
 

@@ -382,7 +382,6 @@ def test_column_operators_stay_in_the_jvm(spark):
     text = plan.transform(t).df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
     fused = Plan([elementwise.Cdf("x", "a"), elementwise.Cdf("a", "b"), signal.Resample("b", 2, "c")])
-    text = fused.transform(t).df.select("c").explain  # noqa: F841
     plan_text = fused.transform(t).df.select(F.col("c"))._jdf.queryExecution().executedPlan().toString()
     assert plan_text.count("ArrowEvalPython") == 1
 

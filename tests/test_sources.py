@@ -61,14 +61,12 @@ def test_xdf_round_trip(spark, tmp_path):
     more = xdf.Stream(3, "m2", "Markers", "string", 1, 0.0, [], [2.0, 4.0], [["go"], ["stop"]])
     (tmp_path / "a.xdf").write_bytes(xdf.write_xdf([eeg, few, more]))
     (tmp_path / "b.xdf").write_bytes(xdf.write_xdf([eeg, few]))
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     df = xdf.read_xdf(spark, str(tmp_path))
     signal, markers = xdf.signal_and_markers(df)
     rows = [r for r in signal.orderBy("recording", "ts").collect() if r["recording"].endswith("a.xdf")]
     assert [r["values"] for r in rows] == [[float(i), float(-i)] for i in range(10)]
     np.testing.assert_allclose([r["ts"] for r in rows], np.arange(10) + 0.5)
     assert sorted((r["recording"][-5:], r["marker"]) for r in markers.collect()) == [("a.xdf", "go"), ("a.xdf", "stop"), ("b.xdf", "x")]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     with pytest.raises(ValueError):
         xdf.parse(b"nope")
     with pytest.raises(ValueError):
