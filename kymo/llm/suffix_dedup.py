@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import kept, map_rows, steady, tune
+from kymo.llm.common import kept, map_rows, steady, tune, written
 
 LENGTH, GRAM = 200, 32
 #: Grams of a window, and windows of a run at most.
@@ -381,20 +381,28 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     runs = kept(texts.select("row", "text").mapInArrow(_runs, RUNS))
     of_f = runs.groupBy("f").agg(F.count("*").alias("count"), F.min("h").alias("least"), F.max("h").alias("most"), F.max("again").alias("within"))
     of_f = of_f.filter("count > 1 or within").select("f", F.expr("count = 1 or least <> most").alias("several"))
+    # Aggregates are written before they are joined: with an exchange on both sides Spark may split a very frequent key.
+    few = max(1, partitions // 8)
+    of_f = written(of_f.coalesce(few), "suffix-minimizers")
     again = kept(runs.select("f", "h", "row", "a", "n").join(of_f, "f"))
     same = again.filter("not several").select("row", "a", "n")
     several = again.filter("several")
     of_h = several.groupBy("f", "h").agg(F.count("*").alias("count"), F.min(F.struct("row", "a", "n")).alias("one"))
+    of_h = written(of_h.coalesce(few), "suffix-surroundings")
     same = same.unionAll(several.join(of_h.filter("count > 1").select("f", "h"), ["f", "h"]).select("row", "a", "n"))
     ones = of_h.select("f", "one.*")
-    crowded = ones.groupBy("f").agg((F.count("*") > hot).alias("hot"))
-    ones = ones.join(crowded, "f")
+    crowded = ones.groupBy("f").agg(F.count("*").alias("count")).filter(F.col("count") > hot).select("f", F.lit(True).alias("hot"))
+    crowded = written(crowded.coalesce(few), "suffix-crowded")
+    ones = ones.join(crowded, "f", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = ones.groupBy("row").agg(F.collect_list(F.struct("f", "a", "n", "hot")).alias("runs"))  # of one document
     contexts = map_rows(texts.join(wanted, "row").select("row", "key", "text", "runs"), _cut_contexts, "f long, row long, a int, hot boolean, bytes binary")
     sharded = contexts.filter("not hot").select("f", "row", "a", "bytes").repartition(partitions, "f").sortWithinPartitions("f")
     found = sharded.mapInArrow(_shards, SPANS)
+    if crowded.isEmpty():
+        return same.unionAll(found)
     windows = map_rows(contexts.filter("hot").select("row", "a", "bytes"), _window_digests, "d1 long, d2 long, row long, a int")
     counted = windows.groupBy("d1", "d2").agg(F.count("*").alias("count")).filter("count > 1").select("d1", "d2")
+    counted = written(counted.coalesce(few), "suffix-windows")
     return same.unionAll(found).unionAll(windows.join(counted, ["d1", "d2"]).select("row", "a", F.lit(1).alias("n")))
 
 
