@@ -88,6 +88,15 @@ def steady(df: DataFrame) -> DataFrame:
     return df
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """An aggregate dealt evenly over tasks, for a join on its keys.
+
+    As it is, an aggregate lies by its keys and the join would only exchange the other side, which Spark then can't split
+    where a key is very frequent. Behind this small exchange both sides get one, and it may.
+    """
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` kept on the executors' disks for uses that follow each other, with its lineage.
 

@@ -1,8 +1,8 @@
 """Connected components of a graph given as an edge table, by alternating large-star and small-star rounds.
 
 Every round is an aggregate and an equi-join, both keyed by a node: no component, neighbour list or edge list is ever
-brought to the driver or into one task, and a node with very many neighbours is one row of an aggregate and a join side
-that Spark may split. Each round is written to the shared folder, so lineage stays short and lost executors cost
+brought to the driver or into one task, and a node with very many neighbours is one row of an aggregate, and rows of a join
+side that Spark may split. Each round is written to the shared folder, so lineage stays short and lost executors cost
 one round at most.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import written
+from kymo.llm.common import apart, written
 
 
 #: Edges that one file of a round holds.
@@ -30,10 +30,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every node sends its larger neighbours to the smallest node around it, itself included
         both = star.select(F.col("v").alias("x"), F.col("u").alias("y")).unionAll(star.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.filter("y > x").join(apart(least), "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
         # small star: every node sends its smaller neighbours, and itself, to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        moved = large.join(least, "v")
+        moved = large.join(apart(least), "v")
         small = moved.select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").unionAll(least.select("v", F.col("m").alias("u"))).distinct()
         after = written(small.coalesce(1 + n // FILE_EDGES), "components")
         before, n = n, after.count()
