@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm.common import fresh_path, map_rows, steady, tune, written
+from kymo.llm.common import apart, fresh_path, map_rows, steady, tune, written
 
 LEAST_REVISIT, SEGMENT_BYTES, CHUNK_BYTES = 100, 32 << 10, 8 << 10
 # Framing of the WARC and HTTP formats.
@@ -113,7 +113,7 @@ def captures(df: DataFrame, key: str = "page_id", url: str = "url", text: str =
     rows = df.select(df[key].cast("long").alias("key"), df[url].alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha2("payload", 256))
     first = F.min(F.struct(F.col("key").isNull(), "key", "row"))
     firsts = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(first.alias("f"), F.count("*").alias("n")).filter("n > 1")
-    joined = rows.join(firsts.select("digest", F.col("f.row").alias("first_row"), F.col("f.key").alias("first_key")), "digest", "left")
+    joined = rows.join(apart(firsts.select("digest", F.col("f.row").alias("first_row"), F.col("f.key").alias("first_key"))), "digest", "left")
     return joined.select("key", "url", "payload", "row", "digest", "first_row", "first_key")
 
 
