@@ -31,11 +31,11 @@ MAX_LABELLED = 400
 WORD, UNSEEN, LEAST_TAG, MOST_TAG, BOUNDARY = 1.0, -0.1, -0.02, -2.0, -1e6
 
 # Element names.
-RAW = frozenset("script style noscript template iframe svg math textarea title canvas object video audio select xmp noembed".split())
+RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OPEN_ENDED = frozenset("p li dt dd option tr td th thead tbody tfoot colgroup html body head".split())
-LEFT_OUT = frozenset("nav header footer aside form button head dialog menu fieldset label input".split())
+LEFT_OUT = frozenset("nav header footer aside form button head dialog menu fieldset label input noscript template svg math canvas object video audio select".split())
 LABELLED = frozenset(("article", "main"))
 # Parts of class names and ids, and roles, of what isn't an article's text.
 LEFT_OUT_NAMES = frozenset(
@@ -45,9 +45,12 @@ LEFT_OUT_NAMES = frozenset(
     "disqus widget widgets toolbar pagination pager skip disclaimer alert".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
+# Attributes up to the end of a tag; a quote opens a value only after an equals sign, and what is never closed goes on to
+# the end of the page. Possessive: a page is read once, however broken it is.
+_ATTRIBUTES = r"""(?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+"""
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>%s)(?=[\s/>])(?:"[^"]*"|'[^']*'|[^>"'])*>(?:.*?</(?P=raw)\s*>|\Z|(?=.))"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>""" % "|".join(sorted(RAW)),
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(sorted(RAW))})(?=[\s/>]){_ATTRIBUTES}(?:>|\Z)(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -77,7 +80,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
     open_tags: list[str] = []
     skip = -1  # depth of the outermost element being left out
     at = 0
-    lower = None
+    closed: dict[str, int] = {}  # where each element name is closed last
     for m in _TOKEN.finditer(page):
         if skip < 0 and m.start() > at:
             out.append(("", page[at : m.start()]))
@@ -111,8 +114,9 @@ def tokens(page: str) -> list[tuple[str, str]]:
                 out.append((tag, ""))
             continue
         if skip < 0 and is_left_out(tag, attrs):
-            lower = page.lower() if lower is None else lower
-            if tag not in OPEN_ENDED and lower.find(f"</{tag}", at) < 0:  # never closed: only its tag can be left out
+            if tag not in closed:
+                closed[tag] = page.lower().rfind(f"</{tag}")
+            if tag not in OPEN_ENDED and closed[tag] < at:  # never closed: only its tag can be left out
                 out.append(("/", ""))
                 continue
             skip = len(open_tags)

@@ -189,6 +189,8 @@ WEIGHTS = html_text.weights_from(LABELLED)
     (page(f"{NAV}<div class='cookie notice'>We use cookies on this site</div><div><h2>No article</h2><p>But some long text that is the content of this page.</p></div>{FOOT}"), "No article\nBut some long text that is the content of this page."),
     (page("<article><nav>unclosed <p>text here</p></article>"), "unclosed\ntext here"),
     (page('<div role="dialog">pop up</div><div hidden>hid</div><div style="display: none">gone</div><article>shown</article>'), "shown"),
+    (page("<article><p>a</p><svg><text>no</text></svg><select><option>x<option>y</select><p>b</p><script>if (a </b>) {}</script ><p>c</article>"), "a\nb\nc"),
+    ("<article><p>kept</p><script>never closed <p>no</p></article>", "kept"),
     ("just words", "just words"), ("", ""), (None, ""), ("<p></p>", ""), ("<", "<"), ("<article>", ""),
 ])
 def test_main_text(html, text):
@@ -221,5 +223,7 @@ def test_pages_in_frames(spark):
 
 
 def test_long_pages():
+    for piece in ("<script>", "<nav>", "<p class=ad>", "<svg>x", "<!--", "<a b='", "</p>", "<"):
+        html_text.main_text(piece * 100_000, WEIGHTS)  # in time proportional to the length
     body = "<article>" + "<p>word</p>" * 50_000 + "</article>"
     assert html_text.main_text(page(body), WEIGHTS).count("\n") == 49_999
