@@ -149,12 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     of = Terms()
 
     def terms(columns: dict) -> dict:
-        return {"key": columns[key].cast("string"), "y": columns["y"], "terms": [sorted(of.of(t.as_py())) for t in columns["text"]]}
+        return {"key": columns[key].cast("string"), "y": columns["y"], "terms": [np.array(sorted(of.of(t.as_py())), np.int32).tobytes() for t in columns["text"]]}
 
-    sample = sorted(map_rows(texts, terms, "key string, y int, terms array<int>").collect(), key=lambda r: r["key"])
+    sample = sorted(map_rows(texts, terms, "key string, y int, terms binary").collect(), key=lambda r: r["key"])
     y = np.array([r["y"] for r in sample], float)
     share = {k: totals.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)}
-    return fit([np.array(r["terms"], np.int64) for r in sample], y, np.array([share[int(k)] for k in y]))
+    return fit([np.frombuffer(bytes(r["terms"]), np.int32).astype(np.int64) for r in sample], y, np.array([share[int(k)] for k in y]))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text: str = "text") -> DataFrame:
