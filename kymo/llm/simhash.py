@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import map_rows, steady, tune, written
+from kymo.llm.common import apart, map_rows, steady, tune, written
 from kymo.llm.components import connected_components
 
 WIDTH, SEED, THRESHOLD = 3, 42, 3
@@ -225,7 +225,7 @@ def link_edges(fps: DataFrame, cell: int = CELL) -> DataFrame:
     handed_on = compared.filter("fp is not null").select("anchor", "fp", "home")
     if not handed_on.isEmpty():
         cells = handed_on.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(cell / 2)).cast("int").alias("cells"))
-        own = handed_on.join(cells, "anchor").withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"))
+        own = handed_on.join(apart(cells), "anchor").withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
         pairs = own.select("fp", "home", "anchor", "cell", other).select(
             F.concat_ws(":", "anchor", F.least("cell", "other"), F.greatest("cell", "other")).alias("pair"), "fp", "home")
