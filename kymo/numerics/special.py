@@ -42,7 +42,7 @@ def lower_gamma(a: float, x: np.ndarray) -> np.ndarray:
             d = 1 / np.where(np.abs(an * d + b) < 1e-300, 1e-300, an * d + b)
             c = np.where(np.abs(b + an / c) < 1e-300, 1e-300, b + an / c)
             h = h * d * c
-            if np.all(np.abs(d * c - 1) < 1e-16):
+            if np.all(np.abs(d * c - 1) < 1e-15):
                 break
         out[large] = 1 - h * factor(v)
     return out
