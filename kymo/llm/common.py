@@ -73,11 +73,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 STEADY = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "RelationV2", "DataSourceV2ScanRelation", "SubqueryAlias", "Range"}
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Hold the number that splits of scans are planned for, for the rest of the session.
+
+    Where nothing is set it is the number of cores that are registered when a job is planned, and a scan would be cut
+    otherwise after an executor is lost or joins.
+    """
+    name = "spark.sql.leafNodeDefaultParallelism"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
 def steady(df: DataFrame) -> DataFrame:
     """``df`` if it is a scan with projections and filters, else ``df`` written to the shared folder.
 
     Operators that name rows by their place in the scan need the same places in every job, also after an executor is lost.
     """
+    pin_splits(df.sparkSession)
     todo = [df._jdf.queryExecution().optimizedPlan()]
     while todo:
         plan = todo.pop()
