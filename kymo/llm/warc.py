@@ -130,8 +130,14 @@ def write_archive(df: DataFrame, path: str, key: str = "page_id", url: str = "ur
 
 
 def _parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
-    """Records of a stream that was cut at blank lines."""
-    for head in pieces:
+    """Records of a stream that was cut at blank lines.
+
+    A block that ends in CR LF meets a blank line two bytes before its closing one. Its last piece then runs on into the
+    next head, which is given back behind the closing CR LF CR LF.
+    """
+    ahead = b""  # the next head, where it has been read already
+    while (head := ahead or next(pieces, None)) is not None:
+        ahead = b""
         if not head.startswith(VERSION):
             raise ValueError(f"not a WARC record: {head[:60]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.decode("utf-8").partition(":") for line in head.split(b"\r\n")[1:])}
@@ -142,12 +148,15 @@ def _parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
                 raise ValueError("a record is cut short")
             parts.append(piece)
             have += len(END) + len(piece)
+        block = END.join(parts)
         if have != need:
-            raise ValueError(f"a record's block has {have} bytes, not {need}")
+            if block[need : need + len(END)] != END:
+                raise ValueError(f"a record's block has {have} bytes, not {need}")
+            block, ahead = block[:need], block[need + len(END) :]
         key, number, total = (fields.get(n) for n in ("x-capture-key", "warc-segment-number", "warc-segment-total-length"))
         yield (
             fields["warc-record-id"], fields["warc-type"], key and int(key), fields.get("warc-target-uri"), fields.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-            fields.get("warc-refers-to"), fields.get("warc-segment-origin-id"), number and int(number), total and int(total), END.join(parts))
+            fields.get("warc-refers-to"), fields.get("warc-segment-origin-id"), number and int(number), total and int(total), block)
 
 
 _PARSED = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("key", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
