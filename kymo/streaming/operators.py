@@ -2,7 +2,8 @@
 
 Operators that look at one trial only run on streams as they are. Those that remember keep their memory in Spark's state
 store, keyed by recording; trials of one micro-batch are taken in order, a trial that comes after later ones were
-processed is dropped, as nothing can be re-ordered across batches. The batch operators of the same names give equal results.
+processed is dropped, as nothing can be re-ordered across batches. Trials of equal times are all kept, in the order in which
+they come. The batch operators of the same names give equal results; like theirs, those of tied trials depend on that order.
 """
 
 from __future__ import annotations
@@ -36,12 +37,12 @@ def stateful(df: DataFrame, by: str, order: str, output: str, kind: str, start:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"at": None, "state": start}
-        rows = pd.concat(list(frames)).sort_values(order)
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
         out = []
         for _, row in rows.iterrows():
             at = row[order]
             at = at.item() if hasattr(at, "item") else at
-            if held["at"] is not None and at <= held["at"]:
+            if held["at"] is not None and at < held["at"]:
                 continue
             value, held["state"] = step(held["state"], row)
             held["at"] = at
