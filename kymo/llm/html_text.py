@@ -8,7 +8,8 @@ At most ``MAX_LABELLED`` pages are used, the first by a hash of their key; tags
 
 Elements that aren't text of an article wherever they stand (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments, hidden parts) are known by tag, role, class or id. Their tokens score nothing, so an
-advert doesn't tear its article apart, and they are left out of the region's text.
+advert doesn't tear its article apart, and they are left out of the region's text. A class or id counts only on wrappers of
+blocks and where the whole name says so; html, body and what holds the page's only article or main are never left out.
 
 Results: null, empty and tagless pages: no html gives the empty text, plain text is its own content. Character
 references are decoded, white space within a block becomes one space, blocks are joined by one line feed. Of regions
@@ -35,14 +36,19 @@ RAW = frozenset("script style iframe textarea title xmp noembed noframes".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OPEN_ENDED = frozenset("p li dt dd option tr td th thead tbody tfoot colgroup html body head".split())
-LEFT_OUT = frozenset("nav header footer aside form button head dialog menu fieldset label input noscript template svg math canvas object video audio select".split())
+LEFT_OUT = frozenset("nav header footer aside form button head dialog menu fieldset label input noscript template svg canvas object video audio select".split())
 LABELLED = frozenset(("article", "main"))
-# Parts of class names and ids, and roles, of what isn't an article's text.
+INERT = frozenset("noscript template svg canvas object video audio select".split())
+# Class names, ids and roles of what isn't an article's text.
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation "
     "breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies "
     "disqus widget widgets toolbar pagination pager skip disclaimer alert".split())
+#: What a name may hold beside one of these: ad-box, comment-list, main-nav.
+NEUTRAL_PARTS = frozenset("area bar block bottom box buttons container icons inner left links list main panel posts primary right secondary site slot top unit wrap wrapper x".split())
+#: Elements that a name can leave out: wrappers of blocks by class or id, paragraphs and list items by class.
+NAMED = {t: ("class", "id") for t in "div section ul ol dl table details figure center iframe td".split()} | {"p": ("class",), "li": ("class",)}
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 # Attributes up to the end of a tag; a quote opens a value only after an equals sign, and what is never closed goes on to
@@ -55,25 +61,68 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _CUT = re.compile(r"[^a-z]+")
+_LABEL = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+
+
+def is_left_out_name(name: str) -> bool:
+    """Whether a class name or id says as a whole that its element isn't text of an article: sidebar, but not has-sidebar."""
+    parts = set(filter(None, _CUT.split(name)))
+    if name in LEFT_OUT_NAMES or "".join(_CUT.split(name)) in LEFT_OUT_NAMES:
+        return True
+    return parts <= LEFT_OUT_NAMES | NEUTRAL_PARTS and not parts.isdisjoint(LEFT_OUT_NAMES - {"side"})
 
 
 def is_left_out(tag: str, attrs: str) -> bool:
     """Whether an element isn't text of an article, by its tag and attributes."""
     if tag in LEFT_OUT:
         return True
+    if tag in ("html", "body"):
+        return False
     if tag in LABELLED or not attrs or attrs == "/":
         return "hidden" in attrs.lower().split()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.strip() in LEFT_OUT_ROLES:
             return True
-        if name in ("class", "id") and not LEFT_OUT_NAMES.isdisjoint(_CUT.split(value)):
+        if name in NAMED.get(tag, ()) and any(map(is_left_out_name, value.split())):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def holders(page: str) -> frozenset[int]:
+    """Where the elements begin that the page's only <article>, or its only <main>, stands in."""
+    open_tags: list[tuple[str, int]] = []
+    depth: dict[str, int] = {}
+    found: dict[str, list[int]] = {}
+    many = set()
+    for m in _TOKEN.finditer(page) if _LABEL.search(page) else ():
+        tag = m["tag"]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if m["end"]:
+            while depth.get(tag):
+                last, _ = open_tags.pop()
+                depth[last] -= 1
+                if last == tag:
+                    break
+            continue
+        if open_tags and open_tags[-1][0] == "p" and tag not in INLINE:
+            open_tags.pop()
+            depth["p"] -= 1
+        if tag in LABELLED:
+            if tag in found:
+                many.add(tag)
+            else:
+                found[tag] = [at for _, at in open_tags]
+        if tag not in VOID and (not m["attrs"].endswith("/") or tag in INLINE | OPEN_ENDED):
+            open_tags.append((tag, m.start()))
+            depth[tag] = depth.get(tag, 0) + 1
+    return frozenset(at for tag, starts in found.items() if tag not in many for at in starts)
+
+
 def tokens(page: str) -> list[tuple[str, str]]:
     """(tag, text) in page order, without what is left out: tag is "" for text, "/" for a gap, else the element's name."""
     out: list[tuple[str, str]] = []
@@ -81,6 +130,16 @@ def tokens(page: str) -> list[tuple[str, str]]:
     skip = -1  # depth of the outermost element being left out
     at = 0
     closed: dict[str, int] = {}  # where each element name is closed last
+    holding: frozenset[int] | None = None  # found when first asked for
+
+    def leave_out(m: re.Match, tag: str, attrs: str) -> bool:
+        nonlocal holding
+        if not is_left_out(tag, attrs):
+            return False
+        if tag not in INERT and holding is None:
+            holding = holders(page)
+        return tag in INERT or m.start() not in holding
+
     for m in _TOKEN.finditer(page):
         if skip < 0 and m.start() > at:
             out.append(("", page[at : m.start()]))
@@ -109,11 +168,11 @@ def tokens(page: str) -> list[tuple[str, str]]:
             if skip < 0:
                 out.append((tag, ""))
             continue
-        if tag in OPEN_ENDED and not is_left_out(tag, attrs):
+        if tag in OPEN_ENDED and not leave_out(m, tag, attrs):
             if skip < 0:
                 out.append((tag, ""))
             continue
-        if skip < 0 and is_left_out(tag, attrs):
+        if skip < 0 and leave_out(m, tag, attrs):
             if tag not in closed:
                 closed[tag] = page.lower().rfind(f"</{tag}")
             if tag not in OPEN_ENDED and closed[tag] < at:  # never closed: only its tag can be left out
