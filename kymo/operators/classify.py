@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -14,15 +15,23 @@ from kymo.numerics import learn, spd
 from kymo.operators.base import BatchOperator, ColumnOperator, Estimator, Operator, Shape, Trials, partial_sums, size_of
 from kymo.operators.riemann import DistancesTo, ToTangent, karcher_mean
 
-#: Training sets that a driver-side classifier may collect, in doubles; a larger one is an error, never a sample.
+#: Numbers that a driver-side learner may hold: its training set, for an SVM also the products of its trials.
 MOST_DOUBLES = 50_000_000
 
 
-def training_set(trials: Trials, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels) on the driver, for learners that need every trial at once."""
+def training_set(trials: Trials, column: str, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) on the driver, for learners that need every trial at once.
+
+    Above ``most`` trials it is those with the least hashes of their ids, about ``most`` of them and of each label its share;
+    without ``most``, more than ``MOST_DOUBLES`` numbers are an error.
+    """
     size = size_of(trials.shape(column))
     rows = trials.df.filter(F.col(column).isNotNull() & F.col(trials.label).isNotNull())
-    if rows.limit(MOST_DOUBLES // size + 1).count() > MOST_DOUBLES // size:
+    if most is not None:
+        share = most / max(1, rows.count())
+        if share < 1:
+            rows = rows.filter(F.xxhash64(F.col(trials.id).cast("string")) < int(-(2**63) + share * 2**64))
+    elif rows.limit(MOST_DOUBLES // size + 1).count() > MOST_DOUBLES // size:
         raise ValueError(f"more than {MOST_DOUBLES} numbers of training data; use a learner that is fitted from sums")
     found = rows.orderBy(trials.id).select(column, F.col(trials.label).cast("double")).collect()
     return np.array([r[0] for r in found], float).reshape(len(found), size), np.array([r[1] for r in found])
@@ -85,7 +94,9 @@ class BothOutputs(Operator):
 class Classifier(Estimator):
     """Any object with fit and predict (and predict_proba for ``proba``); tensors are flattened.
 
-    LDA without Ledoit-Wolf shrinkage is fitted from sums on the executors; the others collect the training set.
+    LDA is fitted from sums on the executors. SVM and learners of a user's own are fitted on the whole training set or, above
+    a bound, on a sample (``training_set``): ``MOST_DOUBLES`` numbers, for an SVM as many products of trials. Logistic
+    regression collects the training set, and above ``MOST_DOUBLES`` numbers that is an error.
     """
 
     def __init__(self, a: str, output: str, learner: object, proba: str | None = None, num_classes: int | None = None):
@@ -100,10 +111,13 @@ class Classifier(Estimator):
 
     def fit(self, trials: Trials) -> Operator:
         a, learner = self.inputs[0], self.learner
-        if isinstance(learner, learn.Lda) and learner.shrinkage != "auto":
+        if isinstance(learner, learn.Lda):
             classes = self._fit_sums(trials, learner)
         else:
-            x, y = training_set(trials, a)
+            most = max(1, MOST_DOUBLES // size_of(trials.shape(a)))
+            if isinstance(learner, learn.Svm):
+                most = min(most, math.isqrt(MOST_DOUBLES))
+            x, y = training_set(trials, a, None if isinstance(learner, learn.Logistic) else most)
             learner.fit(x, y)
             classes = np.unique(y)
         if self.num_classes is not None and len(classes) != self.num_classes:
@@ -118,6 +132,10 @@ class Classifier(Estimator):
             x = x.reshape(len(x), -1)
             return np.hstack([x, np.einsum("ti,tj->tij", x, x).reshape(len(x), -1)])
 
+        if lda.shrinkage == "auto":
+            if lda.solver == "svd":
+                raise ValueError("shrinkage goes with the solvers lsqr and eigen")
+            return self._fit_auto(trials, lda)
         found = partial_sums(trials, self.inputs[0], moments, True)
         counts = np.array([g["count"] for g in found], float)
         priors = counts / counts.sum() if lda.priors is None else np.asarray(lda.priors, float)
@@ -130,6 +148,33 @@ class Classifier(Estimator):
         lda.from_statistics(classes, means, pooled, priors)
         return classes
 
+    def _fit_auto(self, trials: Trials, lda: learn.Lda) -> np.ndarray:
+        """Ledoit-Wolf shrinkage from two passes: means, then products of what is centred and of its squares."""
+        a = self.inputs[0]
+        found = partial_sums(trials, a, lambda x: x.reshape(len(x), -1), True)
+        classes, counts = np.array([g["label"] for g in found]), np.array([g["count"] for g in found], float)
+        means = np.stack([g["sum"] / g["count"] for g in found])
+        n = means.shape[1]
+
+        def products(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+            c = x.reshape(len(x), -1) - means[np.searchsorted(classes, labels)]
+            return np.hstack([np.einsum("ti,tj->tij", z, z).reshape(len(c), -1) for z in (c, c**2)])
+
+        priors = counts / counts.sum() if lda.priors is None else np.asarray(lda.priors, float)
+        pooled = np.zeros((n, n))
+        for g, p in zip(partial_sums(trials, a, products, True, True), priors):
+            own, squares = (g["sum"] / g["count"]).reshape(2, n, n)
+            scale = np.sqrt(np.diag(own))
+            scale[scale == 0] = 1
+            pair = np.outer(scale, scale)
+            s = own / pair  # of standardised data, scaled back below
+            mu = np.trace(s) / n
+            spread = ((s - mu * np.eye(n)) ** 2).sum() / n
+            noise = ((squares / pair**2).sum() - (s**2).sum()) / (g["count"] * n)
+            pooled += p * pair * learn.shrunk(s, 0.0 if spread == 0 else min(max(noise, 0.0), spread) / spread)
+        lda.from_statistics(classes, means, pooled, priors)
+        return classes
+
 
 def lda(solver: str = "svd", shrinkage: str | float | None = None, priors: Sequence[float] | None = None) -> learn.Lda:
     return learn.Lda(solver, shrinkage, list(priors) if priors is not None else None)
