@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,11 +30,23 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share.
+
+    Where it is unset, a session on one machine gets a temporary folder of its own. On a cluster that is an error:
+    executors would write to disks that nobody else reads.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        path = "file://" + tempfile.mkdtemp(prefix="kymo-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kymo-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/kymo/{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{checkpoint_dir(spark)}/kymo/{tag}-{uuid.uuid4().hex}"
