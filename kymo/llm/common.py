@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.session import ship_package
+from kymo.session import checkpoint_dir, ship_package
 
 #: The six ASCII white-space characters of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,13 +34,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or in tests one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="kymo-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where it is unset, a local session (one machine) gets a temporary folder of its own; on a cluster that is an error,
+    since executors would write to disks that others can't read.
+    """
+    return checkpoint_dir(spark)
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -65,39 +63,36 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Logical operators whose rows come out of the same partitions, in the same order, each time they run.
-STEADY = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "RelationV2", "DataSourceV2ScanRelation", "SubqueryAlias", "Range"}
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores more as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """Hold the number that splits of scans are planned for, for the rest of the session.
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
-    Where nothing is set it is the number of cores that are registered when a job is planned, and a scan would be cut
-    otherwise after an executor is lost or joins.
-    """
-    name = "spark.sql.leafNodeDefaultParallelism"
-    if not spark.conf.get(name, None):
-        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+def whole_key(df: DataFrame, key: str) -> Column:
+    """Column ``key`` as a long; a key of another type than a whole number is an error, as results order keys."""
+    if (kind := dict(df.dtypes)[key]) not in WHOLE_NUMBERS:
+        raise TypeError(f"{key} must hold whole numbers, not {kind}")
+    return df[key].cast("long")
 
 
-def steady(df: DataFrame) -> DataFrame:
-    """``df`` if it is a scan with projections and filters, else ``df`` written to the shared folder.
+def numbered(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written with a number for each row, and that column's name, which differs from all others.
 
-    Operators that name rows by their place in the scan need the same places in every job, also after an executor is lost.
+    The numbers are drawn in the one job that writes them and read back as data ever after. A number that is computed
+    again by a later job may meet another row: how a scan is cut follows the cores that are registered at that time.
     """
-    pin_splits(df.sparkSession)
-    todo = [df._jdf.queryExecution().optimizedPlan()]
-    while todo:
-        plan = todo.pop()
-        if plan.nodeName().split("(")[0].strip() not in STEADY or not plan.deterministic():
-            return written(df, "steady")
-        children = plan.children()
-        todo += [children.apply(i) for i in range(children.size())]
-    return df
+    row = free_name(df, "_row_")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), tag), row
 
 
 def apart(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ with the most code points in its original text stays, then the one with the smal
 Two different texts with one SHA-256 would be told apart by step 3, which then fails instead of guessing.
 
 Results: a null text counts as empty. Ties go to the smallest key; a null key comes after all others, and rows that
-repeat a key as well keep exactly one of them. An empty table gives no rows.
+repeat a key as well keep exactly one of them, the first as they were written. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import SPACE_BYTES, map_rows, steady, tune, written
+from kymo.llm.common import SPACE_BYTES, WHOLE_NUMBERS, map_rows, numbered, tune, whole_key, written
 
 #: Bytes of distinct content that one table holds.
 TABLE_BYTES = 32 << 20
@@ -181,14 +181,18 @@ def bucket_of(levels: list[tuple[int, list[int]]]):
     return out
 
 
-def find_groups(df: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> tuple[DataFrame, DataFrame]:
+def find_groups(df: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, groups): members are (key, row, n_chars, digest, bytes) of each row, groups (digest, group_size, keep_id, keep_row).
 
-    ``row`` is a row's place in ``df``, which is written first unless it is a scan.
+    ``row`` names a column of stored numbers of rows (they are read twice); without one, key and text are written with numbers.
+    Keys of other types than whole numbers count as null.
     """
     tune(df.sparkSession)
-    df = steady(df)
-    rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"), F.monotonically_increasing_id().alias("row"))
+    number = whole_key(df, key) if dict(df.dtypes)[key] in WHOLE_NUMBERS else F.lit(None).cast("long")
+    rows = df.select(number.alias("key"), df[text].alias("text"), *([df[row].alias("row")] if row else []))
+    if not row:
+        rows, row = numbered(rows, "dedup-rows")
+        rows = rows.withColumnRenamed(row, "row")
 
     def digests(columns: dict) -> dict:
         texts = [t.as_py() or "" for t in columns["text"]]
@@ -205,17 +209,20 @@ def find_groups(df: DataFrame, key: str = "doc_id", text: str = "text", table_by
 
 
 def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """One row for each row of ``df``: key, keep_id, group_size, kept, text_sha256, and ``row``, its place in the scan."""
+    """One row for each row of ``df``: key, keep_id, group_size, kept and text_sha256. The key must be a whole number."""
+    whole_key(df, key)
     members, groups = find_groups(df, key, text, table_bytes)
     joined = members.join(groups, "digest")
     return joined.select(
-        F.col("key").alias(key), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), "row",
-    )
+        F.col("key").alias(key), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with all its columns, without the rows that exact deduplication drops."""
-    df = steady(df)
-    gone = exact_dedup(df, key, text).filter(~F.col("kept")).select(F.col("row").alias("_row_"))
-    return df.withColumn("_row_", F.monotonically_increasing_id()).join(gone, "_row_", "left_anti").drop("_row_")
+def drop_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """``df`` with all its columns, whatever their names, without the rows that exact deduplication drops.
+
+    Where the key isn't a whole number, of equal texts with the most code points the first row stays.
+    """
+    df, row = numbered(df, "dedup-rows")
+    members, groups = find_groups(df, key, text, table_bytes, row)
+    gone = members.join(groups, "digest").filter("row <> keep_row").select(F.col("row").alias(row))
+    return df.join(gone, row, "left_anti").drop(row)

@@ -6,15 +6,15 @@
    columns add up to the shard sizes exactly.
 3. Permute locally: a partition's multiset of shard numbers (given by its row of the matrix) is shuffled and dealt to
    its rows in order. No row moves for this.
-4. Exchange rows by shard and permute again: each row carries a random 63-bit key from its partition's stream; its
+4. Exchange rows by shard and permute again: each row carries a random 62-bit key, a mix of its number; its
    slot is its place by that key within its shard. A shard is cut into ranges of keys, so no task holds a whole
    shard, and the offsets of ranges come from their counts.
 
-The input's partitions must come out alike when computed again, as a table scan's do: a lost executor's tasks then redraw
-the same numbers, which are seeded by partition. Other frames are written first.
+Rows are written once with their numbers (partition and place), and all of the above follows from these and the seed: a
+lost executor's tasks, or files that are read in other pieces than before, draw the same again.
 
 Results: nulls and empty texts are rows as any others, equal texts are not kept together (a group of a third of all
-rows fits no shard), repeated rows get slots of their own, an empty table gives no rows. The driver holds one count
+rows fits no shard), repeated rows get slots of their own, an empty table gives no rows; extra columns come along under any names but shard and slot, which raise an error. The driver holds one count
 for each partition and shard, and one for each range; nothing else grows there.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import steady, tune, written
+from kymo.llm.common import numbered, tune, written
 
 #: Rows that one range of a shard holds on average, at most; and ranges a shard has at least.
 RANGE_ROWS, LEAST_RANGES = 250_000, 8
@@ -80,51 +80,63 @@ def communication_matrix(partition_rows: list[int], sizes: list[int], seed: int)
     return out
 
 
-def deal(df: DataFrame, shards: int, seed: int = 11) -> DataFrame:
-    """(row, shard, key) for each row of a scan: its place in the scan, its shard and its random key."""
-    tune(df.sparkSession)
-    counts = {r["p"]: r["n"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A one-to-one mix of 64-bit numbers (the finisher of SplitMix64), so that keys need no order of drawing."""
+    x = x.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def deal(rows: DataFrame, row: str, shards: int, seed: int = 11) -> DataFrame:
+    """(row, shard, key) for each row: its number, its shard and its random key.
+
+    ``row`` holds the partition that a row was written from above bit 33 and its place there below, as numbers of
+    written rows do. However the files are read, a row is dealt by these two alone.
+    """
+    tune(rows.sparkSession)
+    numbers = rows.select(F.col(row).alias("row"))
+    counts = {r["p"]: r["n"] for r in numbers.groupBy(F.shiftright("row", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
     n_partitions = 1 + max(counts, default=-1)
     matrix = communication_matrix([counts.get(p, 0) for p in range(n_partitions)], shard_sizes(sum(counts.values()), shards), seed)
-    shared = df.sparkSession.sparkContext.broadcast(matrix)  # one number for each partition and shard
+    shared = rows.sparkSession.sparkContext.broadcast(matrix)  # one number for each partition and shard
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealt, partition, keys = None, None, None
+        dealt, partition = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            row = batch.column(0).to_numpy()
-            if partition != row[0] >> 33:
-                partition = int(row[0] >> 33)
-                rng = np.random.default_rng([seed, 1, partition])
-                dealt = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), shared.value[partition]))
-                keys = np.random.default_rng([seed, 2, partition])
-            at = int(row[0] & ((1 << 33) - 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dealt[at : at + len(row)]), pa.array(keys.integers(0, 1 << _KEY_BITS, len(row)))], names=["row", "shard", "key"])
+            numbers = batch.column(0).to_numpy()
+            of, shard = numbers >> 33, np.empty(len(numbers), np.int32)
+            for p in np.unique(of).tolist():
+                if partition != p:
+                    partition = p
+                    rng = np.random.default_rng([seed, 1, partition])
+                    dealt = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), shared.value[partition]))
+                shard[of == p] = dealt[numbers[of == p] & ((1 << 33) - 1)]
+            keys = _mixed(numbers, seed) >> np.uint64(64 - _KEY_BITS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard), pa.array(keys.view(np.int64))], names=["row", "shard", "key"])
 
-    return df.select(F.monotonically_increasing_id().alias("row")).mapInArrow(place, "row long, shard int, key long")
+    return numbers.mapInArrow(place, "row long, shard int, key long")
 
 
 def shuffle_shards(df: DataFrame, shards: int, seed: int = 11) -> DataFrame:
     """``df`` with shard (0 to ``shards`` - 1) and slot (0 to the shard's size - 1, gapless), a uniform shuffle."""
-    df = steady(df)
-    names = {n.lower() for n in df.columns}
-    if names & {"shard", "slot", "_row_", "_key_", "_range_", "_offset_"}:
-        raise ValueError("shard, slot and the names _row_, _key_, _range_ and _offset_ must be free")
-    dealt = written(deal(df, shards, seed), "shuffle-deal")  # 20 bytes a row, so that numbers are drawn once
+    if {n.lower() for n in df.columns} & {"shard", "slot"}:
+        raise ValueError("shard and slot must be free names")
+    df, name = numbered(df, "shuffle-rows")
+    dealt = written(deal(df, name, shards, seed), "shuffle-deal")  # 20 bytes a row
     rows = dealt.count()
     ranges = max(LEAST_RANGES, -(-rows // (shards * RANGE_ROWS)))
     # A range is the leading part of the key: sorting by range, then by key, is sorting by key.
     width = -(-(1 << _KEY_BITS) // ranges)
-    dealt = dealt.select(F.col("row").alias("_row_"), "shard", F.col("key").alias("_key_"), F.expr(f"_key_ div {width}L").cast("int").alias("_range_"))
-    counted = {(r["shard"], r["_range_"]): r["n"] for r in dealt.groupBy("shard", "_range_").agg(F.count("*").alias("n")).collect()}
+    dealt = dealt.select("row", "shard", "key", F.expr(f"key div {width}L").cast("int").alias("range"))
+    counted = {(r["shard"], r["range"]): r["n"] for r in dealt.groupBy("shard", "range").agg(F.count("*").alias("n")).collect()}
     offsets = []
     for s in range(shards):
         at = 0
         for g in range(ranges):
             offsets.append((s, g, at))
             at += counted.get((s, g), 0)
-    offset = df.sparkSession.createDataFrame(offsets, "shard int, _range_ int, _offset_ long")  # one row for each range
-    order = "row_number() over (partition by shard, _range_ order by _key_, _row_) - 1 + _offset_"
-    placed = dealt.join(offset, ["shard", "_range_"]).select("_row_", "shard", F.expr(order).alias("slot"))
-    return df.withColumn("_row_", F.monotonically_increasing_id()).join(placed, "_row_").drop("_row_")
+    offset = df.sparkSession.createDataFrame(offsets, "shard int, range int, offset long")  # one row for each range
+    order = "row_number() over (partition by shard, range order by key, row) - 1 + offset"
+    placed = dealt.join(offset, ["shard", "range"]).select(F.col("row").alias(name), "shard", F.expr(order).alias("slot"))
+    return df.join(placed, name).drop(name)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import apart, map_rows, steady, tune, written
+from kymo.llm.common import apart, map_rows, numbered, tune, written
 from kymo.llm.components import connected_components
 
 WIDTH, SEED, THRESHOLD = 3, 42, 3
@@ -249,10 +249,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``df`` with all its columns, with one row of each component: the smallest key, and of its rows the first in the scan."""
-    df = steady(df)
-    rows = df.withColumn("_row_", F.monotonically_increasing_id())
-    of_row = near_duplicates(rows, "_row_", text, width).select("_row_", "component_id")
-    keyed = of_row.join(rows.select("_row_", F.col(key).alias("_key_")), "_row_")
-    first = F.min(F.struct(F.col("_key_").isNull(), "_key_", "_row_")).alias("first")
-    stay = keyed.groupBy("component_id").agg(first).select(F.col("first._row_").alias("_row_"))
-    return rows.join(stay, "_row_", "left_semi").drop("_row_")
+    rows, row = numbered(df, "simhash-rows")
+    of_row = near_duplicates(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), "row", "text", width).select("row", "component_id")
+    keyed = of_row.join(rows.select(F.col(row).alias("row"), F.col(key).alias("key")), "row")
+    first = F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first")
+    stay = keyed.groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
+    return rows.join(stay, row, "left_semi").drop(row)

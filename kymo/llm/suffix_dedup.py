@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import kept, map_rows, steady, tune, written
+from kymo.llm.common import kept, map_rows, numbered, tune, written
 
 LENGTH, GRAM = 200, 32
 #: Grams of a window, and windows of a run at most.
@@ -439,8 +439,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", diges
     """(key, n_bytes, n_removed, n_spans, kept) of every row; kept are the bytes left over, or with ``digest`` kept_sha256 of them."""
     spark = df.sparkSession
     tune(spark)
-    df = steady(df)
-    rows = df.select(F.monotonically_increasing_id().alias("row"), df[key].alias("key"), df[text].alias("text"))
+    rows, row = numbered(df.select(df[key].alias("key"), df[text].alias("text")), "suffix-texts")
+    rows = rows.select(F.col(row).alias("row"), "key", "text")
     flags = repeated_spans(rows, hot).groupBy("row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))  # of one document
     kind, last = dict(df.dtypes)[key], "kept_sha256 string" if digest else "kept binary"
     whole = rows.join(flags, "row", "left").select("row", "key", "text", "spans")

@@ -15,7 +15,7 @@ query); each block's result is written to the shared folder. Scores are int64: c
 53 bits that float64 products keep exact are multiplied in int64, and beyond that in Python's integers.
 
 Results: ties go to the smaller vec_id. Vectors that are null, or hold null or non-finite components, take no part,
-neither does a row without vec_id. A query's own row is left out, not other rows that repeat its vec_id. Vectors of
+neither does a row without vec_id; a vec_id that isn't a whole number is an error. A query's own row is left out, not other rows that repeat its vec_id. Vectors of
 another length than the query's are no candidates for it. Scores beyond int64 count as its limits, and so tie.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kymo.llm.common import steady, tune, written
+from kymo.llm.common import numbered, tune, whole_key, written
 
 LISTS, BLOCK, CHUNK = 4, 4096, 8192
 #: Scores of one piece of queries against one chunk of candidates that are held at once.
@@ -36,11 +36,12 @@ PIECE_SCORES = 1 << 22
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(row, vec_id, v) of the rows that take part; v holds doubles."""
+    """(row, vec_id, v) of the rows that take part, written with their numbers; v holds doubles."""
     v = F.col(vector)
     plain = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return df.select(F.monotonically_increasing_id().alias("row"), df[key].cast("long").alias("vec_id"), df[vector].alias(vector)).filter(
-        plain & F.col("vec_id").isNotNull()).select("row", "vec_id", v.cast("array<double>").alias("v"))
+    plain_rows = df.filter(plain & F.col(key).isNotNull())
+    rows, row = numbered(plain_rows.select(whole_key(plain_rows, key).alias("vec_id"), v.cast("array<double>").alias("v")), "top-k-vectors")
+    return rows.select(F.col(row).alias("row"), "vec_id", "v")
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray]:
@@ -203,7 +204,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
     """(query_id, rank, vec_id, score) for every row for which the Column ``is_query`` (over vec_id) holds, against all rows of ``df``."""
     spark = df.sparkSession
     tune(spark)
-    candidates = usable(steady(df), key, vector)
+    candidates = usable(df, key, vector)
     result = None
     for blocks in _blocks(candidates.filter(is_query)):
         shared = spark.sparkContext.broadcast(blocks)

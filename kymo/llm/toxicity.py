@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, score) of every row; row is its place in the scan."""
+    """(key, score) of every row."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS weights: 10 MB
     held: list[Terms] = []
@@ -166,10 +166,10 @@ def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", tex
     def per_batch(columns: dict) -> dict:
         if not held:
             held.append(Terms(frozenset(shared.value.index.tolist())))
-        return {"row": columns["row"], "key": columns["key"], "score": [shared.value.score(held[0].of(t.as_py())) for t in columns["text"]]}
+        return {"key": columns["key"], "score": [shared.value.score(held[0].of(t.as_py())) for t in columns["text"]]}
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("key"), docs[text].alias("text"))
-    return map_rows(rows, per_batch, f"row long, key {dict(docs.dtypes)[key]}, score double").withColumnRenamed("key", key)
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    return map_rows(rows, per_batch, f"key {dict(docs.dtypes)[key]}, score double").withColumnRenamed("key", key)
 
 
 def is_held_out(key: str = "doc_id"):

@@ -14,8 +14,8 @@ checked against its digest. A group is one record's segments, so it is as large
 response in a join that Spark may split where one response has very many.
 
 Results: a null payload counts as empty and is a response, as is any payload below the bound. Null keys sort after all
-others. Rows that repeat a key are captures of their own; of equal ones the first in the scan is the response. An empty
-table gives an archive without records. A broken archive (wrong length, missing segment, wrong digest) raises an error.
+others. Rows that repeat a key are captures of their own; of equal ones the first as they were written is the response. A
+key that isn't a whole number is an error. An empty table gives an archive without records. A broken archive (wrong length, missing segment, wrong digest) raises an error.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm.common import apart, fresh_path, map_rows, steady, tune, written
+from kymo.llm.common import fresh_path, map_rows, numbered, tune, whole_key, written
 
 LEAST_REVISIT, SEGMENT_BYTES, CHUNK_BYTES = 100, 32 << 10, 8 << 10
 # Framing of the WARC and HTTP formats.
@@ -108,13 +108,16 @@ def capture_records(key: int | None, url: str | None, payload: bytes, row: int,
 
 def captures(df: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
     """Rows as ``CAPTURES``: payload, digest and the capture that is the response of equal payloads."""
-    df = steady(df)
     payload = F.coalesce(df[text].cast("binary"), F.lit(b""))
-    rows = df.select(df[key].cast("long").alias("key"), df[url].alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha2("payload", 256))
+    rows, row = numbered(df.select(
+        whole_key(df, key).alias("key"), df[url].alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes")), "warc-rows")
+    rows = rows.withColumnRenamed(row, "row")
     first = F.min(F.struct(F.col("key").isNull(), "key", "row"))
-    firsts = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(first.alias("f"), F.count("*").alias("n")).filter("n > 1")
-    joined = rows.join(apart(firsts.select("digest", F.col("f.row").alias("first_row"), F.col("f.key").alias("first_key"))), "digest", "left")
-    return joined.select("key", "url", "payload", "row", "digest", "first_row", "first_key")
+    firsts = rows.filter(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(first.alias("f"), F.count("*").alias("n")).filter("n > 1")
+    # Written, so that its size is known when the join is planned: payloads only move where it is above Spark's bound for
+    # broadcasts, and then both sides have an exchange and a very frequent payload can be split.
+    firsts = written(firsts.select("digest", F.col("f.row").alias("first_row"), F.col("f.key").alias("first_key")), "warc-firsts")
+    return rows.join(firsts, "digest", "left").select("key", "url", "payload", "row", "digest", "first_row", "first_key")
 
 
 def write_archive(df: DataFrame, path: str, key: str = "page_id", url: str = "url", text: str = "html", segment_bytes: int = SEGMENT_BYTES) -> None:
