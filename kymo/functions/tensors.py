@@ -16,6 +16,21 @@ NAN, INF = float("nan"), float("inf")
 Shape = tuple[int, ...]
 
 
+def bound(f: Callable[..., Column], *values: Column) -> Column:
+    """f(*values), each value evaluated once; null where any of them is.
+
+    Catalyst writes an expression out wherever it is used, also inside a function that runs for every element. Here values
+    are variables of an outer function over one element, so operators on operators cost the sum of their work.
+    """
+    fields = [f"v{i}" for i in range(len(values))]
+    if len(values) == 1:
+        once = F.transform(F.array(values[0]), lambda x: F.when(x.isNotNull(), f(x)))
+    else:
+        known = lambda s: F.greatest(*[s[n].isNull() for n in fields])
+        once = F.transform(F.array(F.struct(*[v.alias(n) for v, n in zip(values, fields)])), lambda s: F.when(~known(s), f(*[s[n] for n in fields])))
+    return F.get(once, F.lit(0))
+
+
 # ---- element-wise ----
 
 
@@ -35,9 +50,9 @@ def binary(a: Column, a_shape: Shape, b: Column, b_shape: Shape, f: Callable[[Co
     if a_shape == b_shape:
         return f(a, b) if a_shape == () else F.zip_with(a, b, f)
     if a_shape == ():
-        return F.transform(b, lambda x: f(a, x))
+        return bound(lambda u, v: F.transform(v, lambda x: f(u, x)), a, b)
     if b_shape == ():
-        return F.transform(a, lambda x: f(x, b))
+        return bound(lambda u, v: F.transform(u, lambda x: f(x, v)), a, b)
     out = broadcast_shape(a_shape, b_shape)
     if a_shape != out:
         a = gather(a, np.broadcast_to(np.arange(int(np.prod(a_shape))).reshape(a_shape), out))
@@ -83,12 +98,17 @@ def number(condition: Column) -> Column:
 # ---- index arithmetic ----
 
 
+def constant_ints(values: np.ndarray) -> Column:
+    """array<int> of static numbers, as one text that Catalyst folds: a plan with many literals takes long to build."""
+    return F.split(F.lit(",".join(map(str, np.asarray(values).ravel().tolist()))), ",").cast("array<int>") if np.size(values) else F.array().cast("array<int>")
+
+
 def gather(a: Column, index: np.ndarray) -> Column:
     """The elements of ``a`` at static positions, in row-major order of ``index``."""
     flat = np.asarray(index).ravel()
     if len(flat) and np.array_equal(flat, np.arange(flat[0], flat[0] + len(flat))):
         return F.slice(a, int(flat[0]) + 1, len(flat))
-    return F.transform(F.lit([int(i) for i in flat]), lambda i: F.get(a, i))
+    return bound(lambda x: F.transform(constant_ints(flat), lambda i: F.get(x, i)), a)
 
 
 def lanes(a: Column, shape: Shape, axis: int | None) -> Column:
@@ -97,15 +117,15 @@ def lanes(a: Column, shape: Shape, axis: int | None) -> Column:
         return F.array(a)
     outer, n, inner = int(np.prod(shape[:axis])), shape[axis], int(np.prod(shape[axis + 1 :]))
     if inner == 1:
-        return F.transform(F.sequence(F.lit(0), F.lit(outer - 1)), lambda o: F.slice(a, o * n + 1, n))
+        return bound(lambda x: F.transform(F.sequence(F.lit(0), F.lit(outer - 1)), lambda o: F.slice(x, o * n + 1, n)), a)
     places = F.sequence(F.lit(0), F.lit(outer * inner - 1))
     step = F.sequence(F.lit(0), F.lit(n - 1))
 
-    def lane(p: Column) -> Column:
+    def lane(x: Column, p: Column) -> Column:
         base = F.floor(p / inner) * (n * inner) + p % inner
-        return F.transform(step, lambda k: F.get(a, (base + k * inner).cast("int")))
+        return F.transform(step, lambda k: F.get(x, (base + k * inner).cast("int")))
 
-    return F.transform(places, lane)
+    return bound(lambda x: F.transform(places, lambda p: lane(x, p)), a)
 
 
 # ---- reductions of one lane (array<double>) ----

@@ -12,8 +12,8 @@ are inferred and errors raised when a plan is built, without touching data. A co
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +27,33 @@ Shape = tuple[int, ...]
 
 @dataclass(frozen=True)
 class Trials:
-    """A frame with one row a trial, and the shapes of its tensor columns."""
+    """A frame with one row a trial, and the shapes of its tensor columns.
+
+    ``moved`` names, for columns that hold elements of another column at static positions, that column and the positions;
+    ``computed`` are the columns that Catalyst expressions make.
+    """
 
     df: DataFrame
     shapes: Mapping[str, Shape]
     id: str = "trial_id"
     label: str | None = "label"
+    moved: Mapping[str, tuple[str, np.ndarray]] = field(default_factory=dict)
+    computed: frozenset[str] = frozenset()
 
     def shape(self, name: str) -> Shape:
         if name not in self.shapes:
             raise KeyError(f"no tensor column {name}; there are {sorted(self.shapes)}")
         return tuple(self.shapes[name])
 
-    def with_column(self, name: str, column: Column, shape: Shape) -> Trials:
-        return replace(self, df=self.df.withColumn(name, column), shapes={**self.shapes, name: tuple(shape)})
+    def with_column(self, name: str, column: Column, shape: Shape, moved: tuple[str, np.ndarray] | None = None, computed: bool = True) -> Trials:
+        known = {k: m for k, m in self.moved.items() if name not in (k, m[0])}
+        if moved is not None and moved[0] != name:
+            known[name] = moved
+        made = self.computed | {name} if computed else self.computed - {name}
+        return replace(self, df=self.df.withColumn(name, column), shapes={**self.shapes, name: tuple(shape)}, moved=known, computed=made)
 
     def with_df(self, df: DataFrame) -> Trials:
-        return replace(self, df=df)
+        return replace(self, df=df, moved={})
 
 
 def size_of(shape: Shape) -> int:
@@ -85,10 +95,16 @@ def spark_type(shape: Shape) -> str:
     return "double" if shape == () else "array<double>"
 
 
-def batch_column(f: Callable[..., np.ndarray], columns: list[Column], shapes: list[Shape], out: Shape) -> Column:
-    """``f`` over batches: (n, *shape) arrays in, one (n, *out) array out. Trials with a null input give null."""
+def batch_column(f: Callable[..., np.ndarray], columns: list[Column], shapes: list[Shape], out: Shape, apart: Sequence[Column] = ()) -> Column:
+    """``f`` over batches: (n, *shape) arrays in, one (n, *out) array out. Trials with a null input give null.
+
+    Columns in ``apart`` go along as a flag whether they are null. A column that is used twice isn't written out in its
+    user's place: Spark (up to 4.1 at least) doesn't find a Python function one of whose arguments holds a lambda
+    that uses the variable of a lambda around it, and then fails when it runs.
+    """
 
     def run(*arrays: pa.Array) -> pa.Array:
+        arrays = arrays[: len(shapes)]
         good = np.ones(len(arrays[0]), bool)
         for a in arrays:
             if a.null_count:
@@ -100,7 +116,7 @@ def batch_column(f: Callable[..., np.ndarray], columns: list[Column], shapes: li
         where = np.where(good, np.cumsum(good) - 1, 0)
         return done.take(pa.array(where, mask=~good))
 
-    return F.arrow_udf(run, spark_type(out))(*columns)
+    return F.arrow_udf(run, spark_type(out))(*columns, *(c.isNull() for c in apart))
 
 
 class Operator:
@@ -135,9 +151,18 @@ class BatchOperator(Operator):
 
     def apply(self, trials: Trials) -> Trials:
         ship_package(trials.df.sparkSession)
-        shapes = [trials.shape(i) for i in self.inputs]
-        out = self.infer(*shapes)
-        return trials.with_column(self.output, batch_column(self.batch, [F.col(i) for i in self.inputs], shapes, out), out)
+        out = self.infer(*(trials.shape(i) for i in self.inputs))
+        # what was only moved is moved here, by numpy
+        sources = [trials.moved.get(i, (i, None)) for i in self.inputs]
+        shapes = [trials.shape(name) for name, _ in sources]
+        places, batch = [at for _, at in sources], self.batch
+
+        def run(*arrays: np.ndarray) -> np.ndarray:
+            return batch(*(a if at is None else a.reshape(len(a), -1)[:, at] for a, at in zip(arrays, places)))
+
+        columns = [F.col(name) for name, _ in sources]
+        made = batch_column(run, columns, shapes, out, [c for c, (name, _) in zip(columns, sources) if name in trials.computed])
+        return trials.with_column(self.output, made, out, computed=False)
 
 
 class Estimator:
@@ -156,7 +181,7 @@ class Estimator:
 def element_sums(df: DataFrame, keys: list[str], vector: str, count: str | None = None) -> list[dict]:
     """Sum of the arrays in ``vector`` for each key: [{key..., count, sum}]; what comes back is one array a key."""
     aggregates = [F.sum("_v").alias("_s")] + ([F.sum(count).alias("_n")] if count else [])
-    rows = df.select(*keys, *([count] if count else []), F.posexplode(vector).alias("_i", "_v")).groupBy(*keys, "_i").agg(*aggregates).collect()
+    rows = df.select(*keys, *([count] if count else []), F.posexplode_outer(vector).alias("_i", "_v")).filter("_i is not null").groupBy(*keys, "_i").agg(*aggregates).collect()
     out: dict[tuple, dict] = {}
     for r in rows:
         group = out.setdefault(tuple(r[k] for k in keys), {"at": [], "sum": []} | {k: r[k] for k in keys} | ({"count": r["_n"]} if count else {}))

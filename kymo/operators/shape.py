@@ -9,7 +9,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from kymo.functions import tensors as t
-from kymo.operators.base import BatchOperator, ColumnOperator, Operator, Shape, Trials, batch_column, norm_axis
+from kymo.operators.base import BatchOperator, ColumnOperator, Operator, Shape, Trials, batch_column, norm_axis, size_of
 
 
 def places(shape: Shape) -> np.ndarray:
@@ -18,7 +18,10 @@ def places(shape: Shape) -> np.ndarray:
 
 
 class Moved(ColumnOperator):
-    """The output's elements are the input's at ``index(shape)``."""
+    """The output's elements are the input's at ``index(shape)``.
+
+    Where the input is itself moved, positions are composed when the plan is built, and elements move once.
+    """
 
     def index(self, shape: Shape) -> np.ndarray:
         raise NotImplementedError
@@ -28,7 +31,31 @@ class Moved(ColumnOperator):
 
     def column(self, columns: list[Column], shapes: list[Shape]) -> Column:
         index = self.index(shapes[0])
-        return F.get(columns[0], F.lit(int(index))) if index.shape == () else t.gather(columns[0], index)
+        if index.shape == ():
+            return F.get(columns[0], F.lit(int(index)))
+        return columns[0] if shapes[0] != () and np.array_equal(index.ravel(), np.arange(size_of(shapes[0]))) else t.gather(columns[0], index)
+
+    def apply(self, trials: Trials) -> Trials:
+        a = self.inputs[0]
+        shape = trials.shape(a)
+        if a in trials.moved:
+            source, places_ = trials.moved[a]
+            index = places_.ravel()[self.index(shape)]
+            column = _Positions(source, index).column([F.col(source)], [trials.shape(source)])
+        else:
+            source, index = a, self.index(shape)
+            column = self.column([F.col(a)], [shape])
+        return trials.with_column(self.output, column, index.shape, (source, index))
+
+
+class _Positions(Moved):
+    """Elements at positions that are known already."""
+
+    def __init__(self, a: str, index: np.ndarray):
+        self.inputs, self._index = (a,), index
+
+    def index(self, shape: Shape) -> np.ndarray:
+        return self._index
 
 
 class Transpose(Moved):
@@ -43,18 +70,26 @@ class Transpose(Moved):
         return places(shape).transpose(self.axes)
 
 
-class Reshape(ColumnOperator):
+class Reshape(Moved):
     """Another shape for the same elements: only metadata change. One length may be -1."""
 
     def __init__(self, a: str, output: str, shape: Shape):
         self.inputs, self.output, self.target = (a,), output, tuple(shape)
 
-    def infer(self, a: Shape) -> Shape:
-        return np.empty(a, np.bool_).reshape(self.target).shape
+    def index(self, shape: Shape) -> np.ndarray:
+        return places(shape).reshape(self.target)
 
     def column(self, columns: list[Column], shapes: list[Shape]) -> Column:
+        self.index(shapes[0])
         return columns[0] if shapes[0] != () else F.array(columns[0])
 
+    def apply(self, trials: Trials) -> Trials:
+        a = self.inputs[0]
+        if trials.shape(a) == ():
+            return ColumnOperator.apply(self, trials)
+        source, index = trials.moved.get(a, (a, places(trials.shape(a))))
+        return trials.with_column(self.output, F.col(a), self.infer(trials.shape(a)), (source, index.reshape(self.target)))
+
 
 class Extract(Moved):
     """The outer product of one index list, int, slice or None (all) for each axis; ``reduce_dims`` drops axes of length one."""
@@ -93,7 +128,7 @@ class Epoch(Moved):
         n, count = shape[-1], self.infer(shape)[-2]
         windows = F.sequence(F.lit(0), F.lit(int(np.prod(shape[:-1])) * count - 1))
         first = lambda w: (F.floor(w / count) * n + w % count * self.stride + 1).cast("int")
-        return F.flatten(F.transform(windows, lambda w: F.slice(columns[0], first(w), self.length)))
+        return t.bound(lambda x: F.flatten(F.transform(windows, lambda w: F.slice(x, first(w), self.length))), columns[0])
 
 
 class Concatenation(ColumnOperator):
@@ -167,8 +202,8 @@ class Pad(ColumnOperator):
             index = np.pad(places(shapes[0]), self.width, "constant", constant_values=-1)
             fill = self.options.get("constant_values", 0)
             if np.ndim(fill) == 0:
-                pick = lambda i: F.when(i < 0, F.lit(float(fill))).otherwise(F.get(columns[0], F.greatest(i, F.lit(0))))
-                return F.transform(F.lit([int(i) for i in index.ravel()]), pick)
+                pick = lambda x, i: F.when(i < 0, F.lit(float(fill))).otherwise(F.get(x, F.greatest(i, F.lit(0))))
+                return t.bound(lambda x: F.transform(t.constant_ints(index), lambda i: pick(x, i)), columns[0])
         elif self.mode in MOVING_MODES and self.options.get("reflect_type", "even") == "even":
             return t.gather(columns[0], np.pad(places(shapes[0]), self.width, self.mode))
         return _NumpyPad(self).as_column(columns, shapes)
@@ -184,7 +219,7 @@ class _NumpyPad(BatchOperator):
         def run(a: np.ndarray) -> np.ndarray:
             return np.stack([np.pad(x, width, mode, **options) for x in a])
 
-        return batch_column(run, columns, shapes, self.infer(shapes[0]))
+        return batch_column(run, columns, shapes, self.infer(shapes[0]), columns)
 
 
 class Enqueue(Operator):
@@ -259,8 +294,12 @@ class BaselineCorrection(ColumnOperator):
 
     def column(self, columns: list[Column], shapes: list[Shape]) -> Column:
         axis, first, last = self.bounds(shapes[0])
-        means = F.transform(t.lanes(columns[0], shapes[0], axis), lambda x: t.total(F.slice(x, first + 1, last - first)) / (last - first))
         outer = int(np.prod(shapes[0][:axis]))
         inner = int(np.prod(shapes[0][axis + 1 :]))
         of = np.broadcast_to(np.arange(outer * inner).reshape(outer, 1, inner), (outer, shapes[0][axis], inner))
-        return F.zip_with(columns[0], t.gather(means, of), lambda v, m: v - m)
+
+        def corrected(x: Column) -> Column:
+            means = F.transform(t.lanes(x, shapes[0], axis), lambda lane: t.total(F.slice(lane, first + 1, last - first)) / (last - first))
+            return F.zip_with(x, t.gather(means, of), lambda v, m: v - m)
+
+        return t.bound(corrected, columns[0])

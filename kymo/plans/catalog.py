@@ -54,7 +54,12 @@ def elements(trials: Trials, column: str, *more: str) -> DataFrame:
     """One row an element: trial_id, pos (row-major place), v."""
     if trials.shape(column) == ():
         return trials.df.select("trial_id", *more, rounded(F.col(column)).alias("v"))
-    return trials.df.select("trial_id", *more, F.posexplode(column).alias("pos", "v")).select("trial_id", *more, "pos", rounded(F.col("v")).alias("v"))
+    return spread(trials.df, column, "trial_id", *more).select("trial_id", *more, "pos", rounded(F.col("v")).alias("v"))
+
+
+def spread(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """One row an element: pos and v. An inner explode would make Catalyst evaluate the array twice, first to drop empty ones."""
+    return df.select(*keep, F.posexplode_outer(column).alias("pos", "v")).filter("pos is not null")
 
 
 #: Elements of the trials in SQL: trial_id, label, ch, s, v.
@@ -82,7 +87,7 @@ def flagship_label_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
     done = plan.transform(embedding_trials(spark, sf_dir), ["cov"])
     size = CHANNELS * CHANNELS
-    at = done.df.select("label", F.posexplode("cov").alias("i", "v")).groupBy("label", F.expr(f"cast(i % {size} div {CHANNELS} as int)").alias("r"), F.expr(f"cast(i % {CHANNELS} as int)").alias("c"))
+    at = spread(done.df, "cov", "label").groupBy("label", F.expr(f"cast(pos % {size} div {CHANNELS} as int)").alias("r"), F.expr(f"cast(pos % {CHANNELS} as int)").alias("c"))
     return at.agg(rounded(F.avg("v")).alias("v"))
 
 
@@ -301,7 +306,7 @@ def marker_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five samples from each purchase on."""
     sig = _signal(spark, sf_dir)
     cut = streams.epochs(sig.select("recording", "ts", "values"), sig.filter("event_type = 'purchase'").select("recording", "ts", "event_id"), 5, keep=("event_id",))
-    return cut.select("event_id", F.posexplode("data").alias("pos", "v")).select("event_id", "pos", rounded(F.col("v")).alias("v"))
+    return spread(cut, "data", "event_id").select("event_id", "pos", rounded(F.col("v")).alias("v"))
 
 
 def _json_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +342,7 @@ def task_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of eight successive samples."""
     cut = streams.count_windows(_signal(spark, sf_dir).select("recording", "ts", "values"), 8)
-    return cut.select("recording", "window", F.posexplode("data").alias("pos", "v")).select("recording", "window", "pos", rounded(F.col("v")).alias("v"))
+    return spread(cut, "data", "recording", "window").select("recording", "window", "pos", rounded(F.col("v")).alias("v"))
 
 
 def _event_trials(spark: SparkSession, sf_dir: str) -> Trials:
