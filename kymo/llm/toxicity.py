@@ -1,14 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its distinct lower-case words (runs of letters) and their first four and five letters, hashed
-into ``BUCKETS``. score = sigmoid(b + sum w_j x_j + sum over pairs <v_j, v_k> x_j x_k): the pair part, computed in
-linear time as half of (|sum v_j x_j|^2 - sum |v_j|^2 x_j^2), learns what only two terms together mean, such as an
+into ``BUCKETS``. score = sigmoid(b + sum w_j + sum over pairs <v_j, v_k> / n) over the n terms of a text: the pair part,
+computed in linear time as (|sum v_j|^2 - sum |v_j|^2) / 2n, learns what only two terms together mean, such as an
 insult next to the mention of a group, which additive weights miss.
 
 The machine is fitted on the driver on a bounded sample of labelled rows: ``max_per_class`` of each class, the first
 by a seeded hash of their key; a class that was sampled is weighted back to its full count. Scoring covers every
-whole text on the executors. Terms in fewer than ``MIN_DOCS`` texts of the sample, or about as frequent in both
-classes (standard score under ``MIN_CONTRAST``), are left out: most of a text's words say nothing about its label.
+whole text on the executors. Most of a text's words say nothing about its label. Of the terms in at least ``MIN_DOCS``
+texts of the sample the machine has those about which the sample says anything: a term that is more frequent in one
+class (standard score of ``MIN_CONTRAST``), or one that says nothing alone but does with another (``paired``), as where
+a text is toxic if it has an insult or a group but not both.
 
 Results: null and empty texts get the score of the intercept alone. Labels that are null are ignored; where a key has
 several labels the largest counts. Rows that repeat a key are each scored on their own text. Without any labelled
@@ -31,6 +33,8 @@ from kymo.llm.common import lowest, map_rows, tune
 BUCKETS = 1 << 18
 FACTORS = 4
 MIN_DOCS, MIN_CONTRAST = 3, 3.5
+#: Standard score that a pair needs beyond what its terms have alone, share of texts that its terms are in, and terms compared at once.
+MIN_PAIR, PAIR_SHARE, PAIR_BLOCK = 6.0, 0.01, 512
 THRESHOLD = 0.3
 MAX_PER_CLASS = 4000
 CACHED_WORDS = 200_000
@@ -85,12 +89,63 @@ class FactorizationMachine:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def contrast(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Standard score of each term's share of class 1 against class 0 (two-proportion test, pooled variance)."""
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    ones = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y]), minlength=BUCKETS)
-    pooled = counts / len(labels)
-    return (ones / n1 - (counts - ones) / n0) / np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / n1 + 1 / n0), 1e-12))
+def contrast(zeros: np.ndarray, ones: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Squared standard score of a share of class 1 against one of class 0 (two-proportion test, pooled variance)."""
+    pooled = (zeros + ones) / (n0 + n1)
+    return (ones / n1 - zeros / n0) ** 2 / np.maximum(pooled * (1 - pooled) * (1 / n0 + 1 / n1), 1e-12)
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Terms that say something about the label together with another: where both are, or where just one of them is.
+
+    Counted over all pairs of terms in at least ``PAIR_SHARE`` of the texts, in blocks of terms. A pair's squared score must
+    be ``MIN_PAIR`` ** 2 above twice what its terms have, so words of one topic or language, which go together
+    anyway, add nothing.
+    """
+    common = np.flatnonzero(counts >= max(MIN_DOCS, PAIR_SHARE * len(rows)))
+    place = np.full(BUCKETS, -1, np.int64)
+    place[common] = np.arange(len(common))
+    held = []  # of each class: texts, and (term, text) by term
+    for label in (0, 1):
+        texts = [place[r] for r, y in zip(rows, labels) if y == label]
+        term = np.concatenate([*texts, np.empty(0, np.int64)])
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        order = np.argsort(term, kind="stable")
+        order = order[term[order] >= 0]
+        held.append((len(texts), term[order], text[order]))
+
+    def block(of: tuple, at: int) -> np.ndarray:
+        n, term, text = of
+        some = slice(*np.searchsorted(term, [at, at + PAIR_BLOCK]))
+        out = np.zeros((n, min(PAIR_BLOCK, len(common) - at)), np.float32)
+        out[text[some], term[some] - at] = 1
+        return out
+
+    (n0, *_), (n1, *_) = held
+    alone = [np.bincount(term, minlength=len(common)).astype(float) for _, term, _ in held]
+    own, hit = contrast(*alone, n0, n1), np.zeros(len(common), bool)
+    for i in range(0, len(common), PAIR_BLOCK):
+        left = [block(h, i) for h in held]
+        for j in range(i, len(common), PAIR_BLOCK):
+            a, b = slice(i, i + PAIR_BLOCK), slice(j, j + PAIR_BLOCK)
+            both = [(x.T @ block(h, j)).astype(float) for x, h in zip(left, held)]
+            either = [c[a][:, None] + c[b] - 2 * k for c, k in zip(alone, both)]
+            need = 2 * (own[a][:, None] + own[b]) + MIN_PAIR**2
+            told = (contrast(*both, n0, n1) >= need) | (contrast(*either, n0, n1) >= need)
+            hit[a] |= told.any(axis=1)
+            hit[b] |= told.any(axis=0)
+    return common[hit]
+
+
+def telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The terms that a machine is fitted on, sorted."""
+    if not any(map(len, rows)):
+        return np.empty(0, np.int64)
+    counts = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+    ones = np.bincount(np.concatenate([*(r for r, y in zip(rows, labels) if y), np.empty(0, np.int64)]), minlength=BUCKETS)
+    n1 = int(labels.sum())
+    alone = np.flatnonzero((counts >= MIN_DOCS) & (contrast(counts - ones, ones, len(labels) - n1, n1) >= MIN_CONTRAST**2))
+    return np.union1d(alone, paired(rows, labels, counts))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.15, l2: float = 2e-5, seed: int = 7) -> FactorizationMachine:
@@ -100,8 +155,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs:
     if positive in (0.0, 1.0):
         none.bias = 50.0 if positive else -50.0
         return none
-    counts = np.bincount(np.concatenate(rows), minlength=BUCKETS) if any(map(len, rows)) else np.zeros(BUCKETS, np.int64)
-    index = np.flatnonzero((counts >= MIN_DOCS) & (np.abs(contrast(rows, labels, counts)) >= MIN_CONTRAST))
+    index = telling(rows, labels)
     place = np.full(BUCKETS, -1, np.int64)
     place[index] = np.arange(len(index))
     rows = [p[p >= 0] for p in (place[r] for r in rows)]

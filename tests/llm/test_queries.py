@@ -17,6 +17,7 @@ from .test_dedup import near_brute
 from .test_toxicity_pipeline import auc
 
 TABLES = Path("/root/testdata/sf0.001")
+LARGER = Path("/root/testdata/sf0.1")
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="the synthetic tables aren't here")
 
 
@@ -80,6 +81,16 @@ def test_toxicity(spark, duck):
         assert auc(np.array([r["score"] for r in held]), y) > 0.5
 
 
+@pytest.mark.skipif(not LARGER.exists(), reason="the synthetic tables aren't here")
+def test_toxicity_of_held_out_documents(spark):
+    labels = dict(duckdb.sql(f"select doc_id, max(toxic) from '{LARGER}/labels.parquet' where toxic is not null group by 1").fetchall())
+    held = [r for r in queries.op8_toxicity(spark, str(LARGER)).filter("held_out").collect() if r["doc_id"] in labels]
+    y, said = np.array([labels[r["doc_id"]] for r in held]), np.array([r["predicted"] for r in held])
+    assert auc(np.array([r["score"] for r in held]), y) > 0.95
+    hit = (said * y).sum()
+    assert hit / said.sum() > 0.9 and hit / y.sum() > 0.85
+
+
 def test_main_text(spark, duck):
     import html
     import re

@@ -46,6 +46,29 @@ def test_pairs_are_learned():
     assert model.score(known.of("scum folk")) > 0.5 > max(alone)
 
 
+def test_pairs_whose_terms_say_nothing_alone():
+    """Toxic where there is an insult or a group, but not both: neither is more frequent in one class."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+
+    def made(n):
+        out = []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            text = rng.sample(words, rng.randrange(5, 40)) + ["insult"] * a + ["group"] * b
+            rng.shuffle(text)
+            out.append((" ".join(text), a != b))
+        return out
+
+    of = toxicity.Terms()
+    train, held = made(3000), made(1000)
+    rows, y = [np.array(sorted(of.of(t)), np.int64) for t, _ in train], np.array([v for _, v in train], float)
+    model = toxicity.fit(rows, y, np.ones(len(y)))
+    known = toxicity.Terms(frozenset(model.index.tolist()))
+    assert len(model.index) < 100
+    assert auc(np.array([model.score(known.of(t)) for t, _ in held]), np.array([v for _, v in held], float)) > 0.9
+
+
 def test_score_is_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     m = toxicity.FactorizationMachine(0.1, np.array([3, 5, 9]), rng.normal(size=3), rng.normal(size=(3, 2)))
