@@ -1,19 +1,27 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of tokens: words score positive, tags negative, and one linear scan finds the contiguous region
-with the largest sum. Weights come from labelled pages: pages with a single ``<article>`` or ``<main>`` element, whose
-inside is the content. A tag's weight is the log-odds of being met inside against outside, never above ``LEAST_TAG``
-so that tags always cost; the labelled elements' own tags are where content begins and ends and cost ``BOUNDARY``.
-At most ``MAX_LABELLED`` pages are used, the first by a hash of their key; tags without evidence have ``UNSEEN``.
+with the largest sum. Weights come from labelled pages, those with ``<main>`` or ``<article>``, whose inside is the content:
+a word scores the share of words in its kind of place (a link, or the block that it stands in) that are content; a tag scores
+the logarithm of the share of its kind that are, at least ``MOST_TAG``. Shares start from ``PRIOR`` of ``PRIOR_COUNT``
+observations, which is what places and tags without evidence have. At most ``MAX_LABELLED`` pages of at most
+``MAX_LABELLED_BYTES`` are counted, the first by a hash of their key; executors count, the driver gets sums by kind.
+
+Where a page itself says what its content is, tokens are scored by that: inside its articles, or inside a main that holds
+none, words score whole and tags next to nothing (they are content by their page's own label); beside them nothing scores
+and nothing is taken; what a main holds around its articles, such as their title, is scored by learned weights, though
+what lies between two articles never parts them. Pages without such elements are scored by learned weights alone.
 
 Elements that aren't text of an article wherever they stand (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments, hidden parts) are known by tag, role, class or id. Their tokens score nothing, so an
-advert doesn't tear its article apart, and they are left out of the region's text. A class or id counts only on wrappers of
-blocks and where the whole name says so; html, body and what holds the page's only article or main are never left out.
+scripts, styles, reader comments, hidden parts) are known by tag, role, class or id, and left out of the region's text. In
+content they score nothing, so an advert doesn't tear its article apart; elsewhere they cost their own tags. A class or id
+counts only on wrappers of blocks and where the whole name says so; html, body and what holds the page's only article
+or main are never left out.
 
 Results: null, empty and tagless pages: no html gives the empty text, plain text is its own content. Character
 references are decoded, white space within a block becomes one space, blocks are joined by one line feed. Of regions
-with equal sums the first stays. Very long pages are handled whole, in time proportional to their length.
+with equal sums the first stays; a page of nothing but links has none. Pages are handled whole, in time proportional to
+their length, however deep elements are nested.
 """
 
 from __future__ import annotations
@@ -22,14 +30,18 @@ import html as html_lib
 import math
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kymo.llm.common import lowest, map_rows, tune
 
-MAX_LABELLED = 400
-WORD, UNSEEN, LEAST_TAG, MOST_TAG, BOUNDARY = 1.0, -0.1, -0.02, -2.0, -1e6
+MAX_LABELLED, MAX_LABELLED_BYTES = 400, 1 << 20
+#: Score of a word of content, least score of a tag, and what a region must score.
+WORD, MOST_TAG, LEAST_REGION = 1.0, -2.0, 0.25
+#: Share of content that is assumed of every kind of token, as if seen so often; and of tags in what a page calls its content.
+PRIOR, PRIOR_COUNT, OWN_TAG = 0.9, 5, -0.001
 
 # Element names.
 RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
@@ -39,6 +51,7 @@ OPEN_ENDED = frozenset("p li dt dd option tr td th thead tbody tfoot colgroup ht
 LEFT_OUT = frozenset("nav header footer aside form button head dialog menu fieldset label input noscript template svg canvas object video audio select".split())
 LABELLED = frozenset(("article", "main"))
 INERT = frozenset("noscript template svg canvas object video audio select".split())
+INLINE_LEFT_OUT = INERT | INLINE | frozenset(("button", "label", "input"))
 # Class names, ids and roles of what isn't an article's text.
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation "
@@ -61,7 +74,6 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _CUT = re.compile(r"[^a-z]+")
-_LABEL = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 
 
 def is_left_out_name(name: str) -> bool:
@@ -91,145 +103,222 @@ def is_left_out(tag: str, attrs: str) -> bool:
     return False
 
 
-def holders(page: str) -> frozenset[int]:
+class Element(NamedTuple):
+    """A tag of a page: ``tag`` is None for comments, scripts and the like."""
+
+    tag: str | None
+    end: bool
+    attrs: str
+    at: int
+    after: int
+
+
+def elements(page: str) -> list[Element]:
+    """Every tag, in page order."""
+    return [Element(m["tag"] and m["tag"].lower(), bool(m["end"]), m["attrs"] or "", m.start(), m.end()) for m in _TOKEN.finditer(page)]
+
+
+class OpenTags:
+    """Names of the elements that are open. Each is pushed and popped once, so closing never searches."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, tag: str) -> None:
+        self.names.append(tag)
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.names.pop()
+        self.count[tag] -= 1
+        return tag
+
+    def has(self, tag: str) -> bool:
+        return self.count.get(tag, 0) > 0
+
+    def close(self, tag: str) -> bool:
+        """Close the innermost ``tag`` and what is open in it; False where none is open."""
+        if not self.has(tag):
+            return False
+        while self.pop() != tag:
+            pass
+        return True
+
+
+def holders(found: list[Element]) -> frozenset[int]:
     """Where the elements begin that the page's only <article>, or its only <main>, stands in."""
-    open_tags: list[tuple[str, int]] = []
-    depth: dict[str, int] = {}
-    found: dict[str, list[int]] = {}
+    opened, places = OpenTags(), []
+    first: dict[str, list[int]] = {}
     many = set()
-    for m in _TOKEN.finditer(page) if _LABEL.search(page) else ():
-        tag = m["tag"]
-        if tag is None:
+    for e in found:
+        if e.tag is None:
             continue
-        tag = tag.lower()
-        if m["end"]:
-            while depth.get(tag):
-                last, _ = open_tags.pop()
-                depth[last] -= 1
-                if last == tag:
-                    break
+        if e.end:
+            if opened.close(e.tag):
+                del places[len(opened.names) :]
             continue
-        if open_tags and open_tags[-1][0] == "p" and tag not in INLINE:
-            open_tags.pop()
-            depth["p"] -= 1
-        if tag in LABELLED:
-            if tag in found:
-                many.add(tag)
+        if opened.names and opened.names[-1] == "p" and e.tag not in INLINE:
+            opened.pop()
+            places.pop()
+        if e.tag in LABELLED:
+            if e.tag in first:
+                many.add(e.tag)
             else:
-                found[tag] = [at for _, at in open_tags]
-        if tag not in VOID and (not m["attrs"].endswith("/") or tag in INLINE | OPEN_ENDED):
-            open_tags.append((tag, m.start()))
-            depth[tag] = depth.get(tag, 0) + 1
-    return frozenset(at for tag, starts in found.items() if tag not in many for at in starts)
-
-
-def tokens(page: str) -> list[tuple[str, str]]:
-    """(tag, text) in page order, without what is left out: tag is "" for text, "/" for a gap, else the element's name."""
-    out: list[tuple[str, str]] = []
-    open_tags: list[str] = []
-    skip = -1  # depth of the outermost element being left out
-    at = 0
-    closed: dict[str, int] = {}  # where each element name is closed last
+                first[e.tag] = list(places)
+        if e.tag not in VOID and (not e.attrs.endswith("/") or e.tag in INLINE | OPEN_ENDED):
+            opened.push(e.tag)
+            places.append(e.at)
+    return frozenset(at for tag, starts in first.items() if tag not in many for at in starts)
+
+
+class Token(NamedTuple):
+    """A piece of text (``tag`` is ""), a tag, or a gap where a block was left out ("/").
+
+    ``kind`` names what weights are learned for: a text's place, a tag's name; "" inside what a class, id or role leaves out,
+    which says nothing about tags.
+    """
+
+    tag: str
+    text: str
+    kind: str
+    out: bool
+    main: bool
+    article: bool
+
+
+def tokens(page: str) -> list[Token]:
+    """The tokens of a page; those of left out elements are marked ``out``."""
+    found = elements(page)
+    last_end = {e.tag: e.at for e in found if e.end}
+    out: list[Token] = []
+    opened = OpenTags()
+    skip, by_tag = -1, True  # depth of the outermost element being left out, and whether its tag alone says so
+    block = ""  # the block that text stands in
     holding: frozenset[int] | None = None  # found when first asked for
 
-    def leave_out(m: re.Match, tag: str, attrs: str) -> bool:
+    def add(tag: str, text: str = "", kind: str = "") -> None:
+        out.append(Token(tag, text, kind if by_tag else "", skip >= 0, opened.has("main"), opened.has("article")))
+
+    def leave_out(e: Element) -> bool:
         nonlocal holding
-        if not is_left_out(tag, attrs):
+        if not is_left_out(e.tag, e.attrs):
             return False
-        if tag not in INERT and holding is None:
-            holding = holders(page)
-        return tag in INERT or m.start() not in holding
-
-    for m in _TOKEN.finditer(page):
-        if skip < 0 and m.start() > at:
-            out.append(("", page[at : m.start()]))
-        at = m.end()
-        tag = m["tag"]
+        if e.tag not in INERT and holding is None:
+            holding = holders(found)
+        return e.tag in INERT or e.at not in holding
+
+    def gap(tag: str) -> None:
+        if tag not in INLINE_LEFT_OUT:
+            out.append(Token("/", "", tag if tag in LEFT_OUT else "", False, opened.has("main"), opened.has("article")))
+
+    at = 0
+    for e in [*found, Element(None, False, "", len(page), len(page))]:
+        if e.at > at:
+            add("", page[at : e.at], "in:a" if opened.has("a") else f"in:{block}")
+        at, tag = e.after, e.tag
         if tag is None:
             continue
-        tag = tag.lower()
-        if m["end"]:
-            if tag in open_tags:
-                while open_tags.pop() != tag:
-                    pass
-                if skip >= len(open_tags):
-                    skip = -1
-                    out.append(("/", ""))
-                    continue
-            if skip < 0:
-                out.append((tag, ""))
-            continue
-        if skip >= 0 and skip == len(open_tags) - 1 and (open_tags[skip] == "p" and tag not in INLINE or open_tags[skip] in OPEN_ENDED and open_tags[skip] == tag):
-            open_tags.pop()  # the next block ends one whose end tag may be left away
-            skip = -1
-            out.append(("/", ""))
-        attrs = m["attrs"]
-        if tag in VOID or attrs.endswith("/") and tag not in INLINE | OPEN_ENDED:
-            if skip < 0:
-                out.append((tag, ""))
-            continue
-        if tag in OPEN_ENDED and not leave_out(m, tag, attrs):
-            if skip < 0:
-                out.append((tag, ""))
+        if tag not in INLINE:
+            block = "" if e.end else tag
+        if e.end:
+            name = opened.names[skip] if skip >= 0 else ""
+            if opened.close(tag) and skip >= len(opened.names):
+                skip, by_tag = -1, True
+                gap(name)
+            else:
+                add(tag, kind=tag)
             continue
-        if skip < 0 and leave_out(m, tag, attrs):
-            if tag not in closed:
-                closed[tag] = page.lower().rfind(f"</{tag}")
-            if tag not in OPEN_ENDED and closed[tag] < at:  # never closed: only its tag can be left out
-                out.append(("/", ""))
-                continue
-            skip = len(open_tags)
-            open_tags.append(tag)
+        if skip >= 0 and skip == len(opened.names) - 1:
+            name = opened.names[skip]
+            if name == "p" and tag not in INLINE or name in OPEN_ENDED and name == tag:
+                opened.pop()  # the next block ends one whose end tag may be left away
+                skip, by_tag = -1, True
+                gap(name)
+        if tag in VOID or e.attrs.endswith("/") and tag not in INLINE | OPEN_ENDED:
+            add(tag, kind=tag)
             continue
-        open_tags.append(tag)
-        if skip < 0:
-            out.append((tag, ""))
-    if skip < 0 and at < len(page):
-        out.append(("", page[at:]))
+        left_out = skip < 0 and leave_out(e)
+        if tag in OPEN_ENDED and not left_out:
+            add(tag, kind=tag)
+        elif left_out and tag not in OPEN_ENDED and last_end.get(tag, -1) < at:  # never closed: only its tag can be left out
+            gap(tag)
+        elif left_out:
+            skip, by_tag = len(opened.names), tag in LEFT_OUT
+            add(tag, kind=tag)
+            opened.push(tag)
+        else:
+            add(tag, kind=tag)
+            opened.push(tag)
     return out
 
 
+def marked(found: list[Token]) -> tuple[list[bool], list[bool]] | None:
+    """(content, near) for each token by the page's own <main> or <article>; None for pages that say nothing.
+
+    Articles in a main are content and the rest of the main is near; a main without articles is content, as are articles on
+    pages without a main. An element without a word says nothing.
+    """
+    says = [not t.out and not t.tag and not t.text.isspace() for t in found]
+    mains = any(s and t.main for s, t in zip(says, found))
+    if mains and any(s and t.main and t.article for s, t in zip(says, found)):
+        return [t.main and t.article for t in found], [t.main and not t.article for t in found]
+    if mains:
+        return [t.main for t in found], [False] * len(found)
+    if any(s and t.article for s, t in zip(says, found)):
+        return [t.article for t in found], [False] * len(found)
+    return None
+
+
+def share(inside: int, outside: int) -> float:
+    """Share of content among so many tokens of a kind."""
+    return (inside + PRIOR * PRIOR_COUNT) / (inside + outside + PRIOR_COUNT)
+
+
 @dataclass
 class Weights:
-    """Scores of a word and of tags."""
+    """Scores of words by place and of tags by name."""
 
     word: float = WORD
+    words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def of(self, tag: str) -> float:
-        return BOUNDARY if tag in LABELLED else 0.0 if tag == "/" else self.tags.get(tag, UNSEEN)
+    def of(self, token: Token) -> float:
+        """The score of a token of a page that doesn't say what its content is."""
+        if not token.tag:
+            return self.word * len(token.text.split()) * self.words.get(token.kind, PRIOR)
+        each = self.tags.get(token.kind, math.log(PRIOR))
+        return 0.0 if token.out else 2 * each if token.tag == "/" else each
 
 
-def tag_counts(page: str) -> tuple[dict[str, int], dict[str, int], int, int] | None:
-    """Tags inside and outside the single labelled element, and words inside and outside; None for other pages."""
+def token_counts(page: str) -> dict[tuple[str, bool], int]:
+    """How many tokens of each kind a labelled page has in its content (True) and elsewhere; none for other pages."""
     found = tokens(page)
-    ends = [i for i, (tag, _) in enumerate(found) if tag in LABELLED]
-    if len(ends) != 2 or found[ends[0]][0] != found[ends[1]][0]:
-        return None
-    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    words = [0, 0]
-    for i, (tag, text) in enumerate(found):
-        side = 0 if ends[0] < i < ends[1] else 1
-        if not tag:
-            words[side] += len(text.split())
-        elif tag not in LABELLED and tag != "/":
-            counts[side][tag] = counts[side].get(tag, 0) + 1
-    return *counts, *words
+    zones = marked(found)
+    out: dict[tuple[str, bool], int] = {}
+    for t, content, near in zip(found, *zones) if zones else ():
+        n = 1 if t.tag else len(t.text.split())
+        if n and t.kind and t.kind not in LABELLED and t.tag != "/" and (t.out or not near):
+            of = (t.kind, content and not t.out)
+            out[of] = out.get(of, 0) + n
+    return out
+
+
+def weights_of(counts: dict[tuple[str, bool], int]) -> Weights:
+    """Weights from counts of labelled pages; the defaults where there are none."""
+    shares = {k: share(counts.get((k, True), 0), counts.get((k, False), 0)) for k in sorted({kind for kind, _ in counts})}
+    return Weights(
+        WORD, {k: v for k, v in shares.items() if k.startswith("in:")},
+        {k: max(MOST_TAG, math.log(v)) for k, v in shares.items() if not k.startswith("in:")})
 
 
 def weights_from(pages: list[str]) -> Weights:
     """Weights from labelled pages; the defaults where none is labelled."""
-    inside: dict[str, int] = {}
-    outside: dict[str, int] = {}
-    words = [0, 0]
-    for found in filter(None, map(tag_counts, pages)):
-        for total, part in zip((inside, outside), found[:2]):
-            for tag, n in part.items():
-                total[tag] = total.get(tag, 0) + n
-        words = [a + b for a, b in zip(words, found[2:])]
-    odds = lambda a, b: math.log((a + 5) / (b + 5))
-    word = min(2.0, max(0.5, odds(*words))) if sum(words) else WORD
-    return Weights(word, {t: min(LEAST_TAG, max(MOST_TAG, odds(inside.get(t, 0), outside.get(t, 0)))) for t in {*inside, *outside}})
+    counts: dict[tuple[str, bool], int] = {}
+    for page in pages:
+        for of, n in token_counts(page).items():
+            counts[of] = counts.get(of, 0) + n
+    return weights_of(counts)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -244,30 +333,61 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def scored(found: list[Token], weights: Weights) -> tuple[list[float], list[bool]]:
+    """(score, whether its text may be taken) of each token."""
+    zones = marked(found)
+    if zones is None:
+        return [0.0 if t.out else weights.of(t) for t in found], [not t.out for t in found]
+    content, near = zones
+    first, last = content.index(True), len(content) - content[::-1].index(True)
+    scores = []
+    for i, (t, inside, around) in enumerate(zip(found, content, near)):
+        if t.out or not (inside or around) or t.tag == "/" and inside:
+            scores.append(0.0)
+        elif inside:
+            scores.append(OWN_TAG if t.tag else weights.word * len(t.text.split()))
+        else:
+            scores.append(max(0.0, weights.of(t)) if first < i < last else weights.of(t))
+    return scores, [not t.out and (c or n) for t, c, n in zip(found, content, near)]
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The text of the best region of a page."""
     found = tokens(page or "")
-    scores = [weights.word * len(text.split()) if not tag else weights.of(tag) for tag, text in found]
+    scores, taken = scored(found, weights)
     first, last = best_region(scores)
+    if sum(scores[first : last + 1]) < LEAST_REGION:
+        return ""
     blocks, run = [], []
-    for tag, text in found[first : last + 1]:
-        if not tag:
-            run.append(html_lib.unescape(text))
-        elif tag == "br":
+    for token, keep in zip(found[first : last + 1], taken[first : last + 1]):
+        if not token.tag:
+            if keep:
+                run.append(html_lib.unescape(token.text))
+        elif token.tag == "br":
             run.append(" ")
-        elif tag not in INLINE:
+        elif token.tag not in INLINE and not token.out:
             blocks.append(run)
             run = []
     lines = (" ".join("".join(r).split()) for r in [*blocks, run])
     return "\n".join(x for x in lines if x)
 
 
-def learn_weights(df: DataFrame, key: str = "page_id", html: str = "html", max_pages: int = MAX_LABELLED, seed: int = 3) -> Weights:
-    """Weights from at most ``max_pages`` pages of ``df`` with a labelled element, the first by a hash of their key."""
-    marked = df.filter(F.col(html).rlike("(?i)<(article|main)[\\s>]"))
+def learn_weights(df: DataFrame, key: str = "page_id", html: str = "html", max_pages: int = MAX_LABELLED, max_bytes: int = MAX_LABELLED_BYTES, seed: int = 3) -> Weights:
+    """Weights from at most ``max_pages`` pages of ``df`` with a labelled element and at most ``max_bytes``, the first by a hash of their key."""
+    tune(df.sparkSession)
+    labelled = df.filter(F.col(html).rlike("(?i)<(article|main)[\\s>]") & (F.octet_length(html) <= max_bytes))
     order = F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.xxhash64(html))
-    chosen = lowest(marked.select(key, html), order, max_pages, marked.count())
-    return weights_from([r[html] for r in chosen.collect()])
+    chosen = lowest(labelled.select(key, html), order, max_pages, labelled.count())
+
+    def per_batch(columns: dict) -> dict:
+        out: dict[tuple[str, bool], int] = {}
+        for page in columns["html"]:
+            for of, n in token_counts(page.as_py()).items():
+                out[of] = out.get(of, 0) + n
+        return {"kind": [k for k, _ in out], "content": [c for _, c in out], "n": list(out.values())}
+
+    counted = map_rows(chosen.select(F.col(html).alias("html")), per_batch, "kind string, content boolean, n long").groupBy("kind", "content").agg(F.sum("n").alias("n"))
+    return weights_of({(r["kind"], r["content"]): r["n"] for r in counted.collect()})
 
 
 def extract(df: DataFrame, weights: Weights, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

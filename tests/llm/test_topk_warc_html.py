@@ -215,7 +215,7 @@ def test_pages_in_frames(spark):
     rows = [(i, "u", h, "n") for i, h in enumerate([*LABELLED, None, ""])] + [(None, None, LABELLED[0], "n")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     weights = html_text.learn_weights(df)
-    assert weights == WEIGHTS
+    assert weights == html_text.weights_from([*LABELLED, LABELLED[0]])  # the page without a key counts as well
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(df, weights).collect()}
     assert got[1] == ("Head 1\nSome words of text 1.\nMore of it", 39) and got[30] == got[31] == ("", 0) and got[None][0].startswith("Head 0")
     assert html_text.extract(df.limit(0), weights).count() == 0
