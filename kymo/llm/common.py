@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,15 +103,6 @@ def apart(df: DataFrame) -> DataFrame:
     return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` kept on the executors' disks for uses that follow each other, with its lineage.
-
-    What a lost executor kept is made again from the inputs, so every step up to here must give the same rows each time.
-    It is dropped with the session's cache (spark.catalog.clearCache()) or at its end.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def lowest(df: DataFrame, order: Column, n: int, rows: int) -> DataFrame:
     """The ``n`` rows of ``df`` (``rows`` in all) with the least ``order``, a 64-bit hash.
 

@@ -5,7 +5,7 @@ strings are first dealt by content, such that equal strings meet in one shard:
 
 1. Windows. Each 200-byte window of a text has a minimizer, its least hashed 32-byte gram. Successive windows that share
    it form a run of at most ``MAX_WINDOWS`` windows; equal windows have equal minimizers, wherever they stand. A run is
-   one row: minimizer, 64-bit digest of its bytes, place.
+   one row: minimizer, 128-bit BLAKE2b digest of its bytes, place.
 2. Runs whose minimizer occurs once, at one place, are done: nothing in them repeats. A minimizer whose runs are all the same bytes
    is done as well: all their windows repeat. (Counts and extremes of digests are aggregated before the shuffle.)
 3. What is left are minimizers with several texts around them, at the ends of repeated passages. One run of each of its
@@ -14,20 +14,20 @@ strings are first dealt by content, such that equal strings meet in one shard:
    Larsson-Sadakane refinement: prefix doubling in which only groups that aren't sorted yet are sorted again.
    Kasai's algorithm gives the common prefixes of neighbours, advancing in all runs at once. Neighbours with 200 bytes
    in common are repeated windows. The runs of one minimizer may fill several shards; these are merged pairwise by binary
-   search of the windows of one in the suffix array of the other.
+   search of the windows of one in the suffix array of the other, all of them at once.
 5. A minimizer with over ``HOT`` different texts around it (a line that a third of all documents share) would need too
    many such merges: its windows are counted by 128-bit digest instead, aggregated before the shuffle.
 6. Each document's repeated windows are merged into spans and cut out. The exchange of texts by row serves steps 4 and 6.
 
 Results: a null text is empty, texts under 200 bytes lose nothing, matches never cross texts, both copies of a repeated
-passage go, as do rows that repeat a text of 200 bytes or more. Overlapping repeats within one text count. Digests
-that are equal by chance (64 bits of minimizer with 64 of the run, or 128 bits of a window) are taken as equal bytes.
+passage go, as do rows that repeat a text of 200 bytes or more. Overlapping repeats within one text count. Strings with
+equal 128-bit BLAKE2b digests count as equal bytes (steps 2, 3 and 5): by chance that is wrong with a probability
+under 1e-12 among 10**13 runs, and no text can be made for which it is. Minimizers only bring strings together.
 Texts of any length are cut into pieces of ``PIECE`` bytes for step 1, with windows overlapping the cuts.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import kept, map_rows, numbered, tune, written
+from kymo.llm.common import map_rows, numbered, tune, written
 
 LENGTH, GRAM = 200, 32
 #: Grams of a window, and windows of a run at most.
@@ -63,19 +63,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return x
 
 
-def _mixed(state: np.ndarray, more: np.ndarray) -> np.ndarray:
-    state = (state ^ more) * _LEFT[10]
-    state ^= state >> np.uint64(29)
-    state *= _RIGHT[10]
-    return state ^ state >> np.uint64(32)
-
-
-def range_hashes(grams: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hash of ``size`` bytes (GRAM at least) from each ``start`` on, from overlapping gram hashes."""
-    state = size.astype(np.uint64) * _RIGHT[11 + seed]
-    for at in range(0, LENGTH + MAX_WINDOWS, GRAM):
-        state = _mixed(state, grams[start + np.minimum(at, size - GRAM)])
-    return state
+def digests_of(data: bytes, starts: list[int], sizes: list[int]) -> np.ndarray:
+    """(n, 2) longs: the digests of the strings of these sizes from each start on."""
+    found = b"".join([hashlib.blake2b(data[a : a + n], digest_size=16).digest() for a, n in zip(starts, sizes)])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
 def window_minima(grams: np.ndarray) -> np.ndarray:
@@ -92,12 +83,12 @@ def window_minima(grams: np.ndarray) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(minimizer, digest, first window, windows, again) of the runs in texts that lie one after the other, up to ``ends``.
+    """(minimizer, digests, first window, windows, again) of the runs in texts that lie one after the other, up to ``ends``.
 
     ``again`` is true where the minimizer comes at several places of a run, whose windows may then equal each other.
     """
     if len(data) < LENGTH:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, bool))
+        return np.empty(0, np.uint64), np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     grams = gram_hashes(data)
     least = window_minima(grams)
     inside = np.ones(len(least), bool)
@@ -116,14 +107,15 @@ def runs_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         start, left = np.repeat(start, pieces) + nth * MAX_WINDOWS, np.repeat(count, pieces) - nth * MAX_WINDOWS
         count = np.minimum(left, MAX_WINDOWS)
     minimizer = grams[(least[start] & _POSITION).astype(np.int64)]
-    return minimizer, range_hashes(grams, start, count + LENGTH - 1), start, count, least[start] != least[start + count - 1]
+    digests = digests_of(data.tobytes(), start.tolist(), (count + LENGTH - 1).tolist())
+    return minimizer, digests, start, count, least[start] != least[start + count - 1]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-RUNS = "f long, h long, row long, a int, n int, again boolean"
+RUNS = "f long, h1 long, h2 long, row long, a int, n int, again boolean"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +130,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.searchsorted(ends, start, "right")
         row, offset = np.array([p[0] for p in held], np.int64), np.array([p[1] for p in held], np.int64)
         a = start - (ends - sizes)[of] + offset[of]
-        return pa.RecordBatch.from_arrays([_signed(f), _signed(h), pa.array(row[of]), pa.array(a.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)], names=["f", "h", "row", "a", "n", "again"])
+        columns = [_signed(f), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(row[of]), pa.array(a.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)]
+        return pa.RecordBatch.from_arrays(columns, names=["f", "h1", "h2", "row", "a", "n", "again"])
 
     for batch in batches:
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -250,27 +243,78 @@ class Shard:
         """Each position's distance from the start of its text."""
         return np.arange(self.n) - np.repeat(self.starts, self.sizes + 1)
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, new): all windows in suffix order, and whether each differs from the one before."""
+        full = np.repeat(self.sizes + 1, self.sizes + 1) - self._offsets() > LENGTH
+        places = np.flatnonzero(full[self.order])
+        return self.order[places], self.common_prefixes()[places] < LENGTH
+
+
+#: Windows that are searched for at once.
+SEARCHED = 1 << 15
+
+
+def compared(x: np.ndarray, at: np.ndarray, y: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 as the windows of ``x`` at some positions are less than, equal to or above those of ``y`` at others.
+
+    ``x`` and ``y`` are ``Sorted.words``.
+    """
+    out, live = np.zeros(len(at), np.int8), np.arange(len(at))
+    for k in range(0, LENGTH, 8):
+        a, b = x[at[live] + k], y[to[live] + k]
+        out[live] = (a > b).astype(np.int8) - (a < b)
+        live = live[a == b]
+        if not len(live):
+            break
+    return out
+
+
+class Sorted:
+    """A shard as others see it: its windows in order, which of the different ones each is, and whether these repeat.
+
+    ``words`` are the eight bytes from each position on, as numbers that compare as the bytes do.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        windows, new = Shard(texts).windows()
+        data = np.frombuffer(b"\0".join([*texts, bytes(8)]), np.uint8)
+        self.words = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(">u8").ravel().astype(np.uint64)
+        self.windows, self.which = windows.astype(np.int32), (np.cumsum(new) - 1).astype(np.int32)
+        self.different = self.windows[new]
+        self.first = self.words[self.different]
+        self.repeats = np.bincount(self.which, minlength=len(self.different)) > 1
+
+    def places(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, place): which windows at some positions of a shard with these ``words`` are among the different ones here, and where.
+
+        Binary search, for all windows at once: first by their first eight bytes, then by the others among those that share these.
+        """
+        keys = words[at]
+        low, high = np.searchsorted(self.first, keys, "left"), np.searchsorted(self.first, keys, "right")
+        end, met = high.copy(), np.flatnonzero(low < high)
+        live = met
+        while len(live):
+            middle = (low[live] + high[live]) // 2
+            up = compared(self.words, self.different[middle], words, at[live]) < 0
+            low[live] = np.where(up, middle + 1, low[live])
+            high[live] = np.where(up, high[live], middle)
+            live = live[low[live] < high[live]]
+        met = met[low[met] < end[met]]
+        met = met[compared(self.words, self.different[low[met]], words, at[met]) == 0]
+        return met, low[met]
+
     def repeated(self) -> np.ndarray:
-        """True for the positions at which a window starts that starts elsewhere in the shard too."""
-        long = self.common_prefixes() >= LENGTH
-        out = np.zeros(self.n, bool)
-        out[self.order[long]] = True
-        out[self.order[np.flatnonzero(long) - 1]] = True
+        """True for the positions of windows that repeat."""
+        out = np.zeros(len(self.words), bool)
+        out[self.windows[self.repeats[self.which]]] = True
         return out
 
-    def windows(self) -> list[tuple[bytes, int]]:
-        """(window, position) in suffix order."""
-        full = np.zeros(self.n, bool)
-        for start, size in zip(self.starts, self.sizes):
-            full[start : start + max(0, size - LENGTH + 1)] = True
-        data = (self.symbols[: self.n] - 1).astype(np.uint8).tobytes()
-        return [(data[i : i + LENGTH], i) for i in self.order[full[self.order]].tolist()]
-
 
 def repeated_windows(texts: list[bytes], shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each text the starts of its windows that start anywhere else in ``texts`` as well.
 
-    Texts fill shards in turn; shards are merged by binary search.
+    Texts fill shards in turn; shards are merged by binary search of the different windows of one in those of the other.
+    Of a shard only its bytes and its windows in order are held while others are built.
     """
     shards: list[list[int]] = [[]]
     size = 0
@@ -280,26 +324,20 @@ def repeated_windows(texts: list[bytes], shard_bytes: int = SHARD_BYTES) -> list
             size = 0
         shards[-1].append(k)
         size += len(text)
-    built = [(members, Shard([texts[k] for k in members])) for members in shards if members]
-    flags = [shard.repeated() for _, shard in built]
-    if len(built) > 1:
-        sorted_windows = [shard.windows() for _, shard in built]
-        keys = [[w for w, _ in ws] for ws in sorted_windows]
-        for x in range(len(built)):
-            for y in range(x + 1, len(built)):
-                last, hit = None, None
-                for window, i in sorted_windows[x]:
-                    if window != last:
-                        last, at = window, bisect.bisect_left(keys[y], window)
-                        hit = (at, bisect.bisect_right(keys[y], window, at)) if at < len(keys[y]) and keys[y][at] == window else None
-                        if hit:
-                            flags[y][[sorted_windows[y][z][1] for z in range(*hit)]] = True
-                    if hit:
-                        flags[x][i] = True
+    shards = [members for members in shards if members]
+    built = [Sorted([texts[k] for k in members]) for members in shards]
+    for x in range(len(built)):
+        for y in range(x + 1, len(built)):
+            for i in range(0, len(built[x].different), SEARCHED):
+                same, place = built[y].places(built[x].words, built[x].different[i : i + SEARCHED])
+                built[x].repeats[i + same] = True
+                built[y].repeats[place] = True
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-    for (members, shard), flag in zip(built, flags):
-        for k, start, n in zip(members, shard.starts, shard.sizes):
-            out[k] = np.flatnonzero(flag[start : start + n])
+    for members, shard in zip(shards, built):
+        flag, at = shard.repeated(), 0
+        for k in members:
+            out[k] = np.flatnonzero(flag[at : at + len(texts[k])])
+            at += len(texts[k]) + 1
     return out
 
 
@@ -348,12 +386,28 @@ def _window_digests(columns: dict) -> dict:
     out: dict[str, list] = {"d1": [], "d2": [], "row": [], "a": []}
     for row, a, text in zip(*(columns[n].to_pylist() for n in ("row", "a", "bytes"))):
         n = len(text) - LENGTH + 1
-        grams, at = gram_hashes(np.frombuffer(text, np.uint8)), np.arange(n)
-        for name, seed in (("d1", 0), ("d2", 1)):
-            out[name].append(range_hashes(grams, at, np.full(n, LENGTH), seed))
-        out["row"].append(np.full(n, row))
-        out["a"].append(at + a)
-    return {n: np.concatenate(x).view(np.int64) if x else [] for n, x in out.items()}
+        digests = digests_of(text, range(n), [LENGTH] * n)
+        out["d1"].append(digests[:, 0])
+        out["d2"].append(digests[:, 1])
+        out["row"].append(np.full(n, row, np.int64))
+        out["a"].append(np.arange(a, a + n))
+    return {n: np.concatenate(x) if x else [] for n, x in out.items()}
+
+
+#: Windows that are merged at once are those that begin in so many bytes of a text.
+MERGED = 1 << 14
+
+
+def _merged(columns: dict) -> dict:
+    """Successive windows of (row, starts) as (row, first, how many)."""
+    out: dict[str, list] = {"row": [], "a": [], "n": []}
+    for row, starts in zip(columns["row"].to_pylist(), columns["starts"]):
+        at = np.unique(starts.values.to_numpy())
+        begin = np.flatnonzero(np.append(True, np.diff(at) > 1))
+        out["row"] += [row] * len(begin)
+        out["a"] += at[begin].tolist()
+        out["n"] += np.diff(np.append(begin, len(at))).tolist()
+    return out
 
 
 def _cut_contexts(columns: dict) -> dict:
@@ -378,18 +432,19 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """
     spark = texts.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = kept(texts.select("row", "text").mapInArrow(_runs, RUNS))
-    of_f = runs.groupBy("f").agg(F.count("*").alias("count"), F.min("h").alias("least"), F.max("h").alias("most"), F.max("again").alias("within"))
-    of_f = of_f.filter("count > 1 or within").select("f", F.expr("count = 1 or least <> most").alias("several"))
+    runs = written(texts.select("row", "text").mapInArrow(_runs, RUNS), "suffix-runs")
+    of_f = runs.groupBy("f").agg(
+        F.count("*").alias("count"), *[g(h).alias(f"{n}_{h}") for h in ("h1", "h2") for n, g in (("least", F.min), ("most", F.max))], F.max("again").alias("within"))
+    of_f = of_f.filter("count > 1 or within").select("f", F.expr("count = 1 or least_h1 <> most_h1 or least_h2 <> most_h2").alias("several"))
     # Aggregates are written before they are joined: with an exchange on both sides Spark may split a very frequent key.
     few = max(1, partitions // 8)
     of_f = written(of_f.coalesce(few), "suffix-minimizers")
-    again = kept(runs.select("f", "h", "row", "a", "n").join(of_f, "f"))
+    again = written(runs.drop("again").join(of_f, "f"), "suffix-repeats")
     same = again.filter("not several").select("row", "a", "n")
     several = again.filter("several")
-    of_h = several.groupBy("f", "h").agg(F.count("*").alias("count"), F.min(F.struct("row", "a", "n")).alias("one"))
+    of_h = several.groupBy("f", "h1", "h2").agg(F.count("*").alias("count"), F.min(F.struct("row", "a", "n")).alias("one"))
     of_h = written(of_h.coalesce(few), "suffix-surroundings")
-    same = same.unionAll(several.join(of_h.filter("count > 1").select("f", "h"), ["f", "h"]).select("row", "a", "n"))
+    same = same.unionAll(several.join(of_h.filter("count > 1").select("f", "h1", "h2"), ["f", "h1", "h2"]).select("row", "a", "n"))
     ones = of_h.select("f", "one.*")
     crowded = ones.groupBy("f").agg(F.count("*").alias("count")).filter(F.col("count") > hot).select("f", F.lit(True).alias("hot"))
     crowded = written(crowded.coalesce(few), "suffix-crowded")
@@ -403,7 +458,8 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     windows = map_rows(contexts.filter("hot").select("row", "a", "bytes"), _window_digests, "d1 long, d2 long, row long, a int")
     counted = windows.groupBy("d1", "d2").agg(F.count("*").alias("count")).filter("count > 1").select("d1", "d2")
     counted = written(counted.coalesce(few), "suffix-windows")
-    return same.unionAll(found).unionAll(windows.join(counted, ["d1", "d2"]).select("row", "a", F.lit(1).alias("n")))
+    repeated = windows.join(counted, ["d1", "d2"]).groupBy("row", F.expr(f"a div {MERGED}")).agg(F.collect_list("a").alias("starts"))  # MERGED starts at most
+    return same.unionAll(found).unionAll(map_rows(repeated.select("row", "starts"), _merged, SPANS))
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

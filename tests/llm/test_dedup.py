@@ -3,6 +3,9 @@
 import collections
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -238,5 +241,25 @@ def test_shards_merge_by_binary_search():
     assert one == [[i for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1] for t in texts]
 
 
+def test_memory_of_a_full_minimizer():
+    """As many texts around one minimizer as shards take: merged in far less than an object for every window."""
+    code = """
+import resource
+import numpy as np
+from kymo.llm import suffix_dedup as s
+rng = np.random.default_rng(1)
+letters = lambda n: rng.integers(97, 110, n, dtype=np.uint8).tobytes()
+core = letters(200)
+texts = [letters(84) + core + letters(84) if i % 2 else core[int(rng.integers(0, 84)):] + letters(170) for i in range(s.HOT)]
+s.Shard([b"x" * 300])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = s.repeated_windows(texts)
+assert sum(len(f) > 0 for f in found) >= s.HOT // 2
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    assert float(done.stdout) < 220
+
+
 def test_no_documents(spark):
     assert suffix_dedup.remove_repeats(documents(spark, ["a"]).limit(0)).count() == 0
