@@ -7,7 +7,7 @@ seconds as doubles. Recordings are independent, so everything is partitioned by
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +39,25 @@ def matching_markers(markers: DataFrame, pattern: str, marker: str = "marker") -
     return markers.filter(F.col(marker).rlike(f"^(?:{pattern})"))
 
 
+def last_marker(markers: DataFrame, at: Column | float | None = None, pattern: str | None = None, by: str = "recording", ts: str = "ts", marker: str = "marker") -> DataFrame:
+    """(recording, ts, marker): of each recording the last (matching) marker, up to and with time ``at`` where given.
+
+    Of markers with equal times the last in the order of their text counts.
+    """
+    return _one_marker(markers, None if at is None else F.col(ts) <= at, pattern, by, ts, marker, F.max)
+
+
+def peek_marker(markers: DataFrame, at: Column | float, pattern: str | None = None, by: str = "recording", ts: str = "ts", marker: str = "marker") -> DataFrame:
+    """(recording, ts, marker): of each recording the first (matching) marker after time ``at``, without using it up."""
+    return _one_marker(markers, F.col(ts) > at, pattern, by, ts, marker, F.min)
+
+
+def _one_marker(markers: DataFrame, when: Column | None, pattern: str | None, by: str, ts: str, marker: str, pick: Callable[[Column], Column]) -> DataFrame:
+    some = markers if pattern is None else matching_markers(markers, pattern, marker)
+    some = (some if when is None else some.filter(when)).filter(F.col(ts).isNotNull())
+    return some.groupBy(by).agg(pick(F.struct(ts, marker)).alias("_m")).select(by, F.col(f"_m.{ts}").alias(ts), F.col(f"_m.{marker}").alias(marker))
+
+
 def epochs(signal: DataFrame, markers: DataFrame, samples: int, relative_start: float = 0.0, channels: Sequence[int] | None = None,
            by: str = "recording", ts: str = "ts", values: str = "values", keep: Sequence[str] = ("label",)) -> DataFrame:
     """One row a marker: the first sample at or after marker + ``relative_start`` and those after it, ``samples`` in all.
@@ -52,8 +71,9 @@ def epochs(signal: DataFrame, markers: DataFrame, samples: int, relative_start:
     wanted = markers.withColumn("_at", F.col(ts) + F.lit(float(relative_start))).withColumn("marker_id", F.row_number().over(Window.partitionBy(by).orderBy(ts, *keep)))
     slim = wanted.select(F.col(by).alias("_by"), F.col("_at").alias("_ts"), F.lit(None).cast("long").alias("_n"), F.col("marker_id"))
     merged = slim.unionByName(numbered.select("_by", "_ts", "_n", F.lit(None).cast("int").alias("marker_id")))
-    ahead = Window.partitionBy("_by").orderBy("_ts", F.col("_n").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    firsts = merged.withColumn("_first", F.first("_n", ignorenulls=True).over(ahead)).filter("marker_id is not null and _first is not null").select("_by", "marker_id", "_first")
+    # backwards in time, so that the frame only grows: the last sample met is the first one at or after the marker
+    met = Window.partitionBy("_by").orderBy(F.desc("_ts"), F.col("_n").isNull(), F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
+    firsts = merged.withColumn("_first", F.last("_n", ignorenulls=True).over(met)).filter("marker_id is not null and _first is not null").select("_by", "marker_id", "_first")
     block = max(1, samples)
     blocks = firsts.withColumn("_block", F.explode(F.sequence(F.expr(f"_first div {block}"), F.expr(f"(_first + {samples - 1}) div {block}"))))
     cut = blocks.join(numbered.withColumn("_block", F.expr(f"_n div {block}")), ["_by", "_block"]).filter(f"_n >= _first and _n < _first + {samples}")

@@ -1,14 +1,14 @@
 """Operators on streams of trials, samples and markers, with bounded state for each recording.
 
 Operators that look at one trial only run on streams as they are. Those that remember keep their memory in Spark's state
-store, keyed by recording; trials of one micro-batch are taken in order, a trial that comes after later ones were
+store, keyed by recording, as arrays; a micro-batch's trials of a recording are taken as one block. Trials of one micro-batch are taken in order, a trial that comes after later ones were
 processed is dropped, as nothing can be re-ordered across batches. Trials of equal times are all kept, in the order in which
 they come. The batch operators of the same names give equal results; like theirs, those of tied trials depend on that order.
 """
 
 from __future__ import annotations
 
-import json
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -17,130 +17,135 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState
-from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
 from kymo.numerics import spd
 from kymo.operators.base import Shape
 from kymo.session import ship_package
 
-STATE = StructType([StructField("held", StringType())])
+STATE = StructType([StructField("held", BinaryType())])
+Block = Callable[[object, pd.DataFrame], tuple[list, object]]
 
 
-def stateful(df: DataFrame, by: str, order: str, output: str, kind: str, start: object, step: Callable[[object, pd.Series], tuple[object, object]]) -> DataFrame:
-    """``df`` with ``output``: step(state, row) gives (result, state) for each row of a recording in ``order``.
-
-    States are JSON values. A step result of None drops its row.
-    """
+def stateful(df: DataFrame, by: str, order: str, output: str, kind: str, start: object, block: Block) -> DataFrame:
+    """``df`` with ``output``: block(state, rows) gives (a result for each row, state) for a recording's new rows in ``order``."""
     ship_package(df.sparkSession)
     schema = StructType([*df.schema.fields, StructField(output, _parse_datatype_string(kind))])
-    names = schema.fieldNames()
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"at": None, "state": start}
+        at, held = pickle.loads(state.get[0]) if state.exists else (None, start)
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        out = []
-        for _, row in rows.iterrows():
-            at = row[order]
-            at = at.item() if hasattr(at, "item") else at
-            if held["at"] is not None and at < held["at"]:
-                continue
-            value, held["state"] = step(held["state"], row)
-            held["at"] = at
-            if value is not None:
-                out.append({**row.to_dict(), output: value})
-        state.update((json.dumps(held),))
-        if out:
-            yield pd.DataFrame(out, columns=names)
+        rows = rows if at is None else rows[rows[order] >= at]
+        if len(rows):
+            results, held = block(held, rows)
+            state.update((pickle.dumps((rows[order].iloc[-1], held)),))
+            yield rows.assign(**{output: results})[schema.fieldNames()]
 
     return df.groupBy(by).applyInPandasWithState(run, schema, STATE, "append", "NoTimeout")
 
 
+def _stacked(held: np.ndarray | None, column: pd.Series) -> np.ndarray:
+    """What is held and then the arrays of a column, one a row."""
+    new = np.stack([np.asarray(x, float) for x in column]) if len(column) else np.empty((0, 0))
+    return new if held is None or not len(held) else np.concatenate([held, new]) if len(new) else held
+
+
 def ring_buffer(df: DataFrame, column: str, capacity: int, by: str, order: str, output: str = "buffer", flag: str | None = None) -> DataFrame:
     """What the last ``capacity`` pushed tensors are at each trial, oldest first; with ``flag`` only flagged trials push."""
 
-    def step(held: list, row: pd.Series) -> tuple[list, list]:
-        if flag is None or bool(row[flag]):
-            held = [*held, [float(v) for v in row[column]]][-capacity:]
-        return held, held
+    def block(held: np.ndarray | None, rows: pd.DataFrame) -> tuple[list, np.ndarray]:
+        pushes = np.ones(len(rows), bool) if flag is None else rows[flag].fillna(False).to_numpy().astype(bool)
+        every = _stacked(held, rows[column][pushes])
+        upto = len(every) - pushes.sum() + np.cumsum(pushes)
+        return [every[max(0, n - capacity) : n].tolist() for n in upto], every[-capacity:]
 
-    return stateful(df, by, order, output, "array<array<double>>", [], step)
+    return stateful(df, by, order, output, "array<array<double>>", None, block)
 
 
 def running_average(df: DataFrame, column: str, length: int, by: str, order: str, output: str = "average") -> DataFrame:
     """Mean of the last ``length`` tensors, the current one included."""
 
-    def step(held: list, row: pd.Series) -> tuple[list, list]:
-        held = [*held, [float(v) for v in row[column]]][-length:]
-        return np.mean(held, axis=0).tolist(), held
+    def block(held: np.ndarray | None, rows: pd.DataFrame) -> tuple[list, np.ndarray]:
+        every = _stacked(held, rows[column])
+        before = len(every) - len(rows)
+        few = [every[: n + 1].mean(axis=0) for n in range(before, min(length - 1, len(every)))]
+        whole = np.lib.stride_tricks.sliding_window_view(every, length, axis=0).mean(axis=-1)[max(0, before + 1 - length) :] if len(every) >= length else []
+        return [x.tolist() for x in [*few, *whole]], every[max(0, len(every) - length) :]
 
-    return stateful(df, by, order, output, "array<double>", [], step)
+    return stateful(df, by, order, output, "array<double>", None, block)
 
 
 def adaptive_rebias(df: DataFrame, column: str, shape: Shape, bias: np.ndarray, seen: int, by: str, order: str, output: str = "recentred", update_rate: float | None = 0.1) -> DataFrame:
     """Matrices about a bias that follows them along geodesics."""
 
-    def step(held: dict, row: pd.Series) -> tuple[list, dict]:
-        b, x = np.array(held["bias"]), np.asarray(row[column], float).reshape(shape)
-        w = spd.invsqrtm(b)
-        after = spd.geodesic(b, x, 1 / (held["seen"] + 1) if update_rate is None else update_rate)
-        return (w @ x @ w).ravel().tolist(), {"bias": after.tolist(), "seen": held["seen"] + 1}
+    def block(held: tuple[np.ndarray, int], rows: pd.DataFrame) -> tuple[list, tuple[np.ndarray, int]]:
+        (b, n), out = held, []
+        for x in rows[column]:  # each depends on the one before
+            x, w = np.asarray(x, float).reshape(shape), spd.invsqrtm(b)
+            out.append((w @ x @ w).ravel().tolist())
+            b, n = spd.geodesic(b, x, 1 / (n + 1) if update_rate is None else update_rate), n + 1
+        return out, (b, n)
 
-    return stateful(df, by, order, output, "array<double>", {"bias": np.asarray(bias).tolist(), "seen": seen}, step)
+    return stateful(df, by, order, output, "array<double>", (np.asarray(bias, float), seen), block)
 
 
 WINDOWS = "recording string, marker string, t0 double, data array<double>"
 
 
-def marker_windows(events: DataFrame, samples: int, pattern: str | None = None, relative_start: float = 0.0, interval: float | None = None, keep_seconds: float = 60.0) -> DataFrame:
+def marker_windows(events: DataFrame, samples: int, pattern: str | None = None, relative_start: float = 0.0, interval: float | None = None,
+                   keep_seconds: float = 60.0, channels: list[int] | None = None) -> DataFrame:
     """Trials from a stream of samples and markers (recording, ts, values, marker; one of values and marker is null).
 
     Coupled to markers (``pattern``, from the start of the text): a trial is the first ``samples`` samples at or after
-    marker + ``relative_start``, given as soon as they are there; trials may overlap. Without ``pattern``: a trial of
-    ``samples`` samples from ``interval`` seconds after the one before (None: from the next sample); where a backlog
-    holds several, the latest is given and the others are skipped. Samples older than any open trial, or than
-    ``keep_seconds`` before the newest, are forgotten; what arrives older than that is dropped.
+    marker + ``relative_start``, given as soon as they are there; trials may overlap. Samples that an open trial may need
+    are held, and those of the last ``keep_seconds``, in case a marker comes late. A marker that comes so late that samples
+    at or after its start have been forgotten gives a row without t0 and data. Without ``pattern``: a trial of ``samples``
+    samples from ``interval`` seconds after the one before (None: from the next sample); where a backlog holds several, the
+    latest is given and the others are skipped. Samples that come when later ones have been forgotten are dropped.
     """
     ship_package(events.sparkSession)
     match = re.compile(pattern).match if pattern is not None else None
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"samples": [], "open": [], "next": None}
-        rows = pd.concat(list(frames)).sort_values("ts")
-        past = held["samples"][0][0] if held["samples"] else -np.inf
-        for ts, values, marker in zip(rows["ts"], rows["values"], rows["marker"]):
-            if values is not None and ts >= past:
-                held["samples"].append([float(ts), [float(v) for v in values]])
-            elif match and isinstance(marker, str) and match(marker):
-                held["open"].append([float(ts) + relative_start, marker])
-        held["samples"].sort(key=lambda s: s[0])
-        times = np.array([s[0] for s in held["samples"]])
+        times, values, waiting, begin, forgotten = pickle.loads(state.get[0]) if state.exists else (np.empty(0), None, [], None, -np.inf)
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        new = rows[rows["values"].notna() & (rows["ts"] > forgotten)]
+        if len(new):
+            values = _stacked(values if len(times) else None, new["values"] if channels is None else new["values"].map(lambda v: np.asarray(v, float)[channels]))
+            times = np.concatenate([times, new["ts"].to_numpy(float)])
+            order = np.argsort(times, kind="stable")
+            times, values = times[order], values[order]
         out = []
 
         def cut(first: int, marker: str | None) -> None:
-            data = np.array([s[1] for s in held["samples"][first : first + samples]]).T
-            out.append((key[0], marker, float(times[first]), data.ravel().tolist()))
+            out.append((key[0], marker, float(times[first]), values[first : first + samples].T.ravel().tolist()))
 
         if match:
-            waiting = []
-            for start, marker in sorted(held["open"]):
+            said = rows[rows["marker"].notna()]
+            waiting = waiting + [(float(t) + relative_start, m) for t, m in zip(said["ts"], said["marker"]) if match(m)]
+            still = []
+            for start, marker in sorted(waiting):
                 first = int(np.searchsorted(times, start, "left"))
-                if first + samples <= len(times):
+                if start <= forgotten:
+                    out.append((key[0], marker, None, None))
+                elif first + samples <= len(times):
                     cut(first, marker)
                 else:
-                    waiting.append([start, marker])
-            held["open"] = waiting
-            least = min((w[0] for w in waiting), default=np.inf)
-            newest = times[-1] if len(times) else -np.inf
-            held["samples"] = [s for s in held["samples"] if s[0] >= min(least, newest + min(0.0, relative_start)) and s[0] >= newest - keep_seconds]
-        elif len(times):
-            begin = times[0] if held["next"] is None else held["next"]
-            first = int(np.searchsorted(times, begin, "left"))
+                    still.append((start, marker))
+            waiting = still
+            least = min((start for start, _ in waiting), default=np.inf)
+            keep = times >= min(least, (times[-1] if len(times) else -np.inf) - keep_seconds)
+        else:
+            first = int(np.searchsorted(times, -np.inf if begin is None else begin, "left"))
             if first + samples <= len(times):
                 first = len(times) - samples
                 cut(first, None)
-                held["next"] = float(times[first] + interval) if interval is not None else float(np.nextafter(times[-1], np.inf))
-                held["samples"] = [s for s in held["samples"] if s[0] >= held["next"]]
-        state.update((json.dumps(held),))
+                begin = float(times[first] + interval) if interval is not None else float(np.nextafter(times[-1], np.inf))
+            keep = times >= (-np.inf if begin is None else begin)
+        if not keep.all():
+            forgotten = max(forgotten, float(times[~keep].max()))
+            times, values = times[keep], values[keep]
+        state.update((pickle.dumps((times, values, waiting, begin, forgotten)),))
         if out:
             yield pd.DataFrame(out, columns=["recording", "marker", "t0", "data"])
 
