@@ -496,7 +496,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", diges
     spark = df.sparkSession
     tune(spark)
     rows, row = numbered(df.select(df[key].alias("key"), df[text].alias("text")), "suffix-texts")
-    rows = rows.select(F.col(row).alias("row"), "key", "text")
+    # The filter says of what is read back what the inner join would add: both joins below then share one exchange of texts.
+    rows = rows.select(F.col(row).alias("row"), "key", "text").filter("row is not null")
     flags = repeated_spans(rows, hot).groupBy("row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))  # of one document
     kind, last = dict(df.dtypes)[key], "kept_sha256 string" if digest else "kept binary"
     whole = rows.join(flags, "row", "left").select("row", "key", "text", "spans")
