@@ -40,11 +40,15 @@ def shrunk(s: np.ndarray, amount: float) -> np.ndarray:
 
 @dataclass
 class Lda:
-    """Linear discriminant analysis: scores x coef' + intercept."""
+    """Linear discriminant analysis: scores x coef' + intercept.
+
+    ``tol``: with the solver svd, directions with less than this share of the largest pooled variance are left out.
+    """
 
     solver: str = "lsqr"
     shrinkage: str | float | None = None
     priors: list[float] | None = None
+    tol: float | None = None
     classes: np.ndarray = field(default_factory=lambda: np.empty(0))
     coef: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
     intercept: np.ndarray = field(default_factory=lambda: np.empty(0))
@@ -72,7 +76,7 @@ class Lda:
 
     def from_statistics(self, classes: np.ndarray, means: np.ndarray, pooled: np.ndarray, priors: np.ndarray) -> Lda:
         self.classes = classes
-        self.coef = np.linalg.lstsq(pooled, means.T, rcond=None)[0].T
+        self.coef = np.linalg.lstsq(pooled, means.T, rcond=self.tol if self.solver == "svd" else None)[0].T
         self.intercept = -0.5 * (means * self.coef).sum(axis=1) + np.log(priors)
         return self
 
@@ -91,49 +95,87 @@ class Lda:
 # ---- logistic regression ----
 
 
+def class_weights(weight: str | dict | None, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A weight for each class: ones, those given (1 where none is), or with ``balanced`` the inverse of its share, 1 on average."""
+    if weight is None:
+        return np.ones(len(classes))
+    if weight == "balanced":
+        return counts.sum() / (len(classes) * counts)
+    if isinstance(weight, str):
+        raise ValueError("class weights are balanced or given by class")
+    return np.array([float(weight.get(c, weight.get(float(c), 1.0))) for c in classes])
+
+
+def logistic_sums(x: np.ndarray, at: np.ndarray, w: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian of multinomial logistic regression, summed over rows of class numbers ``at``, as one vector.
+
+    ``w`` has one row a class: coefficients, then the intercept. Sums of parts of the rows add up.
+    """
+    k, n = len(w), len(x)
+    xb, rows = np.hstack([x, np.ones((n, 1))]), weights[at]
+    s = xb @ w.T
+    s -= s.max(axis=1, keepdims=True)
+    q = np.exp(s)
+    q /= q.sum(axis=1, keepdims=True)
+    loss = -(rows * np.log(np.maximum(q[np.arange(n), at], 1e-300))).sum()
+    gradient = (rows[:, None] * (q - np.eye(k)[at])).T @ xb
+    hessian = np.zeros((k, xb.shape[1], k, xb.shape[1]))
+    for i in range(k):
+        for j in range(i, k):
+            hessian[i, :, j, :] = xb.T @ (xb * (rows * q[:, i] * ((i == j) - q[:, j]))[:, None])
+            hessian[j, :, i, :] = hessian[i, :, j, :].T
+    return np.concatenate([[loss], gradient.ravel(), hessian.ravel()])
+
+
 @dataclass
 class Logistic:
-    """Multinomial logistic regression, sum of losses + |w|^2 / (2 C), intercept free; Newton steps with halving."""
+    """Multinomial logistic regression, sum of losses + |w|^2 / (2 C), intercept free; Newton steps with halving.
+
+    ``penalty=None`` leaves the coefficients free; ``class_weight`` as in ``class_weights``.
+    """
 
     C: float = 1.0
     max_iter: int = 100
     tol: float = 1e-8
+    penalty: str | None = "l2"
+    fit_intercept: bool = True
+    class_weight: str | dict | None = None
     classes: np.ndarray = field(default_factory=lambda: np.empty(0))
     w: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
 
+    def __post_init__(self):
+        if self.penalty not in ("l2", None):
+            raise ValueError("penalty is l2 or None")
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.classes, at = np.unique(y, return_inverse=True)
-        k, (n, p) = len(self.classes), x.shape
-        one = np.eye(k)[at]
-        xb = np.hstack([x, np.ones((n, 1))])
-        penalty = np.append(np.full(p, 1 / self.C), 1e-9)
-        w = np.zeros((k, p + 1))
+        classes, at, counts = np.unique(y, return_inverse=True, return_counts=True)
+        return self.fit_sums(classes, counts, x.shape[1], lambda w, weights: logistic_sums(x, at, w, weights))
 
-        def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-            s = xb @ w.T
-            s -= s.max(axis=1, keepdims=True)
-            q = np.exp(s)
-            q /= q.sum(axis=1, keepdims=True)
-            return -np.log(np.maximum((q * one).sum(axis=1), 1e-300)).sum() + 0.5 * (penalty * w * w).sum(), q
+    def fit_sums(self, classes: np.ndarray, counts: np.ndarray, p: int, sums) -> Logistic:
+        """Fit from ``sums(w, weights)``: ``logistic_sums`` over all rows, wherever they are."""
+        self.classes, k = classes, len(classes)
+        weights = class_weights(self.class_weight, classes, counts)
+        penalty = np.append(np.full(p, 1 / self.C if self.penalty else 1e-9), 1e-9 if self.fit_intercept else 1e12)
+        enough = self.tol * max(1.0, counts.sum() / 1000)
 
-        value, q = loss(w)
+        def evaluate(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            found = sums(w, weights)
+            gradient = found[1 : 1 + w.size].reshape(w.shape) + penalty * w
+            return float(found[0]) + 0.5 * (penalty * w * w).sum(), gradient, found[1 + w.size :].reshape(w.size, w.size)
+
+        w = np.zeros((k, p + 1))
+        value, gradient, hessian = evaluate(w)
         for _ in range(self.max_iter):
-            gradient = (q - one).T @ xb + penalty * w
-            if np.abs(gradient).max() < self.tol:
+            if np.abs(gradient).max() < enough:
                 break
-            hessian = np.zeros((k, p + 1, k, p + 1))
-            for i in range(k):
-                for j in range(k):
-                    hessian[i, :, j, :] = xb.T @ (xb * (q[:, i] * ((i == j) - q[:, j]))[:, None])
-            full = hessian.reshape(k * (p + 1), -1) + np.diag(np.tile(penalty, k))
-            step = np.linalg.lstsq(full, gradient.ravel(), rcond=None)[0].reshape(w.shape)
+            step = np.linalg.lstsq(hessian + np.diag(np.tile(penalty, k)), gradient.ravel(), rcond=None)[0].reshape(w.shape)
             size = 1.0
-            while size > 1e-10 and (after := loss(w - size * step))[0] > value:
+            while size > 1e-10 and (after := evaluate(w - size * step))[0] > value:
                 size /= 2
             if size <= 1e-10:
                 break
             w = w - size * step
-            value, q = after
+            value, gradient, hessian = after
         self.w = w
         return self
 
@@ -160,6 +202,7 @@ class Svm:
     coef0: float = 0.0
     tol: float = 1e-3
     max_iter: int = 100_000
+    class_weight: str | dict | None = None
     classes: np.ndarray = field(default_factory=lambda: np.empty(0))
     machines: list = field(default_factory=list)
     width: float = 1.0
@@ -176,7 +219,8 @@ class Svm:
         raise ValueError("kernel is linear, poly, rbf or sigmoid")
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Svm:
-        self.classes = np.unique(y)
+        self.classes, counts = np.unique(y, return_counts=True)
+        weights = class_weights(self.class_weight, self.classes, counts)
         variance = x.var()
         self.width = {"scale": 1 / (x.shape[1] * variance) if variance > 0 else 1.0, "auto": 1 / x.shape[1]}.get(self.gamma, self.gamma)
         self.machines = []
@@ -184,28 +228,28 @@ class Svm:
             for j in range(i + 1, len(self.classes)):
                 pick = (y == self.classes[i]) | (y == self.classes[j])
                 part, sign = x[pick], np.where(y[pick] == self.classes[i], 1.0, -1.0)
-                alpha, bias = self._solve(self.gram(part, part), sign)
+                alpha, bias = self._solve(self.gram(part, part), sign, self.C * np.where(sign > 0, weights[i], weights[j]))
                 support = alpha > 0
                 self.machines.append((i, j, part[support], (alpha * sign)[support], bias))
         return self
 
-    def _solve(self, k: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    def _solve(self, k: np.ndarray, y: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, float]:
         alpha, gradient = np.zeros(len(y)), -np.ones(len(y))
         for _ in range(self.max_iter):
-            up = (alpha < self.C) & (y > 0) | (alpha > 0) & (y < 0)
-            low = (alpha < self.C) & (y < 0) | (alpha > 0) & (y > 0)
+            up = (alpha < most) & (y > 0) | (alpha > 0) & (y < 0)
+            low = (alpha < most) & (y < 0) | (alpha > 0) & (y > 0)
             v = -y * gradient
             i, j = int(np.where(up, v, -np.inf).argmax()), int(np.where(low, v, np.inf).argmin())
             if v[i] - v[j] < self.tol:
                 break
             curve = max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
             step = (v[i] - v[j]) / curve
-            step = min(step, self.C - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else self.C - alpha[j])
+            step = min(step, most[i] - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else most[j] - alpha[j])
             alpha[i] += y[i] * step
             alpha[j] -= y[j] * step
             gradient += y * step * (k[:, i] - k[:, j])
         v = -y * gradient
-        free = (alpha > 1e-9) & (alpha < self.C - 1e-9)
+        free = (alpha > 1e-9) & (alpha < most - 1e-9)
         bias = v[free].mean() if free.any() else (v[i] + v[j]) / 2
         return np.where(alpha < 1e-12, 0.0, alpha), float(bias)
 
@@ -285,6 +329,43 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100, starts: int
     return best[1], best[2]
 
 
+class Lloyd:
+    """Lloyd's algorithm from sums: hand each round, for every centre, the count and sum of the rows nearest to it."""
+
+    def __init__(self, centres: np.ndarray, rounds: int = 100):
+        self.centres, self.left, self.done = centres, rounds, False
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Counts and sums of some rows, as one vector; sums of parts of the rows add up."""
+        one = np.eye(len(self.centres))[nearest(x, self.centres)]
+        return np.concatenate([one.sum(axis=0), (one.T @ x).ravel()])
+
+    def advance(self, sums: np.ndarray) -> None:
+        k = len(self.centres)
+        counts = sums[:k, None]
+        after = np.where(counts > 0, sums[k:].reshape(self.centres.shape) / np.maximum(counts, 1), self.centres)
+        self.left -= 1
+        self.done = bool(np.allclose(after, self.centres, atol=1e-12)) or self.left <= 0
+        self.centres = after
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each row."""
+    return ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+
+
+def strength(together: np.ndarray) -> float:
+    """The least share, over a test set's clusters (rows), of pairs that the training centres (columns) keep together."""
+    shares = []
+    for row in together:
+        n = row.sum()
+        if n > 1:
+            shares.append((row * (row - 1)).sum() / (n * (n - 1)))
+        elif n == 1:
+            shares.append(0.0)
+    return float(min(shares, default=0.0))
+
+
 def prediction_strength(x: np.ndarray, k: int, splits: int = 10, seed: int = 0) -> tuple[float, float]:
     """(mean, standard error) over half splits of the least share, over test clusters, of pairs that training centres keep together."""
     out = []
@@ -294,13 +375,7 @@ def prediction_strength(x: np.ndarray, k: int, splits: int = 10, seed: int = 0)
         centres, _ = kmeans(train, k, seed)
         _, own = kmeans(test, k, seed)
         other = ((test[:, None] - centres) ** 2).sum(-1).argmin(1)
-        shares = []
-        for c in range(k):
-            n = int((own == c).sum())
-            if n > 1:
-                together = np.bincount(other[own == c], minlength=k)
-                shares.append((together * (together - 1)).sum() / (n * (n - 1)))
-            elif n == 1:
-                shares.append(0.0)
-        out.append(min(shares))
+        together = np.zeros((k, k))
+        np.add.at(together, (own, other), 1)
+        out.append(strength(together))
     return float(np.mean(out)), float(np.std(out) / math.sqrt(splits))

@@ -12,11 +12,13 @@ are inferred and errors raised when a plan is built, without touching data. A co
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,10 +87,16 @@ def as_arrow(values: np.ndarray, shape: Shape) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size_of(shape)), flat)
 
 
-def tensors_of(trials: Trials, name: str, most: int) -> np.ndarray:
-    """(n, *shape) tensors of the first ``most`` trials by id, on the driver."""
-    rows = trials.df.filter(F.col(name).isNotNull()).orderBy(trials.id).select(name).limit(most).collect()
-    return np.array([r[0] for r in rows], float).reshape(len(rows), *trials.shape(name))
+def tensors_of(trials: Trials, name: str, rows: int = 2000) -> Iterator[np.ndarray]:
+    """(n, *shape) tensors of all trials by id, as they stream to the driver: at most ``rows`` are held."""
+    some, shape = [], trials.shape(name)
+    for r in trials.df.filter(F.col(name).isNotNull()).orderBy(trials.id).select(name).toLocalIterator():
+        some.append(r[0])
+        if len(some) == rows:
+            yield np.array(some, float).reshape(len(some), *shape)
+            some = []
+    if some:
+        yield np.array(some, float).reshape(len(some), *shape)
 
 
 def spark_type(shape: Shape) -> str:
@@ -192,27 +200,67 @@ def element_sums(df: DataFrame, keys: list[str], vector: str, count: str | None
     return [out[k] for k in sorted(out, key=lambda k: tuple((x is None, x) for x in k))]
 
 
-def partial_sums(trials: Trials, column: str, f: Callable[..., np.ndarray], by_label: bool, with_labels: bool = False) -> list[dict]:
+#: Trials that a function for sums sees at once.
+SUMMED = 1000
+
+
+def partial_sums(trials: Trials, column: str, f: Callable[..., np.ndarray], by_label: bool, with_labels: bool = False, summed: bool = False,
+                 keep: Callable[[np.ndarray], np.ndarray] | None = None) -> list[dict]:
     """Sum over trials of f(tensors) (one vector a trial) for each label or over all: [{label, count, sum}].
 
-    ``with_labels`` calls f(tensors, labels). Batches are summed on the executors before anything is shuffled.
+    ``with_labels`` calls f(tensors, labels); ``summed`` takes f's result as the sum over its trials already; trials for which
+    ``keep`` gives False are left out. Each partition hands on one vector a label, whatever its number of trials.
     """
     ship_package(trials.df.sparkSession)
     shape = trials.shape(column)
-    label = F.col(trials.label).cast("double") if by_label else F.lit(0.0)
+    label = F.col(trials.label).cast("double") if by_label or with_labels else F.lit(0.0)
 
     def run(batches):
+        held: dict[float, list] = {}
         for batch in batches:
-            keep = batch.filter(batch.column(1).is_valid())
-            if not keep.num_rows:
-                continue
-            labels = keep.column(0).to_numpy(zero_copy_only=False)
-            x = tensors(keep.column(1), shape)
-            vectors = f(x, labels) if with_labels else f(x)
-            present = np.unique(labels)
-            sums = np.stack([vectors[labels == c].sum(axis=0) for c in present])
-            counts = [int((labels == c).sum()) for c in present]
-            yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(counts, pa.int64()), as_arrow(sums, sums.shape[1:])], names=["_label", "_count", "_sum"])
+            known = batch.filter(batch.column(1).is_valid())
+            for at in range(0, known.num_rows, SUMMED):
+                some = known.slice(at, SUMMED)
+                labels, x = some.column(0).to_numpy(zero_copy_only=False), tensors(some.column(1), shape)
+                if keep is not None:
+                    good = keep(x)
+                    labels, x = labels[good], x[good]
+                for c in np.unique(labels) if by_label else [0.0] * (len(labels) > 0):
+                    own = labels == c if by_label else np.ones(len(labels), bool)
+                    total = f(x[own], labels[own]) if with_labels else f(x[own])
+                    total = total if summed else total.sum(axis=0)
+                    if c in held:
+                        held[c][0] += int(own.sum())
+                        held[c][1] += total
+                    else:
+                        held[c] = [int(own.sum()), np.array(total, float)]
+        for c, (n, total) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([float(c)]), pa.array([n], pa.int64()), as_arrow(total[None], total.shape)], names=["_label", "_count", "_sum"])
 
     rows = trials.df.select(label.alias("_label"), F.col(column)).filter("_label is not null").mapInArrow(run, "_label double, _count long, _sum array<double>")
     return [{"label": g["_label"], "count": g["count"], "sum": g["sum"]} for g in element_sums(rows, ["_label"], "_sum", "_count")]
+
+
+@contextmanager
+def cached(trials: Trials, column: str, label: Column | None = None) -> Iterator[Trials]:
+    """Labels and one tensor column of trials, held by the executors (in memory or on their disks) for several passes.
+
+    What a lost executor held is made again from the trials. The column is named _c, the label _y.
+    """
+    some = trials.df.select(trials.id, (F.lit(0.0) if label is None else label).cast("double").alias("_y"), F.col(column).alias("_c")).filter("_c is not null")
+    held = some.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield Trials(held, {"_c": trials.shape(column)}, trials.id, "_y")
+    finally:
+        held.unpersist()
+
+
+def sample_of(trials: Trials, column: str, doubles: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(tensors, labels) on the driver of the trials with the least hashes of their ids, about ``doubles`` numbers; all where they are fewer."""
+    rows = trials.df.filter(F.col(column).isNotNull() & F.col(trials.label).isNotNull())
+    shape = trials.shape(column)
+    share = doubles / max(1, size_of(shape)) / max(1, rows.count() if total is None else total)
+    if share < 1:
+        rows = rows.filter(F.xxhash64(F.col(trials.id).cast("string")) < int(-(2**63) + share * 2**64))
+    found = rows.orderBy(trials.id).select(column, F.col(trials.label).cast("double")).collect()
+    return np.array([r[0] for r in found], float).reshape(len(found), *shape), np.array([r[1] for r in found])

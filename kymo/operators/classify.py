@@ -12,29 +12,24 @@ from pyspark.sql import functions as F
 
 from kymo.functions import tensors as t
 from kymo.numerics import learn, spd
-from kymo.operators.base import BatchOperator, ColumnOperator, Estimator, Operator, Shape, Trials, partial_sums, size_of
-from kymo.operators.riemann import DistancesTo, ToTangent, karcher_mean
+from kymo.operators.base import BatchOperator, ColumnOperator, Estimator, Operator, Shape, Trials, cached, partial_sums, sample_of, size_of
+from kymo.operators.riemann import ToTangent, karcher_mean, karcher_means
+from kymo.session import stored
 
 #: Numbers that a driver-side learner may hold: its training set, for an SVM also the products of its trials.
 MOST_DOUBLES = 50_000_000
+#: Numbers of the sample that clusters start from.
+START_DOUBLES = 2_000_000
 
 
-def training_set(trials: Trials, column: str, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels) on the driver, for learners that need every trial at once.
+def training_set(trials: Trials, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) on the driver, for learners that need trials at once.
 
-    Above ``most`` trials it is those with the least hashes of their ids, about ``most`` of them and of each label its share;
-    without ``most``, more than ``MOST_DOUBLES`` numbers are an error.
+    Above ``most`` trials it is those with the least hashes of their ids, about ``most`` of them and of each label its share.
     """
     size = size_of(trials.shape(column))
-    rows = trials.df.filter(F.col(column).isNotNull() & F.col(trials.label).isNotNull())
-    if most is not None:
-        share = most / max(1, rows.count())
-        if share < 1:
-            rows = rows.filter(F.xxhash64(F.col(trials.id).cast("string")) < int(-(2**63) + share * 2**64))
-    elif rows.limit(MOST_DOUBLES // size + 1).count() > MOST_DOUBLES // size:
-        raise ValueError(f"more than {MOST_DOUBLES} numbers of training data; use a learner that is fitted from sums")
-    found = rows.orderBy(trials.id).select(column, F.col(trials.label).cast("double")).collect()
-    return np.array([r[0] for r in found], float).reshape(len(found), size), np.array([r[1] for r in found])
+    x, y = sample_of(trials, column, most * size)
+    return x.reshape(len(x), size), y
 
 
 class Predict(BatchOperator):
@@ -94,9 +89,9 @@ class BothOutputs(Operator):
 class Classifier(Estimator):
     """Any object with fit and predict (and predict_proba for ``proba``); tensors are flattened.
 
-    LDA is fitted from sums on the executors. SVM and learners of a user's own are fitted on the whole training set or, above
-    a bound, on a sample (``training_set``): ``MOST_DOUBLES`` numbers, for an SVM as many products of trials. Logistic
-    regression collects the training set, and above ``MOST_DOUBLES`` numbers that is an error.
+    LDA and logistic regression are fitted from sums on the executors, over all trials. SVM and learners of a user's own are
+    fitted on the whole training set or, above a bound, on a sample (``training_set``): ``MOST_DOUBLES`` numbers, for an
+    SVM as many products of trials.
     """
 
     def __init__(self, a: str, output: str, learner: object, proba: str | None = None, num_classes: int | None = None):
@@ -113,11 +108,13 @@ class Classifier(Estimator):
         a, learner = self.inputs[0], self.learner
         if isinstance(learner, learn.Lda):
             classes = self._fit_sums(trials, learner)
+        elif isinstance(learner, learn.Logistic):
+            classes = self._fit_logistic(trials, learner)
         else:
             most = max(1, MOST_DOUBLES // size_of(trials.shape(a)))
             if isinstance(learner, learn.Svm):
                 most = min(most, math.isqrt(MOST_DOUBLES))
-            x, y = training_set(trials, a, None if isinstance(learner, learn.Logistic) else most)
+            x, y = training_set(trials, a, most)
             learner.fit(x, y)
             classes = np.unique(y)
         if self.num_classes is not None and len(classes) != self.num_classes:
@@ -148,6 +145,21 @@ class Classifier(Estimator):
         lda.from_statistics(classes, means, pooled, priors)
         return classes
 
+    def _fit_logistic(self, trials: Trials, learner: learn.Logistic) -> np.ndarray:
+        """Newton steps; each is one pass that brings loss, gradient and Hessian to the driver."""
+        a = self.inputs[0]
+        with cached(trials, a, F.col(trials.label)) as held:
+            known = held.df.groupBy("_y").agg(F.count("*").alias("n")).filter("_y is not null").orderBy("_y").collect()
+            classes, counts = np.array([r["_y"] for r in known]), np.array([r["n"] for r in known])
+            labelled = Trials(held.df.filter("_y is not null"), held.shapes, held.id, held.label)
+
+            def sums(w: np.ndarray, weights: np.ndarray) -> np.ndarray:
+                part = lambda x, y: learn.logistic_sums(x.reshape(len(x), -1), np.searchsorted(classes, y), w, weights)
+                return partial_sums(labelled, "_c", part, False, with_labels=True, summed=True)[0]["sum"]
+
+            learner.fit_sums(classes, counts, size_of(trials.shape(a)), sums)
+        return classes
+
     def _fit_auto(self, trials: Trials, lda: learn.Lda) -> np.ndarray:
         """Ledoit-Wolf shrinkage from two passes: means, then products of what is centred and of its squares."""
         a = self.inputs[0]
@@ -176,16 +188,18 @@ class Classifier(Estimator):
         return classes
 
 
-def lda(solver: str = "svd", shrinkage: str | float | None = None, priors: Sequence[float] | None = None) -> learn.Lda:
-    return learn.Lda(solver, shrinkage, list(priors) if priors is not None else None)
+def lda(solver: str = "svd", shrinkage: str | float | None = None, priors: Sequence[float] | None = None, tol: float | None = None) -> learn.Lda:
+    return learn.Lda(solver, shrinkage, list(priors) if priors is not None else None, tol)
 
 
-def svm(C: float = 1.0, kernel: str = "rbf", degree: int = 3, gamma: str | float = "scale", coef0: float = 0.0, tol: float = 1e-3) -> learn.Svm:
-    return learn.Svm(C, kernel, degree, gamma, coef0, tol)
+def svm(C: float = 1.0, kernel: str = "rbf", degree: int = 3, gamma: str | float = "scale", coef0: float = 0.0, tol: float = 1e-3,
+        class_weight: str | dict | None = None, max_iter: int = 100_000) -> learn.Svm:
+    return learn.Svm(C, kernel, degree, gamma, coef0, tol, max_iter, class_weight)
 
 
-def logistic_regression(C: float = 1.0, max_iter: int = 100) -> learn.Logistic:
-    return learn.Logistic(C, max_iter)
+def logistic_regression(C: float = 1.0, max_iter: int = 100, penalty: str | None = "l2", fit_intercept: bool = True,
+                        class_weight: str | dict | None = None, tol: float = 1e-8) -> learn.Logistic:
+    return learn.Logistic(C, max_iter, tol, penalty, fit_intercept, class_weight)
 
 
 # ---- clustering ----
@@ -255,13 +269,35 @@ class States(BatchOperator):
             self.centers[k] = (1 - rate) * self.centers[k] + rate * row
 
 
+def lloyd(held: Trials, flows: dict, scale: Callable[[np.ndarray], np.ndarray], mine: Callable[[object, np.ndarray], np.ndarray]) -> None:
+    """Run ``learn.Lloyd`` flows over all ``cached`` trials to their ends; all share each pass.
+
+    ``mine(key, labels)`` tells which trials a flow sees; labels are hashes of trial ids.
+    """
+    while open_flows := {k: f for k, f in flows.items() if not f.done}:
+
+        def sums(x: np.ndarray, y: np.ndarray, open_flows: dict = open_flows) -> np.ndarray:
+            x = scale(x)
+            return np.concatenate([f.sums(x[mine(k, y)]) for k, f in open_flows.items()])
+
+        found, at = partial_sums(held, "_c", sums, False, with_labels=True, summed=True)[0]["sum"], 0
+        for f in open_flows.values():
+            n = len(f.centres) * (1 + f.centres.shape[1])
+            f.advance(found[at : at + n])
+            at += n
+
+
 class PatternState(Estimator):
     """Clusters of tangent vectors: tangent space, scaling, k-means; gives each trial's state and probabilities.
 
     k is ``n_clusters`` or, with ``pred_strength``, the largest of ``k_range`` whose prediction strength (mean plus standard
-    error over half splits, Tibshirani & Walther 2005) reaches ``k_sel_thresh``; 1 cluster if none does.
+    error over half splits, Tibshirani & Walther 2005) reaches ``k_sel_thresh``; 1 cluster if none does. All of it runs over all
+    trials: rounds of k-means are passes that bring sums to the driver, shared by all k and splits. Only the
+    first centres come from a sample, of about ``START_DOUBLES`` numbers; halves are bits of a hash of the trial's id.
     """
 
+    SPLITS = 10
+
     def __init__(self, a: str, output: str, proba: str | None = None, k_selection: str = "pred_strength", n_clusters: int = 2,
                  k_sel_thresh: float = 0.5, k_range: tuple[int, int] = (2, 10), tangent_space: bool = True, scale_data: bool = True, seed: int = 0):
         if k_selection not in ("pred_strength", "fixed"):
@@ -277,20 +313,57 @@ class PatternState(Estimator):
         a = self.inputs[0]
         first = ToTangent(a, "_features", karcher_mean(trials, a)) if self.tangent_space else None
         features = first.apply(trials) if first else trials.with_column("_features", F.col(a), trials.shape(a))
-        unlabelled = Trials(features.df.withColumn("_one", F.lit(0.0)), features.shapes, features.id, "_one")
-        x, _ = training_set(unlabelled, "_features")
-        offset, scale = (x.mean(0), x.std(0)) if self.scale_data else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-        scale = np.where(scale > 0, scale, 1.0)
-        x = (x - offset) / scale
-        k = self.n_clusters
-        if self.k_selection == "pred_strength":
-            strong = [k for k in range(self.k_range[0], min(self.k_range[1], len(x) // 4) + 1) if sum(learn.prediction_strength(x, k, seed=self.seed)) >= self.limit]
-            k = max(strong, default=1)
-        centers, _ = learn.kmeans(x, k, self.seed)
-        states = States("_features", self.output, offset, scale, centers)
-        proba = States("_features", self.proba, offset, scale, centers, True) if self.proba else None
+        # 32 bits of a hash of the id, as a number that doubles hold: bit s is the half of split s
+        halves = F.shiftrightunsigned(F.xxhash64(F.col(trials.id).cast("string"), F.lit(self.seed)), 32).cast("double")
+        with cached(features, "_features", halves) as held:
+            return self._fit(a, first, held)
+
+    def _fit(self, a: str, first: Operator | None, held: Trials) -> Operator:
+        size = size_of(held.shape("_c"))
+        whole = partial_sums(held, "_c", lambda x: np.stack([x.reshape(len(x), -1), x.reshape(len(x), -1) ** 2]).sum(axis=1).ravel(), False, summed=True)
+        if not whole:
+            raise ValueError("clusters need trials")
+        n, (s1, s2) = whole[0]["count"], whole[0]["sum"].reshape(2, size)
+        offset, scale = (s1 / n, np.sqrt(np.maximum(0.0, s2 / n - (s1 / n) ** 2))) if self.scale_data else (np.zeros(size), np.ones(size))
+        scale = np.where(scale > 1e-12 * np.maximum(1.0, np.abs(offset)), scale, 1.0)
+        scaled = lambda x: (x.reshape(len(x), -1) - offset) / scale
+        start, bits = sample_of(held, "_c", START_DOUBLES, n)
+        start = scaled(start)
+        k = self.n_clusters if self.k_selection == "fixed" else self._strongest(held, scaled, start, bits, n)
+        centres = {"all": learn.Lloyd(learn.kmeans(start, k, self.seed)[0])}
+        lloyd(held, centres, scaled, lambda _, y: np.ones(len(y), bool))
+        states = States("_features", self.output, offset, scale, centres["all"].centres)
+        proba = States("_features", self.proba, offset, scale, centres["all"].centres, True) if self.proba else None
         return _StatesOf(a, first, states, proba)
 
+    def _strongest(self, held: Trials, scaled: Callable[[np.ndarray], np.ndarray], start: np.ndarray, bits: np.ndarray, n: int) -> int:
+        half = lambda s, y: (y.astype(np.int64) >> s & 1).astype(bool)
+        mine = lambda key, y: half(key[1], y) == key[2]
+        flows = {}
+        for k in range(self.k_range[0], min(self.k_range[1], n // 4) + 1):
+            for split in range(self.SPLITS):
+                parts = {side: start[half(split, bits) == side] for side in (False, True)}
+                if min(map(len, parts.values())) >= k:
+                    flows |= {(k, split, side): learn.Lloyd(learn.kmeans(x, k, self.seed)[0]) for side, x in parts.items()}
+        if not flows:
+            return 1
+        lloyd(held, flows, scaled, mine)
+        tests = [key for key in flows if key[2]]
+
+        def together(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            x, out = scaled(x), []
+            for key in tests:
+                some, counts = x[mine(key, y)], np.zeros((key[0], key[0]))
+                np.add.at(counts, (learn.nearest(some, flows[key].centres), learn.nearest(some, flows[(*key[:2], False)].centres)), 1)
+                out.append(counts.ravel())
+            return np.concatenate(out)
+
+        found, at, strengths = partial_sums(held, "_c", together, False, with_labels=True, summed=True)[0]["sum"], 0, {}
+        for key in tests:
+            strengths.setdefault(key[0], []).append(learn.strength(found[at : at + key[0] ** 2].reshape(key[0], key[0])))
+            at += key[0] ** 2
+        return max((k for k, s in strengths.items() if np.mean(s) + np.std(s) / math.sqrt(len(s)) >= self.limit), default=1)
+
 
 class _StatesOf(Operator):
     def __init__(self, a: str, first: Operator | None, states: States, proba: States | None):
@@ -323,15 +396,17 @@ class MultiPotatoFit(Estimator):
     def fit(self, trials: Trials) -> Operator:
         a = self.inputs[0]
         marked = PatternState(a, "_cluster", k_selection="fixed", n_clusters=self.k, seed=self.seed).fit(trials).apply(trials)
-        centers, mu, sigma = [], [], []
-        for k in range(self.k):
-            own = marked.with_df(marked.df.filter(F.col("_cluster") == k))
-            centers.append(karcher_mean(own, a))
-            found = partial_sums(DistancesTo(a, "_d", centers[-1][None]).apply(own), "_d", lambda d: np.hstack([np.log(np.maximum(d, 1e-300)), np.log(np.maximum(d, 1e-300)) ** 2]), False)[0]
-            m = found["sum"][0] / found["count"]
-            mu.append(m)
-            sigma.append(np.sqrt(max(0.0, found["sum"][1] / found["count"] - m * m)))
-        return MultiPotato(a, self.output, PotatoClustering(np.stack(centers), np.array(mu), np.array(sigma), self.threshold))
+        means = karcher_means(Trials(marked.df, marked.shapes, marked.id, "_cluster"), a)
+        centers = np.stack([means[float(k)] for k in range(self.k)])
+
+        def spread(c: np.ndarray, y: np.ndarray) -> np.ndarray:
+            d = np.log(np.maximum(spd.distance(centers[int(y[0])], c), 1e-300))  # trials come cluster by cluster
+            return np.array([d.sum(), (d**2).sum()])
+
+        found = {g["label"]: g for g in partial_sums(Trials(marked.df, marked.shapes, marked.id, "_cluster"), a, spread, True, with_labels=True, summed=True)}
+        mu = np.array([found[float(k)]["sum"][0] / found[float(k)]["count"] for k in range(self.k)])
+        squares = np.array([found[float(k)]["sum"][1] / found[float(k)]["count"] for k in range(self.k)])
+        return MultiPotato(a, self.output, PotatoClustering(centers, mu, np.sqrt(np.maximum(0.0, squares - mu**2)), self.threshold))
 
 
 # ---- model selection ----
@@ -349,20 +424,27 @@ METRICS = ("accuracy", "f1", "precision", "recall", "cross_entropy")
 
 
 def metric(df: DataFrame, label: str, predicted: str, statistic: str = "accuracy", proba: str | None = None, average: str = "binary", positive: float = 1.0) -> float:
-    """A statistic of predictions, as one aggregate; ``macro`` averages one-against-rest over labels."""
+    """A statistic of predictions, from one aggregate; ``macro`` averages one-against-rest over labels."""
+    if statistic not in METRICS:
+        raise ValueError(f"statistic is one of {METRICS}")
     y, p = F.col(label).cast("double"), F.col(predicted).cast("double")
-    if statistic == "accuracy":
-        return float(df.agg(F.avg((y == p).cast("double"))).first()[0])
     if statistic == "cross_entropy":
         classes = F.lit([float(r[0]) for r in df.select(y).distinct().orderBy(y).collect()])
         q = F.get(F.col(proba), (F.array_position(classes, y) - 1).cast("int"))
         return float(df.agg(F.avg(-F.ln(F.greatest(q, F.lit(1e-15))))).first()[0])
-    if statistic not in METRICS:
-        raise ValueError(f"statistic is one of {METRICS}")
-    classes = [positive] if average == "binary" else [float(r[0]) for r in df.select(y).distinct().collect()]
+    counts = {(r["y"], r["p"]): r["n"] for r in df.groupBy(y.alias("y"), p.alias("p")).agg(F.count("*").alias("n")).collect()}  # by pairs of labels
+    return from_counts(counts, statistic, average, positive)
+
+
+def from_counts(counts: dict[tuple[float, float], int], statistic: str, average: str = "binary", positive: float = 1.0) -> float:
+    """A statistic from how often each pair of label and prediction comes."""
+    if statistic == "accuracy":
+        total = sum(n for (y, p), n in counts.items() if y is not None and p is not None)
+        return sum(n for (y, p), n in counts.items() if y is not None and y == p) / total if total else math.nan
     out = []
-    for c in classes:
-        hit, said, true = df.agg(F.sum(((y == c) & (p == c)).cast("double")), F.sum((p == c).cast("double")), F.sum((y == c).cast("double"))).first()
+    for c in [positive] if average == "binary" else sorted({y for y, _ in counts if y is not None}):
+        hit = counts.get((c, c), 0)
+        said, true = (sum(n for pair, n in counts.items() if pair[i] == c) for i in (1, 0))
         precision, recall = (hit / said if said else 0.0), (hit / true if true else 0.0)
         f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
         out.append({"precision": precision, "recall": recall, "f1": f1}[statistic])
@@ -383,7 +465,8 @@ class CrossValidation:
     scores: list[float] = field(default_factory=list)
 
     def run(self, trials: Trials) -> float:
-        marked = trials.with_df(stratified_folds(trials.df, trials.label, trials.id, self.folds, self.shuffle_seed))
+        # written once, so that folds are dealt once and each fit reads them
+        marked = trials.with_df(stored(stratified_folds(trials.df, trials.label, trials.id, self.folds, self.shuffle_seed), "folds"))
         self.scores = []
         for k in range(self.folds):
             fitted = self.build().fit(marked.with_df(marked.df.filter(F.col("fold") != k)))

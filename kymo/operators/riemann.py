@@ -1,24 +1,25 @@
 """Operators on covariance matrices: mean, distance, minimum distance to mean, tangent space, potato, adaptive re-centring.
 
-A mean over trials is found by the Karcher flow. Each of its steps is one pass that sums logs on the executors and
-brings one matrix to the driver; sets of at most ``LOCAL_DOUBLES`` numbers are collected once instead and iterated there.
+A mean over trials is found by the Karcher flow over all of them: each of its steps is one pass that sums logs on the
+executors and brings one matrix to the driver. The flow starts at the mean of a sample of about ``START_DOUBLES`` numbers,
+so a few steps are left, or one where the sample is all there is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kymo.numerics import spd
-from kymo.operators.base import BatchOperator, Estimator, Operator, Shape, Trials, partial_sums, size_of
+from kymo.operators.base import BatchOperator, Estimator, Operator, Shape, Trials, cached, partial_sums, sample_of
 from kymo.operators.reduce import Covariance
 from kymo.session import ship_package
 
-LOCAL_DOUBLES = 4_000_000
+START_DOUBLES = 400_000
 
 
 def _square(a: Shape) -> Shape:
@@ -27,40 +28,40 @@ def _square(a: Shape) -> Shape:
     return a
 
 
-def karcher_means(trials: Trials, column: str, transform: Callable[[np.ndarray], np.ndarray] = lambda c: c, by_label: bool = True, most: int = LOCAL_DOUBLES) -> dict[float, np.ndarray]:
-    """Mean of transform(C) for each label (or under 0.0 over all trials); all flows share each pass."""
-    shape = _square(trials.shape(column))
-    n, size = shape[0], size_of(shape)
-    label = F.col(trials.label).cast("double") if by_label else F.lit(0.0)
-    some = trials.df.select(label.alias("_y"), F.col(column).alias("_c")).filter("_y is not null and _c is not null")
-    limit = most // size
-    rows = some.limit(limit + 1).collect()  # at most LOCAL_DOUBLES numbers
-    if len(rows) <= limit:
-        y, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float).reshape(len(rows), *shape)
-        return {float(k): spd.mean(transform(c[y == k])) for k in np.unique(y)}
-    kept = Trials(some.persist(StorageLevel.MEMORY_AND_DISK), {"_c": shape}, label="_y")
-    try:
-        flows = {g["label"]: spd.KarcherStep((g["sum"] / g["count"]).reshape(n, n)) for g in partial_sums(kept, "_c", lambda c: transform(c).reshape(len(c), -1), True)}
-        while open_flows := {k: f for k, f in flows.items() if not f.done}:
-            whiteners = {k: f.whitener() for k, f in open_flows.items()}
-
-            def logs(c: np.ndarray, y: np.ndarray, whiteners: dict = whiteners) -> np.ndarray:
-                out = np.zeros((len(c), size))
-                for k, w in whiteners.items():
-                    own = y == k
-                    if own.any():
-                        out[own] = spd.logm(w @ transform(c[own]) @ w).reshape(-1, size)
-                return out
-
-            for g in partial_sums(kept, "_c", logs, True, with_labels=True):
-                if g["label"] in open_flows:
-                    open_flows[g["label"]].advance((g["sum"] / g["count"]).reshape(n, n))
-        return {k: f.at for k, f in flows.items()}
-    finally:
-        kept.df.unpersist()
-
-
-def karcher_mean(trials: Trials, column: str, transform: Callable[[np.ndarray], np.ndarray] = lambda c: c, most: int = LOCAL_DOUBLES) -> np.ndarray:
+def flowed(held: Trials, starts: dict[float, np.ndarray], transform: Callable[[np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[float, np.ndarray]:
+    """Means of transform(C) by label, from ``starts``; all flows share each pass over the ``cached`` trials."""
+    n = held.shape("_c")[0]
+    flows = {k: spd.KarcherStep(start) for k, start in starts.items()}
+    while open_flows := {k: f for k, f in flows.items() if not f.done}:
+        whiteners = {k: f.whitener() for k, f in open_flows.items()}
+
+        def logs(c: np.ndarray, y: np.ndarray, whiteners: dict = whiteners) -> np.ndarray:
+            w = whiteners.get(float(y[0]))  # trials come label by label
+            return np.zeros(n * n) if w is None else spd.logm(w @ transform(c) @ w).sum(axis=0).ravel()
+
+        for g in partial_sums(held, "_c", logs, True, with_labels=True, summed=True, keep=keep):
+            if g["label"] in open_flows:
+                open_flows[g["label"]].advance((g["sum"] / g["count"]).reshape(n, n))
+    return {k: f.at for k, f in flows.items()}
+
+
+def starting_points(held: Trials, transform: Callable[[np.ndarray], np.ndarray], most: int) -> dict[float, np.ndarray]:
+    """For each label the mean over a sample, or the arithmetic mean where the sample has no trial of it."""
+    n = held.shape("_c")[0]
+    found = {g["label"]: g for g in partial_sums(held, "_c", lambda c: transform(c).sum(axis=0).ravel(), True, summed=True)}
+    c, y = sample_of(held, "_c", most, sum(g["count"] for g in found.values()))
+    return {k: spd.mean(transform(c[y == k])) if (y == k).any() else (g["sum"] / g["count"]).reshape(n, n) for k, g in found.items()}
+
+
+def karcher_means(trials: Trials, column: str, transform: Callable[[np.ndarray], np.ndarray] = lambda c: c, by_label: bool = True, most: int = START_DOUBLES) -> dict[float, np.ndarray]:
+    """Mean of transform(C) for each label (or under 0.0 over all trials). ``most`` bounds the sample that flows start from."""
+    _square(trials.shape(column))
+    with cached(trials, column, F.col(trials.label) if by_label else None) as held:
+        held = held.with_df(held.df.filter("_y is not null"))
+        return flowed(held, starting_points(held, transform, most), transform)
+
+
+def karcher_mean(trials: Trials, column: str, transform: Callable[[np.ndarray], np.ndarray] = lambda c: c, most: int = START_DOUBLES) -> np.ndarray:
     """Mean of transform(C) over trials."""
     found = karcher_means(trials, column, transform, False, most)
     if not found:
@@ -215,18 +216,22 @@ class RiemannPotato(Estimator):
         a, r = self.inputs[0], self.r
         if trials.shape(a)[0] != trials.shape(a)[1]:
             trials = Covariance(a, a).apply(trials)
-        clean, before = trials, None
-        for _ in range(self.max_iter):
-            center = karcher_mean(clean, a, lambda c: spd.regularise(c, r))
-            far = lambda c, m=center: np.log(np.maximum(spd.distance(m, spd.regularise(c, r)), 1e-300))[:, None]
-            found = partial_sums(clean, a, lambda c: np.hstack([far(c), far(c) ** 2]), False)[0]
-            n, (s1, s2) = found["count"], found["sum"]
-            mu = s1 / n
-            potato = Potato(a, "_clean", center, mu, float(np.sqrt(max(0.0, s2 / n - mu * mu))), self.thresh, r)
-            if n == before:
-                break
-            marked = potato.apply(clean)
-            clean, before = clean.with_df(marked.df.filter("_clean = 1").drop("_clean")), n
+        regular = lambda c: spd.regularise(c, r)
+        with cached(trials, a) as held:
+            center, past, before = None, [], None
+            for _ in range(self.max_iter):
+                clean = lambda c, past=tuple(past): np.logical_and.reduce([np.ones(len(c), bool), *(p.scores(c) < p.thresh for p in past)])
+                starts = starting_points(held, regular, START_DOUBLES) if center is None else {0.0: center}
+                center = flowed(held, starts, regular, clean)[0.0]
+                far = lambda c, m=center: np.log(np.maximum(spd.distance(m, regular(c)), 1e-300))[:, None]
+                found = partial_sums(held, "_c", lambda c: np.hstack([far(c), far(c) ** 2]), False, keep=clean)[0]
+                n, (s1, s2) = found["count"], found["sum"]
+                mu = s1 / n
+                potato = Potato(a, "_clean", center, mu, float(np.sqrt(max(0.0, s2 / n - mu * mu))), self.thresh, r)
+                if n == before:
+                    break
+                past.append(potato)
+                before = n
         potato.output = self.output
         return potato
 
@@ -254,16 +259,30 @@ class AdaptiveRebias(Operator):
         a, shape, order, output = self.inputs[0], self.infer(trials.shape(self.inputs[0])), self.order, self.output
         step, start, begun = self.step, self.bias, self.seen
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows, bias, seen, out = rows.sort_values(order), start, begun, []
-            for x in rows[a]:
-                y, bias, seen = step(bias, seen, np.asarray(x, float).reshape(shape))
-                out.append(y.ravel())
-            return rows.assign(**{output: out})
-
-        df = trials.df if self.by else trials.df.withColumn("_all", F.lit(0))
-        done = df.groupBy(*(self.by or ("_all",))).applyInPandas(run, df.withColumn(output, F.col(a)).schema)
-        return Trials(done if self.by else done.drop("_all"), {**trials.shapes, output: shape}, trials.id, trials.label)
+        by = self.by
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, bias, seen = object(), start, begun
+            for batch in batches:
+                keys = list(zip(*(batch.column(batch.schema.names.index(b)).to_pylist() for b in by))) if by else [()] * batch.num_rows
+                out = []
+                for key, x in zip(keys, batch.column(batch.schema.names.index(a)).to_pylist()):
+                    if key != at:
+                        at, bias, seen = key, start, begun
+                    if x is None:
+                        out.append(None)
+                        continue
+                    y, bias, seen = step(bias, seen, np.asarray(x, float).reshape(shape))
+                    out.append(y.ravel())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names, output])
+
+        # a recording's trials stream through one task in order; it holds one Arrow batch of them
+        df = trials.df.drop(output) if output != a else trials.df
+        dealt = df.repartition(*by).sortWithinPartitions(*by, order) if by else df.coalesce(1).sortWithinPartitions(order)
+        kind = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType()))])
+        if output == a:
+            raise ValueError("re-centred trials need a column of their own")
+        return Trials(dealt.mapInArrow(run, kind), {**trials.shapes, output: shape}, trials.id, trials.label)
 
 
 class AdaptiveRebiasFit(Estimator):
@@ -279,14 +298,28 @@ class AdaptiveRebiasFit(Estimator):
         return AdaptiveRebias(self.inputs[0], self.output, karcher_mean(trials, self.inputs[0]), trials.df.count(), self.order, self.by, self.rate)
 
     def recentred(self, trials: Trials, block: str) -> Trials:
-        """Training trials, each about the mean of its ``block`` (a column of few values)."""
-        blocks = [r[0] for r in trials.df.select(block).distinct().collect()]
-        whiteners = {b: spd.invsqrtm(karcher_mean(trials.with_df(trials.df.filter(F.col(block) == b)), self.inputs[0])) for b in blocks}
-        out = None
-        for b, w in whiteners.items():
-            part = Congruence(self.inputs[0], self.output, w).apply(trials.with_df(trials.df.filter(F.col(block) == b)))
-            out = part if out is None else out.with_df(out.df.unionByName(part.df))
-        return out
+        """Training trials, each about the mean of its ``block`` (a column of few values, each of which has a mean on the driver)."""
+        a = self.inputs[0]
+        blocks = [r[0] for r in trials.df.select(block).distinct().orderBy(block).collect()]
+        number = F.coalesce(F.array_position(F.lit([b for b in blocks if b is not None]), F.col(block)), F.lit(0)).cast("double")
+        marked = Trials(trials.df.withColumn("_block", number), {**trials.shapes, "_block": ()}, trials.id, "_block")
+        means = karcher_means(marked, a)
+        out = ByBlock(a, "_block", self.output, {k: spd.invsqrtm(m) for k, m in means.items()}).apply(marked)
+        return Trials(out.df.drop("_block"), {k: v for k, v in out.shapes.items() if k != "_block"}, trials.id, trials.label)
+
+
+class ByBlock(BatchOperator):
+    """W C W for the W of each trial's block."""
+
+    def __init__(self, a: str, block: str, output: str, w: dict[float, np.ndarray]):
+        self.inputs, self.output, self.w = (a, block), output, w
+
+    def infer(self, a: Shape, block: Shape) -> Shape:
+        return _square(a)
+
+    def batch(self, a: np.ndarray, block: np.ndarray) -> np.ndarray:
+        w = np.stack([self.w[float(k)] for k in block]) if len(block) else a
+        return w @ a @ w
 
 
 class Congruence(BatchOperator):

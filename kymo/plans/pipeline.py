@@ -111,12 +111,16 @@ class FittedPlan:
             trials = o.apply(trials)
         return trials
 
-    def update(self, trials: Trials, rate: float, most: int = 10_000) -> None:
-        """Let operators that follow new data (states, potatoes) move toward at most ``most`` trials, in order of their ids."""
+    def update(self, trials: Trials, rate: float) -> None:
+        """Let operators that follow new data (states, potatoes) move toward all trials, in order of their ids.
+
+        Each moves on from where the trial before left it, so trials stream through the driver, some at a time.
+        """
         for o in self.operators:
             for part in [o, *vars(o).values()]:
                 if hasattr(part, "update") and hasattr(part, "inputs") and part.inputs[0] in trials.shapes:
-                    part.update(tensors_of(trials, part.inputs[0], most), rate)
+                    for some in tensors_of(trials, part.inputs[0]):
+                        part.update(some, rate)
             trials = o.apply(trials)
 
     def save(self, spark: SparkSession, path: str) -> None:

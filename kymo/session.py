@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -50,3 +50,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share."""
     return f"{checkpoint_dir(spark)}/kymo/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, and read again."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
