@@ -164,19 +164,75 @@ class ToTangent(BatchOperator):
         return spd.tangent(spd.regularise(a, self.r), self.reference)
 
 
+METRICS = ("riemann", "euclid", "logeuclid")
+
+
 class TangentSpace(Estimator):
-    """Projection to the tangent space at the mean of the training matrices."""
+    """Projection to the tangent space at the mean of the training matrices, by ``metric``.
+
+    ``weights`` names a column of trials' weights. ``tsupdate`` takes the mean of the trials that are projected instead.
+    """
 
-    def __init__(self, a: str, output: str, regularization: float = 0.0):
-        self.inputs, self.output, self.r = (a,), output, regularization
+    def __init__(self, a: str, output: str, regularization: float = 0.0, metric: str = "riemann", tsupdate: bool = False, weights: str | None = None):
+        if metric not in METRICS:
+            raise ValueError(f"metric is one of {METRICS}")
+        self.inputs, self.output, self.r, self.metric, self.tsupdate, self.weights = (a,), output, regularization, metric, tsupdate, weights
 
     def infer(self, a: Shape) -> Shape:
         n = _square(a)[0]
         return (n * (n + 1) // 2,)
 
+    def reference(self, trials: Trials) -> np.ndarray:
+        a, r = self.inputs[0], self.r
+        regular = lambda c: spd.regularise(c, r)
+        if self.weights is None and self.metric == "riemann":
+            return karcher_mean(trials, a, regular)
+        with cached(trials, a, F.lit(1.0) if self.weights is None else F.col(self.weights)) as held:
+            if self.metric == "riemann":
+                return weighted(held, regular)
+            flat = lambda x: regular(x) if self.metric == "euclid" else spd.logm(regular(x))
+            mean = weighted_sum(held, flat)
+        return mean if self.metric == "euclid" else spd.expm(mean)
+
     def fit(self, trials: Trials) -> Operator:
-        r = self.r
-        return ToTangent(self.inputs[0], self.output, karcher_mean(trials, self.inputs[0], lambda c: spd.regularise(c, r)), r)
+        if self.tsupdate:
+            return FollowingTangent(self)
+        return ToTangent(self.inputs[0], self.output, self.reference(trials), self.r)
+
+
+def weighted_sum(held: Trials, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Mean of f(C) over ``cached`` trials, weighted by their labels."""
+    n = held.shape("_c")[0]
+
+    def sums(c: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.append(np.einsum("t,tij->ij", w, f(c)).ravel(), w.sum())
+
+    found = partial_sums(held, "_c", sums, False, with_labels=True, summed=True)
+    if not found or found[0]["sum"][-1] <= 0:
+        raise ValueError("a mean needs trials with weight")
+    return (found[0]["sum"][:-1] / found[0]["sum"][-1]).reshape(n, n)
+
+
+def weighted(held: Trials, transform: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weighted Riemannian mean of ``cached`` trials, by the Karcher flow from their weighted arithmetic mean."""
+    flow = spd.KarcherStep(weighted_sum(held, transform))
+    while not flow.done:
+        w = flow.whitener()
+        flow.advance(weighted_sum(held, lambda c, w=w: spd.logm(w @ transform(c) @ w)))
+    return flow.at
+
+
+class FollowingTangent(Operator):
+    """Tangent vectors at the mean of the very trials that are projected."""
+
+    def __init__(self, space: TangentSpace):
+        self.inputs, self.output, self.space = space.inputs, space.output, space
+
+    def infer(self, a: Shape) -> Shape:
+        return self.space.infer(a)
+
+    def apply(self, trials: Trials) -> Trials:
+        return ToTangent(self.inputs[0], self.output, self.space.reference(trials), self.space.r).apply(trials)
 
 
 class Potato(BatchOperator):

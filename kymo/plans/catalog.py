@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kymo.operators import classify, elementwise, features, reduce, riemann, shape, signal
 from kymo.operators.base import Operator, Trials
+from kymo.plans import sql as q
 from kymo.plans.pipeline import Plan
 from kymo.session import shared_path
 from kymo.sources import streams
@@ -67,6 +68,15 @@ LONG = f"""t as (select vec_id as trial_id, label, i // {SAMPLES} as ch, i % {SA
   from embeddings cross join range({CHANNELS * SAMPLES}) as r(i))"""
 
 
+def _filtered(ctes: str) -> str:
+    """SQL for a filter's output from CTEs that end in f; the clause comes behind ``LONG``."""
+    return f""", {ctes} select trial_id, (ch * {SAMPLES} + s)::int as pos, round(v, 6) + 0.0 as v from f"""
+
+
+def _sections(design: signal.FilterDesign) -> list[q.Section]:
+    return [(c[:3], c[3:]) for c in design.coefficients] if design.kind == "sos" else [design.coefficients]
+
+
 def _out(value: str) -> str:
     return f"round({value}, 6) + 0.0 as v"
 
@@ -128,7 +138,8 @@ _scalar("threshold", lambda: elementwise.Threshold("p", 30000.0, "y"), "(p > 300
 _scalar("cdf_chi2", lambda: elementwise.Cdf("q", "y", "chi2", df=6), "1 - exp(-q / 2) * (1 + q / 2 + (q / 2) * (q / 2) / 2)")
 
 
-@query()
+# the Taylor series of the integral, whose terms fall below 1e-18 here
+@query(f"""with {_LINE} select trial_id, round(0.5 + list_sum(list_transform(range(40), lambda k: pow(-1, k) * pow((q - 25) / 10, 2 * k + 1) / (pow(2, k) * gamma(k + 1) * (2 * k + 1)))) / sqrt(2 * pi()), 6) + 0.0 as v from l""")
 def cdf_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal distribution function of quantities."""
     return elements(elementwise.Cdf("q", "y", "norm", loc=25.0, scale=10.0).apply(_line(spark, sf_dir)), "y")
@@ -148,7 +159,7 @@ def _trial(name: str, make: Callable[[], list], sql: str | None, output: str = "
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return elements(Plan(make()).transform(embedding_trials(spark, sf_dir), [output]), output)
 
-    query(f"with {LONG} {sql}" if sql else None, name)(run)
+    query(f"with recursive {LONG} {sql}" if sql else None, name)(run)
 
 
 _REDUCTIONS = {
@@ -196,13 +207,18 @@ _FIRST = signal.FilterDesign.butter(1, 10.0, fs=100.0)
 _B, _A = (tuple(float(v) for v in c) for c in _FIRST.coefficients)
 _trial("filter_iir", lambda: [signal.Filter("x", _FIRST, "y")], f""", l as (select trial_id, ch, s, {_B[0]!r}::double * v + {_B[1]!r}::double * coalesce(lag(v) over (partition by trial_id, ch order by s), 0) as u from t)
   select a.trial_id, (a.ch * {SAMPLES} + a.s)::int as pos, round(sum(b.u * pow({-_A[1]!r}::double, a.s - b.s)), 6) + 0.0 as v from l a join l b on a.trial_id = b.trial_id and a.ch = b.ch and b.s <= a.s group by all""")
-_trial("filter_sos", lambda: [signal.Filter("x", signal.FilterDesign.butter(4, (8, 35), "bandpass", "sos", 250.0), "y")], None)
-_trial("filter_cheby1", lambda: [signal.Filter("x", signal.FilterDesign.cheby1(3, 1.0, 20.0, "lowpass", "sos", 100.0), "y")], None)
-_trial("filter_cheby2", lambda: [signal.Filter("x", signal.FilterDesign.cheby2(3, 30.0, 20.0, "highpass", "sos", 100.0), "y")], None)
-_trial("filter_ellip", lambda: [signal.Filter("x", signal.FilterDesign.ellip(3, 1.0, 40.0, (10, 30), "bandstop", "sos", 100.0), "y")], None)
-_trial("filter_bessel", lambda: [signal.Filter("x", signal.FilterDesign.bessel(3, 20.0, "lowpass", "ba", 100.0), "y")], None)
-_trial("filtfilt", lambda: [signal.FiltFilt("x", signal.FilterDesign.butter(2, 20.0, fs=100.0), "y")], None)
-_trial("filtfilt_sos", lambda: [signal.FiltFilt("x", signal.FilterDesign.butter(2, 20.0, "lowpass", "sos", 100.0), "y")], None)
+_DESIGNS = {
+    "filter_sos": signal.FilterDesign.butter(4, (8, 35), "bandpass", "sos", 250.0),
+    "filter_cheby1": signal.FilterDesign.cheby1(3, 1.0, 20.0, "lowpass", "sos", 100.0),
+    "filter_cheby2": signal.FilterDesign.cheby2(3, 30.0, 20.0, "highpass", "sos", 100.0),
+    "filter_ellip": signal.FilterDesign.ellip(3, 1.0, 40.0, (10, 30), "bandstop", "sos", 100.0),
+    "filter_bessel": signal.FilterDesign.bessel(3, 20.0, "lowpass", "ba", 100.0),
+}
+for _name, _design in _DESIGNS.items():
+    _trial(_name, lambda d=_design: [signal.Filter("x", d, "y")], _filtered(q.filtered("t", "f", _sections(_design))))
+_TWICE, _TWICE_SOS = signal.FilterDesign.butter(2, 20.0, fs=100.0), signal.FilterDesign.butter(2, 20.0, "lowpass", "sos", 100.0)
+_trial("filtfilt", lambda: [signal.FiltFilt("x", _TWICE, "y")], _filtered(q.there_and_back("t", "f", _sections(_TWICE), SAMPLES, 9)))
+_trial("filtfilt_sos", lambda: [signal.FiltFilt("x", _TWICE_SOS, "y")], _filtered(q.there_and_back("t", "f", _sections(_TWICE_SOS), SAMPLES, 9)))
 # Doubling keeps every frequency below Nyquist; SQL writes the interpolation out as a sum over sines.
 _trial("resample", lambda: [signal.Resample("x", 2, "y")], f""", f as (select trial_id, ch, k, sum(v * cos(2 * pi() * k * s / {SAMPLES})) as re, -sum(v * sin(2 * pi() * k * s / {SAMPLES})) as im
     from t cross join range({SAMPLES // 2 + 1}) as r(k) group by all)
@@ -218,7 +234,7 @@ def _fitted(name: str, make: Callable[[], list], sql: str | None, output: str =
         trials = embedding_trials(spark, sf_dir)
         return elements(Plan(make()).fit(trials, [output]).transform(trials), output)
 
-    query(f"with {LONG}{sql}" if sql else None, name)(run)
+    query(f"with recursive {LONG}{sql}" if sql else None, name)(run)
 
 
 _STATS = """, f as (select ch, s, min(v) as lo, max(v) as hi, avg(v) as m, stddev_pop(v) as d from t group by ch, s)"""
@@ -242,11 +258,25 @@ _fitted("classifier_lda", lambda: [shape.Reshape("x", "f", (-1,)), classify.Clas
 _fitted("classifier_lda_shrinkage", lambda: [shape.Reshape("x", "f", (-1,)), classify.Classifier("f", "y", classify.lda("lsqr", "auto"))], None)
 _fitted("classifier_svm", lambda: [shape.Reshape("x", "f", (-1,)), classify.Classifier("f", "y", classify.svm())], None)
 _fitted("classifier_logistic", lambda: [reduce.Mean("x", "f", axis=1), classify.Classifier("f", "y", classify.logistic_regression())], None)
-_fitted("classifier_custom", lambda: [reduce.Mean("x", "f", axis=1), classify.Classifier("f", "y", NearestCentroid())], None)
+_CENTROIDS = """, m as (select trial_id, any_value(label) as label, ch, avg(v) as v from t group by trial_id, ch),
+  c as (select label, ch, avg(v) as v from m where label is not null group by label, ch),
+  d as (select m.trial_id, any_value(m.label) as label, c.label as guess, sum(pow(m.v - c.v, 2)) as d from m join c on m.ch = c.ch group by m.trial_id, c.label),
+  p as (select trial_id, any_value(label) as label, arg_min(guess, d)::double as y from d group by trial_id)"""
+_fitted("classifier_custom", lambda: [reduce.Mean("x", "f", axis=1), classify.Classifier("f", "y", NearestCentroid())], f"{_CENTROIDS} select trial_id, round(y, 6) + 0.0 as v from p")
 _fitted("pattern_state", lambda: [_COV(), classify.PatternState("cov", "y", k_selection="fixed", n_clusters=3)], None)
 _fitted("multi_potato", lambda: [_COV(), classify.MultiPotatoFit("cov", "y", 2)], None)
-_trial("riemann_mean", lambda: [shape.Reshape("x", "sets", (2, 2, SAMPLES)), reduce.Covariance("sets", "covs", 0.05), riemann.RiemannMean("covs", "y")], None)
-_trial("riemann_distance", lambda: [shape.Reshape("x", "sets", (2, 2, SAMPLES)), reduce.Covariance("sets", "covs", 0.05), shape.Extract("covs", ([1], None, None), "one"), riemann.RiemannDistance("covs", "one", "y")], None)
+# two matrices of two channels: A # B = sqrt(ab) (A / a + B / b) / sqrt(det(A / a + B / b)) with a = sqrt(det A), b = sqrt(det B)
+_SETS = f""", c as (select a.trial_id, a.ch // 2 as k, a.ch % 2 as i, b.ch % 2 as j, (covar_samp(a.v, b.v) + case when a.ch = b.ch then 0.05 else 0 end) / 1.05 as v
+    from t a join t b on a.trial_id = b.trial_id and a.ch // 2 = b.ch // 2 and a.s = b.s group by a.trial_id, a.ch, b.ch),
+  m as (select trial_id, k, max(case when i = 0 and j = 0 then v end) as a, max(case when i = 0 and j = 1 then v end) as b, max(case when i = 1 and j = 1 then v end) as c from c group by trial_id, k),
+  p as (select u.trial_id, u.a as a0, u.b as b0, u.c as c0, w.a as a1, w.b as b1, w.c as c1, sqrt(u.a * u.c - u.b * u.b) as d0, sqrt(w.a * w.c - w.b * w.b) as d1
+    from m u join m w on u.trial_id = w.trial_id and u.k = 0 and w.k = 1)"""
+_trial("riemann_mean", lambda: [shape.Reshape("x", "sets", (2, 2, SAMPLES)), reduce.Covariance("sets", "covs", 0.05), riemann.RiemannMean("covs", "y")],
+       f"""{_SETS}, g as (select trial_id, d0, d1, a0 / d0 + a1 / d1 as a, b0 / d0 + b1 / d1 as b, c0 / d0 + c1 / d1 as c from p),
+  n as (select trial_id, [a, b, b, c] as e, sqrt(d0 * d1 / (a * c - b * b)) as f from g)
+  select trial_id, r.i::int as pos, round(e[r.i + 1] * f, 6) + 0.0 as v from n cross join range(4) as r(i)""")
+_trial("riemann_distance", lambda: [shape.Reshape("x", "sets", (2, 2, SAMPLES)), reduce.Covariance("sets", "covs", 0.05), shape.Extract("covs", ([1], None, None), "one"), riemann.RiemannDistance("covs", "one", "y")],
+       f"""{_SETS} select trial_id, r.i::int as pos, round(case r.i when 0 then sqrt({q.squared_distance(("a1", "b1", "c1"), ("a0", "b0", "c0"))}) else 0 end, 6) + 0.0 as v from p cross join range(2) as r(i)""")
 
 
 class NearestCentroid:
@@ -429,3 +459,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from kymo.plans import catalog_more  # noqa: E402, F401  registers its queries

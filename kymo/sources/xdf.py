@@ -127,10 +127,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_xdf(spark: SparkSession, path: str) -> DataFrame:
     """Every sample of every stream of the files at ``path``, as ``SCHEMA``; text streams have markers, others values."""
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # a row is a whole file: few to a batch
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_rows, SCHEMA)
+    return read_contents(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def read_contents(files: DataFrame) -> DataFrame:
+    """As ``read_xdf``, of files given as (path, content). A file is a row, and is read in its task as a whole."""
+    ship_package(files.sparkSession)
+    return files.select("path", "content").mapInArrow(_rows, SCHEMA)
 
 
 def signal_and_markers(df: DataFrame, stream_type: str = "EEG") -> tuple[DataFrame, DataFrame]:
