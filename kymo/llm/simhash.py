@@ -11,8 +11,10 @@ anchor within covering radius plus the half's threshold, 1 + 1. If x and y diffe
 home of x is within 2 of y: both meet there. An anchor is one of 2**27, so few fingerprints share one by chance.
 
 Work per anchor: members sorted by anchor stream through a task; only distinct fingerprints take part, each link's
-ends are compared in full (64 bits), and an anchor gives a spanning forest of its links, never all pairs. An anchor
-with more members than ``CELL`` is cut into cells by a hash of the fingerprint, and pairs of cells are compared in separate tasks.
+ends are compared in full (64 bits), and an anchor gives a spanning forest of its links, never all pairs. Members are counted
+by anchor first. Those of an anchor with more than ``CELL`` never meet in one task: linked ones agree in one of the
+four bytes of their other halves, at least, so each goes to four groups by these bytes; and a group that is still too large is
+cut into cells by a hash of the fingerprint, of which pairs are compared in separate tasks.
 
 Results: a null text has no words. Rows whose fingerprints are equal link, texts without words included. A null key
 takes part in its component but never names it unless the component holds no other key. An empty table gives no rows.
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import apart, map_rows, numbered, tune, written
+from kymo.llm.common import map_rows, numbered, tune, written
 from kymo.llm.components import connected_components
 
 WIDTH, SEED, THRESHOLD = 3, 42, 3
@@ -95,7 +97,7 @@ def anchors_within(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members (anchor, fp, home) of each fingerprint in both halves; an anchor holds its half's number in bit 32."""
+    """Members (at, the anchor; fp; home) of each fingerprint in both halves; an anchor holds its half's number in bit 32."""
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         for at in range(0, len(fps), 20_000):
@@ -106,7 +108,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 anchor = np.concatenate([homes(halves), near]).astype(np.int64) | side << 32
                 member = np.concatenate([some, some[i]]).view(np.int64)
                 is_home = np.arange(len(anchor)) < len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(member), pa.array(is_home)], names=["anchor", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(member), pa.array(is_home)], names=["at", "fp", "home"])
 
 
 def spanning(home: np.ndarray, near: np.ndarray, threshold: int = THRESHOLD) -> tuple[list[int], list[int]]:
@@ -132,66 +134,39 @@ def spanning(home: np.ndarray, near: np.ndarray, threshold: int = THRESHOLD) ->
     return a, b
 
 
-LINKS = "a long, b long, anchor long, fp long, home boolean"
+LINKS = "a long, b long"
 
 
 def _links(a: list, b: list) -> pa.RecordBatch:
-    ends = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-    n = len(a)
-    return pa.RecordBatch.from_arrays([*ends, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=["a", "b", "anchor", "fp", "home"])
-
-
-def _left_over(anchors: np.ndarray, fps: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
-    n = len(fps)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(anchors), pa.array(fps), pa.array(home)], names=["a", "b", "anchor", "fp", "home"])
-
-
-def _compare(cell: int):
-    """Links within each anchor of sorted members; members of anchors above ``cell`` members are handed on instead."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
-        passing = None  # the anchor whose members are being handed on
-        for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            columns = [np.concatenate(x) for x in zip(kept, new)]
-            if passing is not None:
-                n = int(np.searchsorted(columns[0], passing, "right"))
-                if n:
-                    yield _left_over(*(c[:n] for c in columns))
-                    columns = [c[n:] for c in columns]
-                if not len(columns[0]):
-                    kept = columns
-                    continue
-                passing = None
-            last = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last anchor may go on
-            yield from groups([c[:last] for c in columns])
-            kept = [c[last:] for c in columns]
-            if len(kept[0]) > cell:
-                passing = kept[0][-1]
-                yield _left_over(*kept)
-                kept = [c[:0] for c in kept]
-        yield from groups(kept)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each group of rows (at, fp, home) sorted by at."""
+    kept: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
 
     def groups(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchors, fps, home = columns
-        if not len(anchors):
+        at, fps, home = columns
+        if not len(at):
             return
-        starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-        sizes = np.diff(np.append(starts, len(anchors)))
-        some_home = np.add.reduceat(home.astype(np.int64), starts) > 0
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sizes = np.diff(np.append(starts, len(at)))
+        some = (sizes > 1) & (np.add.reduceat(home.astype(np.int64), starts) > 0)
         a, b = [], []
-        for at, n in zip(starts[(sizes > 1) & some_home].tolist(), sizes[(sizes > 1) & some_home].tolist()):
-            part, is_home = fps[at : at + n].view(np.uint64), home[at : at + n]
-            if n > cell:
-                yield _left_over(anchors[at : at + n], fps[at : at + n], is_home)
-                continue
+        for first, n in zip(starts[some].tolist(), sizes[some].tolist()):
+            part, is_home = fps[first : first + n].view(np.uint64), home[first : first + n]
             more = spanning(part[is_home], part[~is_home])
             a += more[0]
             b += more[1]
         yield _links(a, b)
 
-    return run
+    for batch in batches:
+        if batch.num_rows:
+            columns = [np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept)]
+            last = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last group may go on
+            yield from groups([c[:last] for c in columns])
+            kept = [c[last:] for c in columns]
+    yield from groups(kept)
 
 
 def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,22 +189,45 @@ def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield result()
 
 
+def _by_size(members: DataFrame, cell: int) -> tuple[DataFrame, DataFrame | None]:
+    """(small, large): rows (at, fp, home) of groups that fit one comparison, and those of others (None where there are none).
+
+    Groups without a home have no links to find. Counts are combined before they are shuffled.
+    """
+    sizes = members.groupBy("at").agg(F.count("*").alias("n"), F.max("home").alias("any"))
+    large = written(sizes.filter(F.col("any") & (F.col("n") > cell)).select("at", "n").coalesce(1 + int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8), "simhash-crowded")
+    if large.isEmpty():
+        return members, None
+    return members.join(large.select("at"), "at", "left_anti"), members.join(large, "at")
+
+
+def _edges(members: DataFrame, n: int) -> DataFrame:
+    return members.select("at", "fp", "home").repartition(n, "at").sortWithinPartitions("at").mapInArrow(_compare, LINKS)
+
+
 def link_edges(fps: DataFrame, cell: int = CELL) -> DataFrame:
     """Edges (a, b) that connect what links at ``THRESHOLD`` bits connects, of the distinct ``fp`` of a frame."""
     spark = fps.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = fps.mapInArrow(_placed, "anchor long, fp long, home boolean")
-    compared = written(placed.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(cell), LINKS), "simhash-links")
-    edges = compared.filter("a is not null").select("a", "b")
-    handed_on = compared.filter("fp is not null").select("anchor", "fp", "home")
-    if not handed_on.isEmpty():
-        cells = handed_on.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(cell / 2)).cast("int").alias("cells"))
-        own = handed_on.join(apart(cells), "anchor").withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
-        pairs = own.select("fp", "home", "anchor", "cell", other).select(
-            F.concat_ws(":", "anchor", F.least("cell", "other"), F.greatest("cell", "other")).alias("pair"), "fp", "home")
-        edges = edges.unionAll(written(pairs.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_compare_cells, LINKS), "simhash-cells").select("a", "b"))
+    placed = fps.mapInArrow(_placed, "at long, fp long, home boolean")
+    small, crowded = _by_size(placed, cell)
+    edges = _edges(small, n)
+    if crowded is not None:
+        # three bits at most differ in the half that isn't the anchor's: one of its four bytes is the same
+        other = F.when(F.shiftright("at", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+        byte = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("byte")
+        cut = crowded.select("at", "fp", "home", other.alias("other"), byte).select(
+            (F.col("at") * 1024 + F.col("byte") * 256 + F.expr("shiftright(other, 8 * byte) & 255")).alias("at"), "fp", "home")
+        small, crowded = _by_size(cut, cell)
+        edges = edges.unionAll(_edges(small, n))
+    if crowded is not None:
+        cells = crowded.withColumn("cells", F.ceil(F.col("n") / F.lit(cell / 2)).cast("int"))
+        own = cells.withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"))
+        pairs = own.select("fp", "home", "at", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")).select(
+            F.concat_ws(":", "at", F.least("cell", "other"), F.greatest("cell", "other")).alias("pair"), "fp", "home")
+        edges = edges.unionAll(pairs.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_compare_cells, LINKS))
+    edges = written(edges, "simhash-links")
     tune(spark)
     return edges
 

@@ -135,6 +135,24 @@ def test_near(spark, cell):
     assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got.collect()), key=repr) == near_brute(rows)
 
 
+@pytest.mark.parametrize("cell", [40, 300])
+def test_crowded_anchors(spark, cell):
+    """Hundreds of fingerprints around one anchor, most of them beyond three bits of each other."""
+    rng = np.random.default_rng(3)
+    low = rng.integers(0, 1 << 32, dtype=np.uint64)
+    high = rng.integers(0, 1 << 32, 300, dtype=np.uint64)
+    near = high[rng.integers(0, 300, 150)] ^ np.uint64(1) << rng.integers(0, 32, 150, dtype=np.uint64)
+    same_byte = (high[:60] & np.uint64(0xFFFFFF00)) | np.uint64(7)
+    fps = np.unique(np.concatenate([high, near, same_byte]) << np.uint64(32) | low)
+    fps = np.unique(np.concatenate([fps, fps[::5] ^ np.uint64(3)]))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    found = [(r["a"], r["b"]) for r in simhash.link_edges(frame, cell).collect()]
+    ends = fps.view(np.int64).tolist()
+    links = [(a, b) for i, a in enumerate(ends) for b in ends[:i] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3]
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 3 for a, b in found)
+    assert components(found) == components(links)
+
+
 def test_near_edges(spark):
     rows = [(None, "q w e"), (None, "q w e"), (5, "z z z z"), (5, "z z z z"), (4, "Z z Z z")]
     df = documents(spark, [t for _, t in rows], [i for i, _ in rows])
