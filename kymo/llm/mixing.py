@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kymo.llm.common import written
+
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,11 +37,10 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     The windows without partition see one row for each source.
     """
-    sums.createOrReplaceTempView("_mix_sums")
     pattern = ", ".join(map(str, weights))
     return sums.sparkSession.sql(f"""
       with ranked as (
-        select *, row_number() over (order by _null, _name) - 1 as src from _mix_sums),
+        select *, row_number() over (order by _null, _name) - 1 as src from {{sums}}),
       weighted as (
         select *, element_at(array({pattern}), cast(src % {len(weights)} as int) + 1) as weight, {max_epochs} * source_size as cap from ranked),
       running as (
@@ -49,7 +50,7 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
       levels as (
         select *, max(case when (total - caps_before) * weight <= cap * cast(weight_left as double) then (total - caps_before) / weight_left end) over () as level from running)
       select _null, _name, source_size, least(cast(cap as double), coalesce(level, double('infinity')) * weight) as target
-      from levels""")
+      from levels""", sums=sums)
 
 
 def _mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
@@ -60,6 +61,7 @@ def _mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
         df[key].alias("_key"), df[source].isNull().alias("_null"), F.coalesce(df[source], F.lit("")).alias("_name"),
         word_count(df[text]).alias("size"), digest.alias("_draw"), *[df[c].alias(f"_keep_{i}") for i, c in enumerate(keep)],
     ).withColumn("_range", F.conv(F.substring("_draw", 1, 3), 16, 10).cast("int"))
+    sized = written(sized, "mix-sizes")  # words are counted and digests taken once
     of = ["_null", "_name"]
     ranges = sized.groupBy(*of, "_range").agg(F.sum("size").alias("range_size"))
     goal = targets(ranges.groupBy(*of).agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
