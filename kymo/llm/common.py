@@ -94,13 +94,18 @@ def numbered(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return written(df.withColumn(row, F.monotonically_increasing_id()), tag), row
 
 
+def few(spark: SparkSession) -> int:
+    """Partitions for an aggregate, which is much smaller than what it was made from: an eighth of those of a shuffle."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
 def apart(df: DataFrame) -> DataFrame:
     """An aggregate dealt evenly over tasks, for a join on its keys.
 
     As it is, an aggregate lies by its keys and the join would only exchange the other side, which Spark then can't split
     where a key is very frequent. Behind this small exchange both sides get one, and it may.
     """
-    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    return df.repartition(few(df.sparkSession))
 
 
 def lowest(df: DataFrame, order: Column, n: int, rows: int) -> DataFrame:

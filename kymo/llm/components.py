@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import apart, written
+from kymo.llm.common import apart, few, written
 
 
 #: Edges that one file of a round holds.
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``root`` is the smallest node that can be reached. Nodes must be of one sortable type; null ends are dropped. A
     round's files follow the number of edges, not of shuffle partitions: rounds are many and edges may be few.
     """
-    star = written(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "components")
+    star = written(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct().coalesce(few(edges.sparkSession)), "components")
     n = star.count()
     for _ in range(max_rounds):
         # large star: every node sends its larger neighbours to the smallest node around it, itself included

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import map_rows, numbered, tune, written
+from kymo.llm.common import few, map_rows, numbered, tune, written
 from kymo.llm.components import connected_components
 
 WIDTH, SEED, THRESHOLD = 3, 42, 3
@@ -195,7 +195,7 @@ def _by_size(members: DataFrame, cell: int) -> tuple[DataFrame, DataFrame | None
     Groups without a home have no links to find. Counts are combined before they are shuffled.
     """
     sizes = members.groupBy("at").agg(F.count("*").alias("n"), F.max("home").alias("any"))
-    large = written(sizes.filter(F.col("any") & (F.col("n") > cell)).select("at", "n").coalesce(1 + int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8), "simhash-crowded")
+    large = written(sizes.filter(F.col("any") & (F.col("n") > cell)).select("at", "n").coalesce(few(members.sparkSession)), "simhash-crowded")
     if large.isEmpty():
         return members, None
     return members.join(large.select("at"), "at", "left_anti"), members.join(large, "at")
@@ -208,7 +208,7 @@ def _edges(members: DataFrame, n: int) -> DataFrame:
 def link_edges(fps: DataFrame, cell: int = CELL) -> DataFrame:
     """Edges (a, b) that connect what links at ``THRESHOLD`` bits connects, of the distinct ``fp`` of a frame."""
     spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    tune(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     placed = fps.mapInArrow(_placed, "at long, fp long, home boolean")
     small, crowded = _by_size(placed, cell)
@@ -227,8 +227,6 @@ def link_edges(fps: DataFrame, cell: int = CELL) -> DataFrame:
         pairs = own.select("fp", "home", "at", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")).select(
             F.concat_ws(":", "at", F.least("cell", "other"), F.greatest("cell", "other")).alias("pair"), "fp", "home")
         edges = edges.unionAll(pairs.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_compare_cells, LINKS))
-    edges = written(edges, "simhash-links")
-    tune(spark)
     return edges
 
 
@@ -236,12 +234,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """(key, fingerprint, component_id, fp) of every row; component_id is the smallest key that links reach."""
     known = written(fingerprints(df, key, text, width), "simhash-fingerprints")
     of_fp = known.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = connected_components(link_edges(of_fp.select("fp"), cell))
+    spark = df.sparkSession
+    edges = link_edges(of_fp.select("fp"), cell)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # rows of numbers, compared in the first step here
+    roots = connected_components(edges)
+    tune(spark)
     named = of_fp.join(roots.withColumnRenamed("node", "fp"), "fp")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.select("fp", "root").join(names, "root").select("fp", "component_id")
     # written, so that the join below has an exchange on both sides and Spark may split a fingerprint with very many rows
-    of_fp = written(of_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
+    of_fp = of_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_fp = written(of_fp.coalesce(few(spark)), "simhash-components")
     return known.join(of_fp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 

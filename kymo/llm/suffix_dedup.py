@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import map_rows, numbered, tune, written
+from kymo.llm.common import few, map_rows, numbered, tune, written
 
 LENGTH, GRAM = 200, 32
 #: Grams of a window, and windows of a run at most.
@@ -437,17 +437,17 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
         F.count("*").alias("count"), *[g(h).alias(f"{n}_{h}") for h in ("h1", "h2") for n, g in (("least", F.min), ("most", F.max))], F.max("again").alias("within"))
     of_f = of_f.filter("count > 1 or within").select("f", F.expr("count = 1 or least_h1 <> most_h1 or least_h2 <> most_h2").alias("several"))
     # Aggregates are written before they are joined: with an exchange on both sides Spark may split a very frequent key.
-    few = max(1, partitions // 8)
-    of_f = written(of_f.coalesce(few), "suffix-minimizers")
+    some = few(spark)
+    of_f = written(of_f.coalesce(some), "suffix-minimizers")
     again = written(runs.drop("again").join(of_f, "f"), "suffix-repeats")
     same = again.filter("not several").select("row", "a", "n")
     several = again.filter("several")
     of_h = several.groupBy("f", "h1", "h2").agg(F.count("*").alias("count"), F.min(F.struct("row", "a", "n")).alias("one"))
-    of_h = written(of_h.coalesce(few), "suffix-surroundings")
+    of_h = written(of_h.coalesce(some), "suffix-surroundings")
     same = same.unionAll(several.join(of_h.filter("count > 1").select("f", "h1", "h2"), ["f", "h1", "h2"]).select("row", "a", "n"))
     ones = of_h.select("f", "one.*")
     crowded = ones.groupBy("f").agg(F.count("*").alias("count")).filter(F.col("count") > hot).select("f", F.lit(True).alias("hot"))
-    crowded = written(crowded.coalesce(few), "suffix-crowded")
+    crowded = written(crowded.coalesce(some), "suffix-crowded")
     ones = ones.join(crowded, "f", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = ones.groupBy("row").agg(F.collect_list(F.struct("f", "a", "n", "hot")).alias("runs"))  # of one document
     contexts = map_rows(texts.join(wanted, "row").select("row", "key", "text", "runs"), _cut_contexts, "f long, row long, a int, hot boolean, bytes binary")
@@ -457,7 +457,7 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
         return same.unionAll(found)
     windows = map_rows(contexts.filter("hot").select("row", "a", "bytes"), _window_digests, "d1 long, d2 long, row long, a int")
     counted = windows.groupBy("d1", "d2").agg(F.count("*").alias("count")).filter("count > 1").select("d1", "d2")
-    counted = written(counted.coalesce(few), "suffix-windows")
+    counted = written(counted.coalesce(some), "suffix-windows")
     repeated = windows.join(counted, ["d1", "d2"]).groupBy("row", F.expr(f"a div {MERGED}")).agg(F.collect_list("a").alias("starts"))  # MERGED starts at most
     return same.unionAll(found).unionAll(map_rows(repeated.select("row", "starts"), _merged, SPANS))
 
