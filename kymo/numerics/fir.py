@@ -31,8 +31,14 @@ def transition(low: float | None, high: float | None, fs: float) -> tuple[float,
     return lower, upper
 
 
-def design(fs: float, low: float | None, high: float | None, length: int | str = "auto", low_width: float | str = "auto", high_width: float | str = "auto", phase: str = "zero", name: str = "hamming") -> np.ndarray:
-    """Taps for a pass band from ``low`` to ``high``; one may be None; low above high makes it a stop band."""
+def design(fs: float, low: float | None, high: float | None, length: int | str = "auto", low_width: float | str = "auto", high_width: float | str = "auto", phase: str = "zero", name: str = "hamming",
+           method: str = "firwin") -> np.ndarray:
+    """Taps for a pass band from ``low`` to ``high``; one may be None; low above high makes it a stop band.
+
+    ``firwin`` windows the difference of sincs, ``firwin2`` the inverse transform of the response with straight transitions.
+    """
+    if method not in ("firwin", "firwin2"):
+        raise ValueError("the design is firwin or firwin2")
     if low is None and high is None:
         raise ValueError("at least one edge is needed")
     if name not in WINDOWS:
@@ -47,6 +53,9 @@ def design(fs: float, low: float | None, high: float | None, length: int | str =
     n = int(math.ceil(WINDOWS[name][1] * fs / min(w1, w2))) if length == "auto" else int(length)
     n += 1 - n % 2  # odd: a whole delay, and any band is possible
     side = -1 if stop else 1
+    if method == "firwin2":
+        h = sampled(fs, first, second, w1, w2, stop, n, name)
+        return h if phase == "zero" else minimum_phase(h) if phase == "minimum" else _unknown(phase)
     impulse = np.zeros(n)
     impulse[n // 2] = 1
     below = low_pass((first - side * w1 / 2) / fs, n, name) if first else np.zeros(n)
@@ -58,9 +67,33 @@ def design(fs: float, low: float | None, high: float | None, length: int | str =
         return h
     if phase == "minimum":
         return minimum_phase(h)
+    return _unknown(phase)
+
+
+def _unknown(phase: str) -> np.ndarray:
     raise ValueError("phase is zero or minimum")
 
 
+def sampled(fs: float, first: float | None, second: float | None, w1: float, w2: float, stop: bool, n: int, name: str) -> np.ndarray:
+    """Taps by frequency sampling: the wanted response, straight within the transitions, transformed back and windowed."""
+    m = 1 + (1 << max(9, int(n).bit_length()))
+    f = np.linspace(0, fs / 2, m)
+    side = -1 if stop else 1
+
+    def step(edge: float | None, width: float, rising: int) -> np.ndarray:
+        """0 to 1 over the transition outside of (rising 1) or inside of (-1) an edge."""
+        if edge is None:
+            return np.ones(m) if rising > 0 else np.zeros(m)
+        low, high = (edge - width, edge) if rising * side > 0 else (edge, edge + width)
+        return np.clip((f - low) / max(high - low, 1e-12), 0, 1)
+
+    gain = step(first, w1, 1) - step(second, w2, -1)
+    if stop:
+        gain = 1 - gain
+    shifted = gain * np.exp(-1j * math.pi * (n - 1) * f / fs)
+    return np.fft.irfft(shifted)[:n] * window(name, n)
+
+
 def minimum_phase(h: np.ndarray) -> np.ndarray:
     """Taps with the same magnitude and all zeros inside the unit circle (folded cepstrum)."""
     n = 1 << int(math.ceil(math.log2(max(64, 16 * len(h)))))

@@ -50,8 +50,23 @@ class FilterDesign:
 
     @classmethod
     def fir(cls, fs: float, low: float | None = None, high: float | None = None, length: int | str = "auto", low_width: float | str = "auto",
-            high_width: float | str = "auto", phase: str = "zero", window: str = "hamming") -> FilterDesign:
-        return cls("fir", fir_design.design(fs, low, high, length, low_width, high_width, phase, window))
+            high_width: float | str = "auto", phase: str = "zero", window: str = "hamming", design: str = "firwin",
+            method: str = "fir", iir_params: dict | None = None) -> FilterDesign:
+        """Taps; with ``method="iir"`` a recursive design for the same band: ``iir_params`` has order (4), kind (butter, cheby1,
+        cheby2, ellip or bessel), output (sos) and what else that kind takes, such as ripple_db."""
+        if method == "fir":
+            return cls("fir", fir_design.design(fs, low, high, length, low_width, high_width, phase, window, design))
+        if method != "iir":
+            raise ValueError("method is fir or iir")
+        options = {"order": 4, "kind": "butter", "output": "sos"} | (iir_params or {})
+        order, kind, output = (options.pop(k) for k in ("order", "kind", "output"))
+        if kind not in ("butter", "cheby1", "cheby2", "ellip", "bessel"):
+            raise ValueError(f"there is no recursive design {kind}")
+        if low is None and high is None:
+            raise ValueError("at least one edge is needed")
+        btype = "lowpass" if low is None else "highpass" if high is None else "bandpass" if low < high else "bandstop"
+        edges = high if low is None else low if high is None else (min(low, high), max(low, high))
+        return getattr(cls, kind)(order, edges=edges, btype=btype, implementation=output, fs=fs, **options)
 
 
 class _Filtering(BatchOperator):
