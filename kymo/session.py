@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import re
 import tempfile
@@ -48,8 +49,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    return f"{checkpoint_dir(spark)}/kymo/{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share, removed when the driver's Python ends."""
+    path = f"{checkpoint_dir(spark)}/kymo/{tag}-{uuid.uuid4().hex}"
+    atexit.register(remove_path, spark, path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path in any store that Spark reaches; silent where the session has ended already."""
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone at exit
+        pass
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
