@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.session import checkpoint_dir, ship_package
+from kymo.session import checkpoint_dir, remove_path, ship_package
 
 #: The six ASCII white-space characters of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -41,21 +41,29 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
+#: Paths that were made and not yet removed, in order.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/kymo/{tag}-{uuid.uuid4().hex}"
     atexit.register(remove_path, spark, path)
+    _made.append(path)
     return path
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder; silent where the session has ended already."""
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM may be gone at exit
-        pass
+def finished(build: Callable[[], DataFrame], tag: str, before: DataFrame | None = None) -> DataFrame:
+    """What ``build`` gives, written; the files that it made on the way are removed, and those of ``before``, an earlier result."""
+    since = len(_made)
+    out = written(build(), tag)
+    mine = _made.pop()
+    for path in _made[since:] + ([before._kymo_path] if before is not None else []):
+        remove_path(out.sparkSession, path)
+        _made.remove(path)
+    _made.append(mine)
+    out._kymo_path = mine
+    return out
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -191,3 +191,19 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_leaves_one_result(spark, tmp_path):
+    """Of what the stages write only the last stage's input stays."""
+    from kymo.llm.common import _made, shared_dir
+
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kymo")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda: {f.getPath().getName() for f in files.listStatus(folder)} if files.exists(folder) else set()
+    corpus(spark, str(tmp_path))
+    before, known = len(_made), names()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = [p.rsplit("/", 1)[1] for p in _made[before:]]
+    assert len(left) == 1 and left[0].startswith("mixing") and out.count() > 0
+    assert names() - known == set(left)
