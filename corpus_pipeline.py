@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kymo.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from kymo.llm.common import table, written
+from kymo.llm.common import finished, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's files are removed when the next one is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0])
+        docs = before = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.split()[0], before)
     return STAGES[-1][1](spark, docs, sf_dir)
