@@ -103,16 +103,16 @@ def paired(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray) -> np
     anyway, add nothing.
     """
     common = np.flatnonzero(counts >= max(MIN_DOCS, PAIR_SHARE * len(rows)))
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[common] = np.arange(len(common))
     held = []  # of each class: texts, and (term, text) by term
     for label in (0, 1):
-        texts = [place[r] for r, y in zip(rows, labels) if y == label]
-        term = np.concatenate([*texts, np.empty(0, np.int64)])
-        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        texts = [p[p >= 0] for p in (place[r] for r, y in zip(rows, labels) if y == label)]
+        term = np.concatenate([*texts, np.empty(0, np.int32)])
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
         order = np.argsort(term, kind="stable")
-        order = order[term[order] >= 0]
         held.append((len(texts), term[order], text[order]))
+        del texts, term, text, order
 
     def block(of: tuple, at: int) -> np.ndarray:
         n, term, text = of
