@@ -5,12 +5,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kymo.operators import classify, elementwise, features, reduce, riemann, shape
-from kymo.operators.base import Trials
+from kymo.operators.base import BatchOperator, Shape
 from kymo.plans import sql as q
 from kymo.plans.catalog import CHANNELS, LONG, SAMPLES, NearestCentroid, _CENTROIDS, _fitted, _json_markers, _out, _PADDED, _signal, _STATS, _trial, _two_classes, elements, embedding_trials, query, rounded, spread, streamed, table
 from kymo.plans.pipeline import FittedPlan, Plan
@@ -265,3 +266,70 @@ def stream_ring_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = streamed(spark, sf_dir, "events", build, "stream-buffer")
     total = F.aggregate("y", F.lit(0.0), lambda s, x: s + F.get(x, F.lit(0)))
     return held.select("trial_id", F.size("y").cast("long").alias("held"), rounded(total).alias("total"))
+
+
+# ---- literals, parameters and operators of a user's own ----
+
+
+@query(f"with {LONG} select trial_id, (ch * {SAMPLES} + s)::int as pos, round(v * 2.5 - 0.25, 6) + 0.0 as v from t")
+def scalar_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials times one scalar, less another."""
+    trials = embedding_trials(spark, sf_dir).with_column("a", F.lit(2.5), ()).with_column("b", F.lit(0.25), ())
+    return elements(Plan([elementwise.Multiply("x", "a", "y"), elementwise.Subtract("y", "b", "z")]).transform(trials), "z")
+
+
+@query(f"with {LONG} select trial_id, (ch * {SAMPLES} + s)::int as pos, round(v * (ch + 1) + s / 10.0, 6) + 0.0 as v from t")
+def tensor_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials times a column of channels, plus a row of samples."""
+    trials = embedding_trials(spark, sf_dir)
+    trials = trials.with_column("w", F.lit([float(c + 1) for c in range(CHANNELS)]), (CHANNELS, 1)).with_column("o", F.lit([s / 10 for s in range(SAMPLES)]), (SAMPLES,))
+    return elements(Plan([elementwise.Multiply("x", "w", "y"), elementwise.Add("y", "o", "z")]).transform(trials), "z")
+
+
+@query(f"with {LONG} select trial_id, (ch * {SAMPLES} + s)::int as pos, (v > 0.05)::int::double as v from t")
+def updated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan whose threshold was changed."""
+    return elements(Plan([elementwise.Threshold("x", 1.0, "y")]).updated("y", threshold=0.05).transform(embedding_trials(spark, sf_dir)), "y")
+
+
+class RunningTotal(BatchOperator):
+    """An operator of a user's own: sums up to each sample."""
+
+    def __init__(self, a: str, output: str):
+        self.inputs, self.output = (a,), output
+
+    def infer(self, a: Shape) -> Shape:
+        return a
+
+    def batch(self, a: np.ndarray) -> np.ndarray:
+        return a.cumsum(axis=-1)
+
+
+_trial("own_operator", lambda: [elementwise.Absolute("x", "a"), RunningTotal("a", "y")], f"select trial_id, (ch * {SAMPLES} + s)::int as pos, {_out('sum(abs(v)) over (partition by trial_id, ch order by s)')} from t")
+
+
+@query("""with n as (select *, row_number() over (partition by user_id order by ts) as n from events)
+  select m.event_id, case m.event_type when 'view' then 0 else 1 end as label, round(avg(s.value), 6) + 0.0 as v from n m join n s on s.user_id = m.user_id and s.n >= m.n and s.n < m.n + 3
+  where m.event_type in ('view', 'error') group by m.event_id, m.event_type having count(*) = 3""")
+def bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trials of two tasks with numbers for labels, and their means."""
+    sig = _signal(spark, sf_dir)
+    marked = streams.task_markers(sig.withColumnRenamed("event_type", "marker"), ["view", "error"])
+    trials = streams.as_trials(streams.epochs(sig.select("recording", "ts", "values"), marked.select("recording", "ts", "label", "event_id"), 3, keep=("label", "event_id")), 1, 3)
+    done = Plan([reduce.Mean("data", "y")]).transform(trials).df
+    return done.select("event_id", "label", rounded(F.col("y")).alias("v"))
+
+
+@query("""with r as (select event_id, user_id, value, row_number() over (partition by user_id order by ts) as n from events)
+  select a.event_id as trial_id, round(avg(b.value), 6) + 0.0 as v from r a join r b on a.user_id = b.user_id and b.n <= a.n and b.n > a.n - 4 group by a.event_id""")
+def sink_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed averages as a sink leaves them in a folder of files."""
+    out = shared_path(spark, "sink")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    stream = reader.parquet(f"{sf_dir}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    trials = stream.select(F.col("event_id").alias("trial_id"), "user_id", F.col("ts").cast("timestamp").cast("double").alias("at"), F.array("value").alias("x"))
+    done = streaming.running_average(trials, "x", 4, "user_id", "at", "y").select("trial_id", "y")
+    live.to_folder(done, f"{out}/rows", f"{out}/state", "parquet", once=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("trial_id", rounded(F.get("y", F.lit(0))).alias("v"))
