@@ -22,7 +22,8 @@ strings are first dealt by content, such that equal strings meet in one shard:
 Results: a null text is empty, texts under 200 bytes lose nothing, matches never cross texts, both copies of a repeated
 passage go, as do rows that repeat a text of 200 bytes or more. Overlapping repeats within one text count. Strings with
 equal 128-bit BLAKE2b digests count as equal bytes (steps 2, 3 and 5): by chance that is wrong with a probability
-under 1e-12 among 10**13 runs, and no text can be made for which it is. Minimizers only bring strings together.
+under 1e-12 among 10**13 runs, and no text is known for which it is; ``verify`` compares them. Minimizers only bring
+strings together.
 Texts of any length are cut into pieces of ``PIECE`` bytes for step 1, with windows overlapping the cuts.
 """
 
@@ -424,9 +425,38 @@ def _cut_contexts(columns: dict) -> dict:
     return out
 
 
-def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
+def _cut_runs(columns: dict) -> dict:
+    """Digests and bytes of each run of (text, runs)."""
+    out: dict[str, list] = {"h1": [], "h2": [], "bytes": []}
+    for text, runs in zip(columns["text"], columns["runs"].to_pylist()):
+        data = text.as_py().encode("utf-8")
+        for r in runs:
+            out["h1"].append(r["h1"])
+            out["h2"].append(r["h2"])
+            out["bytes"].append(data[r["a"] : r["a"] + r["n"] + LENGTH - 1])
+    return out
+
+
+def collisions(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(h1, h2) of ``runs`` (h1, h2, row, a, n) whose bytes differ though their digests are equal.
+
+    Equal bytes are folded before they are shuffled; of each digest its least and its greatest bytes are compared.
+    """
+    wanted = runs.groupBy("row").agg(F.collect_list(F.struct("h1", "h2", "a", "n")).alias("runs"))  # of one document
+    cut = map_rows(texts.join(wanted, "row").select("text", "runs"), _cut_runs, "h1 long, h2 long, bytes binary")
+    return cut.groupBy("h1", "h2").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).filter("least <> most").select("h1", "h2")
+
+
+def _all_equal(found: DataFrame) -> None:
+    if (one := found.first()) is not None:
+        raise ValueError(f"different strings share the digest {one['h1']}, {one['h2']}")
+
+
+def repeated_spans(texts: DataFrame, hot: int = HOT, verify: bool = False) -> DataFrame:
     """(row, a, n): n successive repeated windows from byte a on. ``texts`` has row, key and text.
 
+    With ``verify`` the bytes of all strings with equal digests are compared, and an error is raised where they differ.
+
     The join that fetches the runs' bytes keeps all of ``texts`` so that its exchange by row is the very one that the
     join with the result needs: Spark then does it once.
     """
@@ -440,6 +470,8 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     some = few(spark)
     of_f = written(of_f.coalesce(some), "suffix-minimizers")
     again = written(runs.drop("again").join(of_f, "f"), "suffix-repeats")
+    if verify:
+        _all_equal(collisions(texts, again))
     same = again.filter("not several").select("row", "a", "n")
     several = again.filter("several")
     of_h = several.groupBy("f", "h1", "h2").agg(F.count("*").alias("count"), F.min(F.struct("row", "a", "n")).alias("one"))
@@ -456,6 +488,8 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     if crowded.isEmpty():
         return same.unionAll(found)
     windows = map_rows(contexts.filter("hot").select("row", "a", "bytes"), _window_digests, "d1 long, d2 long, row long, a int")
+    if verify:
+        _all_equal(collisions(texts, windows.select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), "row", "a", F.lit(1).alias("n"))))
     counted = windows.groupBy("d1", "d2").agg(F.count("*").alias("count")).filter("count > 1").select("d1", "d2")
     counted = written(counted.coalesce(some), "suffix-windows")
     repeated = windows.join(counted, ["d1", "d2"]).groupBy("row", F.expr(f"a div {MERGED}")).agg(F.collect_list("a").alias("starts"))  # MERGED starts at most
@@ -491,14 +525,17 @@ def _digested(columns: dict) -> dict:
     return out | {"kept_sha256": [hashlib.sha256(k).hexdigest() for k in out.pop("kept")]}
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, hot: int = HOT) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept) of every row; kept are the bytes left over, or with ``digest`` kept_sha256 of them."""
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, hot: int = HOT, verify: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept) of every row; kept are the bytes left over, or with ``digest`` kept_sha256 of them.
+
+    ``verify`` compares strings with equal digests byte by byte, at the cost of shuffling the bytes of every repeated run.
+    """
     spark = df.sparkSession
     tune(spark)
     rows, row = numbered(df.select(df[key].alias("key"), df[text].alias("text")), "suffix-texts")
     # The filter says of what is read back what the inner join would add: both joins below then share one exchange of texts.
     rows = rows.select(F.col(row).alias("row"), "key", "text").filter("row is not null")
-    flags = repeated_spans(rows, hot).groupBy("row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))  # of one document
+    flags = repeated_spans(rows, hot, verify).groupBy("row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))  # of one document
     kind, last = dict(df.dtypes)[key], "kept_sha256 string" if digest else "kept binary"
     whole = rows.join(flags, "row", "left").select("row", "key", "text", "spans")
     return map_rows(whole, _digested if digest else _kept, f"key {kind}, n_bytes long, n_removed long, n_spans long, {last}").withColumnRenamed("key", key)

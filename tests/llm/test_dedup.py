@@ -259,6 +259,24 @@ def test_shards_merge_by_binary_search():
     assert one == [[i for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1] for t in texts]
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_verified_passages(spark, hot):
+    texts = passages(random.Random(9))
+    got = sorted(tuple(r)[:4] + (bytes(r["kept"]),) for r in suffix_dedup.remove_repeats(documents(spark, texts), hot=hot, verify=True).collect())
+    assert got == passages_brute(texts)
+
+
+def test_equal_digests_of_different_strings(spark):
+    """Digests forced to be equal: the bytes tell."""
+    texts = spark.createDataFrame([(1, "a" * 300), (2, "b" + "a" * 300), (3, "a" * 299 + "b")], "row long, text string")
+    runs = [(5, 6, 1, 0, 10), (5, 6, 2, 1, 10), (7, 7, 1, 50, 51), (7, 7, 3, 50, 51), (8, 8, 3, 0, 3)]
+    frame = spark.createDataFrame(runs, "h1 long, h2 long, row long, a int, n int")
+    assert [tuple(r) for r in suffix_dedup.collisions(texts, frame).collect()] == [(7, 7)]
+    with pytest.raises(ValueError, match="share the digest"):
+        suffix_dedup._all_equal(suffix_dedup.collisions(texts, frame))
+    suffix_dedup._all_equal(suffix_dedup.collisions(texts, frame.filter("h1 < 7")))
+
+
 def test_memory_of_a_full_minimizer():
     """As many texts around one minimizer as shards take: merged in far less than an object for every window."""
     code = """
