@@ -68,8 +68,9 @@ class LinearPredict(ColumnOperator):
         return ()
 
     def column(self, columns: list[Column], shapes: list[Shape]) -> Column:
-        scores = F.array(*[t.dot(columns[0], w) + float(b) for w, b in zip(self.lda.coef, self.lda.intercept)])
-        return F.get(F.lit([float(c) for c in self.lda.classes]), (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
+        scores = t.bound(lambda x: F.array(*[t.dot(x, w) + float(b) for w, b in zip(self.lda.coef, self.lda.intercept)]), columns[0])
+        best = t.bound(lambda s: F.array_position(s, F.array_max(s)), scores)
+        return F.get(F.lit([float(c) for c in self.lda.classes]), (best - 1).cast("int"))
 
 
 class BothOutputs(Operator):
