@@ -107,12 +107,16 @@ def paired(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray) -> np
     place[common] = np.arange(len(common))
     held = []  # of each class: texts, and (term, text) by term
     for label in (0, 1):
-        texts = [p[p >= 0] for p in (place[r] for r, y in zip(rows, labels) if y == label)]
-        term = np.concatenate([*texts, np.empty(0, np.int32)])
-        text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-        order = np.argsort(term, kind="stable")
-        held.append((len(texts), term[order], text[order]))
-        del texts, term, text, order
+        mine = [r for r, y in zip(rows, labels) if y == label]
+        term, text, at = np.empty(sum(map(len, mine)), np.int32), np.empty(sum(map(len, mine)), np.int32), 0
+        for i, r in enumerate(mine):
+            some = place[r]
+            some = some[some >= 0]
+            term[at : at + len(some)], text[at : at + len(some)] = some, i
+            at += len(some)
+        order = np.argsort(term[:at], kind="stable")
+        held.append((len(mine), term[order], text[order]))
+        del term, text, order
 
     def block(of: tuple, at: int) -> np.ndarray:
         n, term, text = of
@@ -141,10 +145,12 @@ def telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The terms that a machine is fitted on, sorted."""
     if not any(map(len, rows)):
         return np.empty(0, np.int64)
-    counts = np.bincount(np.concatenate(rows), minlength=BUCKETS)
-    ones = np.bincount(np.concatenate([*(r for r, y in zip(rows, labels) if y), np.empty(0, np.int64)]), minlength=BUCKETS)
+    zeros, ones = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r, y in zip(rows, labels):
+        (ones if y else zeros)[r] += 1  # the terms of a text differ
+    counts = zeros + ones
     n1 = int(labels.sum())
-    alone = np.flatnonzero((counts >= MIN_DOCS) & (contrast(counts - ones, ones, len(labels) - n1, n1) >= MIN_CONTRAST**2))
+    alone = np.flatnonzero((counts >= MIN_DOCS) & (contrast(zeros, ones, len(labels) - n1, n1) >= MIN_CONTRAST**2))
     return np.union1d(alone, paired(rows, labels, counts))
 
 
@@ -208,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = sorted(map_rows(texts, terms, "key string, y int, terms binary").collect(), key=lambda r: r["key"])
     y = np.array([r["y"] for r in sample], float)
     share = {k: totals.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)}
-    return fit([np.frombuffer(bytes(r["terms"]), np.int32).astype(np.int64) for r in sample], y, np.array([share[int(k)] for k in y]))
+    return fit([np.frombuffer(bytes(r["terms"]), np.int32) for r in sample], y, np.array([share[int(k)] for k in y]))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, key: str = "doc_id", text: str = "text") -> DataFrame:
