@@ -37,6 +37,8 @@ WIDTH, SEED, THRESHOLD = 3, 42, 3
 #: Members of an anchor compared in one piece.
 CELL = 4096
 PIECE = 1 << 16
+#: Fingerprints a shuffle partition that are joined by broadcast, at most.
+FREQUENT = 8
 
 
 def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
@@ -233,7 +235,7 @@ def link_edges(fps: DataFrame, cell: int = CELL) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, cell: int = CELL) -> DataFrame:
     """(key, fingerprint, component_id, fp) of every row; component_id is the smallest key that links reach."""
     known = written(fingerprints(df, key, text, width), "simhash-fingerprints")
-    of_fp = known.groupBy("fp").agg(F.min(key).alias("least"))
+    of_fp = known.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n"))
     spark = df.sparkSession
     edges = link_edges(of_fp.select("fp"), cell)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # rows of numbers, compared in the first step here
@@ -242,10 +244,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     named = of_fp.join(roots.withColumnRenamed("node", "fp"), "fp")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.select("fp", "root").join(names, "root").select("fp", "component_id")
-    # written, so that the join below has an exchange on both sides and Spark may split a fingerprint with very many rows
-    of_fp = of_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_fp = of_fp.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
     of_fp = written(of_fp.coalesce(few(spark)), "simhash-components")
-    return known.join(of_fp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    # Fingerprints with more than one in FREQUENT of all rows a partition: FREQUENT a partition at most, so they are broadcast.
+    often = FREQUENT * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequent = of_fp.filter(F.col("n") > known.count() // often + 1).select("fp", F.col("component_id").alias("found"), F.lit(True).alias("often"))
+    marked = known.join(F.broadcast(frequent), "fp", "left")
+    rest = marked.filter("often is null").select(key, "fp").join(of_fp.select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    every = marked.filter("often").select(key, "fp", F.col("found").alias("component_id")).unionAll(rest)
+    return every.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
