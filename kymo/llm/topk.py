@@ -10,8 +10,8 @@ of partial scores for each block. For each query:
 3. Resolve: the exact scores of these entries, of which each partition hands on its k best by (score, vec_id) that
    reach t. The k best of these are the answer.
 
-Queries are taken in blocks of ``BLOCK`` rows, which bounds what is broadcast (BLOCK * dim * 8 bytes, and a cutoff a
-query); each block's result is written to the shared folder. Scores are int64: components whose products could leave the
+Queries are taken in blocks of about ``BLOCK`` rows, which bounds what the driver holds and what is broadcast (BLOCK * dim * 8
+bytes, and a cutoff a query); each block's result is added to one folder of the shared ones. Scores are int64: components whose products could leave the
 53 bits that float64 products keep exact are multiplied in int64, and beyond that in Python's integers.
 
 Results: ties go to the smaller vec_id. Vectors that are null, or hold null or non-finite components, take no part,
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kymo.llm.common import numbered, tune, whole_key, written
+from kymo.llm.common import fresh_path, numbered, tune, whole_key
 
 LISTS, BLOCK, CHUNK = 4, 4096, 8192
 #: Scores of one piece of queries against one chunk of candidates that are held at once.
@@ -183,21 +183,26 @@ def _resolve(blocks, cutoffs, k: int):
 
 
 def _blocks(queries: DataFrame) -> Iterator[list[Block]]:
-    """Query rows, block by block as they stream from their partitions: at most BLOCK are held."""
-    held: dict[int, list] = {}
-    n = 0
+    """Queries in blocks of about BLOCK rows, each of which is read to the driver by a job of its own.
+
+    They are dealt by a hash of their rows and written by block, so that a job reads one block's files only.
+    """
+    spark, n = queries.sparkSession, queries.count()
+    if not n:
+        return
+    path, blocks = fresh_path(spark, "top-k-queries"), -(-n // BLOCK)
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    dealt.repartition(min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").write.partitionBy("block").parquet(path)
+    stored = spark.read.schema(dealt.schema).parquet(path)
+    for block in range(blocks):
+        held: dict[int, list] = {}
+        for r in stored.filter(F.col("block") == block).orderBy("row").collect():
+            held.setdefault(len(r["v"]), []).append((r["row"], r["vec_id"], r["v"]))
+        if held:
+            yield [Block([p[0] for p in parts], [p[1] for p in parts], np.floor(256 * np.array([p[2] for p in parts], np.float64).reshape(len(parts), dim))) for dim, parts in held.items()]
 
-    def flush() -> list[Block]:
-        return [Block([p[0] for p in parts], [p[1] for p in parts], np.floor(256 * np.array([p[2] for p in parts], np.float64).reshape(len(parts), dim))) for dim, parts in held.items()]
 
-    for r in queries.toLocalIterator():
-        held.setdefault(len(r["v"]), []).append((r["row"], r["vec_id"], r["v"]))
-        n += 1
-        if n == BLOCK:
-            yield flush()
-            held, n = {}, 0
-    if n:
-        yield flush()
+RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def top_k(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -205,7 +210,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
     spark = df.sparkSession
     tune(spark)
     candidates = usable(df, key, vector)
-    result = None
+    path, some = fresh_path(spark, "top-k"), False
     for blocks in _blocks(candidates.filter(is_query)):
         shared = spark.sparkContext.broadcast(blocks)
         order = Window.partitionBy("q").orderBy(F.desc("score"))
@@ -215,6 +220,8 @@ def top_k(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
         cutoffs = spark.sparkContext.broadcast({r["q"]: r["score"] for r in found})
         order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
         part = candidates.mapInArrow(_resolve(shared, cutoffs, k), "q long, query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        part = written(part.select("query_id", "rank", "vec_id", "score"), "top-k")
-        result = part if result is None else result.unionAll(part)
-    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if result is None else result
+        part.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)  # blocks have no query in common
+        some = True
+        shared.unpersist()
+        cutoffs.unpersist()
+    return spark.read.schema(RESULT).parquet(path) if some else spark.createDataFrame([], RESULT)
