@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over the synthetic tables, and DuckDB SQL for those that SQL expresses."""
+"""The queries op1 to op13 over the synthetic tables, and DuckDB SQL for those that SQL expresses."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, exact_dedup, html_text, mixing, shuffle, simhash, suffix_dedup, topk, toxicity, warc
+from kymo.llm import bpe, exact_dedup, fill_in_middle, html_text, mixing, pieces, shuffle, simhash, suffix_dedup, topk, toxicity, warc, whitening
 from kymo.llm.common import table
 
 
@@ -69,8 +69,26 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn_weights(pages))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents encoded and decoded by a SentencePiece model, with ids of begin and end."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings centred, projected on 32 principal components and scaled to unit variance."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents cut in three and reordered, and put together again."""
+    cut = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_shuffle, op3_mixing, op4_topk, op5_simhash, op6_warc, op7_exact_dedup, op8_toxicity, op9_suffix_dedup, op10_html)}
+    found = (op1_bpe, op2_shuffle, op3_mixing, op4_topk, op5_simhash, op6_warc, op7_exact_dedup, op8_toxicity, op9_suffix_dedup, op10_html, op11_pieces, op12_whitening, op13_fill_in_middle)
+    return {f.__name__: f for f in found}
 
 
 _OP3 = r"""
@@ -141,6 +159,22 @@ parts as (
 select doc_id, max(n)::bigint as n_bytes, coalesce(sum(b - a), 0)::bigint as n_removed, count(a)::bigint as n_spans,
   sha256(unhex(string_agg(kept, '' order by a))) as kept_sha256 from parts group by doc_id"""
 
+_OP13 = """
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as tokens,
+    sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+drawn as (
+  select *, len(tokens)::bigint as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::bigint) as x from d),
+formed as (
+  select *, least(x[1] % (n + 1), x[2] % (n + 1)) as a, greatest(x[1] % (n + 1), x[2] % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or x[3] % 100 >= 90 then 'plain'
+      when x[4] % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+cut as (
+  select doc_id, n, form, text, array_to_string(tokens[1:a], '') as p, array_to_string(tokens[a + 1:b], '') as m, array_to_string(tokens[b + 1:n], '') as s from formed)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256 from cut"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _OP3, "op4_topk": _OP4, "op6_warc": _OP6, "op7_exact_dedup": _OP7, "op9_suffix_dedup": _OP9}
+    return {"op3_mixing": _OP3, "op4_topk": _OP4, "op6_warc": _OP6, "op7_exact_dedup": _OP7, "op9_suffix_dedup": _OP9, "op13_fill_in_middle": _OP13}
