@@ -6,8 +6,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kymo.operators import classify, elementwise, features, reduce, riemann, shape
@@ -15,8 +14,8 @@ from kymo.operators.base import BatchOperator, Shape
 from kymo.plans import sql as q
 from kymo.plans.catalog import CHANNELS, LONG, SAMPLES, NearestCentroid, _CENTROIDS, _fitted, _json_markers, _out, _PADDED, _signal, _STATS, _trial, _two_classes, elements, embedding_trials, query, rounded, spread, streamed, table
 from kymo.plans.pipeline import FittedPlan, Plan
-from kymo.session import shared_path, ship_package
-from kymo.sources import streams, xdf
+from kymo.session import shared_path
+from kymo.sources import streams, xdf, xdf_source
 from kymo.streaming import live
 from kymo.streaming import operators as streaming
 
@@ -185,18 +184,14 @@ def saved_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): each user's events as an XDF file of samples and markers."""
-    ship_package(spark)
-
-    def written(table_: pa.Table) -> pa.Table:
-        rows = table_.sort_by("ts").to_pydict()
-        ts, user = rows["ts"], rows["recording"][0]
-        eeg = xdf.Stream(1, "signal", "EEG", "double64", 1, 0.0, ["a"], ts, rows["values"])
-        said = xdf.Stream(2, "markers", "Markers", "string", 1, 0.0, [], ts, [[f"{t}:{i}"] for t, i in zip(rows["event_type"], rows["event_id"])])
-        return pa.table({"path": pa.array([str(user)]), "content": pa.array([xdf.write_xdf([eeg, said])], pa.binary())})
-
-    rows = _signal(spark, sf_dir).select("recording", "ts", "values", "event_type", "event_id")
-    return rows.groupBy("recording").applyInArrow(written, "path string, content binary")
+    """Each user's events as a recording of samples and markers, written to XDF files and read from them."""
+    path = shared_path(spark, "recordings")
+    rows = _signal(spark, sf_dir)
+    samples = rows.select("recording", "ts", "values", F.lit(None).cast("string").alias("marker"))
+    said = rows.select("recording", "ts", F.lit(None).cast("array<double>").alias("values"), F.concat_ws(":", "event_type", "event_id").alias("marker"))
+    xdf_source.register(spark)
+    samples.unionByName(said).repartition("recording").sortWithinPartitions("recording", "ts").write.format("xdf").mode("append").save(path)
+    return xdf.read_xdf(spark, path)
 
 
 @query("""with n as (select *, row_number() over (partition by user_id order by ts) as n from events)
@@ -204,7 +199,7 @@ def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
   where m.event_type = 'click' and exists (select 1 from n e where e.user_id = m.user_id and e.n = m.n + 3)""")
 def xdf_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four samples from each click on, from XDF files of recordings."""
-    signal, markers = xdf.signal_and_markers(xdf.read_contents(_recordings(spark, sf_dir)))
+    signal, markers = xdf.signal_and_markers(_recordings(spark, sf_dir))
     cut = streams.epochs(signal, streams.matching_markers(markers, "click"), 4, keep=("marker",))
     return spread(cut, "data", "marker").select(F.split("marker", ":")[1].cast("long").alias("event_id"), "pos", rounded(F.col("v")).alias("v"))
 
@@ -214,11 +209,25 @@ def xdf_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
   select user_id::varchar as recording, w::bigint as "window", p::int as pos, round(value, 6) + 0.0 as v from w where size = 6""")
 def xdf_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of six samples every three, from XDF files of recordings."""
-    signal, _ = xdf.signal_and_markers(xdf.read_contents(_recordings(spark, sf_dir)))
+    signal, _ = xdf.signal_and_markers(_recordings(spark, sf_dir))
     cut = streams.count_windows(signal, 6, 3)
     return spread(cut, "data", "recording", "window").select("recording", "window", "pos", rounded(F.col("v")).alias("v"))
 
 
+@query("""with f as (select user_id, min(epoch_us(ts::timestamp)) as first from events where event_type = 'signup' group by user_id),
+  n as (select e.user_id, e.event_id, row_number() over (partition by e.user_id order by e.ts) as n, f.first from events e join f on f.user_id = e.user_id)
+  select event_id, (row_number() over (order by first, user_id::varchar, n))::bigint as place from n""")
+def xdf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each sample when recordings, read from XDF files, follow each other in the order of their first signups."""
+    signal, markers = xdf.signal_and_markers(_recordings(spark, sf_dir))
+    marked = markers.select("recording", "ts", F.split("marker", ":")[1].cast("long").alias("event_id"))
+    ordered = streams.one_after_the_other(signal.join(marked, ["recording", "ts"]), streams.matching_markers(markers, "signup"))
+    # places without one task for all rows: samples before each recording, and the place within it
+    sizes = ordered.groupBy("recording", "first_marker").count()
+    before = sizes.withColumn("before", F.sum("count").over(Window.orderBy("first_marker", "recording")) - F.col("count")).select("recording", "before")
+    return ordered.join(before, "recording").select("event_id", (F.col("before") + F.row_number().over(Window.partitionBy("recording").orderBy("ts"))).cast("long").alias("place"))
+
+
 _LABELLED = """with m as (select event_id, user_id, ts, case event_type when 'signup' then '{"target": ' || ((props->>'$.k')::int % 5) || '}'
     when 'click' then '{"flash": [' || ((props->>'$.k')::int % 5) || ', ' || (((props->>'$.k')::int + 1) % 5) || ']}' end as marker, epoch(ts::timestamp) as tm from events)"""
 

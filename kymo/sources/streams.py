@@ -106,6 +106,14 @@ def continuous(files: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def one_after_the_other(signal: DataFrame, markers: DataFrame, by: str = "recording", ts: str = "ts") -> DataFrame:
+    """``signal`` with ``first_marker``, the time of its recording's first marker: an order by (first_marker, recording, ts) is that of all recordings.
+
+    Recordings without markers are left out.
+    """
+    return signal.join(markers.groupBy(by).agg(F.min(ts).alias("first_marker")).filter("first_marker is not null"), by)
+
+
 def count_windows(signal: DataFrame, samples: int, stride: int | None = None, by: str = "recording", ts: str = "ts", values: str = "values") -> DataFrame:
     """Windows of ``samples`` successive samples every ``stride`` (default: side by side) of each recording; the rest at the end is dropped."""
     stride = stride or samples
