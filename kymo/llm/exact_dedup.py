@@ -32,6 +32,8 @@ from kymo.llm.common import SPACE_BYTES, WHOLE_NUMBERS, map_rows, numbered, tune
 
 #: Bytes of distinct content that one table holds.
 TABLE_BYTES = 32 << 20
+#: Bytes of content, about, that a partition holds at most: many tables, one after the other.
+PARTITION_BYTES = 512 << 20
 #: Digest bits that each recursion adds.
 MORE_BITS = 4
 
@@ -202,7 +204,8 @@ def find_groups(df: DataFrame, key: str = "doc_id", text: str = "text", table_by
     members = written(map_rows(rows, digests, "key long, row long, n_chars long, digest binary, bytes long"), "dedup-members")
     levels = grace_plan(members.groupBy("digest").agg(F.max("bytes").alias("bytes")), table_bytes)
     folded = rows.mapInArrow(_local, "digest binary, content binary, n long, n_chars long, key long, row long")
-    n = max(1 << levels[0][0], int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a task takes its buckets one after the other, so it may have many: partitions follow the bytes, not the buckets
+    n = max((table_bytes << levels[0][0]) // PARTITION_BYTES, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bucketed = folded.withColumn("_b", bucket_of(levels)).withColumn("bucket", F.concat_ws(":", "_b.bits", "_b.prefix")).drop("_b")
     spilled = bucketed.repartition(n, "bucket").sortWithinPartitions("bucket")
     return members, spilled.mapInArrow(_buckets, "digest binary, group_size long, keep_id long, keep_row long")
