@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,26 +45,64 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Paths that were made and not yet removed, in order.
 _made: list[str] = []
+#: What the query that runs in this context has made; other threads have records of their own.
+_record: ContextVar[list[str] | None] = ContextVar("kymo_made", default=None)
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
+    """A new path in the shared folder, removed when the driver's Python ends or where it was made under ``temporary``, with that."""
     path = f"{shared_dir(spark)}/kymo/{tag}-{uuid.uuid4().hex}"
     atexit.register(remove_path, spark, path)
     _made.append(path)
+    if (record := _record.get()) is not None:
+        record.append(path)
     return path
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        remove_path(spark, path)
+        if path in _made:
+            _made.remove(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Files that operators write within are removed at its end: read, write or count their results before that.
+
+    It holds for the thread that enters it. What is taken out of the list that it gives, stays.
+    """
+    mine: list[str] = []
+    token = _record.set(mine)
+    try:
+        yield mine
+    finally:
+        _record.reset(token)
+        _remove(spark, mine)
+
+
 def finished(build: Callable[[], DataFrame], tag: str, before: DataFrame | None = None) -> DataFrame:
-    """What ``build`` gives, written; the files that it made on the way are removed, and those of ``before``, an earlier result."""
-    since = len(_made)
-    out = written(build(), tag)
-    mine = _made.pop()
-    for path in _made[since:] + ([before._kymo_path] if before is not None else []):
-        remove_path(out.sparkSession, path)
-        _made.remove(path)
-    _made.append(mine)
-    out._kymo_path = mine
+    """What ``build`` gives, written; the files that it made on the way are removed, and those of ``before``, an earlier result.
+
+    Files of other queries, also of those that run meanwhile in other threads, stay.
+    """
+    made = build_spark = None
+    mine: list[str] = []
+    token = _record.set(mine)
+    try:
+        made = build()
+        build_spark = made.sparkSession
+        out = written(made, tag)
+        kept = mine.pop()
+    finally:
+        _record.reset(token)
+        if build_spark is not None:
+            _remove(build_spark, mine)
+    if before is not None:
+        _remove(build_spark, [before._kymo_path])
+    if (outer := _record.get()) is not None:
+        outer.append(kept)
+    out._kymo_path = kept
     return out
 
 
@@ -116,16 +156,27 @@ def apart(df: DataFrame) -> DataFrame:
     return df.repartition(few(df.sparkSession))
 
 
-def lowest(df: DataFrame, order: Column, n: int, rows: int) -> DataFrame:
-    """The ``n`` rows of ``df`` (``rows`` in all) with the least ``order``, a 64-bit hash.
+def lowest(df: DataFrame, order: Column, n: int, rows: int | None = None) -> DataFrame:
+    """The ``n`` rows of ``df`` with the least ``order``, a 64-bit hash.
 
-    Hashes are spread evenly, so a cut at the share that holds about 2n + 50 rows comes first: the ranking sees these only,
-    whatever the size of the table. (Fewer than n below the cut has a probability under 1e-9 and would give fewer rows.)
+    A cut comes first, so that the ranking sees few rows whatever the size of the table. Without ``rows`` it comes from counts of the hashes' first
+    16 bits and holds n rows for certain, equal hashes or not. Where hashes are those of distinct keys, ``rows`` (how many rows
+    there are) spares these counts: hashes are spread evenly, so the share that holds about 2n + 50 rows will do.
+    (Fewer than n below that cut has a probability under 1e-9 and would give fewer rows.)
     """
-    share = min(1.0, (2 * n + 50) / max(1, rows))
     ranked = df.withColumn("_order", order)
-    if share < 1:
-        ranked = ranked.filter(F.col("_order") < int(-(2**63) + share * 2**64))
+    if rows is None:
+        counts = ranked.groupBy(F.shiftright("_order", 48).alias("first")).count().orderBy("first").collect()  # at most 65,536
+        found = 0
+        for r in counts:
+            found += r["count"]
+            if found >= n:
+                ranked = ranked.filter(F.shiftright("_order", 48) <= r["first"])
+                break
+    else:
+        share = min(1.0, (2 * n + 50) / max(1, rows))
+        if share < 1:
+            ranked = ranked.filter(F.col("_order") < int(-(2**63) + share * 2**64))
     return ranked.orderBy("_order").limit(n).drop("_order")
 
 

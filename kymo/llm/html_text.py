@@ -377,7 +377,7 @@ def learn_weights(df: DataFrame, key: str = "page_id", html: str = "html", max_p
     tune(df.sparkSession)
     labelled = df.filter(F.col(html).rlike("(?i)<(article|main)[\\s>]") & (F.octet_length(html) <= max_bytes))
     order = F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.xxhash64(html))
-    chosen = lowest(labelled.select(key, html), order, max_pages, labelled.count())
+    chosen = lowest(labelled.select(key, html), order, max_pages)
 
     def per_batch(columns: dict) -> dict:
         out: dict[tuple[str, bool], int] = {}
