@@ -127,11 +127,50 @@ def logistic_sums(x: np.ndarray, at: np.ndarray, w: np.ndarray, weights: np.ndar
     return np.concatenate([[loss], gradient.ravel(), hessian.ravel()])
 
 
+def soft(x: np.ndarray | float, amount: np.ndarray | float) -> np.ndarray | float:
+    """x moved toward zero by an amount, and not past it."""
+    return np.sign(x) * np.maximum(np.abs(x) - amount, 0.0)
+
+
+def lasso_step(w: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, lasso: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The step d that minimises gradient.d + d'hessian d / 2 + sum(lasso * |w + d|), by coordinate descent.
+
+    After each round over all coordinates those that aren't zero are gone over until they settle.
+    """
+    d, slope = np.zeros_like(w), gradient.copy()  # slope of the smooth part at d
+    curve = np.maximum(np.diag(hessian), 1e-12)
+
+    def sweep(coordinates: np.ndarray) -> float:
+        most = 0.0
+        for i in coordinates:
+            at = w[i] + d[i]
+            move = soft(at - slope[i] / curve[i], lasso[i] / curve[i]) - at
+            if move:
+                d[i] += move
+                slope[:] += move * hessian[:, i]
+                most = max(most, abs(move) * math.sqrt(curve[i]))
+        return most
+
+    every = np.arange(len(w))
+    for _ in range(rounds):
+        first = most = sweep(every)
+        for _ in range(rounds):
+            if most < 1e-12:
+                break
+            most = sweep(np.flatnonzero(w + d))
+        if first < 1e-10:
+            break
+    return d
+
+
 @dataclass
 class Logistic:
-    """Multinomial logistic regression, sum of losses + |w|^2 / (2 C), intercept free; Newton steps with halving.
+    """Multinomial logistic regression: sum of losses + penalty / C, intercept free.
 
-    ``penalty=None`` leaves the coefficients free; ``class_weight`` as in ``class_weights``.
+    The penalty is |w|^2 / 2 (``l2``), the sum of |w| (``l1``), ``l1_ratio`` of the latter and the rest of the former
+    (``elasticnet``), or none. Newton steps with halving; where |w| counts, each step minimises the quadratic model with it
+    (proximal Newton), so weights become exactly zero, and it ends where the conditions of the optimum hold.
+    ``class_weight`` as in ``class_weights``.
     """
 
     C: float = 1.0
@@ -140,12 +179,15 @@ class Logistic:
     penalty: str | None = "l2"
     fit_intercept: bool = True
     class_weight: str | dict | None = None
+    l1_ratio: float | None = None
     classes: np.ndarray = field(default_factory=lambda: np.empty(0))
     w: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
 
     def __post_init__(self):
-        if self.penalty not in ("l2", None):
-            raise ValueError("penalty is l2 or None")
+        if self.penalty not in ("l2", "l1", "elasticnet", None):
+            raise ValueError("penalty is l2, l1, elasticnet or None")
+        if (self.penalty == "elasticnet") != (self.l1_ratio is not None) or not 0 <= (self.l1_ratio or 0) <= 1:
+            raise ValueError("elasticnet takes an l1_ratio from 0 to 1, other penalties none")
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
         classes, at, counts = np.unique(y, return_inverse=True, return_counts=True)
@@ -155,20 +197,28 @@ class Logistic:
         """Fit from ``sums(w, weights)``: ``logistic_sums`` over all rows, wherever they are."""
         self.classes, k = classes, len(classes)
         weights = class_weights(self.class_weight, classes, counts)
-        penalty = np.append(np.full(p, 1 / self.C if self.penalty else 1e-9), 1e-9 if self.fit_intercept else 1e12)
+        share = {"l1": 1.0, "elasticnet": self.l1_ratio}.get(self.penalty, 0.0)
+        squared = (1 - share) / self.C if self.penalty else 1e-9
+        penalty = np.append(np.full(p, max(squared, 1e-9)), 1e-9 if self.fit_intercept else 1e12)
+        lasso = np.tile(np.append(np.full(p, share / self.C), 0.0), (k, 1))
         enough = self.tol * max(1.0, counts.sum() / 1000)
 
         def evaluate(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
             found = sums(w, weights)
             gradient = found[1 : 1 + w.size].reshape(w.shape) + penalty * w
-            return float(found[0]) + 0.5 * (penalty * w * w).sum(), gradient, found[1 + w.size :].reshape(w.size, w.size)
+            return float(found[0]) + 0.5 * (penalty * w * w).sum() + (lasso * np.abs(w)).sum(), gradient, found[1 + w.size :].reshape(w.size, w.size)
 
         w = np.zeros((k, p + 1))
         value, gradient, hessian = evaluate(w)
         for _ in range(self.max_iter):
-            if np.abs(gradient).max() < enough:
+            off = gradient if not share else np.where(w != 0, gradient + lasso * np.sign(w), soft(gradient, lasso))
+            if np.abs(off).max() < enough:
                 break
-            step = np.linalg.lstsq(hessian + np.diag(np.tile(penalty, k)), gradient.ravel(), rcond=None)[0].reshape(w.shape)
+            curved = hessian + np.diag(np.tile(penalty, k))
+            if share:
+                step = -lasso_step(w.ravel(), gradient.ravel(), curved, lasso.ravel()).reshape(w.shape)
+            else:
+                step = np.linalg.lstsq(curved, gradient.ravel(), rcond=None)[0].reshape(w.shape)
             size = 1.0
             while size > 1e-10 and (after := evaluate(w - size * step))[0] > value:
                 size /= 2
@@ -191,9 +241,30 @@ class Logistic:
 # ---- support vector machine ----
 
 
+class Columns:
+    """Columns of the products of rows, made when they are asked for; those asked for lately are kept, up to a number of doubles."""
+
+    def __init__(self, x: np.ndarray, gram, most_doubles: int):
+        self.x, self.gram, self.most = x, gram, max(2, most_doubles // max(1, len(x)))
+        self.held: dict[int, np.ndarray] = {}
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        column = self.held.pop(i, None)
+        if column is None:
+            column = self.gram(self.x, self.x[i : i + 1])[:, 0]
+            if len(self.held) >= self.most:
+                del self.held[next(iter(self.held))]
+        self.held[i] = column
+        return column
+
+
 @dataclass
 class Svm:
-    """C-SVM by sequential minimal optimisation (Platt 1998, maximal violating pair), one machine for each pair of classes."""
+    """C-SVM by sequential minimal optimisation (Platt 1998, maximal violating pair), one machine for each pair of classes.
+
+    With ``probability``, each machine gets a sigmoid over its margins (Platt 1999, with the targets and steps of Lin, Lin & Weng 2007),
+    and those of all pairs are coupled (Wu, Lin & Weng 2004).
+    """
 
     C: float = 1.0
     kernel: str = "rbf"
@@ -203,8 +274,10 @@ class Svm:
     tol: float = 1e-3
     max_iter: int = 100_000
     class_weight: str | dict | None = None
+    probability: bool = False
     classes: np.ndarray = field(default_factory=lambda: np.empty(0))
     machines: list = field(default_factory=list)
+    sigmoids: list = field(default_factory=list)
     width: float = 1.0
 
     def gram(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,22 +291,40 @@ class Svm:
             return np.exp(-self.width * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
         raise ValueError("kernel is linear, poly, rbf or sigmoid")
 
+    def prepare(self, classes: np.ndarray, counts: np.ndarray, features: int, variance: float) -> None:
+        """What machines share: classes, the kernel's width, and how far the multipliers of each class may go."""
+        self.classes = classes
+        self.most = self.C * class_weights(self.class_weight, classes, counts)
+        self.width = {"scale": 1 / (features * variance) if variance > 0 else 1.0, "auto": 1 / features}.get(self.gamma, self.gamma)
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return [(i, j) for i in range(len(self.classes)) for j in range(i + 1, len(self.classes))]
+
+    def machine(self, pair: tuple[int, int], x: np.ndarray, sign: np.ndarray, most_doubles: int | None = None) -> tuple:
+        """(support, multipliers times signs, bias, places of the support) of a pair's machine on some rows; with ``most_doubles`` products are made when needed."""
+        i, j = pair
+        k = self.gram(x, x) if most_doubles is None or len(x) ** 2 <= most_doubles else Columns(x, self.gram, most_doubles)
+        alpha, bias = self._solve(k, sign, np.where(sign > 0, self.most[i], self.most[j]))
+        at = np.flatnonzero(alpha > 0)
+        return x[at], (alpha * sign)[at], bias, at
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Svm:
-        self.classes, counts = np.unique(y, return_counts=True)
-        weights = class_weights(self.class_weight, self.classes, counts)
-        variance = x.var()
-        self.width = {"scale": 1 / (x.shape[1] * variance) if variance > 0 else 1.0, "auto": 1 / x.shape[1]}.get(self.gamma, self.gamma)
-        self.machines = []
-        for i in range(len(self.classes)):
-            for j in range(i + 1, len(self.classes)):
-                pick = (y == self.classes[i]) | (y == self.classes[j])
-                part, sign = x[pick], np.where(y[pick] == self.classes[i], 1.0, -1.0)
-                alpha, bias = self._solve(self.gram(part, part), sign, self.C * np.where(sign > 0, weights[i], weights[j]))
-                support = alpha > 0
-                self.machines.append((i, j, part[support], (alpha * sign)[support], bias))
+        classes, counts = np.unique(y, return_counts=True)
+        self.prepare(classes, counts, x.shape[1], x.var())
+        self.machines, self.sigmoids = [], []
+        for i, j in self.pairs():
+            pick = (y == self.classes[i]) | (y == self.classes[j])
+            part, sign = x[pick], np.where(y[pick] == self.classes[i], 1.0, -1.0)
+            support, weight, bias, _ = self.machine((i, j), part, sign)
+            self.machines.append((i, j, support, weight, bias))
+            if self.probability:
+                s = self.gram(part, support) @ weight + bias
+                counted = int((sign > 0).sum()), int((sign < 0).sum())
+                answer = lambda asked, s=s, sign=sign, counted=counted: {0: sigmoid_sums(s, sign, asked[0], *sigmoid_targets(*counted))}
+                self.sigmoids.append(run_flows({0: sigmoid_flow(*counted)}, answer)[0])
         return self
 
-    def _solve(self, k: np.ndarray, y: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, float]:
+    def _solve(self, k: np.ndarray | Columns, y: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, float]:
         alpha, gradient = np.zeros(len(y)), -np.ones(len(y))
         for _ in range(self.max_iter):
             up = (alpha < most) & (y > 0) | (alpha > 0) & (y < 0)
@@ -242,21 +333,26 @@ class Svm:
             i, j = int(np.where(up, v, -np.inf).argmax()), int(np.where(low, v, np.inf).argmin())
             if v[i] - v[j] < self.tol:
                 break
-            curve = max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+            a, b = k[i], k[j]
+            curve = max(a[i] + b[j] - 2 * a[j], 1e-12)
             step = (v[i] - v[j]) / curve
             step = min(step, most[i] - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else most[j] - alpha[j])
             alpha[i] += y[i] * step
             alpha[j] -= y[j] * step
-            gradient += y * step * (k[:, i] - k[:, j])
+            gradient += y * step * (a - b)
         v = -y * gradient
         free = (alpha > 1e-9) & (alpha < most - 1e-9)
         bias = v[free].mean() if free.any() else (v[i] + v[j]) / 2
         return np.where(alpha < 1e-12, 0.0, alpha), float(bias)
 
+    def margins(self, x: np.ndarray, machine: int) -> np.ndarray:
+        _, _, support, weight, bias = self.machines[machine]
+        return self.gram(x, support) @ weight + bias
+
     def votes(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(self.classes)))
-        for i, j, support, weight, bias in self.machines:
-            s = self.gram(x, support) @ weight + bias
+        for n, (i, j, *_) in enumerate(self.machines):
+            s = self.margins(x, n)
             out[:, i] += s > 0
             out[:, j] += s <= 0
             squash = s / (3 * (np.abs(s) + 1))  # ties between votes go to the larger margin
@@ -267,6 +363,77 @@ class Svm:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.classes[self.votes(x).argmax(axis=1)]
 
+    @property
+    def predict_proba(self):
+        if not self.probability:
+            raise AttributeError("probabilities need probability=True")
+        return self._probabilities
+
+    def _probabilities(self, x: np.ndarray) -> np.ndarray:
+        k = len(self.classes)
+        r = np.zeros((len(x), k, k))
+        for n, ((i, j, *_), (a, b)) in enumerate(zip(self.machines, self.sigmoids)):
+            p = np.clip(1 / (1 + np.exp(np.clip(a * self.margins(x, n) + b, -500, 500))), 1e-7, 1 - 1e-7)
+            r[:, i, j], r[:, j, i] = p, 1 - p
+        return coupled(r)
+
+
+def coupled(r: np.ndarray) -> np.ndarray:
+    """Probabilities p (rows) that minimise the sum over pairs of (r_ji p_i - r_ij p_j)^2 with a sum of one."""
+    n, k = r.shape[:2]
+    q = -r * r.transpose(0, 2, 1)
+    at = np.arange(k)
+    q[:, at, at] = (r**2).sum(axis=1)
+    system = np.ones((n, k + 1, k + 1))
+    system[:, :k, :k], system[:, k, k] = q, 0.0
+    p = np.linalg.solve(system, np.broadcast_to(np.append(np.zeros(k), 1.0)[:, None], (n, k + 1, 1)))[:, :k, 0]
+    p = np.maximum(p, 0.0)
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def sigmoid_targets(positive: int, negative: int) -> tuple[float, float]:
+    """Targets of positive and negative rows, a little inside 0 and 1."""
+    return (positive + 1) / (positive + 2), 1 / (negative + 2)
+
+
+def sigmoid_sums(s: np.ndarray, sign: np.ndarray, ab: np.ndarray, high: float, low: float) -> np.ndarray:
+    """Loss, gradient (2) and Hessian (3) of 1 / (1 + exp(a s + b)), summed over rows; sums of parts add up."""
+    z, t = ab[0] * s + ab[1], np.where(sign > 0, high, low)
+    loss = np.logaddexp(0.0, z) - (1 - t) * z
+    p = 1 / (1 + np.exp(np.clip(z, -500, 500)))
+    d, c = t - p, p * (1 - p)
+    return np.array([loss.sum(), (d * s).sum(), d.sum(), (c * s * s).sum(), (c * s).sum(), c.sum()])
+
+
+def sigmoid_flow(positive: int, negative: int, rounds: int = 100):
+    """Newton steps with halving as a generator: it yields (a, b), is sent ``sigmoid_sums`` over all rows there, and returns the last (a, b)."""
+    ab = np.array([0.0, math.log((negative + 1) / (positive + 1))])
+    found = yield ab
+    for _ in range(rounds):
+        gradient, (aa, ab_, bb) = found[1:3], found[3:]
+        if np.abs(gradient).max() < 1e-5:
+            break
+        step, size = np.linalg.solve(np.array([[aa, ab_], [ab_, bb]]) + 1e-12 * np.eye(2), gradient), 1.0
+        while (after := (yield ab - size * step))[0] > found[0] and size > 1e-10:
+            size /= 2
+        if after[0] > found[0]:
+            break
+        ab, found = ab - size * step, after
+    return float(ab[0]), float(ab[1])
+
+
+def run_flows(flows: dict, sums) -> dict:
+    """Results of generators that go on side by side; ``sums({key: asked})`` answers all that are open at once."""
+    asked, out = {k: next(f) for k, f in flows.items()}, {}
+    while asked:
+        for k, answer in sums(asked).items():
+            try:
+                asked[k] = flows[k].send(answer)
+            except StopIteration as end:
+                out[k] = end.value
+                del asked[k]
+    return out
+
 
 # ---- spatial filters ----
 
@@ -304,6 +471,15 @@ def anova_f(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> np.nda
         return (between / (k - 1)) / (within / (n - k))
 
 
+def anova_f_centred(counts: np.ndarray, means: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """F of each feature from class counts (k,), means and centred sums of squares (k, features)."""
+    n, k = counts.sum(), len(counts)
+    grand = (counts[:, None] * (means - means[0])).sum(axis=0) / n  # from the first mean: large offsets cost no digits
+    between = (counts[:, None] * (means - means[0] - grand) ** 2).sum(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (between / (k - 1)) / (squares.sum(axis=0) / (n - k))
+
+
 # ---- clustering ----
 
 

@@ -11,13 +11,16 @@ are inferred and errors raised when a plan is built, without touching data. A co
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Callable, Iterator, Mapping, Sequence
+import pickle
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -241,6 +244,79 @@ def partial_sums(trials: Trials, column: str, f: Callable[..., np.ndarray], by_l
     return [{"label": g["_label"], "count": g["count"], "sum": g["sum"]} for g in element_sums(rows, ["_label"], "_sum", "_count")]
 
 
+@dataclass
+class Moments:
+    """Count, mean and centred sums of rows: products of all pairs of columns, or squares of each. Those of parts merge without cancellation
+    (Chan, Golub & LeVeque 1983), however far the rows lie from zero."""
+
+    count: int
+    mean: np.ndarray
+    centred: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, products: bool) -> Moments:
+        mean = x.mean(axis=0)
+        c = x - mean
+        return cls(len(x), mean, c.T @ c if products else (c * c).sum(axis=0))
+
+    def merged(self, other: Moments) -> Moments:
+        n, apart = self.count + other.count, other.mean - self.mean
+        between = np.outer(apart, apart) if self.centred.ndim == 2 else apart * apart
+        return Moments(n, self.mean + apart * (other.count / n), self.centred + other.centred + between * (self.count * other.count / n))
+
+    @property
+    def covariance(self) -> np.ndarray:
+        """Divided by the count."""
+        return self.centred / self.count
+
+
+def merge_all(some: Iterable[Moments]) -> Moments:
+    return functools.reduce(Moments.merged, some)
+
+
+def moments_by(trials: Trials, column: str, keys: Sequence[Column], products: bool, rows: Callable[[np.ndarray], np.ndarray] = lambda x: x.reshape(len(x), -1),
+               then: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[tuple, Moments]:
+    """``Moments`` of ``rows(tensors)`` for each combination of ``keys`` (numbers; rows with a null one are left out), in one pass.
+
+    Partitions hand on one state a key, which executors merge (``treeReduce``): the driver gets about a root of their number.
+    With ``then``, a state has beside it those of ``then(tensors)``, squares only, under (*key, "then").
+    """
+    ship_package(trials.df.sparkSession)
+    shape, width = trials.shape(column), len(keys)
+    names = [f"_k{i}" for i in range(width)]
+
+    def run(batches):
+        held: dict[tuple, Moments] = {}
+
+        def add(key: tuple, part: Moments) -> None:
+            held[key] = held[key].merged(part) if key in held else part
+
+        for batch in batches:
+            good = batch.column(width).is_valid()
+            for i in range(width):
+                good = pc.and_(good, batch.column(i).is_valid())
+            known = batch.filter(good)
+            for at in range(0, known.num_rows, SUMMED):
+                some = known.slice(at, SUMMED)
+                marks = np.stack([some.column(i).to_numpy(zero_copy_only=False) for i in range(width)], axis=1) if width else np.zeros((some.num_rows, 0))
+                x = tensors(some.column(width), shape)
+                for key in sorted(set(map(tuple, marks.tolist()))):
+                    own = x[(marks == key).all(axis=1)]
+                    if len(part := rows(own)):
+                        add(key, Moments.of(part, products))
+                    if then is not None:
+                        add((*key, "then"), Moments.of(then(own), False))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], names=["state"])
+
+    def both(a: dict, b: dict) -> dict:
+        return {k: a[k].merged(b[k]) if k in a and k in b else a.get(k, b.get(k)) for k in a.keys() | b.keys()}
+
+    states = trials.df.select(*(k.cast("double").alias(n) for k, n in zip(keys, names)), F.col(column)).mapInArrow(run, "state binary").rdd.map(lambda r: pickle.loads(bytes(r[0])))
+    found = states.treeAggregate({}, both, both)
+    return dict(sorted(found.items(), key=str))
+
+
 @contextmanager
 def cached(trials: Trials, column: str, label: Column | None = None) -> Iterator[Trials]:
     """Labels and one tensor column of trials, held by the executors (in memory or on their disks) for several passes.

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import copy
+import functools
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kymo.functions import tensors as t
 from kymo.numerics import learn, spd
-from kymo.operators.base import BatchOperator, ColumnOperator, Estimator, Operator, Shape, Trials, cached, partial_sums, sample_of, size_of
+from kymo.operators import cascade, ordered
+from kymo.operators.base import BatchOperator, ColumnOperator, Estimator, Moments, Operator, Shape, Trials, cached, moments_by, partial_sums, sample_of, size_of
 from kymo.operators.riemann import ToTangent, karcher_mean, karcher_means
-from kymo.session import stored
+from kymo.session import shared_path
 
 #: Numbers that a driver-side learner may hold: its training set, for an SVM also the products of its trials.
 MOST_DOUBLES = 50_000_000
@@ -32,6 +36,11 @@ def training_set(trials: Trials, column: str, most: int) -> tuple[np.ndarray, np
     return x.reshape(len(x), size), y
 
 
+def known_trials(trials: Trials, column: str) -> int:
+    """Trials with features and a label."""
+    return trials.df.filter(F.col(column).isNotNull() & F.col(trials.label).isNotNull()).count()
+
+
 class Predict(BatchOperator):
     """Labels of a fitted learner."""
 
@@ -90,9 +99,9 @@ class BothOutputs(Operator):
 class Classifier(Estimator):
     """Any object with fit and predict (and predict_proba for ``proba``); tensors are flattened.
 
-    LDA and logistic regression are fitted from sums on the executors, over all trials. SVM and learners of a user's own are
-    fitted on the whole training set or, above a bound, on a sample (``training_set``): ``MOST_DOUBLES`` numbers, for an
-    SVM as many products of trials.
+    LDA and logistic regression are fitted from sums on the executors, over all trials; an SVM on all trials by a cascade
+    (``kymo.operators.cascade``) where their products don't fit the driver. Learners of a user's own are fitted on the
+    whole training set or, above ``MOST_DOUBLES`` numbers, on a sample (``training_set``).
     """
 
     def __init__(self, a: str, output: str, learner: object, proba: str | None = None, num_classes: int | None = None):
@@ -113,38 +122,45 @@ class Classifier(Estimator):
             classes = self._fit_logistic(trials, learner)
         else:
             most = max(1, MOST_DOUBLES // size_of(trials.shape(a)))
-            if isinstance(learner, learn.Svm):
-                most = min(most, math.isqrt(MOST_DOUBLES))
-            x, y = training_set(trials, a, most)
-            learner.fit(x, y)
-            classes = np.unique(y)
+            if isinstance(learner, learn.Svm) and known_trials(trials, a) > min(most, math.isqrt(MOST_DOUBLES)):
+                classes = cascade.fit(trials, a, learner, MOST_DOUBLES)
+            else:
+                x, y = training_set(trials, a, most)
+                learner.fit(x, y)
+                classes = np.unique(y)
+        return self._operator(learner, classes, trials.shape(a))
+
+    def _operator(self, learner: object, classes: np.ndarray, shape: Shape) -> Operator:
+        a = self.inputs[0]
         if self.num_classes is not None and len(classes) != self.num_classes:
             raise ValueError(f"{len(classes)} classes, not {self.num_classes}")
-        predict = LinearPredict(a, self.output, learner) if isinstance(learner, learn.Lda) and len(trials.shape(a)) == 1 else Predict(a, self.output, learner)
+        predict = LinearPredict(a, self.output, learner) if isinstance(learner, learn.Lda) and len(shape) == 1 else Predict(a, self.output, learner)
         return BothOutputs(predict, PredictProba(a, self.proba, learner, len(classes)) if self.proba else None)
 
-    def _fit_sums(self, trials: Trials, lda: learn.Lda) -> np.ndarray:
-        n = size_of(trials.shape(self.inputs[0]))
+    def moments(self, trials: Trials, *groups: Column) -> dict[tuple, Moments] | None:
+        """Of features by label, for learners that these determine (LDA without automatic shrinkage)."""
+        if not isinstance(self.learner, learn.Lda) or self.learner.shrinkage == "auto":
+            return None
+        return moments_by(trials, self.inputs[0], [F.col(trials.label), *groups], True)
 
-        def moments(x: np.ndarray) -> np.ndarray:
-            x = x.reshape(len(x), -1)
-            return np.hstack([x, np.einsum("ti,tj->tij", x, x).reshape(len(x), -1)])
+    def from_moments(self, found: dict[tuple, Moments], shape: Shape) -> Operator:
+        lda = copy.copy(self.learner)
+        return self._operator(lda, self._pooled(lda, found), shape)
+
+    def _pooled(self, lda: learn.Lda, found: dict[tuple, Moments]) -> np.ndarray:
+        own, classes = list(found.values()), np.array([k[0] for k in found])
+        counts = np.array([m.count for m in own], float)
+        priors = counts / counts.sum() if lda.priors is None else np.asarray(lda.priors, float)
+        pooled = sum(p * (m.covariance if lda.shrinkage is None else learn.shrunk(m.covariance, float(lda.shrinkage))) for m, p in zip(own, priors))
+        lda.from_statistics(classes, np.stack([m.mean for m in own]), pooled, priors)
+        return classes
 
+    def _fit_sums(self, trials: Trials, lda: learn.Lda) -> np.ndarray:
         if lda.shrinkage == "auto":
             if lda.solver == "svd":
                 raise ValueError("shrinkage goes with the solvers lsqr and eigen")
             return self._fit_auto(trials, lda)
-        found = partial_sums(trials, self.inputs[0], moments, True)
-        counts = np.array([g["count"] for g in found], float)
-        priors = counts / counts.sum() if lda.priors is None else np.asarray(lda.priors, float)
-        means = np.stack([g["sum"][:n] / g["count"] for g in found])
-        pooled = np.zeros((n, n))
-        for g, m, p in zip(found, means, priors):
-            own = g["sum"][n:].reshape(n, n) / g["count"] - np.outer(m, m)
-            pooled += p * (own if lda.shrinkage is None else learn.shrunk(own, float(lda.shrinkage)))
-        classes = np.array([g["label"] for g in found])
-        lda.from_statistics(classes, means, pooled, priors)
-        return classes
+        return self._pooled(lda, self.moments(trials))
 
     def _fit_logistic(self, trials: Trials, learner: learn.Logistic) -> np.ndarray:
         """Newton steps; each is one pass that brings loss, gradient and Hessian to the driver."""
@@ -171,11 +187,11 @@ class Classifier(Estimator):
 
         def products(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
             c = x.reshape(len(x), -1) - means[np.searchsorted(classes, labels)]
-            return np.hstack([np.einsum("ti,tj->tij", z, z).reshape(len(c), -1) for z in (c, c**2)])
+            return np.concatenate([(z.T @ z).ravel() for z in (c, c**2)])
 
         priors = counts / counts.sum() if lda.priors is None else np.asarray(lda.priors, float)
         pooled = np.zeros((n, n))
-        for g, p in zip(partial_sums(trials, a, products, True, True), priors):
+        for g, p in zip(partial_sums(trials, a, products, True, True, summed=True), priors):
             own, squares = (g["sum"] / g["count"]).reshape(2, n, n)
             scale = np.sqrt(np.diag(own))
             scale[scale == 0] = 1
@@ -194,13 +210,13 @@ def lda(solver: str = "svd", shrinkage: str | float | None = None, priors: Seque
 
 
 def svm(C: float = 1.0, kernel: str = "rbf", degree: int = 3, gamma: str | float = "scale", coef0: float = 0.0, tol: float = 1e-3,
-        class_weight: str | dict | None = None, max_iter: int = 100_000) -> learn.Svm:
-    return learn.Svm(C, kernel, degree, gamma, coef0, tol, max_iter, class_weight)
+        class_weight: str | dict | None = None, max_iter: int = 100_000, probability: bool = False) -> learn.Svm:
+    return learn.Svm(C, kernel, degree, gamma, coef0, tol, max_iter, class_weight, probability)
 
 
 def logistic_regression(C: float = 1.0, max_iter: int = 100, penalty: str | None = "l2", fit_intercept: bool = True,
-                        class_weight: str | dict | None = None, tol: float = 1e-8) -> learn.Logistic:
-    return learn.Logistic(C, max_iter, tol, penalty, fit_intercept, class_weight)
+                        class_weight: str | dict | None = None, tol: float = 1e-8, l1_ratio: float | None = None) -> learn.Logistic:
+    return learn.Logistic(C, max_iter, tol, penalty, fit_intercept, class_weight, l1_ratio)
 
 
 # ---- clustering ----
@@ -321,11 +337,12 @@ class PatternState(Estimator):
 
     def _fit(self, a: str, first: Operator | None, held: Trials) -> Operator:
         size = size_of(held.shape("_c"))
-        whole = partial_sums(held, "_c", lambda x: np.stack([x.reshape(len(x), -1), x.reshape(len(x), -1) ** 2]).sum(axis=1).ravel(), False, summed=True)
+        whole = moments_by(held, "_c", [], False)
         if not whole:
             raise ValueError("clusters need trials")
-        n, (s1, s2) = whole[0]["count"], whole[0]["sum"].reshape(2, size)
-        offset, scale = (s1 / n, np.sqrt(np.maximum(0.0, s2 / n - (s1 / n) ** 2))) if self.scale_data else (np.zeros(size), np.ones(size))
+        whole = whole[()]
+        n = whole.count
+        offset, scale = (whole.mean, np.sqrt(whole.covariance)) if self.scale_data else (np.zeros(size), np.ones(size))
         scale = np.where(scale > 1e-12 * np.maximum(1.0, np.abs(offset)), scale, 1.0)
         scaled = lambda x: (x.reshape(len(x), -1) - offset) / scale
         start, bits = sample_of(held, "_c", START_DOUBLES, n)
@@ -418,7 +435,8 @@ def stratified_folds(df: DataFrame, label: str, order: str, folds: int = 5, shuf
     if folds < 2:
         raise ValueError("at least two folds")
     by = [F.col(order)] if shuffle_seed is None else [F.xxhash64(F.col(order), F.lit(shuffle_seed)), F.col(order)]
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(*by)) - 1) % folds).cast("int"))
+    place = ordered.earlier(df, [label], by, {"_place_in_class": F.lit(True)})  # over all tasks, however large a class is
+    return place.withColumn("fold", (F.col("_place_in_class") % folds).cast("int")).drop("_place_in_class")
 
 
 METRICS = ("accuracy", "f1", "precision", "recall", "cross_entropy")
@@ -454,7 +472,13 @@ def from_counts(counts: dict[tuple[float, float], int], statistic: str, average:
 
 @dataclass
 class CrossValidation:
-    """Mean of a statistic over stratified folds; ``build`` gives the plan (see kymo.plans.pipeline) to fit in each."""
+    """Mean of a statistic over stratified folds; ``build`` gives the plan (see kymo.plans.pipeline) to fit in each.
+
+    The plans of all folds are fitted in step. An estimator that moments determine (``moments`` and ``from_moments``: normalisation to
+    deviations, selection, CSP, xDAWN, LDA without automatic shrinkage) reads the trials once for all folds: moments of each
+    fold are merged for those that train on it. Behind an estimator that differs between folds, a trial goes along once for each fold that trains on it, in one pass as well.
+    Other estimators are fitted fold by fold, some at a time. All folds are tested in one job. Trials are written once, by fold.
+    """
 
     build: Callable[[], object]
     predicted: str
@@ -466,12 +490,98 @@ class CrossValidation:
     scores: list[float] = field(default_factory=list)
 
     def run(self, trials: Trials) -> float:
-        # written once, so that folds are dealt once and each fit reads them
-        marked = trials.with_df(stored(stratified_folds(trials.df, trials.label, trials.id, self.folds, self.shuffle_seed), "folds"))
-        self.scores = []
-        for k in range(self.folds):
-            fitted = self.build().fit(marked.with_df(marked.df.filter(F.col("fold") != k)))
-            tested = fitted.transform(marked.with_df(marked.df.filter(F.col("fold") == k)))
-            self.scores.append(metric(tested.df, trials.label, self.predicted, self.statistic, self.proba, self.average))
+        spark, path = trials.df.sparkSession, shared_path(trials.df.sparkSession, "folds")
+        dealt = stratified_folds(trials.df, trials.label, trials.id, self.folds, self.shuffle_seed)
+        dealt.write.partitionBy("fold").parquet(path)
+        marked = trials.with_df(spark.read.schema(dealt.schema).parquet(path))
+        fitted = self._fitted(marked)
+        parts = []
+        for k, operators in enumerate(fitted):
+            tested = marked.with_df(marked.df.filter(F.col("fold") == k))
+            for o in operators:
+                tested = o.apply(tested)
+            parts.append(tested.df.select("fold", F.col(trials.label).cast("double").alias("y"), F.col(self.predicted).cast("double").alias("p"), *([F.col(self.proba).alias("q")] if self.proba else [])))
+        self.scores = self._scores(functools.reduce(DataFrame.unionByName, parts))
         return float(np.mean(self.scores))
 
+    def _fitted(self, marked: Trials) -> list[list[Operator]]:
+        """The operators of each fold."""
+        stages = [self.build().ordered(marked.shapes) for _ in range(self.folds)]
+        last = max((i for i, s in enumerate(stages[0]) if isinstance(s, Estimator)), default=-1)
+        done: list[list[Operator]] = [[] for _ in range(self.folds)]
+        shared = marked  # trials behind the stages that all folds have in common; None once they differ
+        for i, own in enumerate(zip(*stages)):
+            if not isinstance(own[0], Estimator):
+                shared = own[0].apply(shared) if shared is not None and i < last else shared
+                found = list(own)
+            else:
+                found = self._fit_stage(own, marked, shared, done)
+                shared = None
+            for k, o in enumerate(found):
+                done[k].append(o)
+        return done
+
+    def _fit_stage(self, own: Sequence[Estimator], marked: Trials, shared: Trials | None, done: list[list[Operator]]) -> list[Operator]:
+        first, folds = own[0], range(self.folds)
+        if shared is not None:
+            moments = first.moments(shared, F.col("fold")) if hasattr(first, "moments") else None
+            if moments is not None:
+                shape = shared.shape(first.inputs[0])
+                return [e.from_moments(_merged(moments, lambda fold, k=k: fold != k), shape) for k, e in enumerate(own)]
+        elif hasattr(first, "moments"):
+            spread, shape = self._spread(first.inputs[0], marked, done)
+            moments = first.moments(spread, F.col("_fold_of"))
+            if moments is not None:
+                return [e.from_moments(_merged(moments, lambda fold, k=k: fold == k), shape) for k, e in enumerate(own)]
+
+        def fit(k: int) -> Operator:
+            train = (shared or marked).with_df((shared or marked).df.filter(F.col("fold") != k))
+            for o in done[k] if shared is None else []:
+                train = o.apply(train)
+            return own[k].fit(train)
+
+        with ThreadPoolExecutor(min(self.folds, AT_ONCE)) as pool:
+            return list(pool.map(fit, folds))
+
+    def _spread(self, column: str, marked: Trials, done: list[list[Operator]]) -> tuple[Trials, Shape]:
+        """Each trial once for each fold that trains on it, with that fold's ``column``."""
+        df, shape = marked.df, None
+        for k, operators in enumerate(done):
+            here = Trials(df, marked.shapes, marked.id, marked.label)
+            for o in operators:
+                here = o.apply(here)
+            shape = here.shape(column)
+            df = here.df.select(*df.columns, F.when(F.col("fold") != k, F.col(column)).alias(f"_of_fold_{k}"))
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_of_fold_{k}").alias("v")) for k in range(self.folds)])).alias("_e")
+        rows = df.select(marked.id, marked.label, each).select(marked.id, marked.label, F.col("_e.k").alias("_fold_of"), F.col("_e.v").alias(column))
+        return Trials(rows.filter(F.col(column).isNotNull()), {column: shape}, marked.id, marked.label), shape
+
+    def _scores(self, tested: DataFrame) -> list[float]:
+        if self.statistic not in METRICS:
+            raise ValueError(f"statistic is one of {METRICS}")
+        if self.statistic != "cross_entropy":
+            counts: list[dict] = [{} for _ in range(self.folds)]
+            for r in tested.groupBy("fold", "y", "p").count().collect():
+                counts[r["fold"]][r["y"], r["p"]] = r["count"]
+            return [from_counts(c, self.statistic, self.average) for c in counts]
+        classes = {r["fold"]: sorted(y for y in r["ys"]) for r in tested.groupBy("fold").agg(F.collect_set("y").alias("ys")).collect()}
+        place = functools.reduce(lambda c, k: c.when(F.col("fold") == k, F.array_position(F.lit([float(y) for y in classes[k]]), F.col("y"))), classes, F.when(F.lit(False), F.lit(0).cast("long")))
+        q = F.get(F.col("q"), (place - 1).cast("int"))
+        found = {r["fold"]: r["v"] for r in tested.groupBy("fold").agg(F.avg(-F.ln(F.greatest(q, F.lit(1e-15)))).alias("v")).collect()}
+        return [float(found[k]) for k in range(self.folds)]
+
+
+#: Folds whose estimators are fitted at the same time where each needs passes of its own.
+AT_ONCE = 4
+
+
+def _merged(found: dict[tuple, Moments], wanted: Callable[[float], bool]) -> dict[tuple, Moments]:
+    """Moments without the group in their keys, those of the wanted groups together."""
+    out: dict[tuple, Moments] = {}
+    for key, m in found.items():
+        then = key[-1:] if key[-1] == "then" else ()
+        rest = key[: len(key) - len(then)]
+        if wanted(rest[-1]):
+            short = (*rest[:-1], *then)
+            out[short] = out[short].merged(m) if short in out else m
+    return dict(sorted(out.items(), key=str))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kymo.functions import tensors as t
 from kymo.numerics import learn, spd
-from kymo.operators.base import BatchOperator, ColumnOperator, Estimator, Operator, Shape, Trials, partial_sums, size_of
+from kymo.operators.base import BatchOperator, ColumnOperator, Estimator, Moments, Operator, Shape, Trials, merge_all, moments_by, size_of
 
 
 class Affine(ColumnOperator):
@@ -63,6 +63,14 @@ class FeatureNormalization(Estimator):
     def infer(self, a: Shape) -> Shape:
         return a
 
+    def moments(self, trials: Trials, *groups: Column) -> dict[tuple, Moments] | None:
+        """Means and squares; extremes aren't moments, so ``min-max`` and ``mean-norm`` have none."""
+        return moments_by(trials, self.inputs[0], groups, False) if self.method == "zscore-norm" else None
+
+    def from_moments(self, found: dict[tuple, Moments], shape: Shape) -> Operator:
+        whole = merge_all(found.values())
+        return Affine(self.inputs[0], self.output, whole.mean, np.sqrt(whole.covariance))
+
     def fit(self, trials: Trials) -> Operator:
         a = self.inputs[0]
         values = trials.df.select(F.posexplode(a).alias("i", "v")).groupBy("i")
@@ -96,14 +104,22 @@ class FeatureSelection(Estimator):
             raise ValueError(f"k lies between 1 and {size_of(a)}")
         return (self.k,)
 
-    def fit(self, trials: Trials) -> Operator:
-        a = self.inputs[0]
-        found = partial_sums(trials, a, lambda x: np.hstack([x.reshape(len(x), -1), x.reshape(len(x), -1) ** 2]), True)
-        sums = np.stack([g["sum"] for g in found])
-        half = sums.shape[1] // 2
-        f = learn.anova_f(np.array([g["count"] for g in found], float), sums[:, :half], sums[:, half:])
+    def moments(self, trials: Trials, *groups: Column) -> dict[tuple, Moments]:
+        return moments_by(trials, self.inputs[0], [F.col(trials.label), *groups], False)
+
+    def from_moments(self, found: dict[tuple, Moments], shape: Shape) -> Operator:
+        own = list(found.values())
+        f = learn.anova_f_centred(np.array([m.count for m in own], float), np.stack([m.mean for m in own]), np.stack([m.centred for m in own]))
         order = np.argsort(-np.where(np.isnan(f), -np.inf, f), kind="stable")
-        return Selected(a, self.output, np.sort(order[: self.k]))
+        return Selected(self.inputs[0], self.output, np.sort(order[: self.k]))
+
+    def fit(self, trials: Trials) -> Operator:
+        return self.from_moments(self.moments(trials), trials.shape(self.inputs[0]))
+
+
+def _samples(x: np.ndarray) -> np.ndarray:
+    """Samples of trials (channels, samples) as rows."""
+    return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
 
 
 class SpatialFilter(BatchOperator):
@@ -133,24 +149,23 @@ class Csp(Estimator):
             raise ValueError("trials are (channels, samples), components no more than channels")
         return (self.n_components, a[1])
 
-    def fit(self, trials: Trials) -> Operator:
-        channels, samples = trials.shape(self.inputs[0])
-
-        def moments(x: np.ndarray) -> np.ndarray:
-            if self.cov_est == "epoch":
-                return np.hstack([spd.covariance(x).reshape(len(x), -1), np.zeros((len(x), channels))])
-            return np.hstack([(x @ x.transpose(0, 2, 1)).reshape(len(x), -1), x.sum(axis=2)])
+    def moments(self, trials: Trials, *groups: Column) -> dict[tuple, Moments]:
+        """Of samples, or with ``epoch`` of trials' covariances."""
+        rows = (lambda x: spd.covariance(x).reshape(len(x), -1)) if self.cov_est == "epoch" else _samples
+        return moments_by(trials, self.inputs[0], [F.col(trials.label), *groups], self.cov_est == "concat", rows)
 
+    def from_moments(self, found: dict[tuple, Moments], shape: Shape) -> Operator:
         covariances = []
-        for g in partial_sums(trials, self.inputs[0], moments, True):
-            c, s = g["sum"][: channels**2].reshape(channels, channels), g["sum"][channels**2 :]
-            n = g["count"] * samples
-            c = c / g["count"] if self.cov_est == "epoch" else (c - np.outer(s, s) / n) / (n - 1)
+        for m in found.values():
+            c = m.mean.reshape(shape[0], shape[0]) if self.cov_est == "epoch" else m.centred / (m.count - 1)
             covariances.append(c if self.reg is None else spd.regularise(c, self.reg))
         if len(covariances) < 2:
             raise ValueError("common spatial patterns need two classes")
         return SpatialFilter(self.inputs[0], self.output, learn.csp_filters(covariances, self.n_components))
 
+    def fit(self, trials: Trials) -> Operator:
+        return self.from_moments(self.moments(trials), trials.shape(self.inputs[0]))
+
 
 class PrototypeCovariance(BatchOperator):
     """Covariance of class prototypes stacked on the filtered trial."""
@@ -179,14 +194,15 @@ class XDawnCovariance(Estimator):
         side = 2 * self.num_filters * (len(self.classes) if self.classes else self.n_classes)
         return (side, side)
 
-    def fit(self, trials: Trials) -> Operator:
-        channels, samples = trials.shape(self.inputs[0])
-        flat = lambda x: np.hstack([x.reshape(len(x), -1), (x @ x.transpose(0, 2, 1)).reshape(len(x), -1)])
-        found = partial_sums(trials, self.inputs[0], flat, True)
-        every, whole = sum(g["count"] for g in found), np.sum([g["sum"] for g in found], axis=0)
-        signal, second = whole[: channels * samples].reshape(channels, samples), whole[channels * samples :].reshape(channels, channels)
-        mean = signal.sum(axis=1) / (every * samples)
-        data = second / (every * samples) - np.outer(mean, mean)
-        evoked = [g["sum"][: channels * samples].reshape(channels, samples) / g["count"] for g in found if self.classes is None or g["label"] in self.classes]
+    def moments(self, trials: Trials, *groups: Column) -> dict[tuple, Moments]:
+        """Of samples, and beside them of whole trials."""
+        return moments_by(trials, self.inputs[0], [F.col(trials.label), *groups], True, _samples, lambda x: x.reshape(len(x), -1))
+
+    def from_moments(self, found: dict[tuple, Moments], shape: Shape) -> Operator:
+        data = merge_all(m for k, m in found.items() if k[-1] != "then").covariance
+        evoked = [m.mean.reshape(shape) for k, m in found.items() if k[-1] == "then" and (self.classes is None or k[0] in self.classes)]
         filters = [learn.xdawn_filters(e, data, self.num_filters) for e in evoked]
         return PrototypeCovariance(self.inputs[0], self.output, np.vstack([w @ e for w, e in zip(filters, evoked)]), np.vstack(filters))
+
+    def fit(self, trials: Trials) -> Operator:
+        return self.from_moments(self.moments(trials), trials.shape(self.inputs[0]))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kymo.functions import tensors as t
+from kymo.operators import ordered
 from kymo.operators.base import BatchOperator, ColumnOperator, Operator, Shape, Trials, batch_column, norm_axis, size_of
 
 
@@ -226,52 +228,88 @@ class Enqueue(Operator):
     """Ring buffer: what the last ``capacity`` pushes up to and with each trial hold, oldest first, as array<array<double>>.
 
     With ``flag`` only trials whose flag is true are pushed; the others see the buffer as it stands. ``by`` are the
-    columns of a recording (each has a buffer of its own, and is ordered by ``order`` in a task of its own).
+    columns of a recording (each has a buffer of its own). A recording is ordered by ``order`` in a task of its own or, with
+    ``split`` (the default where there is only one), in blocks of trials over all tasks.
     """
 
-    def __init__(self, a: str, output: str, capacity: int, order: str, by: Sequence[str] = (), flag: str | None = None):
+    def __init__(self, a: str, output: str, capacity: int, order: str, by: Sequence[str] = (), flag: str | None = None, split: bool | None = None):
         if capacity < 1:
             raise ValueError("a buffer holds at least one element")
         self.inputs, self.output, self.capacity, self.order, self.by, self.flag = (a,), output, capacity, order, tuple(by), flag
+        self.split = not self.by if split is None else split
 
     def infer(self, a: Shape) -> Shape:
         return (self.capacity, *a)
 
     def apply(self, trials: Trials) -> Trials:
+        if self.split:
+            return self._in_blocks(trials)
         by = [F.col(b) for b in self.by] or [F.lit(0)]
         rows = Window.orderBy(self.order).rowsBetween(1 - self.capacity, 0)
         value = F.col(self.inputs[0])
         if self.flag is None:
             return trials.with_df(trials.df.withColumn(self.output, F.collect_list(value).over(rows.partitionBy(*by))))
-        pushed = F.coalesce((F.col(self.flag).cast("double") != 0), F.lit(False))
-        df = trials.df.withColumn("_pushed", pushed)
+        df = trials.df.withColumn("_pushed", self._pushed())
         df = df.withColumn("_buffer", F.when(F.col("_pushed"), F.collect_list(value).over(rows.partitionBy(*by, F.col("_pushed")))))
         past = Window.partitionBy(*by).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
-        held = F.coalesce(F.last("_buffer", ignorenulls=True).over(past), F.array().cast(f"array<{dict(df.dtypes)[self.inputs[0]]}>"))
+        held = F.coalesce(F.last("_buffer", ignorenulls=True).over(past), self._nothing(df))
         return trials.with_df(df.withColumn(self.output, held).drop("_pushed", "_buffer"))
 
+    def _pushed(self) -> Column:
+        return F.lit(True) if self.flag is None else F.coalesce((F.col(self.flag).cast("double") != 0), F.lit(False))
+
+    def _nothing(self, df: DataFrame) -> Column:
+        return F.array().cast(f"array<{dict(df.dtypes)[self.inputs[0]]}>")
+
+    def _in_blocks(self, trials: Trials) -> Trials:
+        df, others = trials.df, [c for c in trials.df.columns if c != self.output]
+        held = lambda w: F.collect_list(self.inputs[0]).over(w)
+        if self.flag is None:
+            placed = ordered.earlier(df, self.by, [self.order], {"_n": F.lit(True)})
+            return trials.with_df(ordered.last_rows(placed, self.by, "_n", self.capacity, {self.output: held}).drop("_n"))
+        placed = ordered.earlier(df.withColumn("_pushed", self._pushed()), self.by, [self.order], {"_n": F.lit(True), "_k": F.col("_pushed")})
+        pushes = ordered.last_rows(placed.filter("_pushed"), self.by, "_k", self.capacity, {"_buffer": held})
+        both = pushes.unionByName(placed.filter("not _pushed").withColumn("_buffer", F.lit(None).cast(pushes.schema["_buffer"].dataType)))
+        blocks = both.withColumn("_at", F.expr(f"_n div {ordered.BLOCK}"))
+        # before the first push of a block stands the buffer of the last push before the block: one row for each block
+        first = blocks.groupBy(*self.by, "_at").agg(F.min("_k").alias("_k")).withColumn("_k", F.col("_k") - 1)
+        keys = [(b, f"_key{i}") for i, b in enumerate(self.by)]
+        same = lambda *more: functools.reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(k)) for b, k in keys] + list(more))
+        renamed = first.select(*(F.col(b).alias(k) for b, k in keys), F.col("_at").alias("_key_at"), F.col("_k").alias("_key_k"))
+        carried = pushes.join(renamed, same(F.col("_k") == F.col("_key_k"))).select(*(k for _, k in keys), "_key_at", F.col("_buffer").alias("_carried"))
+        past = Window.partitionBy(*self.by, "_at").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+        known = blocks.withColumn("_last", F.last("_buffer", ignorenulls=True).over(past)).join(carried, same(F.col("_at") == F.col("_key_at")), "left")
+        out = known.withColumn(self.output, F.coalesce("_last", "_carried", self._nothing(df)))
+        return trials.with_df(out.select(*others, self.output))
+
 
 class RunningAverage(Operator):
-    """Mean of the last ``length`` trials, the current one included; at first of those that exist."""
+    """Mean of the last ``length`` trials, the current one included; at first of those that exist. ``split`` as for ``Enqueue``."""
 
-    def __init__(self, a: str, output: str, length: int, order: str, by: Sequence[str] = ()):
+    def __init__(self, a: str, output: str, length: int, order: str, by: Sequence[str] = (), split: bool | None = None):
         if length < 1:
             raise ValueError("the length is positive")
         self.inputs, self.output, self.length, self.order, self.by = (a,), output, length, order, tuple(by)
+        self.split = not self.by if split is None else split
 
     def infer(self, a: Shape) -> Shape:
         return a
 
     def apply(self, trials: Trials) -> Trials:
         a, shape = self.inputs[0], trials.shape(self.inputs[0])
-        rows = Window.partitionBy(*([F.col(b) for b in self.by] or [F.lit(0)])).orderBy(self.order).rowsBetween(1 - self.length, 0)
+        made = F.avg(a) if shape == () else F.collect_list(a)
+        if self.split:
+            placed = ordered.earlier(trials.df, self.by, [self.order], {"_n": F.lit(True)})
+            df = ordered.last_rows(placed, self.by, "_n", self.length, {"_held": made.over}).drop("_n")
+        else:
+            df = trials.df.withColumn("_held", made.over(Window.partitionBy(*([F.col(b) for b in self.by] or [F.lit(0)])).orderBy(self.order).rowsBetween(1 - self.length, 0)))
         if shape == ():
-            return trials.with_column(self.output, F.avg(a).over(rows), shape)
-        size = int(np.prod(shape))
-        zero = F.array_repeat(F.lit(0.0), size)
-        sums = F.aggregate("_held", zero, lambda s, x: F.zip_with(s, x, lambda u, v: u + v))
-        df = trials.df.withColumn("_held", F.collect_list(a).over(rows))
-        out = trials.with_df(df).with_column(self.output, F.transform(sums, lambda v: v / F.size("_held")), shape)
+            mean = F.col("_held")
+        else:
+            zero = F.array_repeat(F.lit(0.0), int(np.prod(shape)))
+            sums = F.aggregate("_held", zero, lambda s, x: F.zip_with(s, x, lambda u, v: u + v))
+            mean = F.transform(sums, lambda v: v / F.size("_held"))
+        out = trials.with_df(df).with_column(self.output, mean, shape)
         return out.with_df(out.df.drop("_held"))
 
 

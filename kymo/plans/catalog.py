@@ -238,8 +238,7 @@ def _fitted(name: str, make: Callable[[], list], sql: str | None, output: str =
 
 
 _STATS = """, f as (select ch, s, min(v) as lo, max(v) as hi, avg(v) as m, stddev_pop(v) as d from t group by ch, s)"""
-_fitted("zscore", lambda: [features.ZScore("x", "y")], f""", f as (select avg(v) as m, stddev_samp(v) as d from t)
-  select trial_id, (ch * {SAMPLES} + s)::int as pos, round((v - m) / d, 6) + 0.0 as v from t cross join f""")
+_fitted("zscore", lambda: [features.ZScore("x", "y")], f""" select trial_id, (ch * {SAMPLES} + s)::int as pos, round((v - avg(v) over ()) / stddev_samp(v) over (), 6) + 0.0 as v from t""")
 for _method, _value in (("min-max", "(v - lo) / (hi - lo)"), ("mean-norm", "(v - m) / (hi - lo)"), ("zscore-norm", "(v - m) / d")):
     _fitted("normalize_" + _method.replace("-", "_"), lambda m=_method: [features.FeatureNormalization("x", "y", m)],
             f"{_STATS} select trial_id, (t.ch * {SAMPLES} + t.s)::int as pos, round({_value}, 6) + 0.0 as v from t join f on t.ch = f.ch and t.s = f.s")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kymo.operators import classify, elementwise, features, reduce, riemann, shape
-from kymo.operators.base import BatchOperator, Shape
+from kymo.operators.base import BatchOperator, Shape, Trials
 from kymo.plans import sql as q
 from kymo.plans.catalog import CHANNELS, LONG, SAMPLES, NearestCentroid, _CENTROIDS, _fitted, _json_markers, _out, _PADDED, _signal, _STATS, _trial, _two_classes, elements, embedding_trials, query, rounded, spread, streamed, table
 from kymo.plans.pipeline import FittedPlan, Plan
@@ -133,6 +133,34 @@ for _name, _options, _weight in (("classifier_logistic_line", {"C": 0.5}, "1.0")
     query(f"with recursive {LONG}{_logistic_sql(_weight, 0.5)}", _name)(_run)
 
 
+def _sparse_sql(c: float, ratio: float) -> str:
+    """As ``_logistic_sql``, with (ratio |v| + (1 - ratio) v^2 / 4) / C: each step minimises the quadratic model with |v|, which is a move toward zero."""
+    full = _logistic_sql("1.0", c)
+    step = full[full.index("    select n + 1") : full.index("      select n, v, b, sum(")]
+    sparse = f"""    select n + 1, v2, b - (gb + hc * (v2 - v)) / hb from (select *, sign(v1) * greatest(abs(v1) - {ratio / c} / h1, 0) as v2 from (
+      select *, hv - hc * hc / hb as h1, v - (gv - hc * gb / hb) / (hv - hc * hc / hb) as v1 from (
+"""
+    smooth = (1 - ratio) / (2 * c)
+    out = full.replace(step, sparse).replace(f"v / {2 * c} as gv", f"v * {smooth} as gv").replace(f"1 / {2 * c} as hv", f"{smooth} as hv")
+    return out.replace("where r.n < 25) group by n, v, b))", "where r.n < 25) group by n, v, b))))")
+
+
+for _name, _options, _ratio in (("classifier_logistic_l1_line", {"C": 20.0, "penalty": "l1"}, 1.0), ("classifier_logistic_elasticnet_line", {"C": 5.0, "penalty": "elasticnet", "l1_ratio": 0.4}, 0.4)):
+    def _run(spark: SparkSession, sf_dir: str, options: dict = _options) -> DataFrame:
+        trials = embedding_trials(spark, sf_dir)
+        return elements(Plan(_LINE(**options)).fit(trials, ["p"]).transform(trials), "y")
+
+    query(f"with recursive {LONG}{_sparse_sql(_options['C'], _ratio)}", _name)(_run)
+
+
+@query(None)
+def classifier_svm_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of support vector machines of all pairs of classes."""
+    trials = embedding_trials(spark, sf_dir)
+    stages = [shape.Reshape("x", "f", (-1,)), classify.Classifier("f", "p", classify.svm(probability=True), "y")]
+    return elements(Plan(stages).fit(trials, ["p"]).transform(trials), "y")
+
+
 # ---- metrics and model selection ----
 
 
@@ -228,6 +256,52 @@ def xdf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.join(before, "recording").select("event_id", (F.col("before") + F.row_number().over(Window.partitionBy("recording").orderBy("ts"))).cast("long").alias("place"))
 
 
+# ---- one recording over all tasks ----
+
+
+def _one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the samples of one recording, a second apart in the order of their ids; clicks are flagged."""
+    return table(spark, sf_dir, "events").select("event_id", F.lit("all").alias("recording"), F.col("event_id").cast("double").alias("ts"), F.array("value").alias("values"), (F.col("event_type") == "click").cast("double").alias("flag"))
+
+
+def _one_buffer(spark: SparkSession, sf_dir: str) -> Trials:
+    return Trials(_one_recording(spark, sf_dir).select(F.col("event_id").alias("trial_id"), "flag", F.col("values").alias("x")), {"x": (1,), "flag": ()}, label=None)
+
+
+@query("select event_id as trial_id, 0 as pos, round(avg(value) over (order by event_id rows 99 preceding), 6) + 0.0 as v from events")
+def long_running_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the last hundred samples of one long recording."""
+    return elements(shape.RunningAverage("x", "y", 100, "trial_id").apply(_one_buffer(spark, sf_dir)), "y")
+
+
+@query("""with r as (select event_id, value, event_type = 'click' as flag, count(*) filter (event_type = 'click') over (order by event_id rows unbounded preceding) as n from events)
+  select a.event_id as trial_id, count(b.value) as held, round(coalesce(sum(b.value), 0), 6) + 0.0 as total from r a left join r b on b.flag and b.n <= a.n and b.n > a.n - 20 group by a.event_id""")
+def long_gated_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a buffer of twenty holds into which only clicks of one long recording are pushed."""
+    held = shape.Enqueue("x", "y", 20, "trial_id", flag="flag").apply(_one_buffer(spark, sf_dir)).df
+    return held.select("trial_id", F.size("y").cast("long").alias("held"), rounded(F.aggregate("y", F.lit(0.0), lambda s, x: s + F.get(x, F.lit(0)))).alias("total"))
+
+
+@query("""with n as (select value, row_number() over (order by event_id) - 1 as n, count(*) over () as size from events),
+  w as (select n.*, unnest(range(greatest(0, (n - 63 + 31) // 32), n // 32 + 1)) as w from n)
+  select w::bigint as "window", (n - 32 * w)::int as pos, round(value, 6) + 0.0 as v from w where 32 * w + 64 <= size""")
+def long_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 64 samples every 32 of one long recording."""
+    cut = streams.count_windows(_one_recording(spark, sf_dir).select("recording", "ts", "values"), 64, 32, split=True)
+    return spread(cut, "data", "window").select("window", "pos", rounded(F.col("v")).alias("v"))
+
+
+@query("""with n as (select *, row_number() over (order by event_id) as n from events)
+  select m.event_id, (s.n - m.n - 1)::int as pos, round(s.value, 6) + 0.0 as v from n m join n s on s.n > m.n and s.n <= m.n + 30
+  where m.event_type = 'purchase' and exists (select 1 from n e where e.n = m.n + 30)""")
+def long_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty samples from half a second behind each purchase of one long recording."""
+    sig = _one_recording(spark, sf_dir)
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("event_id", F.lit("all").alias("recording"), F.col("event_id").cast("double").alias("ts"))
+    cut = streams.epochs(sig.select("recording", "ts", "values"), bought, 30, 0.5, keep=("event_id",), split=True)
+    return spread(cut, "data", "event_id").select("event_id", "pos", rounded(F.col("v")).alias("v"))
+
+
 _LABELLED = """with m as (select event_id, user_id, ts, case event_type when 'signup' then '{"target": ' || ((props->>'$.k')::int % 5) || '}'
     when 'click' then '{"flash": [' || ((props->>'$.k')::int % 5) || ', ' || (((props->>'$.k')::int + 1) % 5) || ']}' end as marker, epoch(ts::timestamp) as tm from events)"""
 

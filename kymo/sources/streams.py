@@ -12,7 +12,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kymo.operators import ordered
 from kymo.operators.base import Trials
+from kymo.session import stored
 
 
 def target_labels(markers: DataFrame, by: str = "recording", ts: str = "ts", marker: str = "marker") -> DataFrame:
@@ -59,21 +61,33 @@ def _one_marker(markers: DataFrame, when: Column | None, pattern: str | None, by
 
 
 def epochs(signal: DataFrame, markers: DataFrame, samples: int, relative_start: float = 0.0, channels: Sequence[int] | None = None,
-           by: str = "recording", ts: str = "ts", values: str = "values", keep: Sequence[str] = ("label",)) -> DataFrame:
+           by: str = "recording", ts: str = "ts", values: str = "values", keep: Sequence[str] = ("label",), split: bool = False) -> DataFrame:
     """One row a marker: the first sample at or after marker + ``relative_start`` and those after it, ``samples`` in all.
 
     By count, not by time: samples are numbered within their recording, a marker finds the number of its first sample in a
     merge of both streams by time (no pair of the two is made that isn't in a trial), and an equi-join on blocks
     of numbers fetches the rest. Trials that run over the end are dropped. ``data`` is row-major (channels, samples).
+    A recording is sorted in one task or, with ``split``, over all tasks.
     """
-    order = Window.partitionBy(by).orderBy(ts)
-    numbered = signal.select(F.col(by).alias("_by"), F.col(ts).alias("_ts"), F.col(values).alias("_values"), (F.row_number().over(order) - 1).cast("long").alias("_n"))
-    wanted = markers.withColumn("_at", F.col(ts) + F.lit(float(relative_start))).withColumn("marker_id", F.row_number().over(Window.partitionBy(by).orderBy(ts, *keep)))
-    slim = wanted.select(F.col(by).alias("_by"), F.col("_at").alias("_ts"), F.lit(None).cast("long").alias("_n"), F.col("marker_id"))
-    merged = slim.unionByName(numbered.select("_by", "_ts", "_n", F.lit(None).cast("int").alias("marker_id")))
-    # backwards in time, so that the frame only grows: the last sample met is the first one at or after the marker
-    met = Window.partitionBy("_by").orderBy(F.desc("_ts"), F.col("_n").isNull(), F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
-    firsts = merged.withColumn("_first", F.last("_n", ignorenulls=True).over(met)).filter("marker_id is not null and _first is not null").select("_by", "marker_id", "_first")
+    wanted = markers.withColumn("_at", F.col(ts) + F.lit(float(relative_start)))
+    samples_ = signal.select(F.col(by).alias("_by"), F.col(ts).alias("_ts"), F.col(values).alias("_values"))
+    if split:
+        # in the order of time, markers before samples of the same time: as many samples as come before a marker, that is its first sample's number
+        wanted = wanted.withColumn("marker_id", F.monotonically_increasing_id())
+        wanted = stored(wanted, "markers")
+        slim = wanted.select(F.col(by).alias("_by"), F.col("_at").alias("_ts"), "marker_id")
+        merged = slim.unionByName(samples_, allowMissingColumns=True)
+        counted = ordered.earlier(merged, ["_by"], ["_ts", F.col("marker_id").isNull()], {"_n": F.col("marker_id").isNull()})
+        numbered = counted.filter("marker_id is null").select("_by", "_ts", "_values", "_n")
+        firsts = counted.filter("marker_id is not null and _ts is not null").select("_by", "marker_id", F.col("_n").alias("_first"))
+    else:
+        numbered = samples_.withColumn("_n", (F.row_number().over(Window.partitionBy("_by").orderBy("_ts")) - 1).cast("long"))
+        wanted = wanted.withColumn("marker_id", F.row_number().over(Window.partitionBy(by).orderBy(ts, *keep)))
+        slim = wanted.select(F.col(by).alias("_by"), F.col("_at").alias("_ts"), F.lit(None).cast("long").alias("_n"), F.col("marker_id"))
+        merged = slim.unionByName(numbered.select("_by", "_ts", "_n", F.lit(None).cast("int").alias("marker_id")))
+        # backwards in time, so that the frame only grows: the last sample met is the first one at or after the marker
+        met = Window.partitionBy("_by").orderBy(F.desc("_ts"), F.col("_n").isNull(), F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
+        firsts = merged.withColumn("_first", F.last("_n", ignorenulls=True).over(met)).filter("marker_id is not null and _first is not null").select("_by", "marker_id", "_first")
     block = max(1, samples)
     blocks = firsts.withColumn("_block", F.explode(F.sequence(F.expr(f"_first div {block}"), F.expr(f"(_first + {samples - 1}) div {block}"))))
     cut = blocks.join(numbered.withColumn("_block", F.expr(f"_n div {block}")), ["_by", "_block"]).filter(f"_n >= _first and _n < _first + {samples}")
@@ -114,11 +128,16 @@ def one_after_the_other(signal: DataFrame, markers: DataFrame, by: str = "record
     return signal.join(markers.groupBy(by).agg(F.min(ts).alias("first_marker")).filter("first_marker is not null"), by)
 
 
-def count_windows(signal: DataFrame, samples: int, stride: int | None = None, by: str = "recording", ts: str = "ts", values: str = "values") -> DataFrame:
-    """Windows of ``samples`` successive samples every ``stride`` (default: side by side) of each recording; the rest at the end is dropped."""
+def count_windows(signal: DataFrame, samples: int, stride: int | None = None, by: str = "recording", ts: str = "ts", values: str = "values", split: bool = False) -> DataFrame:
+    """Windows of ``samples`` successive samples every ``stride`` (default: side by side) of each recording; the rest at the end is dropped.
+
+    A recording is sorted in one task or, with ``split``, over all tasks.
+    """
     stride = stride or samples
-    n = (F.row_number().over(Window.partitionBy(by).orderBy(ts)) - 1).cast("long")
-    numbered = signal.withColumn("_n", n)
+    if split:
+        numbered = ordered.earlier(signal.select(by, ts, values), [by], [ts], {"_n": F.lit(True)})
+    else:
+        numbered = signal.withColumn("_n", (F.row_number().over(Window.partitionBy(by).orderBy(ts)) - 1).cast("long"))
     last = F.expr(f"_n div {stride}")
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_n") - (samples - 1)) / stride))
     spread = numbered.withColumn("_w", F.explode(F.when(first <= last, F.sequence(first, last))))

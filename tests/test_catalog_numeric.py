@@ -12,7 +12,7 @@ from kymo.plans import catalog
 
 TABLES = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="the synthetic tables aren't here")
-NAMES = ("csp xdawn_covariance riemann_mdm riemann_potato tangent_space adaptive_rebias classifier_lda classifier_lda_shrinkage classifier_svm "
+NAMES = ("csp xdawn_covariance riemann_mdm riemann_potato tangent_space adaptive_rebias classifier_lda classifier_lda_shrinkage classifier_svm classifier_svm_probability "
          "classifier_logistic pattern_state multi_potato cross_validate").split()
 
 
@@ -145,6 +145,31 @@ def test_classifier_svm(spark, data):
     assert np.array_equal(got(spark, "classifier_svm"), learn.Svm().fit(f, y).predict(f))
 
 
+def test_classifier_svm_probability(spark, data):
+    """Of each pair: what a search finds for the sigmoid; of all pairs: the least squares that the coupling stands for."""
+    _, y, x = data
+    f = x.reshape(len(x), -1)
+    p = got(spark, "classifier_svm_probability", (len(np.unique(y)),))
+    np.testing.assert_allclose(p.sum(axis=1), 1, atol=1e-5)
+    m = learn.Svm(probability=True).fit(f, y)
+    np.testing.assert_allclose(p, m.predict_proba(f), atol=2e-6)
+    (i, j, *_), (a, b) = m.machines[3], m.sigmoids[3]
+    pick = (y == m.classes[i]) | (y == m.classes[j])
+    sign = np.where(y[pick] == m.classes[i], 1.0, -1.0)
+    s, targets = m.margins(f[pick], 3), learn.sigmoid_targets(int((sign > 0).sum()), int((sign < 0).sum()))
+    loss = lambda u, v: learn.sigmoid_sums(s, sign, np.array([u, v]), *targets)[0]
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-0.1, 0, 0.1) for db in (-0.1, 0, 0.1))
+    r = np.zeros((len(m.classes),) * 2)
+    for (u, v, *_), (a, b), margin in zip(m.machines, m.sigmoids, (m.margins(f[:1], n)[0] for n in range(len(m.machines)))):
+        r[u, v] = 1 / (1 + np.exp(a * margin + b))
+        r[v, u] = 1 - r[u, v]
+    spread = lambda q: ((r.T * q[:, None] - r * q[None, :]) ** 2).sum()
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        other = np.abs(p[0] + rng.normal(size=p.shape[1]) * 0.01)
+        assert spread(p[0]) <= spread(other / other.sum()) + 1e-6
+
+
 def test_classifier_logistic(spark, data):
     _, y, x = data
     f = x.mean(axis=2)

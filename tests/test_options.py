@@ -62,7 +62,7 @@ def test_penalty_and_intercept():
     assert np.abs((1 / (1 + np.exp(-s)) - y) @ np.hstack([x, np.ones((len(x), 1))])).max() < 1e-5
     assert np.abs(learn.Logistic(fit_intercept=False).fit(x, y).w[:, -1]).max() < 1e-9
     with pytest.raises(ValueError):
-        learn.Logistic(penalty="l1")
+        learn.Logistic(penalty="l0")
 
 
 def test_singular_directions_of_lda():
