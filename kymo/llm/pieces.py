@@ -8,8 +8,9 @@ again, once for each pair) and its end isn't known to fail; otherwise the next s
 tried. Where none is left, the position is marked in a bitfield and the piece before is taken back. The pieces of a valid
 prefix are unique, so a failed position fails whatever led to it, and each is left once: time is linear in the text.
 
-If no piece of the model holds a space mark behind another character, no piece crosses such a place, and a text falls
-into words that are encoded one by one (and kept, up to a bound). Characters of no piece are cut off alike.
+Where no piece of the model holds two characters side by side, none crosses a place between these, and a text may be cut there. So
+if a space mark never stands behind another character, a text falls into words that are encoded one by one (and kept, up to
+a bound). Characters that merge with nothing, and punctuation that never stands behind a letter, are cut off alike.
 
 Results: null counts as the empty text (begin and end ids only, empty decoded text). Repeated rows give repeated
 results. Texts of any length are handled whole.
@@ -38,6 +39,8 @@ UNKNOWN_SURFACE = " ⁇ "
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGE_TYPE = 2
 
+LETTER = r"[^\W\d_]"
+
 LONG_WORD = 192
 PIECE_CHARS = 1 << 20
 
@@ -107,14 +110,30 @@ class Model:
         self.begin, self.end = (self.pieces.index(trainer[n].decode("utf-8") if n in trainer else p) for n, p in ((46, "<s>"), (47, "</s>")))
 
 
+class Words(dict):
+    """Word to its ids; forgets all when it reaches its bound."""
+
+    def __init__(self, codec: Codec, bound: int):
+        super().__init__()
+        self.codec, self.bound = codec, bound
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.codec.word(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder of one model. Ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, data: bytes, cached_words: int = 300_000, cached_pairs: int = 2_000_000):
         self.model = m = Model(data)
-        self.bounds = cached_words, cached_pairs
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.cached_pairs = cached_pairs
+        self.words = Words(self, cached_words)
+        self.pairs: dict[int, bool] = {}
         self.text_of = list(m.pieces)
         self.id_of = {p: i for i, p in enumerate(m.pieces) if m.kinds[i] == NORMAL}
         self.score_of = {p: m.scores[i] for p, i in self.id_of.items()}
@@ -125,8 +144,12 @@ class Codec:
         self.length = [len(p) for p in self.text_of]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id_of.items():
-            self.automaton.add_word(p, (i, len(p)))
+            if len(p) > 1:
+                self.automaton.add_word(p, (i, len(p)))
+        self.single = {p: i for p, i in self.id_of.items() if len(p) == 1}.get
+        self.width = len(self.text_of)
         self.automaton.make_automaton()
+        self.matches = self.automaton.iter if len(self.automaton) else lambda text: ()
         #: For each piece the longest other one that it begins with, -1 if none.
         self.shorter = [-1] * len(self.text_of)
         for p, i in self.id_of.items():
@@ -136,8 +159,13 @@ class Codec:
         self.bytes_of = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else m.surface.encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds)]
         self.controls = {i for i, k in enumerate(m.kinds) if k == CONTROL}
         self.whole_words = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id_of)
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in known and chr(c) != " ")
-        self.cut = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+|[{alone}]" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        joined = {c for p in self.id_of if len(p) > 1 for c in p}
+        behind_letters = {b for p in self.id_of for a, b in zip(p, p[1:]) if re.match(LETTER, a)}
+        ascii_ = [chr(c) for c in range(128) if chr(c) != " "]
+        alone = "".join(re.escape(c) for c in ascii_ if c not in joined)
+        ends = "".join(re.escape(c) for c in ascii_ if c not in behind_letters and not re.match(LETTER, c))
+        words = [f"{MARK}*+{LETTER}++(?=[{ends}])"] * bool(ends) + [f"{MARK}+[^{MARK}{alone}]*", f"[^{MARK}{alone}]+"] + [f"[{alone}]"] * bool(alone)
+        self.cut = re.compile("|".join(words))
 
     def merge(self, text: str) -> list[str]:
         """Parts of a short text when the pair with the best score, the leftmost of equal ones, merges until none can."""
@@ -155,87 +183,94 @@ class Codec:
 
     def together(self, left: int, right: int) -> bool:
         """Whether ``right`` stands behind ``left`` (-1: nothing): both, merged again from characters, give just these two."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            two = [self.text_of[i] for i in (left, right) if i >= 0]
-            found = self.merge("".join(two)) == two
-            if len(self.pairs) >= self.bounds[1]:
-                self.pairs.clear()
-            self.pairs[left, right] = found
+        two = [self.text_of[i] for i in (left, right) if i >= 0]
+        found = self.merge("".join(two)) == two
+        if len(self.pairs) >= self.cached_pairs:
+            self.pairs.clear()
+        self.pairs[left * self.width + right] = found
         return found
 
     def tokens(self, text: str) -> list[int]:
         """Pieces of a text by their numbers; -1 for a character that no piece holds."""
-        n, length, shorter, together = len(text), self.length, self.shorter, self.together
-        longest = [-1] * n
-        for end, (i, size) in self.automaton.iter(text):
+        n, length, shorter, known, width = len(text), self.length, self.shorter, self.pairs.get, self.width
+        single = self.single
+        longest = [single(c, -1) for c in text]
+        for end, (i, size) in self.matches(text):
             longest[end - size + 1] = i  # longer ones end later
-        failed = bytearray(n // 8 + 1)
+        failed = None  # the bitfield, once a position fails
         out: list[int] = []
-        at, token = 0, longest[0] if n else -1
+        at, before = 0, -1
         while at < n:
-            if longest[at] < 0:  # merges with nothing, so anything may stand beside it
-                out.append(-1)
-                at += 1
+            token = longest[at]
+            if token < 0:  # merges with nothing, so anything may stand beside it
+                end = at + 1
             else:
-                before = out[-1] if out else -1
-                while token >= 0 and (failed[(e := at + length[token]) >> 3] >> (e & 7) & 1 or not together(before, token)):
-                    token = shorter[token]
-                if token < 0:
+                while True:
+                    while token >= 0:
+                        end = at + length[token]
+                        if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                            fits = known(before * width + token)
+                            if self.together(before, token) if fits is None else fits:
+                                break
+                        token = shorter[token]
+                    if token >= 0:
+                        break
+                    if failed is None:
+                        failed = bytearray(n // 8 + 1)
                     failed[at >> 3] |= 1 << (at & 7)
-                    token = out.pop()
-                    at -= length[token]
-                    continue  # the end of this piece has failed: the next shorter one is tried
-                out.append(token)
-                at += length[token]
-            token = longest[at] if at < n else -1
+                    back = out.pop()
+                    at -= length[back]
+                    token = shorter[back]  # the end of that piece has failed: the next shorter one is tried
+                    before = out[-1] if out else -1
+            out.append(token)
+            before = token
+            at = end
         return out
 
     def word(self, word: str) -> bytes:
         """Ids of one word."""
-        found = self.words.get(word)
-        if found is None:
-            ids, known = array("I"), len(self.model.pieces)
-            at = 0
-            for t in self.tokens(word):
-                size = 1 if t < 0 else self.length[t]
-                if 0 <= t < known:
-                    ids.append(t)
-                elif self.model.byte_fallback:
-                    ids.extend(self.byte_ids[b] for b in word[at : at + size].encode("utf-8"))
-                elif not ids or ids[-1] != self.model.unknown:
-                    ids.append(self.model.unknown)
-                at += size
-            found = ids.tobytes()
-            if len(word) <= LONG_WORD:
-                if len(self.words) >= self.bounds[0]:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        tokens, known = self.tokens(word), len(self.model.pieces)
+        if not tokens or (min(tokens) >= 0 and max(tokens) < known):
+            return array("I", tokens).tobytes()
+        ids, at = array("I"), 0
+        for t in tokens:
+            size = 1 if t < 0 else self.length[t]
+            if 0 <= t < known:
+                ids.append(t)
+            elif self.model.byte_fallback:
+                ids.extend(self.byte_ids[b] for b in word[at : at + size].encode("utf-8"))
+            elif not ids or ids[-1] != self.model.unknown:
+                ids.append(self.model.unknown)
+            at += size
+        return ids.tobytes()
 
     def encode(self, text: str, ends: bool = True) -> bytes:
         """Ids of a whole text, with ``ends`` between the ids of begin and end."""
-        out = []
+        out, of_word = [], self.words.__getitem__
         if text:
             marked = (MARK if self.model.prefixed else "") + text.replace(" ", MARK)
             if not self.whole_words or not self.model.byte_fallback:  # unknown characters in a row are one id without fallback
-                out.append(self.word(marked))
+                out.append(of_word(marked))
             elif len(marked) <= PIECE_CHARS:
-                out.extend(map(self.word, self.cut.findall(marked)))
+                out.extend(map(of_word, self.cut.findall(marked)))
             else:
-                out.extend(self.word(m.group()) for m in self.cut.finditer(marked))
+                out.extend(of_word(m.group()) for m in self.cut.finditer(marked))
         first, last = (struct.pack("<I", i) if ends else b"" for i in (self.model.begin, self.model.end))
         return b"".join([first, *out, last])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids. Controls give nothing; each byte of a run of byte pieces that isn't UTF-8 gives U+FFFD."""
         numbers = memoryview(ids).cast("I").tolist()
-        inner = [i for i, x in enumerate(numbers) if x not in self.controls]
-        if not inner:
+        low, high = 0, len(numbers)
+        while low < high and numbers[low] in self.controls:
+            low += 1
+        while low < high and numbers[high - 1] in self.controls:
+            high -= 1
+        if low == high:
             return ""
-        first = numbers[inner[0]]
-        if inner[-1] - inner[0] + 1 == len(inner):
-            text = b"".join(map(self.bytes_of.__getitem__, numbers[inner[0] : inner[-1] + 1])).decode("utf-8", "kymo-each-byte")
+        first, numbers = numbers[low], numbers[low:high]
+        if self.controls.isdisjoint(numbers):
+            text = b"".join(map(self.bytes_of.__getitem__, numbers)).decode("utf-8", "kymo-each-byte")
         else:  # a control ends a run of byte pieces
             runs: list[list[bytes]] = [[]]
             for x in numbers:
