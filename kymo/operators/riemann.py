@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kymo.numerics import spd
-from kymo.operators.base import BatchOperator, Estimator, Operator, Shape, Trials, cached, partial_sums, sample_of
+from kymo.operators.base import BatchOperator, Estimator, Operator, Shape, Trials, cached, moments_by, partial_sums, sample_of
 from kymo.operators.reduce import Covariance
 from kymo.session import ship_package
 
@@ -274,20 +275,27 @@ class RiemannPotato(Estimator):
             trials = Covariance(a, a).apply(trials)
         regular = lambda c: spd.regularise(c, r)
         with cached(trials, a) as held:
-            center, past, before = None, [], None
-            for _ in range(self.max_iter):
-                clean = lambda c, past=tuple(past): np.logical_and.reduce([np.ones(len(c), bool), *(p.scores(c) < p.thresh for p in past)])
-                starts = starting_points(held, regular, START_DOUBLES) if center is None else {0.0: center}
-                center = flowed(held, starts, regular, clean)[0.0]
-                far = lambda c, m=center: np.log(np.maximum(spd.distance(m, regular(c)), 1e-300))[:, None]
-                found = partial_sums(held, "_c", lambda c: np.hstack([far(c), far(c) ** 2]), False, keep=clean)[0]
-                n, (s1, s2) = found["count"], found["sum"]
-                mu = s1 / n
-                potato = Potato(a, "_clean", center, mu, float(np.sqrt(max(0.0, s2 / n - mu * mu))), self.thresh, r)
-                if n == before:
-                    break
-                past.append(potato)
-                before = n
+            clean, center, before = held, None, None
+            try:
+                for _ in range(self.max_iter):
+                    starts = starting_points(clean, regular, START_DOUBLES) if center is None else {0.0: center}
+                    center = flowed(clean, starts, regular)[0.0]
+                    far = lambda c, m=center: np.log(np.maximum(spd.distance(m, regular(c)), 1e-300))[:, None]
+                    found = moments_by(clean, "_c", [], False, far)[()]
+                    potato = Potato("_c", "_clean", center, float(found.mean[0]), float(np.sqrt(found.covariance[0])), self.thresh, r)
+                    if found.count == before:
+                        break
+                    before = found.count
+                    # what this round leaves is held for the next one, which scores nothing again
+                    left = potato.apply(clean).df.filter("_clean = 1").drop("_clean").persist(StorageLevel.MEMORY_AND_DISK)
+                    left.count()
+                    if clean is not held:
+                        clean.df.unpersist()
+                    clean = clean.with_df(left)
+            finally:
+                if clean is not held:
+                    clean.df.unpersist()
+        potato.inputs = (a,)
         potato.output = self.output
         return potato
 
