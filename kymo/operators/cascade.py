@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kymo.numerics import learn
@@ -23,9 +24,9 @@ from kymo.session import ship_package, stored
 
 #: Trials of a block that an executor fits at once.
 BLOCK = 1024
-#: Trials of a pair that each partition adds in a round of the check at most: those deepest inside the margin; the others come in later rounds.
+#: Trials of a pair that join its support in a round of the check at most: those deepest inside the margin; the others come in later rounds.
 WORST = 256
-ROUNDS = 200
+ROUNDS = 1000
 
 SUPPORT = "pair int, id string, sign double, x array<double>"
 
@@ -36,8 +37,9 @@ def _signed(svm: learn.Svm, y: np.ndarray, pair: tuple[int, int]) -> tuple[np.nd
     return at, np.where(y[at] == svm.classes[pair[0]], 1.0, -1.0)
 
 
-def _rows(pair: int, ids: list, sign: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([pair] * len(ids), pa.int32()), pa.array(ids, pa.string()), pa.array(sign), as_arrow(x, (x.shape[1],))], names=["pair", "id", "sign", "x"])
+def _rows(pair: int, ids: list, sign: np.ndarray, x: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([pair] * len(ids), pa.int32()), pa.array(ids, pa.string()), pa.array(sign), as_arrow(x, (x.shape[1],))]
+    return pa.RecordBatch.from_arrays([*columns, *map(pa.array, more.values())], names=["pair", "id", "sign", "x", *more])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -140,9 +142,10 @@ def _checked(held, shape, svm: learn.Svm, pairs: list, working: list[dict], most
                         worst[n] = sorted(worst[n] + found, key=lambda v: (-v[0], v[1]))[:WORST]
             for n, some in worst.items():
                 if some:
-                    yield _rows(n, [v[1] for v in some], np.array([v[2] for v in some]), np.stack([v[3] for v in some]))
+                    yield _rows(n, [v[1] for v in some], np.array([v[2] for v in some]), np.stack([v[3] for v in some]), inside=np.array([v[0] for v in some]))
 
-        found = held.mapInArrow(violators, SUPPORT).collect()
+        deepest = Window.partitionBy("pair").orderBy(F.desc("inside"), "id")
+        found = held.mapInArrow(violators, SUPPORT + ", inside double").withColumn("rank", F.row_number().over(deepest)).filter(F.col("rank") <= WORST).collect()
         shared.unpersist()
         open_ = {r["pair"] for r in found}
         for r in found:

@@ -304,7 +304,9 @@ class XdfStreamWriter(DataSourceStreamArrowWriter):
 
     def __init__(self, options: dict, schema):
         self.plain = XdfWriter(options, schema, False)
-        self.query = hashlib.sha256(options.get("checkpointlocation", "").encode()).hexdigest()[:16]  # two queries may write to one folder
+        if not options.get("checkpointlocation"):
+            raise ValueError("a stream to recordings needs the option checkpointLocation")
+        self.query = hashlib.sha256(options["checkpointlocation"].encode()).hexdigest()[:16]  # two queries may write to one folder
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         return self.plain.write(iterator)
