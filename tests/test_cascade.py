@@ -81,6 +81,24 @@ def test_a_model_beyond_the_bound_is_an_error(spark, monkeypatch):
         classify.Classifier("f", "o", classify.svm()).fit(trials_of(spark, x, y))
 
 
+def test_classes_that_overlap_are_fitted_on_all(spark, monkeypatch):
+    """Nearly every trial is support in four pairs, which together pass the bound; the trials themselves don't."""
+    monkeypatch.setattr(classify, "MOST_DOUBLES", 6000)
+    monkeypatch.setattr(cascade, "BLOCK", 64)
+    monkeypatch.setattr(cascade, "WORKING", 40)
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(600, 3)), rng.integers(0, 5, 600).astype(float)
+    fitted = classify.svm(probability=True, tol=1e-4)
+    trials = trials_of(spark, x, y)
+    out = classify.Classifier("f", "o", fitted, "p").fit(trials).apply(trials).df.orderBy("trial_id").collect()
+    want = learn.Svm(probability=True, tol=1e-4).fit(x, y)
+    assert sum(len(m[3]) for m in fitted.machines) * 3 > 6000
+    assert conditions(fitted, x, y) < 1e-3
+    np.testing.assert_allclose(fitted.all_margins(x), want.all_margins(x), atol=5e-3)
+    np.testing.assert_allclose([r["p"] for r in out], want.predict_proba(x), atol=5e-3)
+    assert np.mean([r["o"] for r in out] == want.predict(x)) > 0.99
+
+
 @pytest.mark.parametrize("classes", [2, 3])
 def test_probabilities(spark, blocks, classes):
     x, y = data(600, classes, 7)
