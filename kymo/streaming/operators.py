@@ -2,7 +2,7 @@
 
 Operators that look at one trial only run on streams as they are. Those that remember keep their memory in Spark's state
 store (``transformWithState`` on RocksDB), keyed by recording, as arrays: a buffer is a list that is appended to, samples that trials may need
-lie in buckets of time. A micro-batch writes what is new and reads what its results need; it doesn't rewrite the rest.
+lie in buckets of time, many on a page. A micro-batch writes what is new and reads what its results need; it doesn't rewrite the rest.
 
 When is a row too late? Without ``late_seconds``, trials of one micro-batch are taken in order, and a trial that comes after later ones were
 processed is dropped, as nothing can be re-ordered across batches. With ``late_seconds``, times are event times with a watermark that many seconds
@@ -76,7 +76,8 @@ class Recording(StatefulProcessor):
         return True
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
+        some = list(rows)
+        new = some[0] if len(some) == 1 else pd.concat(some)
         last, wake, release = self.clock.get() or (-math.inf, 0, 0)
         if self.late is None:
             new = new.sort_values(self.order, kind="stable")
@@ -266,34 +267,69 @@ def adaptive_rebias(df: DataFrame, column: str, shape: Shape, bias: np.ndarray,
 WINDOWS = "recording string, marker string, t0 double, data array<double>"
 
 
+#: Samples of a page of buckets.
+PAGE = 256
+
+
 class Samples:
-    """Samples in buckets of time in a map state. ``ids`` and ``counts`` list the buckets; those that a call touches are read once."""
+    """Samples in buckets of time. ``ids`` and ``counts`` list the buckets; ``pages`` has for each the key under which a map state holds
+    it, with others that came at the same time. Pages that a call touches are read once, and ``save`` writes once what has changed and is kept."""
 
-    def __init__(self, state, seconds: float, ids: list[int], counts: list[int]):
+    def __init__(self, state, seconds: float, ids: list[int], counts: list[int], pages: list[int]):
         self.state, self.seconds = state, seconds
         self.counts = dict(zip(ids, counts))
+        self.pages = dict(zip(ids, pages))
+        self.stored = set(pages)
         self.read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.changed: set[int] = set()
+
+    def _split(self, times: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(bucket, times, values) of samples in order of time."""
+        ids, firsts = np.unique(np.floor(times / self.seconds).astype(np.int64), return_index=True)
+        for i, at, end in zip(ids.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(times)]):
+            yield i, times[at:end], values[at:end]
 
     def bucket(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(times, values) of a bucket, in order of time."""
         if i not in self.read:
-            times, flat = self.state.getValue((i,))
+            times, flat = self.state.getValue((self.pages[i],))
             times = np.array(times, float)
-            self.read[i] = times, np.array(flat, float).reshape(len(times), -1)
+            for k, t, v in self._split(times, np.array(flat, float).reshape(len(times), -1)):
+                if self.pages.get(k) == self.pages[i] and k not in self.read:
+                    self.read[k] = t, v
         return self.read[i]
 
     def add(self, times: np.ndarray, values: np.ndarray) -> None:
         """New samples, in order of time."""
-        places = np.floor(times / self.seconds).astype(np.int64)
-        for i in np.unique(places).tolist():
-            t, v = times[places == i], values[places == i]
+        for i, t, v in self._split(times, values):
             if i in self.counts:
                 old = self.bucket(i)
                 t, v = np.concatenate([old[0], t]), np.concatenate([old[1], v])
                 order = np.argsort(t, kind="stable")
                 t, v = t[order], v[order]
             self.read[i], self.counts[i] = (t, v), len(t)
-            self.state.updateValue((i,), (t.tolist(), v.ravel().tolist()))
+            self.changed.add(i)
+
+    def save(self) -> tuple[list[int], list[int], list[int]]:
+        """Write what has changed; (ids, counts, pages)."""
+        page, held, next_ = None, 0, max(self.stored, default=-1) + 1
+        for i in sorted(self.changed - self.pages.keys()):
+            if page is None or held + self.counts[i] > PAGE:
+                page, held, next_ = next_, 0, next_ + 1
+            self.pages[i] = page
+            held += self.counts[i]
+        written, used = {self.pages[i] for i in self.changed}, set(self.pages.values())
+        together: dict[int, list[int]] = {p: [] for p in written}
+        for i in sorted(self.counts):
+            if self.pages[i] in written:
+                together[self.pages[i]].append(i)
+        for p, own in together.items():
+            some = [self.bucket(i) for i in own]
+            self.state.updateValue((p,), (np.concatenate([t for t, _ in some]).tolist(), np.concatenate([v for _, v in some]).ravel().tolist()))
+        for p in self.stored - used:
+            self.state.removeKey((p,))
+        self.stored, self.changed, ids = used, set(), sorted(self.counts)
+        return ids, [self.counts[i] for i in ids], [self.pages[i] for i in ids]
 
     def _from(self, start: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = -math.inf if start == -math.inf else math.floor(start / self.seconds)
@@ -336,9 +372,10 @@ class Samples:
         gone = [i for i in self.counts if (i + 1) * self.seconds <= time]
         last = float(self.bucket(max(gone))[0][-1]) if gone else -math.inf
         for i in gone:
-            self.state.removeKey((i,))
             del self.counts[i]
+            self.pages.pop(i, None)
             self.read.pop(i, None)
+            self.changed.discard(i)
         return last
 
     def newest(self) -> float:
@@ -356,16 +393,16 @@ class Windows(Recording):
         return False  # samples and markers may come late as long as what is kept has them
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.buckets = handle.getMapState("buckets", "bucket long", "times array<double>, flat array<double>")
-        self.held = handle.getValueState("held", "starts array<double>, markers array<string>, begin double, forgotten double, ids array<long>, counts array<long>")
+        self.buckets = handle.getMapState("buckets", "page long", "times array<double>, flat array<double>")
+        self.held = handle.getValueState("held", "starts array<double>, markers array<string>, begin double, forgotten double, ids array<long>, counts array<long>, pages array<long>")
 
     def forget(self) -> None:
         self.buckets.clear()
         self.held.clear()
 
     def take(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
-        starts, markers, begin, forgotten, ids, counts = self.held.get() or ([], [], -math.inf, -math.inf, [], [])
-        store = Samples(self.buckets, self.bucket, ids, counts)
+        starts, markers, begin, forgotten, ids, counts, pages = self.held.get() or ([], [], -math.inf, -math.inf, [], [], [])
+        store = Samples(self.buckets, self.bucket, ids, counts, pages)
         new = rows[rows["values"].notna() & (rows["ts"] > forgotten)]
         if len(new):
             values = _stacked(new["values"])
@@ -398,8 +435,7 @@ class Windows(Recording):
                 begin = float(times[0] + self.interval) if self.interval is not None else float(np.nextafter(times[-1], np.inf))
             needed = begin
         forgotten = max(forgotten, store.drop_before(needed))
-        kept = sorted(store.counts)
-        self.held.update((starts, markers, begin, forgotten, kept, [store.counts[i] for i in kept]))
+        self.held.update((starts, markers, begin, forgotten, *store.save()))
         return pd.DataFrame(out, columns=["recording", "marker", "t0", "data"]) if out else None
 
 
