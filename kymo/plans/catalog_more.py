@@ -14,7 +14,7 @@ from kymo.operators.base import BatchOperator, Shape, Trials
 from kymo.plans import sql as q
 from kymo.plans.catalog import CHANNELS, LONG, SAMPLES, NearestCentroid, _CENTROIDS, _fitted, _json_markers, _out, _PADDED, _signal, _STATS, _trial, _two_classes, elements, embedding_trials, query, rounded, spread, streamed, table
 from kymo.plans.pipeline import FittedPlan, Plan
-from kymo.session import shared_path
+from kymo.session import shared_path, stored
 from kymo.sources import streams, xdf, xdf_source
 from kymo.streaming import live
 from kymo.streaming import operators as streaming
@@ -212,14 +212,14 @@ def saved_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as a recording of samples and markers, written to XDF files and read from them."""
+    """Each user's events as a recording of samples and markers, written to XDF files and read from them, once for all uses of them."""
     path = shared_path(spark, "recordings")
     rows = _signal(spark, sf_dir)
     samples = rows.select("recording", "ts", "values", F.lit(None).cast("string").alias("marker"))
     said = rows.select("recording", "ts", F.lit(None).cast("array<double>").alias("values"), F.concat_ws(":", "event_type", "event_id").alias("marker"))
     xdf_source.register(spark)
     samples.unionByName(said).repartition("recording").sortWithinPartitions("recording", "ts").write.format("xdf").mode("append").save(path)
-    return xdf.read_xdf(spark, path)
+    return stored(xdf.read_xdf(spark, path).select("recording", "stream", "type", "ts", "values", "marker"), "samples")
 
 
 @query("""with n as (select *, row_number() over (partition by user_id order by ts) as n from events)

@@ -48,6 +48,21 @@ OPEN_COST = 1 << 20
 CHUNK_SAMPLES = 4096
 BOUNDARY_BYTES = 4 << 20
 MOST_OPEN = 64
+#: Rows and bytes of small batches that go to Spark together.
+TOGETHER, TOGETHER_BYTES = 10_000, 4 << 20
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of short recordings as few larger ones."""
+    some, rows, size = [], 0, 0
+    for b in batches:
+        if some and (rows + b.num_rows > TOGETHER or size + b.nbytes > TOGETHER_BYTES):
+            yield pa.concat_batches(some)
+            some, rows, size = [], 0, 0
+        some.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+    if some:
+        yield pa.concat_batches(some)
 
 
 def _listed(path: str, extension: str) -> list[tuple[str, int]]:
@@ -113,6 +128,9 @@ class XdfReader(DataSourceReader):
         return xdf.batches(index, recording_of(path), self.columns, low, high, wanted, self.channels, None if self.low is None and self.high is None else self._keep)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        return _together(self._read(partition))
+
+    def _read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         for path, size, low, high in partition.some:
             with files.opened(path) as file:
                 yield from self.rows(xdf.Index(file, size), path, low, high)

@@ -267,3 +267,19 @@ def test_streamed_recordings_are_written_exactly_once(spark, tmp_path):
     # a recording that is written by a stream is read by another
     run_once(xdf_source.stream_reader(spark).load(str(tmp_path / "rec")), tmp_path / "copy", tmp_path / "state2")
     assert spark.read.parquet(str(tmp_path / "copy")).count() == 20
+
+
+def test_short_recordings_come_together_and_are_read_once(spark, tmp_path, monkeypatch):
+    """A task's small files give one batch; the catalog's queries read the files once, whatever uses their rows."""
+    from kymo.plans import catalog_more
+
+    xdf_source.register(spark)
+    rows = spark.createDataFrame([(f"r{i}", float(k), [float(i)]) for i in range(30) for k in range(4)], "recording string, ts double, values array<double>")
+    rows.repartition(1, "recording").write.format("xdf").mode("append").save(str(tmp_path / "many"))
+    reader = xdf_source.XdfReader({"path": str(tmp_path / "many")}, xdf_source.reader(spark).load(str(tmp_path / "many")).schema)
+    batches = [list(reader.read(p)) for p in reader.partitions()]
+    assert [len(b) for b in batches] == [1] and batches[0][0].num_rows == 120
+    monkeypatch.setattr(xdf_source, "TOGETHER", 50)
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [48, 48, 24]
+    read = catalog_more._recordings(spark, "/root/testdata/sf0.001")
+    assert read.inputFiles() and all(".parquet" in f for f in read.inputFiles())
