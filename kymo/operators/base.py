@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kymo.session import ship_package
@@ -106,6 +106,18 @@ def spark_type(shape: Shape) -> str:
     return "double" if shape == () else "array<double>"
 
 
+#: Trials that a function of batches sees at once, and bytes that a batch of its results has about, with so many trials at least.
+BLOCK_ROWS, BATCH_BYTES, LEAST_ROWS = 500, 8 << 20, 100
+
+
+def bound_batches(spark: SparkSession, *shapes: Shape) -> None:
+    """Make the session's Arrow batches so short that tensors of these shapes keep to ``BATCH_BYTES``; results may be much wider than inputs."""
+    rows = max(LEAST_ROWS, BATCH_BYTES // (8 * max(1, *map(size_of, shapes))))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def batch_column(f: Callable[..., np.ndarray], columns: list[Column], shapes: list[Shape], out: Shape, apart: Sequence[Column] = ()) -> Column:
     """``f`` over batches: (n, *shape) arrays in, one (n, *out) array out. Trials with a null input give null.
 
@@ -114,6 +126,16 @@ def batch_column(f: Callable[..., np.ndarray], columns: list[Column], shapes: li
     that uses the variable of a lambda around it, and then fails when it runs.
     """
 
+    def some(*xs: np.ndarray) -> np.ndarray:
+        """Block by block: what ``f`` makes in between is as large as a block."""
+        n = len(xs[0])
+        if n <= BLOCK_ROWS:
+            return f(*xs)
+        made = np.empty((n, *out))
+        for at in range(0, n, BLOCK_ROWS):
+            made[at : at + BLOCK_ROWS] = f(*(x[at : at + BLOCK_ROWS] for x in xs))
+        return made
+
     def run(*arrays: pa.Array) -> pa.Array:
         arrays = arrays[: len(shapes)]
         good = np.ones(len(arrays[0]), bool)
@@ -121,9 +143,9 @@ def batch_column(f: Callable[..., np.ndarray], columns: list[Column], shapes: li
             if a.null_count:
                 good &= a.is_valid().to_numpy(zero_copy_only=False)
         if good.all():
-            return as_arrow(f(*(tensors(a, s) for a, s in zip(arrays, shapes))), out) if len(good) else as_arrow(np.empty((0, *out)), out)
+            return as_arrow(some(*(tensors(a, s) for a, s in zip(arrays, shapes))), out) if len(good) else as_arrow(np.empty((0, *out)), out)
         keep = pa.array(good)
-        done = as_arrow(f(*(tensors(a.filter(keep), s) for a, s in zip(arrays, shapes))), out) if good.any() else as_arrow(np.empty((0, *out)), out)
+        done = as_arrow(some(*(tensors(a.filter(keep), s) for a, s in zip(arrays, shapes))), out) if good.any() else as_arrow(np.empty((0, *out)), out)
         where = np.where(good, np.cumsum(good) - 1, 0)
         return done.take(pa.array(where, mask=~good))
 
@@ -172,6 +194,7 @@ class BatchOperator(Operator):
             return batch(*(a if at is None else a.reshape(len(a), -1)[:, at] for a, at in zip(arrays, places)))
 
         columns = [F.col(name) for name, _ in sources]
+        bound_batches(trials.df.sparkSession, *shapes, out)
         made = batch_column(run, columns, shapes, out, [c for c, (name, _) in zip(columns, sources) if name in trials.computed])
         return trials.with_column(self.output, made, out, computed=False)
 
