@@ -133,7 +133,8 @@ def batch_column(f: Callable[..., np.ndarray], columns: list[Column], shapes: li
             return f(*xs)
         made = np.empty((n, *out))
         for at in range(0, n, BLOCK_ROWS):
-            made[at : at + BLOCK_ROWS] = f(*(x[at : at + BLOCK_ROWS] for x in xs))
+            part = [x[at : at + BLOCK_ROWS] for x in xs]
+            made[at : at + BLOCK_ROWS] = np.reshape(f(*part), (len(part[0]), *out))
         return made
 
     def run(*arrays: pa.Array) -> pa.Array:

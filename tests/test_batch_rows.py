@@ -27,3 +27,21 @@ def test_wide_results_come_in_short_batches(spark):
         assert {r["size"] for r in out} == {20_000} and max(r["n"] for r in out) <= 100
     finally:
         spark.conf.set(key, before)
+
+
+class Flat(BatchOperator):
+    """Gives its results flat."""
+
+    inputs, output = ("x",), "y"
+
+    def infer(self, a):
+        return (2, 3)
+
+    def batch(self, a):
+        return np.repeat(a, 6, axis=1).reshape(len(a), 6)
+
+
+def test_flat_results_of_many_trials(spark):
+    df = spark.range(1200, numPartitions=1).selectExpr("id as trial_id", "array(double(id)) as x")
+    out = Flat().apply(Trials(df, {"x": (1,)})).df.collect()
+    assert all(r["y"] == [float(r["trial_id"])] * 6 for r in out) and len(out) == 1200
