@@ -298,11 +298,15 @@ def merge_all(some: Iterable[Moments]) -> Moments:
     return functools.reduce(Moments.merged, some)
 
 
+#: Tasks that merge the moments of all partitions.
+MERGERS = 8
+
+
 def moments_by(trials: Trials, column: str, keys: Sequence[Column], products: bool, rows: Callable[[np.ndarray], np.ndarray] = lambda x: x.reshape(len(x), -1),
                then: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[tuple, Moments]:
     """``Moments`` of ``rows(tensors)`` for each combination of ``keys`` (numbers; rows with a null one are left out), in one pass.
 
-    Partitions hand on one state a key, which executors merge (``treeReduce``): the driver gets about a root of their number.
+    Partitions hand on one state a key, which ``MERGERS`` tasks merge: the driver gets one state of each of these.
     With ``then``, a state has beside it those of ``then(tensors)``, squares only, under (*key, "then").
     """
     ship_package(trials.df.sparkSession)
@@ -330,14 +334,21 @@ def moments_by(trials: Trials, column: str, keys: Sequence[Column], products: bo
                         add(key, Moments.of(part, products))
                     if then is not None:
                         add((*key, "then"), Moments.of(then(own), False))
+        yield from packed(held)
+
+    def packed(held: dict) -> Iterator[pa.RecordBatch]:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], names=["state"])
 
     def both(a: dict, b: dict) -> dict:
         return {k: a[k].merged(b[k]) if k in a and k in b else a.get(k, b.get(k)) for k in a.keys() | b.keys()}
 
-    states = trials.df.select(*(k.cast("double").alias(n) for k, n in zip(keys, names)), F.col(column)).mapInArrow(run, "state binary").rdd.map(lambda r: pickle.loads(bytes(r[0])))
-    found = states.treeAggregate({}, both, both)
+    def merge(batches):
+        yield from packed(functools.reduce(both, (pickle.loads(state.as_py()) for batch in batches for state in batch.column(0)), {}))
+
+    # a merge by an RDD's functions would keep a second Python process beside each one of this pass
+    states = trials.df.select(*(k.cast("double").alias(n) for k, n in zip(keys, names)), F.col(column)).mapInArrow(run, "state binary")
+    found = functools.reduce(both, (pickle.loads(r[0]) for r in states.repartition(MERGERS).mapInArrow(merge, "state binary").collect()), {})
     return dict(sorted(found.items(), key=str))
 
 
@@ -347,10 +358,11 @@ def cached(trials: Trials, column: str, label: Column | None = None) -> Iterator
 
     What a lost executor held is made again from the trials. The column is named _c, the label _y.
     """
-    some = trials.df.select(trials.id, (F.lit(0.0) if label is None else label).cast("double").alias("_y"), F.col(column).alias("_c")).filter("_c is not null")
+    some = trials.df.select(trials.id, (F.lit(0.0) if label is None else label).cast("double").alias("_y"), F.col(column).alias("_c"))
     held = some.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield Trials(held, {"_c": trials.shape(column)}, trials.id, "_y")
+        # a filter below the held rows would run the column's Python functions twice, in two processes a task
+        yield Trials(held.filter("_c is not null"), {"_c": trials.shape(column)}, trials.id, "_y")
     finally:
         held.unpersist()
 

@@ -17,7 +17,8 @@ from kymo.functions import tensors as t
 from kymo.numerics import learn, spd
 from kymo.operators import cascade, ordered
 from kymo.operators.base import BatchOperator, ColumnOperator, Estimator, Moments, Operator, Shape, Trials, cached, moments_by, partial_sums, sample_of, size_of
-from kymo.operators.riemann import ToTangent, karcher_mean, karcher_means
+from kymo.operators.riemann import START_DOUBLES as MEAN_DOUBLES
+from kymo.operators.riemann import ToTangent, flowed, karcher_mean, starting_points
 from kymo.session import shared_path
 
 #: Numbers that a driver-side learner may hold: its training set, for an SVM also the products of its trials.
@@ -414,17 +415,22 @@ class MultiPotatoFit(Estimator):
     def fit(self, trials: Trials) -> Operator:
         a = self.inputs[0]
         marked = PatternState(a, "_cluster", k_selection="fixed", n_clusters=self.k, seed=self.seed).fit(trials).apply(trials)
-        means = karcher_means(Trials(marked.df, marked.shapes, marked.id, "_cluster"), a)
+        with cached(marked, a, F.col("_cluster")) as held:
+            return self._fit(held.with_df(held.df.filter("_y is not null")))
+
+    def _fit(self, held: Trials) -> Operator:
+        same = lambda c: c
+        means = flowed(held, starting_points(held, same, MEAN_DOUBLES), same)
         centers = np.stack([means[float(k)] for k in range(self.k)])
 
         def spread(c: np.ndarray, y: np.ndarray) -> np.ndarray:
             d = np.log(np.maximum(spd.distance(centers[int(y[0])], c), 1e-300))  # trials come cluster by cluster
             return np.array([d.sum(), (d**2).sum()])
 
-        found = {g["label"]: g for g in partial_sums(Trials(marked.df, marked.shapes, marked.id, "_cluster"), a, spread, True, with_labels=True, summed=True)}
+        found = {g["label"]: g for g in partial_sums(held, "_c", spread, True, with_labels=True, summed=True)}
         mu = np.array([found[float(k)]["sum"][0] / found[float(k)]["count"] for k in range(self.k)])
         squares = np.array([found[float(k)]["sum"][1] / found[float(k)]["count"] for k in range(self.k)])
-        return MultiPotato(a, self.output, PotatoClustering(centers, mu, np.sqrt(np.maximum(0.0, squares - mu**2)), self.threshold))
+        return MultiPotato(self.inputs[0], self.output, PotatoClustering(centers, mu, np.sqrt(np.maximum(0.0, squares - mu**2)), self.threshold))
 
 
 # ---- model selection ----
