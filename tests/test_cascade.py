@@ -1,5 +1,7 @@
 """Support vector machines over partitions, probabilities, and sparse logistic regression."""
 
+import pickle
+
 import numpy as np
 import pytest
 
@@ -99,6 +101,24 @@ def test_classes_that_overlap_are_fitted_on_all(spark, monkeypatch):
     assert np.mean([r["o"] for r in out] == want.predict(x)) > 0.99
 
 
+def test_a_large_model_is_not_held(spark, monkeypatch):
+    """What a task gets of a model doesn't grow with the support, and scores are those of its vectors."""
+    monkeypatch.setattr(classify, "MOST_DOUBLES", 12_000)
+    monkeypatch.setattr(cascade, "BLOCK", 64)
+    monkeypatch.setattr(cascade, "WORKING", 64)
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(300, 8)), rng.integers(0, 3, 300).astype(float)
+    fitted, trials = classify.svm(tol=1e-4), trials_of(spark, x, y)
+    out = classify.Classifier("f", "o", fitted).fit(trials).apply(trials).df.orderBy("trial_id").collect()
+    assert len(pickle.dumps(fitted)) < 8 * 12_000 / cascade.SHARE
+    held = [fitted.gram(x, v) @ w + b for _, _, v, w, b in fitted.machines]
+    np.testing.assert_allclose(fitted.all_margins(x), np.stack(held, axis=1), atol=1e-9)
+    monkeypatch.setattr(learn, "TILE", 37)
+    np.testing.assert_allclose(fitted.all_margins(x), np.stack(held, axis=1), atol=1e-9)
+    assert [r["o"] for r in out] == fitted.predict(x).tolist()
+    np.testing.assert_allclose(fitted.all_margins(x), learn.Svm(tol=1e-4).fit(x, y).all_margins(x), atol=5e-3)
+
+
 @pytest.mark.parametrize("classes", [2, 3])
 def test_probabilities(spark, blocks, classes):
     x, y = data(600, classes, 7)
