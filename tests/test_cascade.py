@@ -119,6 +119,19 @@ def test_a_large_model_is_not_held(spark, monkeypatch):
     np.testing.assert_allclose(fitted.all_margins(x), learn.Svm(tol=1e-4).fit(x, y).all_margins(x), atol=5e-3)
 
 
+def test_more_trials_may_take_more_rounds(spark, monkeypatch):
+    """Small working sets take more rounds; what they may take follows the trials."""
+    monkeypatch.setattr(classify, "MOST_DOUBLES", 6000)
+    monkeypatch.setattr(cascade, "BLOCK", 64)
+    monkeypatch.setattr(cascade, "WORKING", 24)
+    monkeypatch.setattr(cascade, "ROUNDS", 2)
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=(300, 3)), rng.integers(0, 2, 300).astype(float)
+    fitted = classify.svm(tol=1e-4)
+    classify.Classifier("f", "o", fitted).fit(trials_of(spark, x, y))
+    assert conditions(fitted, x, y) < 1e-3
+
+
 @pytest.mark.parametrize("classes", [2, 3])
 def test_probabilities(spark, blocks, classes):
     x, y = data(600, classes, 7)
